@@ -32,8 +32,10 @@ from .common import id_text, slices
 STANDARD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a task remembers: two generations of this many (some 150 MB). Forgotten words are encoded again.
 REMEMBERED = 300_000
-#: Words that go to DuckDB at once.
-AT_ONCE = 100_000
+#: Words, and bytes of words, that go to DuckDB at once.
+AT_ONCE, BYTES_AT_ONCE = 50_000, 1 << 20
+#: Longer words take the query that contracts several places a turn and runs this many turns at a time.
+LONG, TURNS = 128, 16
 
 #: A position's key is word * 2^24 + place, so that a place's right neighbour is one join away.
 ENCODE = """
@@ -56,6 +58,41 @@ SELECT key >> 24 AS row, key & 16777215 AS pos, id
 FROM step JOIN (SELECT key >> 24 AS word, max(turn) AS turn FROM step WHERE key & 16777215 = 0 GROUP BY key) ends
     ON ends.word = key >> 24 AND ends.turn = step.turn
 """
+#: For long words: in each turn, the leftmost place of the word's least rank and the others of that rank that do not
+#: overlap it, which are the next to be contracted: a vocabulary whose tokens encode to themselves has no pair of
+#: lower rank that one of these contractions could make.
+ENCODE_LONG = """
+CREATE OR REPLACE TABLE reached AS
+WITH RECURSIVE step AS (
+    SELECT key, 0 AS turn, id FROM letters
+    UNION ALL
+    SELECT key - coalesce(sum(spot) OVER (PARTITION BY word ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), turn + 1, CASE spot WHEN 1 THEN least ELSE id END
+    FROM (
+        SELECT s.key, s.key >> 24 AS word, turn, s.id, w.least, CASE WHEN spots.key IS NULL THEN 0 ELSE 1 END AS spot
+        FROM step s
+        JOIN (
+            SELECT a.key >> 24 AS word, min(m.id) AS least
+            FROM step a JOIN step b ON b.key = a.key + 1 JOIN merges m ON m.pair = (a.id << 17) + b.id GROUP BY word
+        ) w ON w.word = s.key >> 24
+        LEFT JOIN (
+            SELECT key FROM (
+                SELECT key, row_number() OVER (PARTITION BY run ORDER BY key) AS nth
+                FROM (
+                    SELECT key, key - row_number() OVER (ORDER BY key) AS run
+                    FROM (
+                        SELECT a.key, m.id, min(m.id) OVER (PARTITION BY a.key >> 24) AS least
+                        FROM step a JOIN step b ON b.key = a.key + 1 JOIN merges m ON m.pair = (a.id << 17) + b.id
+                    ) WHERE id = least
+                )
+            ) WHERE nth % 2 = 1
+        ) spots ON spots.key = s.key
+        WHERE turn < {turns}
+    )
+    QUALIFY coalesce(lag(spot) OVER (PARTITION BY word ORDER BY key), 0) = 0
+)
+SELECT key, id, step.turn FROM step JOIN (SELECT key >> 24 AS word, max(turn) AS turn FROM step WHERE key & 16777215 = 0 GROUP BY key) ends
+    ON ends.word = key >> 24 AND ends.turn = step.turn
+"""
 IDS = "SELECT row, id FROM tokens ORDER BY row, pos"
 #: Blobs have no ordered concatenation, their hexadecimal digits have.
 DECODE = """
@@ -94,18 +131,32 @@ class Bpe:
 
     def encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Ids, as little-endian unsigned 32-bit integers, and decoded bytes of each word (of 1 to 2^24 - 1 bytes)."""
-        out = []
-        for first in range(0, len(words), AT_ONCE):
-            some = words[first : first + AT_ONCE]
-            row, pos = places(some)
-            ids = self.byte_ids[np.frombuffer(b"".join(some), np.uint8)]
-            self.put("letters", pa.table({"key": (row << 24) + pos, "id": ids}))
-            self.db.execute(ENCODE)
-            got = self.db.execute(IDS).fetchnumpy()
-            flat, ends = got["id"].astype("<u4").tobytes(), 4 * np.searchsorted(got["row"], np.arange(len(some) + 1))
-            out += [(flat[a:b], piece) for a, b, piece in zip(ends[:-1], ends[1:], self.pieces(len(some)), strict=True)]
+        out: list = [None] * len(words)
+        short, long = [i for i, w in enumerate(words) if len(w) <= LONG], [i for i, w in enumerate(words) if len(w) > LONG]
+        for numbers, is_long in ((short, False), (long, True)):
+            for some in bounded(numbers, words):
+                for i, found in zip(some, self.encode_some([words[i] for i in some], is_long), strict=True):
+                    out[i] = found
         return out
 
+    def encode_some(self, words: list[bytes], is_long: bool) -> Iterator[tuple[bytes, bytes]]:
+        row, pos = places(words)
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        self.put("letters", pa.table({"key": (row << 24) + pos, "id": ids}))
+        if is_long:
+            while True:
+                self.db.execute(ENCODE_LONG.format(turns=TURNS))
+                if self.db.execute("SELECT max(turn) FROM reached").fetchall()[0][0] < TURNS:
+                    break
+                self.db.execute("CREATE OR REPLACE TABLE letters AS SELECT key, id FROM reached")
+            self.db.execute("CREATE OR REPLACE TABLE tokens AS SELECT key >> 24 AS row, key & 16777215 AS pos, id FROM reached")
+        else:
+            self.db.execute(ENCODE)
+        got = self.db.execute(IDS).fetchnumpy()
+        flat, ends = got["id"].astype("<u4").tobytes(), 4 * np.searchsorted(got["row"], np.arange(len(words) + 1))
+        for a, b, piece in zip(ends[:-1], ends[1:], self.pieces(len(words)), strict=True):
+            yield flat[a:b], piece
+
     def pieces(self, n: int) -> list[bytes]:
         """The bytes of rows 0 to n - 1 of the token table, by an ordered aggregation over their positions."""
         got = self.db.execute(DECODE).fetchall()
@@ -124,6 +175,18 @@ class Bpe:
         return self.pieces(len(rows))
 
 
+def bounded(numbers: list[int], words: list[bytes]) -> Iterator[list[int]]:
+    some, size = [], 0
+    for i in numbers:
+        if some and (len(some) == AT_ONCE or size + len(words[i]) > BYTES_AT_ONCE):
+            yield some
+            some, size = [], 0
+        some.append(i)
+        size += len(words[i])
+    if some:
+        yield some
+
+
 def places(rows: list) -> tuple[np.ndarray, np.ndarray]:
     """Row number and place in its row of each item of the rows."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, decontam, simhash
 from .common import read_table
 
 
@@ -15,5 +15,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_ids=False, with_digests=True)
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_decontaminate": op4_decontaminate, "op8_simhash": op8_simhash}
+ORACLE_SQL = {"op4_decontaminate": decontam.SQL}
