@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, secrets, sharding, simhash
+from . import bpe, chat, decontam, secrets, sharding, simhash, topk
 from .common import read_table
 
 
@@ -19,6 +20,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -42,8 +47,9 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_chat": op5_chat,
+    "op7_top_k": op7_top_k,
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL = {"op4_decontaminate": decontam.SQL, "op5_chat": chat.SQL, "op10_sharding": sharding.sql()}
+ORACLE_SQL = {"op4_decontaminate": decontam.SQL, "op5_chat": chat.SQL, "op7_top_k": topk.sql(), "op10_sharding": sharding.sql()}
