@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, secrets, sharding, simhash, topk
+from . import bpe, chat, decontam, quality, secrets, sharding, simhash, topk
 from .common import read_table
 
 
@@ -20,6 +20,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_chat": op5_chat,
+    "op6_quality": op6_quality,
     "op7_top_k": op7_top_k,
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
