@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, html, quality, secrets, sharding, simhash, topk
+from . import bpe, chat, decontam, html, lm, quality, secrets, sharding, simhash, topk
 from .common import read_table
 
 
@@ -16,6 +16,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_ids=False, with_digests=True)
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return lm.score(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(read_table(spark, sf_dir, "pages"))
 
@@ -53,6 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_lm": op2_lm,
     "op3_html": op3_html,
     "op4_decontaminate": op4_decontaminate,
     "op5_chat": op5_chat,
