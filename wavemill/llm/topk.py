@@ -34,7 +34,7 @@ from .common import shared_dir
 SCALE, K = 64, 20
 #: Points of a block and of a query group, most centres, and rows of the sample that they are drawn from.
 BLOCK, GROUP, CENTRES, SAMPLE = 4096, 1024, 64, 1024
-LEAF, CHILDREN = 64, 8
+LEAF, CHILDREN = 128, 8
 
 
 class CoverTree:
@@ -105,12 +105,15 @@ def dual_tree(queries: np.ndarray, qid: np.ndarray, data: np.ndarray, did: np.nd
         if not xs and not ys:
             found = q[a:b] @ r[c:d].T
             found[qids[a:b, None] == rids[None, c:d]] = -np.inf
-            found[found < kth[a:b, None]] = -np.inf
-            all_s = np.concatenate([scores[a:b], found], axis=1)
-            all_i = np.concatenate([ids[a:b], np.broadcast_to(rids[c:d], found.shape)], axis=1)
-            top = np.lexsort((all_i, -all_s))[:, :k]
-            scores[a:b], ids[a:b] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
-            kth[a:b] = np.maximum(floors[a:b], scores[a:b, k - 1])
+            hit = np.flatnonzero((found >= kth[a:b, None]).any(axis=1))
+            if len(hit):
+                found, rows = found[hit], hit + a
+                found[found < kth[rows, None]] = -np.inf
+                all_s = np.concatenate([scores[rows], found], axis=1)
+                all_i = np.concatenate([ids[rows], np.broadcast_to(rids[c:d], found.shape)], axis=1)
+                top = np.lexsort((all_i, -all_s))[:, :k]
+                scores[rows], ids[rows] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
+                kth[rows] = np.maximum(floors[rows], scores[rows, k - 1])
             continue
         # the larger ball is opened
         if ys and (not xs or rt.radius[y] >= qt.radius[x]):
