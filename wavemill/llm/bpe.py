@@ -30,12 +30,13 @@ from .common import id_text, slices
 
 #: The pattern that the fast path for Latin-1 texts knows; any other works without it.
 STANDARD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words that a task remembers: two generations of this many (some 150 MB). Forgotten words are encoded again.
-REMEMBERED = 300_000
+#: Words that a task remembers: two generations of this many (some 100 MB). Forgotten words are encoded again.
+REMEMBERED = 200_000
 #: Words, and bytes of words, that go to DuckDB at once.
 AT_ONCE, BYTES_AT_ONCE = 50_000, 1 << 20
-#: Longer words take the query that contracts several places a turn and runs this many turns at a time.
-LONG, TURNS = 128, 16
+#: Longer words take the query that contracts several places a turn and runs this many turns at a time, fewer if
+#: that made more than so many rows.
+LONG, TURNS, ROWS = 128, 16, 2 << 20
 
 #: A position's key is word * 2^24 + place, so that a place's right neighbour is one join away.
 ENCODE = """
@@ -145,8 +146,9 @@ class Bpe:
         self.put("letters", pa.table({"key": (row << 24) + pos, "id": ids}))
         if is_long:
             while True:
-                self.db.execute(ENCODE_LONG.format(turns=TURNS))
-                if self.db.execute("SELECT max(turn) FROM reached").fetchall()[0][0] < TURNS:
+                turns = max(1, min(TURNS, ROWS // len(ids)))
+                self.db.execute(ENCODE_LONG.format(turns=turns))
+                if self.db.execute("SELECT max(turn) FROM reached").fetchall()[0][0] < turns:
                     break
                 self.db.execute("CREATE OR REPLACE TABLE letters AS SELECT key, id FROM reached")
             self.db.execute("CREATE OR REPLACE TABLE tokens AS SELECT key >> 24 AS row, key & 16777215 AS pos, id FROM reached")
@@ -219,8 +221,8 @@ class Words:
 
 
 class Memory:
-    """What a Python worker remembers from one slice to the next: the ids of words, and the decoded
-    bytes of those (none, unless the vocabulary is broken) that do not decode to themselves."""
+    """What a task remembers from one slice to the next: the ids of words, and the decoded bytes of those
+    (none, unless the vocabulary is broken) that do not decode to themselves."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         self.bpe, self.words, self.remembered = Bpe(ranks), Words(pattern), remembered
@@ -251,11 +253,18 @@ class Memory:
             yield b"".join(map(ids_of, words)), decoded
 
 
+    def forget(self) -> None:
+        """A worker outlives its tasks, and other work shares its memory."""
+        self.new, self.old = {}, {}
+        for name in ("letters", "tokens", "reached"):
+            self.bpe.db.execute(f"DROP TABLE IF EXISTS {name}")
+
+
 _memory: dict[tuple, Memory] = {}
 
 
 def memory(ranks: dict[bytes, int], pattern: str) -> Memory:
-    """One memory per Python worker and vocabulary; Spark uses workers again for later tasks."""
+    """One merge table per Python worker and vocabulary; Spark uses workers again for later tasks."""
     key = (len(ranks), hash(frozenset(ranks.items())), pattern)
     if key not in _memory:
         _memory.clear()
@@ -288,6 +297,7 @@ def encode(
             names = ["doc_id", "n_tokens", *["ids", "decoded"] * with_ids, *["ids_sha256", "decoded_sha256"] * with_digests]
             columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
+        known.forget()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, schema)
 
