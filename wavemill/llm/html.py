@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP_PAGES, GROUP_BYTES = 64, 1 << 20
+#: Up to so many hosts, their page counts are broadcast.
+MOST_HOSTS = 100_000
 #: A place is constant if it occurs on so many pages of different content and so large a share of them, and this share of its texts is one.
 LEAST, OFTEN, SHARE = 5, 0.3, 0.8
 DEPTH, CELLS = 100, 40_000
@@ -230,7 +232,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)).alias("host"),
     )
     sizes = thin.groupBy("host").agg(F.greatest(F.ceil(F.count("*") / GROUP_PAGES), F.ceil(F.sum(F.length("html")) / GROUP_BYTES), F.lit(1)).alias("groups"))
-    grouped = thin.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups"))).drop("groups")
+    few = sizes.limit(MOST_HOSTS + 1).count() <= MOST_HOSTS
+    grouped = thin.join(F.broadcast(sizes) if few else sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups"))).drop("groups")
+    if not few:  # the join dealt the pages by host; a large host's groups have to part
+        grouped = grouped.repartition("host", "part")
 
     def induce(group: pa.Table) -> pa.Table:
         texts = extract(group["html"].to_pylist())
