@@ -56,7 +56,7 @@ def flat_waves(df: DataFrame) -> DataFrame:
 
 @query
 def s1_weekly_bars(spark, d):
-    return rounded(X.weekly_bars(spark, d))
+    return X.weekly_bars(spark, d)
 
 
 @query
@@ -67,18 +67,18 @@ def s5_normalize(spark, d):
 
 @query
 def s6_select_symbols(spark, d):
-    return rounded(I.select_symbols(X.weekly_bars(spark, d), ["NATION_3", "NATION_7", "NATION_12"]))
+    return I.select_symbols(X.weekly_bars(spark, d), ["NATION_3", "NATION_7", "NATION_12"])
 
 
 @query
 def s6_select_symbol_table(spark, d):
     names = X.read(spark, d, "nation").where("n_regionkey = 3").select(F.col("n_name").alias("symbol"))
-    return rounded(I.select_symbols(X.weekly_bars(spark, d), names))
+    return I.select_symbols(X.weekly_bars(spark, d), names)
 
 
 @query
 def s7_last_days(spark, d):
-    return rounded(I.last_days(X.weekly_bars(spark, d), 90, AS_OF))
+    return I.last_days(X.weekly_bars(spark, d), 90, AS_OF)
 
 
 @query
@@ -101,7 +101,7 @@ def s14_dataset_stats(spark, d):
 
 
 def faulty(df: DataFrame) -> DataFrame:
-    return rounded(df.select("symbol", "interval", "bar_ts", "close", "volume", F.col("ord.l_orderkey").alias("o"), F.col("ord.l_linenumber").alias("l")))
+    return df.select("symbol", "interval", "bar_ts", "close", "volume", F.col("ord.l_orderkey").alias("o"), F.col("ord.l_linenumber").alias("l"))
 
 
 @query
@@ -136,7 +136,7 @@ def c6_valid_ohlc(spark, d):
 
 @query
 def c7_drop_outliers(spark, d):
-    return rounded(K.drop_outliers(X.weekly_bars(spark, d)))
+    return K.drop_outliers(X.weekly_bars(spark, d))
 
 
 @query
@@ -169,7 +169,7 @@ def c12_cap_history(spark, d):
 
 @query
 def w1_resample_4h(spark, d):
-    return rounded(S.resample_bars(X.user_bars(spark, d), "4 hours", "4h", F.struct("bar_ts", "event_id")))
+    return S.resample_bars(X.user_bars(spark, d), "4 hours", "4h", F.struct("bar_ts", "event_id"))
 
 
 @query
@@ -215,7 +215,7 @@ def w9_base_score(spark, d):
 
 @query
 def w10_absolute_low(spark, d):
-    return rounded(W.absolute_low(X.weekly_bars(spark, d)).drop("interval"))
+    return W.absolute_low(X.weekly_bars(spark, d)).drop("interval")
 
 
 # --- swings and chains -------------------------------------------------------------------------------
@@ -223,23 +223,23 @@ def w10_absolute_low(spark, d):
 
 @query
 def m1_first_swing_up(spark, d):
-    return rounded(M.first_swing(X.weekly_bars(spark, d), "up").drop("interval"))
+    return M.first_swing(X.weekly_bars(spark, d), "up").drop("interval")
 
 
 @query
 def m2_first_swing_down(spark, d):
-    return rounded(M.first_swing(X.weekly_bars(spark, d), "down").drop("interval"))
+    return M.first_swing(X.weekly_bars(spark, d), "down").drop("interval")
 
 
 @query
 def m3_next_swing(spark, d):
-    return rounded(M.next_swing(X.weekly_bars(spark, d)).drop("interval"))
+    return M.next_swing(X.weekly_bars(spark, d)).drop("interval")
 
 
 @query
 def m5_monowaves_one_skip(spark, d):
     edges = M.monowaves(X.weekly_bars(spark, d), 1).where("up and skip = 1")
-    return rounded(edges.select("symbol", "s", "e", F.col("high").alias("value")))
+    return edges.select("symbol", "s", "e", F.col("high").alias("value"))
 
 
 @query
@@ -249,7 +249,7 @@ def m6_monowaves(spark, d):
 
 @query
 def m8_roll_up(spark, d):
-    return rounded(X.simple_patterns(spark, d).select(*PATTERN, V.roll_up(F.col("waves")).alias("r")).select(*PATTERN, "r.idx_start", "r.idx_end", "r.low", "r.high", "r.length", "r.duration", "r.degree"))
+    return X.simple_patterns(spark, d).select(*PATTERN, V.roll_up(F.col("waves")).alias("r")).select(*PATTERN, "r.idx_start", "r.idx_end", "r.low", "r.high", "r.length", "r.duration", "r.degree")
 
 
 @query
@@ -268,7 +268,7 @@ def p2_top_options(spark, d):
 def plain(family: str, guarded: bool, spark: SparkSession, d: str) -> DataFrame:
     bars = X.weekly_bars(spark, d)
     found = C.chains(X.simple_edges(bars), family)
-    return rounded(flat_waves(C.guard(found, bars, family) if guarded else found))
+    return flat_waves(C.guard(found, bars, family) if guarded else found)
 
 
 QUERIES["p3_impulse_chains"] = partial(plain, "impulse", True)
@@ -281,7 +281,7 @@ QUERIES["p6_td_chains"] = partial(plain, "td", False)
 def p7_cycles(spark, d):
     edges = X.simple_edges(X.weekly_bars(spark, d))
     found = C.cycles(C.chains(edges, "impulse"), C.chains(edges, "corrective"))
-    return rounded(found.select("symbol", "start", *[F.col("waves")[i]["length"].alias(f"l{i + 1}") for i in range(8)]))
+    return found.select("symbol", "start", *[F.col("waves")[i]["length"].alias(f"l{i + 1}") for i in range(8)])
 
 
 @query
@@ -344,7 +344,7 @@ def p17_reconstruct(spark, d):
 
 @query
 def p18_polyline(spark, d):
-    return rounded(X.simple_patterns(spark, d).select(*PATTERN, F.posexplode(V.polyline(F.col("waves"))).alias("nth", "v")).select(*PATTERN, "nth", "v.idx", "v.value", "v.label", "v.ratio"))
+    return X.simple_patterns(spark, d).select(*PATTERN, F.posexplode(V.polyline(F.col("waves"))).alias("nth", "v")).select(*PATTERN, "nth", "v.idx", "v.value", "v.label", "v.ratio")
 
 
 # --- rules and scores --------------------------------------------------------------------------------
@@ -502,7 +502,7 @@ def long_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def v3_segment_waves(spark, d):
-    return rounded(Q.segment_waves(long_patterns(spark, d), X.weekly_bars(spark, d)))
+    return Q.segment_waves(long_patterns(spark, d), X.weekly_bars(spark, d))
 
 
 @query
@@ -575,12 +575,12 @@ def trades(spark: SparkSession, d: str) -> DataFrame:
 @query
 def b1_asof_price(spark, d):
     events = X.read(spark, d, "nation").select(F.col("n_name").alias("symbol"), F.explode(F.array(*[F.lit(x).cast("timestamp_ntz") for x in ("1990-01-01 00:00:00", "1995-03-15 12:00:00", "1997-01-01 00:00:00", "2030-01-01 00:00:00")])).alias("ts"))
-    return rounded(B.asof_price(events, X.weekly_bars(spark, d)))
+    return B.asof_price(events, X.weekly_bars(spark, d))
 
 
 @query
 def b2_simulate_trades(spark, d):
-    return rounded(trades(spark, d).drop("ensemble_score"), 4)
+    return trades(spark, d).drop("ensemble_score")
 
 
 @query
