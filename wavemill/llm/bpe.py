@@ -30,10 +30,10 @@ from .common import id_text, slices
 
 #: The pattern that the fast path for Latin-1 texts knows; any other works without it.
 STANDARD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words that a task remembers: two generations of this many (some 100 MB). Forgotten words are encoded again.
-REMEMBERED = 200_000
+#: Words that a task remembers: two generations of this many (some 80 MB). Forgotten words are encoded again.
+REMEMBERED = 150_000
 #: Words, and bytes of words, that go to DuckDB at once.
-AT_ONCE, BYTES_AT_ONCE = 50_000, 1 << 20
+AT_ONCE, BYTES_AT_ONCE = 20_000, 1 << 19
 #: Longer words take the query that contracts several places a turn and runs this many turns at a time, fewer if
 #: that made more than so many rows.
 LONG, TURNS, ROWS = 128, 16, 2 << 20
@@ -111,7 +111,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """The vocabulary and its merge table in an in-memory DuckDB."""
 
-    def __init__(self, ranks: dict[bytes, int], memory_mb: int = 400):
+    def __init__(self, ranks: dict[bytes, int], memory_mb: int = 300):
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": ""})
         merges = [
             (ranks[token[:i]], ranks[token[i:]], rank)

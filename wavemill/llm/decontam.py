@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 WINDOW = 13
 #: Contaminated from one hit word in so many.
@@ -101,7 +101,7 @@ def scan(
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256 (of the items' ids, sorted as
     strings, comma-joined), contaminated, items (array of their ids)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    thin = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    thin = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     windows = list(parts(benchmark, item_id_col, item_text_col, window, broadcast_bytes))
 
     def one_pass(shared: Broadcast):
@@ -163,7 +163,7 @@ def decontaminate(
     several parts, "documents" judges the hits of all parts together; "spans" cuts part by part."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
-    at, schema = docs.columns.index(text_col), docs.schema
+    at, schema = small_batches(docs).columns.index(text_col), docs.schema
     hits = "hits"
     while hits in docs.columns:
         hits += "_"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices
+from .common import shared_dir, slices, small_batches
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 12_000
@@ -148,7 +148,7 @@ def scored(docs: DataFrame, classifier: Classifier, text_col: str, names: tuple[
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found[:, 0]), pa.array(found[:, 1])], names=[*part.schema.names, *names])
 
     schema = docs.withColumns({name: F.lit(0.0) for name in names}).schema
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def strength(mean: Column, spread: Column) -> Column:
