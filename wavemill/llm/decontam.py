@@ -71,7 +71,10 @@ class Windows:
             if len(ids) < size:
                 break
             at = np.flatnonzero(unknown[size:] == unknown[:-size])
-            at = at[np.isin(self.hash(ids, at, size), self.hashes[size])]
+            if not len(at):
+                continue
+            known, found_hash = self.hashes[size], self.hash(ids, at, size)  # sorted, so that a document costs its own windows only
+            at = at[known[np.minimum(np.searchsorted(known, found_hash), len(known) - 1)] == found_hash]
             for i in at.tolist():
                 if (items := self.items.get(ids[i : i + size].tobytes())) is not None:
                     hit[i : i + size] = True
