@@ -16,4 +16,5 @@ def clean_stream(bars: DataFrame) -> DataFrame:
 
 def resample_stream(bars: DataFrame, width: str, interval: str, late: str = "1 hour") -> DataFrame:
     """Tumbling bars of a stream; bars later than the watermark are not taken up."""
-    return resample_bars(bars.withWatermark("bar_ts", late), width, interval)
+    timed = bars.withColumn("bar_ts", F.col("bar_ts").cast("timestamp")).withWatermark("bar_ts", late)  # a watermark needs a zoned time
+    return resample_bars(timed, width, interval).withColumn("bar_ts", F.col("bar_ts").cast("timestamp_ntz"))
