@@ -250,7 +250,7 @@ def test_backtest(spark, tmp_path):
     assert (m.trades, m.wins, m.losses) == (2, 1, 1) and m.profit_factor == pytest.approx(2.0)
     assert B.max_drawdown(t).collect()[0].max_drawdown == pytest.approx(50 / 1100)
     assert B.sharpe(t.limit(1)).collect()[0].sharpe == 0.0
-    old = {r.start: r for r in B.simulate_trades(p, bars, entry_index="reference").collect()}
+    old = {r.start: r for r in B.simulate_trades(p, bars, entry_index="first").collect()}
     assert old[1].exit_price == pytest.approx(110.0)
     sinks.write_trades(t, f"{tmp_path}/log")
     assert spark.read.option("header", "true").csv(f"{tmp_path}/log").count() == 2

@@ -22,10 +22,10 @@ def asof_price(events: DataFrame, bars: DataFrame, ts_col: str = "ts") -> DataFr
 def simulate_trades(patterns: DataFrame, bars: DataFrame, hold: int = 20, stop: float = 0.05, take: float = 0.1, size: float = 1000.0, entry_index: str = "asof") -> DataFrame:
     """A long trade per pattern but corrections: in at the close at date_end; out at the first of the next hold bars
     whose high takes the profit (checked first) or whose low hits the stop, else at the last of them. With
-    entry_index="reference", an entry day that is no bar counts its bars from the series' start."""
+    entry_index="first", an entry day that is no bar counts its bars from the series' start."""
     p = patterns.where(F.lower("rule_name") != "corrective")
     e = asof_price(p, bars, "date_end")
-    if entry_index == "reference":
+    if entry_index == "first":
         e = e.withColumn("entry_idx", F.when(F.to_date("entry_ts") == F.to_date("date_end"), F.col("entry_idx")).otherwise(0))
     b = bars.select("symbol", "bar_idx", F.col("bar_ts").alias("_ts"), "high", "low", "close")
     held = e.join(b, "symbol").where((F.col("bar_idx") > F.col("entry_idx")) & (F.col("bar_idx") <= F.col("entry_idx") + hold))
