@@ -36,6 +36,7 @@ FEATURES, EPOCHS, BATCH, RATE, RIDGE = 1 << 17, 12, 128, 1.0, 1e-6
 #: A document's log odds are sums over its distinct words, divided by this.
 SCALE = 8.0
 REMEMBERED = 200_000
+MOST_SITES = 100_000
 HEADS = ("quality", "toxic")
 EDGES = re.compile(rb"^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]*(.*?)([\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]*)$", re.S)
 
@@ -178,6 +179,11 @@ def sites(evidence: DataFrame) -> DataFrame:
     return both.select("host", "path", *[(logit(posterior[h]) - float(np.log(mean[h] / (1 - mean[h])))).alias(f"{h}_shift") for h in HEADS])
 
 
+def joinable(shifts: DataFrame) -> DataFrame:
+    """Up to MOST_SITES sites are broadcast, so that texts stay where they are; more are joined by shuffle."""
+    return F.broadcast(shifts) if shifts.limit(MOST_SITES + 1).count() <= MOST_SITES else shifts
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text",
     host: Column | str = "source", path: Column | str = "lang", classifier: Classifier | None = None,
@@ -189,7 +195,7 @@ def classify(
     name = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
     thin = docs.select(F.col(id_col).alias("doc_id"), name(host).alias("host"), name(path).alias("path"), F.col(text_col).alias("text"))
     found = scored(thin, classifier, "text", HEADS).drop("text").checkpoint()  # a short row a document
-    each = found.join(sites(found), ["host", "path"])
+    each = found.join(joinable(sites(found)), ["host", "path"])
     sure = {h: log_odds(h, f"{h}_shift") for h in HEADS}
     return each.select(
         "doc_id", *[F.col(h).alias(f"doc_{h}") for h in HEADS], *[(1 / (1 + F.exp(-sure[h]))).alias(h) for h in HEADS],
@@ -216,6 +222,6 @@ def keep_good(
     thin = docs.select(name(host).alias("host"), name(path).alias("path"), F.col(text_col).alias("text"))
     shifts = sites(scored(thin, classifier, "text", HEADS)).select(F.col("host").alias(f"{prefix}host"), F.col("path").alias(f"{prefix}path"), *[F.col(f"{h}_shift").alias(f"{prefix}{h}_shift") for h in HEADS])
     each = scored(docs, classifier, text_col, (f"{prefix}doc_quality", f"{prefix}doc_toxic"))
-    each = each.withColumns({f"{prefix}host": name(host), f"{prefix}path": name(path)}).join(shifts, [f"{prefix}host", f"{prefix}path"])
+    each = each.withColumns({f"{prefix}host": name(host), f"{prefix}path": name(path)}).join(joinable(shifts), [f"{prefix}host", f"{prefix}path"])
     sure = {h: log_odds(f"{prefix}doc_{h}", f"{prefix}{h}_shift") for h in HEADS}
     return each.where((sure["quality"] >= 0) & (sure["toxic"] < 0)).select(docs.columns)
