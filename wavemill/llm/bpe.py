@@ -30,8 +30,8 @@ from .common import id_text, slices
 
 #: The pattern that the fast path for Latin-1 texts knows; any other works without it.
 STANDARD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words that a task remembers: two generations of this many (some 80 MB). Forgotten words are encoded again.
-REMEMBERED = 150_000
+#: Words that a task remembers: two generations of this many (some 50 MB). Forgotten words are encoded again.
+REMEMBERED = 100_000
 #: Words, and bytes of words, that go to DuckDB at once.
 AT_ONCE, BYTES_AT_ONCE = 20_000, 1 << 19
 #: Longer words take the query that contracts several places a turn and runs this many turns at a time, fewer if

@@ -35,7 +35,7 @@ SAMPLE = 12_000
 FEATURES, EPOCHS, BATCH, RATE, RIDGE = 1 << 17, 12, 128, 1.0, 1e-6
 #: A document's log odds are sums over its distinct words, divided by this.
 SCALE = 8.0
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 MOST_SITES = 100_000
 HEADS = ("quality", "toxic")
 EDGES = re.compile(rb"^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]*(.*?)([\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]*)$", re.S)
