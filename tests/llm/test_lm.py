@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from wavemill.llm import bpe, lm
 
@@ -84,5 +85,14 @@ def test_attention_is_causal_normalised_and_its_gradient_is_right():
         assert g[k][at] == pytest.approx((loss(lm.Attention(up)) - loss(lm.Attention(down))) / 2e-3, rel=2e-2, abs=1e-5)
 
 
+def test_every_training_document_takes_part_in_every_round(spark):
+    ids = spark.range(1000).select(F.xxhash64("id").alias("mixed"))
+    for turn in range(lm.ROUNDS):
+        assert ids.where(lm.in_round(F.col("mixed"), turn)).count() == 1000
+    halves = [ids.where(lm.in_round(F.col("mixed"), turn, 2)) for turn in range(2)]
+    assert halves[0].unionAll(halves[1]).distinct().count() == 1000
+    assert lm.HEAD + lm.LEAD + lm.BINS >= 208 and lm.DIM >= 16 and lm.WINDOW >= 64 and lm.CONTEXT >= 24
+
+
 def test_empty(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN).count() == 0

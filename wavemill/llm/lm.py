@@ -11,7 +11,7 @@ What is learned comes from all training documents, by grouped aggregation: word
 spelling transitions between ids of distinct words, and which classes stand in one window. All but the
 word counts have a row per id, pair of ids or pair of classes, so the driver can hold them. The log
 association of classes, in DIM dimensions, starts the weights; rounds of local Adam steps on every
-partition's share of the documents (one in TRAIN_SHARE a round), averaged by weight in Spark, train them.
+partition's training documents, averaged by weight in Spark, train them.
 
 Scoring cuts texts into windows that overlap by CONTEXT words; each word is scored once, in the window
 where it has CONTEXT words or all of its text before it. Documents are spread over blocks of BLOCK_CHARS
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, slices
 
 #: Classes of frequent words, of frequent leading ids, and of bins of the others.
-HEAD, LEAD, BINS, DIM = 60, 58, 6, 12
-WINDOW, CONTEXT = 48, 16
+HEAD, LEAD, BINS, DIM = 100, 100, 8, 16
+WINDOW, CONTEXT = 64, 24
 STEP = WINDOW - CONTEXT
 END = HEAD + LEAD + BINS
 CLASSES, START = END + 1, END + 1
@@ -48,8 +48,8 @@ CLASSES, START = END + 1, END + 1
 SPELL = 1024
 REMEMBERED = 300_000
 BLOCK_CHARS = 8 << 20
-#: A document in this many takes part in a round of training; rounds; windows a step; learning rate.
-TRAIN_SHARE, ROUNDS, BATCH, RATE = 96, 2, 64, 3e-3
+#: A document in this many takes part in a round of training (1: all); rounds; windows a step; learning rate.
+TRAIN_SHARE, ROUNDS, BATCH, RATE = 1, 2, 64, 3e-3
 SMOOTH = 0.1
 
 
@@ -253,6 +253,11 @@ def windows(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return before, real, flat[np.maximum(places, 0)], places
 
 
+def in_round(mixed: Column, turn: int, train_share: int = TRAIN_SHARE) -> Column:
+    """Whether the document of this hash takes part in a round."""
+    return F.pmod(mixed, F.lit(train_share)) == turn % train_share
+
+
 def score(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
     held_out: Column | None = None, block_chars: int = BLOCK_CHARS, train_share: int = TRAIN_SHARE, rounds: int = ROUNDS,
@@ -348,7 +353,7 @@ def score(
         return run
 
     for turn in range(rounds):
-        mine = rows.where(~F.col("held_out") & (F.pmod(mixed, F.lit(train_share * rounds)) % train_share == turn)).select("text")
+        mine = rows.where(~F.col("held_out") & in_round(mixed, turn, train_share)).select("text")
         local = mine.mapInArrow(steps(model), "weight double, p array<double>").select("weight", F.posexplode("p").alias("i", "x"))
         mean = local.groupBy("i").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x")).toPandas()  # a row a weight
         if len(mean):
