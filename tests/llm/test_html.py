@@ -64,6 +64,32 @@ def test_simple_tree_matching_is_the_best_match():
         assert html.tree_match(a, b)[0] == brute(a, b)
 
 
+def test_a_node_without_partner_goes_beside_its_neighbours():
+    pages = [f"<body><h1>t{i}</h1>{'<div class=box>Read the rules first.</div>' * (i > 0)}<p>one {i}<p>two {i}<div class=end>end {i}</div>" for i in range(12)]
+    assert html.extract(pages) == [f"t{i}\none {i}\ntwo {i}\nend {i}" for i in range(12)]
+    wrapper = html.Node("", "", None, False)
+    for each in pages:
+        html.align(wrapper, html.parse(each)[0])
+    assert [x.tag for x in wrapper.children[0].children] == ["h1", "div", "p", "p", "div"]
+
+
+def test_long_middles_have_the_best_match_too(monkeypatch):
+    def flat(tags):
+        node = html.Node("r", "r", None, False)
+        node.children = [html.Node(t, t, node, False) for t in tags]
+        return node
+
+    rng = random.Random(8)
+    a, b = flat(["x", *["q"] * 150, "m", *["r"] * 400, "z"]), flat(["y", "m", *["r"] * 400, *["s"] * 150, "w"])
+    assert html.tree_match(a, b)[0] == 402 and len(html.tree_match(a, b)[1]) == 401
+    trees = [[flat([rng.choice("abcd") for _ in range(rng.randint(0, 12))]) for _ in range(2)] for _ in range(200)]
+    want = [html.tree_match(*pair)[0] for pair in trees]
+    monkeypatch.setattr(html, "CELLS", 0)
+    for pair, size in zip(trees, want, strict=True):
+        got, pairs = html.tree_match(*pair)
+        assert got == size == 1 + len(pairs) and all(x.label == y.label for x, y in pairs)
+
+
 def test_odd_pages(spark):
     odd = [None, "", "no tags at all", "<p>a<p>b", "<" * 50, "<div>" * 3000 + "deep", "<p title='>'>q</p", "<article><h1>t</h1><script>x", "a &nbsp; b&lt;c", "<p>" + "x " * 50000]
     rows = [(None if i == 3 else i, None if i % 2 else f"u{i}", x) for i, x in enumerate(odd)] + [(2, "u2", odd[2])]

@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,7 +150,11 @@ def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     pairs = [*zip(xs[:i], ys[:i], strict=True), *zip(xs[len(xs) - j :], ys[len(ys) - j :], strict=True)]
     size += len(pairs)
     xs, ys = xs[i : len(xs) - j], ys[i : len(ys) - j]
-    if xs and ys and len(xs) * len(ys) <= CELLS:
+    if xs and ys and len(xs) * len(ys) > CELLS:  # two long unlike middles: the same best match, by halves
+        more, middle = by_halves(xs, ys)
+        pairs += middle
+        size += more
+    elif xs and ys:
         weight = [[tree_match(x, y)[0] if x.label == y.label else 0 for y in ys] for x in xs]
         best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
         for p in range(len(xs)):
@@ -165,30 +170,68 @@ def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
                 p, q = p - 1, q - 1
                 pairs.append((xs[p], ys[q]))
                 size += weight[p][q]
-    elif xs and ys:  # two long unlike middles: in order, each with the next of its label
-        q = 0
-        for x in xs:
-            ahead = next((r for r in range(q, min(q + 200, len(ys))) if ys[r].label == x.label), None)
-            if ahead is not None:
-                pairs.append((x, ys[ahead]))
-                q, size = ahead + 1, size + 1
+    return size, pairs
+
+
+def by_halves(xs: list[Node], ys: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
+    """The best match of two lists in order (Hirschberg): its size and pairs. Rows of best sizes are held, and
+    the sizes of matches by pair of shapes, not by pair of nodes."""
+    shapes: dict[tuple, int] = {}
+
+    def shape(node: Node) -> int:
+        return shapes.setdefault((node.label, *map(shape, node.children)), len(shapes))
+
+    a = [shape(x) for x in xs]
+    kinds, first, of = np.unique([shape(y) for y in ys], return_index=True, return_inverse=True)
+    rows = {}
+    for x, kind in zip(xs, a, strict=True):
+        if kind not in rows:
+            rows[kind] = np.array([tree_match(x, y)[0] if x.label == y.label else 0 for y in (ys[q] for q in first)])
+
+    def best_row(some: list[int], part: np.ndarray) -> np.ndarray:
+        """Sizes of the best matches of some of a with the first 0, 1, ... of a part of ys."""
+        best = np.zeros(len(part) + 1, np.int64)
+        for kind in some:
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + rows[kind][part]))
+        return best
+
+    todo, pairs, size = [(0, len(xs), 0, len(ys))], [], 0
+    while todo:
+        p, past_p, q, past_q = todo.pop()
+        if p == past_p or q == past_q:
+            continue
+        if past_p - p == 1:
+            weight = rows[a[p]][of[q:past_q]]
+            if (most := int(weight.max())):
+                pairs.append((xs[p], ys[q + int(weight.argmax())]))
+                size += most
+            continue
+        half = (p + past_p) // 2
+        cut = q + int((best_row(a[p:half], of[q:past_q]) + best_row(a[half:past_p][::-1], of[q:past_q][::-1])[::-1]).argmax())
+        todo += [(p, half, q, cut), (half, past_p, cut, past_q)]
     return size, pairs
 
 
 def align(wrapper: Node, page: Node) -> None:
-    """Gives the page's nodes their partners in the wrapper, which grows by what has none."""
+    """Gives the page's nodes their partners in the wrapper, which grows by what has none, beside its neighbours."""
     todo = [(wrapper, page)]
     while todo:
         a, b = todo.pop()
         b.partner = a
         matched = tree_match(a, b)[1]
         todo += matched
-        have = {id(y) for _, y in matched}
-        for y in b.children:
-            if id(y) not in have:
-                x = Node(y.tag, y.label, a, y.skip)
-                a.children.append(x)
-                todo.append((x, y))
+        have = {id(y): x for x, y in matched}
+        if len(have) < len(b.children):
+            after: dict[int, list[Node]] = {}  # new nodes by the partner of the node before them
+            last = 0
+            for y in b.children:
+                if id(y) in have:
+                    last = id(have[id(y)])
+                else:
+                    x = Node(y.tag, y.label, a, y.skip)
+                    after.setdefault(last, []).append(x)
+                    todo.append((x, y))
+            a.children = [*after.get(0, ()), *(z for x in a.children for z in (x, *after.get(id(x), ())))]
 
 
 def extract(pages: list[str]) -> list[str]:
