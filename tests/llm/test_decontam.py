@@ -50,6 +50,14 @@ def test_removal(spark):
         assert {r.doc_id: r.text for r in cut}[4] == "a , twice " and {r.doc_id: r.text for r in cut}[2] is None
 
 
+def test_spans_of_several_parts_are_those_of_one(spark):
+    items = [(i, " ".join(FILLER[7 * i : 7 * i + 20])) for i in range(12)]
+    docs = spark.createDataFrame([(0, "before " + " ".join(FILLER[:97]) + " after")], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for broadcast_bytes in (1 << 20, 400, 100):
+        assert decontam.decontaminate(docs, b, remove="spans", broadcast_bytes=broadcast_bytes).first().text == "before  after"
+
+
 def test_empty(spark):
     _, _, d, b = cases(spark)
     assert decontam.scan(d.limit(0), b).count() == 0

@@ -163,10 +163,10 @@ def decontaminate(
 ) -> DataFrame:
     """The documents, all columns, without the contaminated ones (remove="documents"), or all of them
     with the hit spans cut out of the text (remove="spans"). Null texts stay null. In a benchmark of
-    several parts, "documents" judges the hits of all parts together; "spans" cuts part by part."""
+    several parts, both go by the hits of all parts together."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
-    at, schema = small_batches(docs).columns.index(text_col), docs.schema
+    at = small_batches(docs).columns.index(text_col)
     hits = "hits"
     while hits in docs.columns:
         hits += "_"
@@ -190,28 +190,20 @@ def decontaminate(
                 mask.append(not n or one_in * n < len(words(text or b"")))
             yield part.filter(pa.array(mask, pa.bool_()))
 
-    def cut(shared: Broadcast):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, text_col):
-                texts = part.column(at).cast(pa.binary()).to_pylist()
-                for i, text in enumerate(texts):
-                    if text and (hit := shared.value.match(words(text))[0]).any():
-                        texts[i] = without_spans(text, hit)
-                columns = list(part.columns)
-                columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
-
-        return run
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            texts = part.column(at).cast(pa.binary()).to_pylist()
+            for i, (text, bits) in enumerate(zip(texts, part.columns[-1].to_pylist(), strict=True)):
+                if text and any(bits):
+                    texts[i] = without_spans(text, unpacked(bits, len(words(text))))
+            columns = list(part.columns)
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    windows = parts(benchmark, item_id_col, item_text_col, window, broadcast_bytes)
-    if remove == "spans":
-        for shared in windows:
-            docs = docs.mapInArrow(cut(shared), schema)
-        return docs
     docs = docs.withColumn(hits, F.lit(None).cast("binary"))
-    for shared in windows:
+    for shared in parts(benchmark, item_id_col, item_text_col, window, broadcast_bytes):
         docs = docs.mapInArrow(mark(shared), docs.schema)
-    return docs.mapInArrow(keep, docs.schema).drop(hits)
+    return docs.mapInArrow(cut if remove == "spans" else keep, docs.schema).drop(hits)
 
 
 SQL = r"""
