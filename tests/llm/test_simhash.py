@@ -63,3 +63,12 @@ def test_nulls_repeats_and_stage(spark):
     assert kept.columns == d.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["3", "7", "None", "None"])
     assert simhash.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
+    a, b, c = "a text of its own", "quite another one here", "copies without any id"
+    rows = [(5, a), (5, b), (9, b), (6, a), (8, "words that nobody repeats"), *[(None, c)] * 40, (None, "left alone too")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, [(5, a), (5, b), (8, "words that nobody repeats"), (None, c), (None, "left alone too")]))
+    for n in (1, 7):
+        assert sorted(str(tuple(r)) for r in simhash.drop_near_duplicates(d.repartition(n)).collect()) == want

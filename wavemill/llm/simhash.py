@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, shared_dir, slices
+from .common import shared_dir, slices, small_batches
 
 SEED, WORDS = 42, 3
 BYTES = np.arange(256, dtype=np.int64)[:, None] >> np.arange(8) & 1
@@ -51,16 +51,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every document."""
-    thin = id_text(docs, id_col, text_col)
+    """doc_id, fp, the fingerprint as a signed long, and text_hash of every document."""
+    thin = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = [fingerprint(text) for text in part.column(1).cast(pa.binary()).to_pylist()]
             fp = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), fp], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), fp, part.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return thin.mapInArrow(run, f"doc_id {thin.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return thin.mapInArrow(run, f"doc_id {thin.schema['doc_id'].dataType.simpleString()}, fp bigint, text_hash bigint")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -107,23 +107,37 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 
+def with_roots(nodes: DataFrame) -> DataFrame:
+    """The nodes (fp and other columns) with the least fp of their component."""
+    roots = components(links(nodes.select("fp")))
+    return nodes.join(roots, nodes.fp == roots.u, "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest
     id that it is linked with, over any number of links, itself included)."""
     shared_dir(docs.sparkSession)
-    thin = fingerprints(docs, id_col, text_col).checkpoint()  # 16 bytes a document, read three times
-    nodes = thin.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp")))
-    of = nodes.join(roots, nodes.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    thin = fingerprints(docs, id_col, text_col).drop("text_hash").checkpoint()  # 16 bytes a document, read three times
+    of = with_roots(thin.groupBy("fp").agg(F.min("doc_id").alias("least")))
     whole = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of.join(whole, "root").select("fp", "component_id")
     return thin.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their component, with all columns; one row of rows that
-    share that id. Rows without an id are kept as they are, as nothing can name them."""
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    first = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    """Of each component the document of the smallest id (then text hash), with all columns; one row of rows
+    that share id and text. Rows without an id do not stand in for rows with one, nor the other way round:
+    a component keeps one of each kind."""
+    shared_dir(docs.sparkSession)
+    key = "row"
+    while key in docs.columns:
+        key += "_"
+    row = lambda id_, text_hash: F.struct(id_.alias("id"), text_hash.alias("text_hash"))  # noqa: E731 (null ids in a struct are equal)
+    thin = fingerprints(docs, id_col, text_col)
+    # the least row of each fingerprint and kind: a fingerprint is of one component
+    least = thin.groupBy("fp", F.col("doc_id").isNull().alias("no_id")).agg(F.min(row(F.col("doc_id"), F.col("text_hash"))).alias(key)).checkpoint()
+    of = with_roots(least.select("fp").distinct())
+    keep = least.join(of, "fp").groupBy("root", "no_id").agg(F.min(key).alias(key)).select(key)
+    # copies go in the partial aggregation, before the shuffle, which the join shares
+    first = docs.withColumn(key, row(F.col(id_col), F.xxhash64(text_col))).dropDuplicates([key])
+    return first.join(keep, key, "left_semi").select(docs.columns)
