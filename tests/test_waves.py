@@ -184,6 +184,20 @@ def test_skip_ahead_agrees_with_the_grid(spark):
     found.unpersist()
 
 
+def test_skip_ahead_reads_the_whole_series_and_keeps_hits_before_an_error(spark, tmp_path):
+    bars = make_bars(spark, {name: [(1000.0 - i if i <= 580 else 420.0 + i - 580, 2000.0) for i in range(620)] for name in ("long", "bad")})
+    rows = [("long", 580, 590), ("bad", 10, 20), ("bad", 580, None)]
+    wave = "symbol string, interval string, start int, rule_name string, wave_config array<int>, need_idx int, ensemble_score double, waves array<struct<idx_end: int>>"
+    interval = bars.first()["interval"]
+    found = spark.createDataFrame([(n, interval, a, "r", [0], a + 10, 1.0, [(b,)]) for n, a, b in rows], wave)
+    bars = bars.withColumn("low", F.when((F.col("symbol") == "bad") & (F.col("bar_idx") == 10), 1.0).otherwise(F.col("low")))
+    got = P.skip_ahead_scan(bars, found, {interval: (20, 20, 1)})
+    rows = sorted((r.symbol, r.start or 0, r.end or 0, r.error is not None) for r in got.collect())
+    assert rows == [("bad", 0, 0, True), ("bad", 10, 20, False), ("long", 580, 590, False)]
+    P.commit_run(got, f"{tmp_path}/run", "r1")
+    assert [r.symbol for r in spark.read.parquet(f"{tmp_path}/run/hits").collect()] == ["long"]
+
+
 def test_failures_and_resume(spark, tmp_path):
     bars = make_bars(spark, {"ok": [(1.0, 2.0)] * 30, "bad": [(1.0, 2.0)] * 30})
     broken = P.skip_ahead_scan(bars, P.candidates(spark, bars, 2), {}).collect()

@@ -44,10 +44,11 @@ def scan_grid(bars: DataFrame, windows: DataFrame, found: DataFrame, k: int = 5,
     return C.rank_patterns(starts.join(found, [*SERIES, "start"]).where(F.col("need_idx") <= last), n, WINDOW)
 
 
-def skip_ahead_scan(bars: DataFrame, found: DataFrame, geometry: dict[str, tuple[int, int, int]], k: int = 5, distance: int = 10, max_starts: int = 10, max_windows: int = 500) -> DataFrame:
+def skip_ahead_scan(bars: DataFrame, found: DataFrame, geometry: dict[str, tuple[int, int, int]], k: int = 5, distance: int = 10, max_starts: int = 10, max_windows: int | None = None) -> DataFrame:
     """Per series: the best candidate of the window at i; after a hit, i moves past its end, else by the slide.
     Columns: symbol, interval, start_row, window_len, start, rule_name, wave_config, ensemble_score, end, error.
-    What fails in a series is that series' error, not the job's."""
+    What fails in a series is that series' error, not the job's: a row of its own, after the hits before it.
+    The walk ends with the series, or after max_windows windows if given."""
     thin = found.select(*SERIES, "start", "rule_name", "wave_config", "need_idx", "ensemble_score", F.element_at("waves", -1)["idx_end"].alias("end"))
     schema = "symbol string, interval string, start_row int, window_len int, start int, rule_name string, wave_config array<int>, ensemble_score double, end int, error string"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -67,19 +68,22 @@ def skip_ahead_scan(bars: DataFrame, found: DataFrame, geometry: dict[str, tuple
             low = b.sort_values("bar_idx")["low"].to_numpy(float)
             shortest, longest, slide = geometry[key[1]]
             c = c.assign(config=c["wave_config"].map(tuple)).sort_values(["ensemble_score", "end", "rule_name", "config", "start"], ascending=[False, False, True, True, True])
+            if slide < 1:
+                raise ValueError("the slide is one bar at least")
             i = seen = 0
-            while len(low) - i >= shortest and seen < max_windows:
+            while len(low) - i >= shortest and (max_windows is None or seen < max_windows):
                 seen += 1
                 size = min(longest, len(low) - i)
                 fits = c[c["start"].isin([i + x for x in lows_of(low[i : i + size])]) & (c["need_idx"] <= i + size - 1)]
                 if len(fits):
                     hit = fits.iloc[0]
+                    past = int(hit["end"]) + slide
                     out.append((*key, i, size, hit["start"], hit["rule_name"], list(hit["wave_config"]), hit["ensemble_score"], hit["end"], None))
-                    i = int(hit["end"]) + slide
+                    i = past
                 else:
                     i += slide
         except Exception as e:  # the series is retried by a later run
-            out = [(*key, None, None, None, None, None, None, None, repr(e)[:500])]
+            out.append((*key, None, None, None, None, None, None, None, repr(e)[:500]))
         frame = pd.DataFrame(out, columns=names)
         return frame.astype({n: "Int32" for n in ("start_row", "window_len", "start", "end")})
 
@@ -92,7 +96,8 @@ def pending(series: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def commit_run(result: DataFrame, path: str, run_id: str) -> None:
-    """Appends a run's hits, and its failures apart, under path."""
-    hits, failures = result.where("error is null"), result.where("error is not null").select(*SERIES, "error")
+    """Appends a run's hits, and its failures apart, under path. A failed series comes again, so its hits wait for that run."""
+    failures = result.where("error is not null").select(*SERIES, "error")
+    hits = result.where("error is null").join(failures.select(*SERIES), list(SERIES), "left_anti").select(result.columns)
     hits.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/hits")
     failures.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/failures")

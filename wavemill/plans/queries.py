@@ -317,7 +317,7 @@ def p12_skip_ahead_scan(spark, d):
 @query
 def p13_supplier_scan(spark, d):
     bars = X.weekly_bars(spark, d, "supplier")
-    return P.skip_ahead_scan(bars, P.candidates(spark, bars, 2), {"1wk": GEOMETRY[0][1:]}).groupBy("rule_name").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"))
+    return P.skip_ahead_scan(bars, P.candidates(spark, bars, 2), {"1wk": GEOMETRY[0][1:]}).where("error is null").groupBy("rule_name").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"))
 
 
 @query
