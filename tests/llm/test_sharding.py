@@ -47,3 +47,23 @@ def test_empty_and_write(spark, tmp_path):
     sharding.write(d, f"{tmp_path}/out", 200)
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == 30 and back.groupBy("shard").count().where("count > 4").count() == 0
+
+
+def test_write_keeps_repeated_ids_and_clashing_columns(spark, tmp_path):
+    rows = [(7, "x" * n, "s", n) for n in [10] * 40 + [90, 60, 60]] + [(i, "y" * 20, None, i) for i in range(20, 60)] + [(None, None, "row", -1)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, shard string, row int").repartition(3)
+    sharding.write(d, f"{tmp_path}/out", 100)
+    back = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(map(str, ((r.doc_id, r.text, r.shard, r.row) for r in back))) == sorted(map(str, rows))
+    sizes = defaultdict(list)
+    for r in back:
+        sizes[r.shard_].append(len(r.text or ""))
+    assert all(sum(x) <= 100 or len(x) == 1 for x in sizes.values())
+
+
+def test_deep_tries_go_in_strides(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STRIDE", 3)
+    monkeypatch.setattr(sharding, "FEW_BITS", 4)
+    rows = [(i, "z" * (i % 50)) for i in range(500)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 60).collect()
+    assert {r.doc_id: (r.shard, r.shard_bytes, r.shard_docs) for r in got} == brute([(i, len(t)) for i, t in rows], 60)

@@ -3,8 +3,8 @@
 A document's address is 60 bits of a hash of its id. A bucket is an address prefix; a bucket over the
 byte limit that holds more than one document is split on the next bit, all others stay as they are.
 The trie of prefixes is summed from the cells of one prefix length, so the documents are counted once
-and joined once with the directory (cell -> bucket), both of which are shuffled by cell, not
-broadcast. Documents of a cell that is still too large go on alone, LEVELS bits deeper.
+and joined once with the directory (cell -> bucket), both of which are shuffled by cell. Documents of a
+cell that is still too large go on alone, LEVELS bits deeper.
 
 Rows that share an address (a repeated id) cannot be told apart by bits. What is too large after the
 last bit gets overflow pages, the bucket chain of extendible hashing: each input partition fills pages
@@ -17,6 +17,7 @@ An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ from .common import shared_dir
 
 BITS, LEVELS = 60, 8
 LIMIT = 16 << 20
+#: Bits of the trie that are walked at once; up to so many bits, a table of prefixes (2^16 rows at most) is broadcast.
+STRIDE, FEW_BITS = 8, 16
 
 
 def address(id_text: Column) -> Column:
@@ -40,43 +43,57 @@ def prefix(depth: Column | int) -> Column:
 
 def buckets(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     """cell (address prefix of high bits) and its bucket: depth, from low to high, shard_bytes, shard_docs.
-    Buckets at depth high may be too large."""
-    cells = rows.groupBy(F.shiftright("address", BITS - high).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).checkpoint()
-    up = cells.select("b", "n", "cell", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
-    nodes = up.groupBy("depth", F.expr(f"shiftright(cell, {high} - depth)").alias("node")).agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
-    done = nodes.where((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1) | (F.col("depth") == high))
-    # a cell's bucket is the shallowest prefix that needs no split
-    paths = cells.select("cell", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")).withColumn("node", F.expr(f"shiftright(cell, {high} - depth)"))
-    return paths.join(done, ["depth", "node"]).groupBy("cell").agg(F.min(F.struct("depth", "shard_bytes", "shard_docs")).alias("bucket")).select("cell", "bucket.*")
+    Buckets at depth high may be too large. The trie is walked STRIDE bits at a time from the top, and a stride
+    sees only what the one above split: no prefix meets more than 2^STRIDE others in a task."""
+    rest = rows.groupBy(F.shiftright("address", BITS - high).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).checkpoint()
+    parts = []
+    for top in range(low, high + 1, STRIDE):
+        bottom = min(high, top + STRIDE - 1)
+        base = F.shiftright("cell", high - bottom).alias("base")
+        bases = rest.groupBy(base).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+        paths = bases.select("base", "b", "n", F.explode(F.sequence(F.lit(top), F.lit(bottom))).alias("depth")).withColumn("node", F.expr(f"shiftright(base, {bottom} - depth)"))
+        nodes = paths.groupBy("depth", "node").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
+        done = nodes.where((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1) | (F.col("depth") == high))
+        # a base's bucket is the shallowest prefix that needs no split
+        found = paths.select("base", "depth", "node").join(done, ["depth", "node"]).groupBy("base").agg(F.min(F.struct("depth", "shard_bytes", "shard_docs")).alias("bucket")).checkpoint()
+        # a prefix of few bits has few values, each with many cells: those are broadcast
+        found = F.broadcast(found) if bottom <= FEW_BITS else found
+        parts.append(rest.withColumn("base", base).join(found, "base").select("cell", "bucket.*"))
+        if bottom < high:
+            rest = rest.withColumn("base", base).join(found, "base", "left_anti").select("cell", "b", "n").checkpoint()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, shard (its address prefix, with .partition.page added on
     overflow pages), depth, shard_bytes, shard_docs."""
+    return placed(docs, limit, id_col, text_col, [])
+
+
+def placed(docs: DataFrame, limit: int, id_col: str, text_col: str, carried: list[Column]) -> DataFrame:
+    """The columns of assign, and the carried ones."""
     shared_dir(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
-        address(F.col(id_col).cast("string")).alias("address"), F.spark_partition_id().alias("part"),
+        address(F.col(id_col).cast("string")).alias("address"), F.spark_partition_id().alias("part"), *carried,
     )
+    more = rows.columns[4:]
     total, n = rows.agg(F.sum("n_bytes"), F.count("*")).first()
     parts, low, high = [], 0, min(BITS, LEVELS + max(0, ceil(log2(max(1, (total or 0) / limit)))))
     while n:
         found = rows.withColumn("cell", F.shiftright("address", BITS - high)).join(buckets(rows, low, high, limit), "cell").drop("cell")
         fits = (F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1)
         parts.append(found.where(fits).withColumn("shard", prefix(F.col("depth"))))
-        rows = found.where(~fits).select("doc_id", "n_bytes", "address", "part").checkpoint()
+        rows = found.where(~fits).select("doc_id", "n_bytes", "address", "part", *more).checkpoint()
         if not (n := rows.count()) or high == BITS:
             break
         low, high = high + 1, min(BITS, high + LEVELS)
     if n:
         parts.append(overflow(rows, limit))
-    columns = ["doc_id", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs"]
+    columns = ["doc_id", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs", *more]
     if not parts:
-        return rows.select("doc_id", "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.col("n_bytes").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_docs"))
-    out = parts[0].select(columns)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(columns))
-    return out
+        return rows.select("doc_id", "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.col("n_bytes").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_docs"), *more)
+    return reduce(DataFrame.unionByName, [part.select(columns) for part in parts])
 
 
 def overflow(rows: DataFrame, limit: int) -> DataFrame:
@@ -87,18 +104,19 @@ def overflow(rows: DataFrame, limit: int) -> DataFrame:
     half = max(1, limit // 2)
     large = F.col("n_bytes") > half
     page = F.when(large, F.concat(F.lit("r"), F.sum(F.lit(1)).over(order))).otherwise(F.floor((F.sum("n_bytes").over(order) - 1) / half).cast("string"))
-    paged = rows.withColumn("page", page).withColumn("shard", F.concat_ws(".", prefix(BITS), F.col("part"), F.col("page")))
+    paged = rows.withColumn("page", page).withColumn("shard", F.concat_ws(".", prefix(BITS), F.col("part"), F.col("page"))).checkpoint()
     sizes = paged.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
     return paged.join(sizes, "shard").withColumn("depth", F.lit(BITS))
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the documents, all columns and their shard, as one Parquet folder per shard. Ids must be unique."""
+    """Writes the documents, all columns and their shard (shard_, if the name is taken), as one Parquet folder
+    per shard. Rows go with their shards, so repeated ids stay one row each."""
     name = "shard"
     while name in docs.columns:
         name += "_"
-    of = assign(docs, limit, id_col, text_col).select(F.col("doc_id").alias(f"{name}id"), F.col("shard").alias(name))
-    docs.join(of, docs[id_col].eqNullSafe(of[f"{name}id"])).drop(f"{name}id").repartition(F.col(name)).write.partitionBy(name).parquet(path)
+    found = placed(docs, limit, id_col, text_col, [F.struct(*docs.columns).alias("row")])
+    found.select("row.*", F.col("shard").alias(name)).repartition(F.col(name)).write.partitionBy(name).parquet(path)
 
 
 def sql(limit: int = LIMIT, deepest: int = 40) -> str:
