@@ -1,15 +1,20 @@
 """Exact top-k by inner product with dual-tree search over cover trees.
 
-Vectors become integer points. Data and queries are indexed together: every point belongs to the
-nearest of some centres, drawn from a bounded sample (they steer the speed only); a centre's points are
-cut into blocks of bounded size, and its queries into groups, each with a ball (mean, covering radius).
-First each query group meets the block that its ball can reach best, which gives every query a kth
-score to beat. Then a pair of a query group and a data block goes on only if the best score that their
-balls allow reaches the group's worst kth score. In a task, both sides of a pair are cover trees; node
-pairs are visited best bound first and pruned by the covering radii against the worst kth score of the
-query node, which rises on the way. Leaf pairs are exact integer products. Each pair yields k rows a
-query at most, merged by query over all pairs. Nothing that grows with the rows is broadcast or
-collected; block and group counts are one row per centre.
+Vectors become integer points; queries are points of the same index as the data. A cover tree over a bounded
+sample (SAMPLE points, by hash; it steers the speed only) has a leaf for about every BLOCK points: its
+levels are nets of halving radius, each point of a level covered by one of the level above and farther from
+the others of its own level than the radius. Every point goes to the cell of its nearest leaf, and a cell is
+cut by hash into blocks of bounded size. The cells' largest distances give every node of the tree a covering
+radius. A block's queries, in groups, meet their own block first, which gives every query a kth score to
+beat. A group then walks down the tree: a node is left out if the best score that the two covering balls
+allow is below the group's worst kth score. Only the pairs of groups and blocks that are left meet. There,
+both sides are cover trees again, and node pairs are visited best bound first and left out by the covering
+radii against the query node's worst kth score, which rises on the way. Leaf pairs are exact integer products.
+
+Blocks and groups travel as one row each, of bounded size. A block is shipped once for every GROUPS_AT_ONCE
+groups, not once per group. Broadcast are the tree of the sample and a count and radius for each cell, CENTRES
+at most; nothing that grows with the rows is broadcast or collected. Each meeting yields k rows a query at most,
+merged by query.
 
 Cases: vectors that are null or empty, hold null or non-finite components, have another length than
 the most common one, or have a null id take no part. Rows that repeat id and vector count once; rows of
@@ -22,61 +27,112 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir
+from .common import shared_dir, small_batches
 
 SCALE, K = 64, 20
-#: Points of a block and of a query group, most centres, and rows of the sample that they are drawn from.
-BLOCK, GROUP, CENTRES, SAMPLE = 4096, 1024, 64, 1024
-LEAF, CHILDREN = 128, 8
+#: Points of a block, queries of a group, leaves of the sample's tree at most, and points of the sample.
+BLOCK, GROUP, CENTRES, SAMPLE = 8192, 1024, 16_384, 16_384
+#: Groups that a block meets in one task.
+GROUPS_AT_ONCE = 64
+LEAF, QUERY_LEAF = 256, 128
+
+
+def net(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Farthest points first: the places of at most so many centres, how far each was from those before it, and each
+    point's nearest centre. Every prefix is a net: what is left is no farther from it than its members are apart."""
+    lengths = (points**2).sum(axis=1)
+
+    def away(i: int) -> np.ndarray:
+        return np.maximum(lengths - 2 * (points @ points[i]) + lengths[i], 0)
+
+    picked, apart, who = [0], [np.inf], np.zeros(len(points), np.int64)
+    near = away(0)
+    while len(picked) < most and near.max() > 0:
+        i = int(near.argmax())
+        apart.append(float(np.sqrt(near[i])))
+        d = away(i)
+        closer = d < near
+        near[closer], who[closer] = d[closer], len(picked)
+        picked.append(i)
+    return np.array(picked), np.array(apart), who
 
 
 class CoverTree:
-    """Nodes in arrays: a node's points stand together in order; a ball (centre, radius) covers them. Its
-    children are a net of half its radius, as far as CHILDREN points make one."""
+    """Nodes in arrays. Level i is a net of radius apart[1] / 2^i: its centres are farther apart than that, and
+    every centre of a lower level is within it of a centre of this level, its parent or its parent's parent and so
+    on. A centre stays a centre in the levels below. Where a level adds nothing to a node, the node goes on."""
 
-    def __init__(self, points: np.ndarray):
-        self.order = np.arange(len(points))
+    def __init__(self, points: np.ndarray, leaves: int):
         self.points = points.astype(np.float64)
-        self.first, self.past, self.radius, self.centre, self.children = [], [], [], [], []
-        if len(points):
-            self.grow(0, len(points))
-
-    def grow(self, first: int, past: int) -> int:
-        """Iterative: the depth of a tree has no bound."""
-        todo = [(first, past, -1)]
+        self.picked, self.apart, self.who = net(self.points, leaves)
+        centres = self.points[self.picked]
+        self.centre, self.level, self.children, self.leaf = [centres[0]], [0], [[]], {}
+        at = [0]  # the node of each centre so far
+        level = 0
+        while len(at) < len(self.picked):
+            level += 1
+            have, more = len(at), int((self.apart > self.apart[1] / 2**level).sum())
+            fresh = centres[have:more]
+            d = (fresh**2).sum(axis=1)[:, None] - 2 * fresh @ centres[:have].T + (centres[:have] ** 2).sum(axis=1)
+            parents = d.argmin(axis=1) if len(fresh) else []
+            for parent in set(map(int, parents)):
+                at[parent] = self.add(at[parent], centres[parent], level)
+            # the parent's node of the level above is the one that its own new node hangs from
+            for j, parent in enumerate(map(int, parents)):
+                at.append(self.add(self.above[at[parent]], centres[have + j], level))
+        self.leaf = {node: cell for cell, node in enumerate(at)}
+
+    above: dict[int, int]
+
+    def add(self, parent: int, centre: np.ndarray, level: int) -> int:
+        node = len(self.centre)
+        self.centre.append(centre), self.level.append(level), self.children.append([])
+        self.children[parent].append(node)
+        self.__dict__.setdefault("above", {})[node] = parent
+        return node
+
+    def cover(self, reach: np.ndarray) -> CoverTree:
+        """Gives each node its covering radius: the distances of the leaves below it plus their own reach."""
+        leaves: list[list[int]] = [[self.leaf[i]] if i in self.leaf else [] for i in range(len(self.centre))]
+        for node in range(len(self.centre) - 1, 0, -1):
+            leaves[self.above[node]] += leaves[node]
+        centres = self.points[self.picked]
+        self.radius = [float((np.sqrt(((centres[some] - c) ** 2).sum(axis=1)) + reach[some]).max()) + 1e-9 for some, c in zip(leaves, self.centre, strict=True)]
+        return self
+
+    def hold(self) -> CoverTree:
+        """Puts the points in order, so that each node's stand together (first to past), with exact covering radii."""
+        n = len(self.centre)
+        self.first, self.past, self.radius = [0] * n, [0] * n, [0.0] * n
+        by, ends = np.argsort(self.who, kind="stable"), np.cumsum(np.bincount(self.who, minlength=len(self.picked)))
+        order, todo = [], [(0, False)]
+        at = 0
         while todo:
-            a, b, parent = todo.pop()
-            node = len(self.first)
-            mine = self.points[self.order[a:b]]
-            centre = mine.mean(axis=0)
-            away = np.sqrt(((mine - centre) ** 2).sum(axis=1))
-            self.first.append(a), self.past.append(b), self.radius.append(float(away.max()) + 1e-9), self.centre.append(centre), self.children.append([])
-            if parent >= 0:
-                self.children[parent].append(node)
-            if b - a <= LEAF or away.max() == 0:
-                continue
-            # farthest points first, until every point is within half the radius of one
-            picked, near, who = [int(away.argmax())], None, np.zeros(b - a, int)
-            near = np.sqrt(((mine - mine[picked[0]]) ** 2).sum(axis=1))
-            while near.max() > away.max() / 2 and len(picked) < CHILDREN:
-                picked.append(int(near.argmax()))
-                d = np.sqrt(((mine - mine[picked[-1]]) ** 2).sum(axis=1))
-                closer = d < near
-                near[closer], who[closer] = d[closer], len(picked) - 1
-            if len(picked) == 1:
-                continue
-            by = np.argsort(who, kind="stable")
-            self.order[a:b] = self.order[a:b][by]
-            cuts = a + np.r_[0, np.cumsum(np.bincount(who, minlength=len(picked)))]
-            todo += [(int(x), int(y), node) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y > x]
-        return 0
+            node, done = todo.pop()
+            if not done:
+                self.first[node] = at
+                if node in self.leaf:
+                    cell = self.leaf[node]
+                    mine = by[(ends[cell - 1] if cell else 0) : ends[cell]]
+                    order.append(mine)
+                    at += len(mine)
+                todo += [(node, True), *((child, False) for child in self.children[node])]
+            else:
+                self.past[node] = at
+        self.order = np.concatenate(order)
+        self.sorted = self.points[self.order]
+        for node in range(n):
+            mine = self.sorted[self.first[node] : self.past[node]] - self.centre[node]
+            self.radius[node] = float(np.sqrt((mine**2).sum(axis=1).max(initial=0.0))) + 1e-9
+        return self
 
 
 def best(qc: np.ndarray, qr: float, rc: np.ndarray, rr: float) -> float:
@@ -85,16 +141,22 @@ def best(qc: np.ndarray, qr: float, rc: np.ndarray, rr: float) -> float:
     return float(qc @ rc + q * rr + r * qr + qr * rr + 1e-9 * (1 + (q + qr) * (r + rr)))
 
 
-def dual_tree(queries: np.ndarray, qid: np.ndarray, data: np.ndarray, did: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def holding(points: np.ndarray, leaf: int) -> CoverTree:
+    return CoverTree(points, ceil(len(points) / leaf)).hold()
+
+
+def dual_tree(queries: np.ndarray, qid: np.ndarray, data: np.ndarray | CoverTree, did: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each query, the k best points that reach its floor: query's place, data id, score."""
-    qt, rt = CoverTree(queries), CoverTree(data)
     n = len(queries)
+    if not n or not len(did):
+        return (np.zeros(0, np.int64),) * 3
+    qt, rt = holding(queries, QUERY_LEAF), data if isinstance(data, CoverTree) else holding(data, LEAF)
     scores, ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-    q, r = qt.points[qt.order], rt.points[rt.order]
+    q, r = qt.sorted, rt.sorted
     qids, rids = qid[qt.order], did[rt.order]
     floors = floor[qt.order].astype(np.float64)
     kth = floors.copy()
-    heap = [(-best(qt.centre[0], qt.radius[0], rt.centre[0], rt.radius[0]), 0, 0)] if n and len(data) else []
+    heap = [(-best(qt.centre[0], qt.radius[0], rt.centre[0], rt.radius[0]), 0, 0)]
     while heap:
         bound, x, y = heapq.heappop(heap)
         a, b, c, d = qt.first[x], qt.past[x], rt.first[y], rt.past[y]
@@ -136,91 +198,125 @@ def points(rows: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) ->
     return rows.where(~bad).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("p"))
 
 
+def matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy().reshape(-1, size)
+
+
+def packed(p: np.ndarray) -> bytes:
+    small = len(p) and abs(p).max() < 1 << 15
+    return (b"s" if small else b"l") + p.astype("<i2" if small else "<i8").tobytes()
+
+
+def unpacked(raw: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i2" if raw[:1] == b"s" else "<i8", offset=1).reshape(-1, size).astype(np.float64)
+
+
+PACKED = "cell int, part long, nth int, ids binary, h binary, p binary, floor binary, found array<struct<query_id:bigint,h:bigint,vec_id:bigint,score:bigint>>"
+FOUND = pa.struct([("query_id", pa.int64()), ("h", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
 def top_k(
     rows: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE,
-    block: int = BLOCK, group: int = GROUP, centres: int = CENTRES, sample: int = SAMPLE,
+    block: int = BLOCK, group: int = GROUP, centres: int = CENTRES, sample: int = SAMPLE, groups_at_once: int = GROUPS_AT_ONCE,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest scores over all rows but its own."""
     spark = rows.sparkSession
     shared_dir(spark)
-    all_points = points(rows, id_col, vector_col, scale).distinct()
+    all_points = small_batches(points(rows, id_col, vector_col, scale)).distinct().withColumn("h", F.xxhash64("vec_id", "p")).checkpoint()
     sizes = all_points.groupBy(F.size("p").alias("size")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).orderBy(F.desc("n"), "size").limit(1).collect()
     if not sizes or not sizes[0].q:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    all_points = all_points.where(F.size("p") == sizes[0]["size"])
-    drawn = all_points.orderBy(F.xxhash64("vec_id", "p")).limit(sample).select("p").toPandas()["p"]
-    seeds = np.stack([np.asarray(p, dtype=np.float64) for p in drawn])
-
-    def net(most: int) -> np.ndarray:  # farthest first
-        picked, away = [0], np.full(len(seeds), np.inf)
-        while len(picked) < min(most, centres, len(seeds)):
-            away = np.minimum(away, ((seeds - seeds[picked[-1]]) ** 2).sum(axis=1))
-            if away.max() == 0:
-                break
-            picked.append(int(away.argmax()))
-        return seeds[picked]
-
-    nets = {"cell": net(-(-sizes[0].n // block)), "query_cell": net(-(-sizes[0].q // group))}
-
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    size, n_points = sizes[0]["size"], sizes[0].n
+    all_points = all_points.where(F.size("p") == size)
+    drawn = all_points.orderBy("h", "vec_id").limit(sample).select("p").toArrow()  # bounded by sample
+    top = CoverTree(matrix(drawn["p"], size), min(centres, ceil(n_points / block)))
+    seeds = spark.sparkContext.broadcast(top.points[top.picked])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            p = np.array(part["p"].tolist(), dtype=np.float64).reshape(len(part), -1)
-            for name, centre in nets.items():
-                part[name] = ((centre**2).sum(axis=1) - 2 * p @ centre.T).argmin(axis=1).astype("int32") if len(part) else np.zeros(0, "int32")
-            yield part
-
-    indexed = all_points.withColumn("h", F.xxhash64("vec_id", "p")).mapInPandas(cells, "vec_id long, p array<bigint>, h long, cell int, query_cell int").checkpoint()
-
-    def cut(df: DataFrame, cell: str, most: int, name: str) -> DataFrame:
-        """A cell's points in as many parts as its size needs."""
-        counts = F.broadcast(df.groupBy(cell).agg(F.ceil(F.count("*") / most).alias("parts")))  # one row a centre
-        return df.join(counts, cell).select("vec_id", "p", "h", F.struct(F.col(cell).alias("cell"), F.pmod("h", "parts").alias("part")).alias(name))
-
-    data, queries = cut(indexed, "cell", block, "block"), cut(indexed.where(is_query), "query_cell", group, "group")
-
-    def ball(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        p = np.stack(part["p"].to_numpy()).astype(np.float64)
-        centre = p.mean(axis=0)
-        return pd.DataFrame({"cell": [key[0]["cell"]], "part": [key[0]["part"]], "c": [centre], "r": [float(np.sqrt(((p - centre) ** 2).sum(axis=1)).max()) + 1e-9]})
-
-    ball_type = "cell int, part long, c array<double>, r double"
-    data_balls = data.groupBy("block").applyInPandas(ball, ball_type).select(F.struct("cell", "part").alias("block"), F.col("c").alias("dc"), F.col("r").alias("dr"))
-    query_balls = queries.groupBy("group").applyInPandas(ball, ball_type).select(F.struct("cell", "part").alias("group"), F.col("c").alias("qc"), F.col("r").alias("qr"))
-    ddot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    norm = lambda a: F.sqrt(ddot(a, a))
-    reach = ddot("qc", "dc") + norm("qc") * F.col("dr") + norm("dc") * F.col("qr") + F.col("qr") * F.col("dr")
-    reach += F.lit(1e-9) * (1 + (norm("qc") + F.col("qr")) * (norm("dc") + F.col("dr")))
-    # the stated query set against all rows, in blocks: one row for thousands of points on either side
-    pairs = query_balls.join(data_balls).select("group", "block", reach.alias("reach")).checkpoint()
+            for a in range(0, part.num_rows, 1024):
+                some = part.slice(a, 1024)
+                p, c = matrix(some.column("p"), size).astype(np.float64), seeds.value
+                d = (c**2).sum(axis=1) - 2 * p @ c.T
+                cell = d.argmin(axis=1)
+                away = np.sqrt(np.maximum(d[np.arange(len(p)), cell] + (p**2).sum(axis=1), 0)) + 1e-9
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cell.astype(np.int32)), pa.array(away)], names=[*some.schema.names, "cell", "away"])
+
+    indexed = all_points.select("vec_id", "p", "h", is_query.alias("asks")).mapInArrow(cells, "vec_id long, p array<bigint>, h long, asks boolean, cell int, away double").checkpoint()
+    per_cell = indexed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("away"), F.count_if("asks").alias("q")).collect()  # a row a centre
+    parts, reach = np.zeros(len(top.picked), np.int64), np.zeros(len(top.picked))
+    for c in per_cell:
+        parts[c.cell], reach[c.cell] = ceil(c.n / block), c.away
+    n_groups = sum(int(parts[c.cell]) + ceil(c.q / group) for c in per_cell)  # at most
+    chunks = max(1, ceil(n_groups / groups_at_once))
+    shared = spark.sparkContext.broadcast((top.cover(reach), parts))
+
+    def pack(table: pa.Table) -> pa.Table:
+        """A block as one row, and a row for each group of its queries with what they find in the block."""
+        p, ids, h, asks = matrix(table["p"], size), table["vec_id"].to_numpy(), table["h"].to_numpy(), table["asks"].to_numpy().astype(bool)
+        cell, part = table["cell"][0].as_py(), table["part"][0].as_py()
+        out = [(cell, part, -1, ids.tobytes(), b"", packed(p), b"", [])]
+        asking = np.flatnonzero(asks)
+        tree = holding(p, LEAF) if len(asking) else None
+        for nth, a in enumerate(range(0, len(asking), group)):
+            mine = asking[a : a + group]
+            at, found_ids, scores = dual_tree(p[mine].astype(np.float64), ids[mine], tree, ids, k, np.full(len(mine), -np.inf))
+            full = np.bincount(at, minlength=len(mine)) == k
+            floor = np.full(len(mine), np.inf)
+            np.minimum.at(floor, at, scores)
+            floor[~full] = -np.inf
+            found = [dict(zip(FOUND.names, row, strict=True)) for row in zip(ids[mine][at].tolist(), h[mine][at].tolist(), found_ids.tolist(), scores.astype(np.int64).tolist(), strict=True)]
+            out.append((cell, part, nth, ids[mine].tobytes(), h[mine].tobytes(), packed(p[mine]), floor.tobytes(), found))
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(FOUND)]
+        return pa.table([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)], names=[c.split()[0] for c in PACKED.split(", ")])
+
+    cut = F.broadcast(spark.createDataFrame([(c, int(n)) for c, n in enumerate(parts)], "cell int, parts long"))  # a row a centre
+    packs = indexed.join(cut, "cell").withColumn("part", F.pmod("h", "parts")).select("cell", "part", "vec_id", "p", "h", "asks").groupBy("cell", "part").applyInArrow(pack, PACKED).checkpoint()
+    blocks, groups = packs.where("nth < 0"), packs.where("nth >= 0")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks that each group cannot leave out."""
+        tree, parts = shared.value
+        for batch in batches:
+            for cell, part, nth, raw, floor in zip(*(batch.column(c).to_pylist() for c in ("cell", "part", "nth", "p", "floor")), strict=True):
+                q, worst = unpacked(raw, size), np.frombuffer(floor).min()
+                centre = q.mean(axis=0)
+                radius = float(np.sqrt(((q - centre) ** 2).sum(axis=1).max())) + 1e-9
+                left, todo = [], [0]
+                while todo:
+                    node = todo.pop()
+                    if best(centre, radius, tree.centre[node], tree.radius[node]) < worst:
+                        continue
+                    todo += tree.children[node]
+                    if (leaf := tree.leaf.get(node)) is not None:
+                        left += [(leaf, i) for i in range(parts[leaf]) if (leaf, i) != (cell, part)]
+                for a in range(0, len(left), 1 << 16):
+                    some = left[a : a + (1 << 16)]
+                    columns = [[cell] * len(some), [part] * len(some), [nth] * len(some), *zip(*some, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["cell", "part", "nth", "to_cell", "to_part"])
+
+    pairs = groups.select("cell", "part", "nth", "p", "floor").mapInArrow(walk, "cell int, part long, nth int, to_cell int, to_part long")
+    pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("cell", "part", "nth"), F.lit(chunks))).checkpoint()
+    asked = pairs.join(groups.select("cell", "part", "nth", "ids", "h", "p", "floor"), ["cell", "part", "nth"]).select("to_cell", "to_part", "chunk", "ids", "h", "p", "floor")
+    met = pairs.select(F.col("to_cell").alias("cell"), F.col("to_part").alias("part"), F.col("chunk").alias("of_chunk")).distinct().join(blocks.select("cell", "part", "ids", "p"), ["cell", "part"])
+    met = met.withColumnsRenamed({"cell": "of_cell", "part": "of_part", "ids": "data_ids", "p": "data_p"})
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, tree = np.frombuffer(right["data_ids"][0].as_py(), np.int64), holding(unpacked(right["data_p"][0].as_py(), size), LEAF)
+        out = [np.zeros((4, 0), np.int64)]
+        for qids, h, p, floor in zip(*(left[c].to_pylist() for c in ("ids", "h", "p", "floor")), strict=True):
+            qids, h = np.frombuffer(qids, np.int64), np.frombuffer(h, np.int64)
+            at, found, scores = dual_tree(unpacked(p, size), qids, tree, ids, k, np.frombuffer(floor))
+            out.append(np.stack([qids[at], h[at], found, scores.astype(np.int64)]))
+        return pa.table(list(map(pa.array, np.concatenate(out, axis=1))), names=FOUND.names)
 
     result = "query_id long, h long, vec_id long, score long"
-
-    def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        q, d = np.array(left["p"].tolist(), dtype=np.float64), np.array(right["data_p"].tolist(), dtype=np.float64)
-        at, ids, scores = dual_tree(q, left["vec_id"].to_numpy(), d, right["data_id"].to_numpy(), k, left["floor"].to_numpy()) if len(q) and len(d) else [np.zeros(0, np.int64)] * 3
-        return pd.DataFrame({"query_id": left["vec_id"].to_numpy()[at], "h": left["h"].to_numpy()[at], "vec_id": ids, "score": scores.astype(np.int64)})
-
-    def meet(some: DataFrame, floored: DataFrame) -> DataFrame:
-        left = some.join(floored, "group")
-        right = some.join(data.select("block", "vec_id", "p"), "block")
-        # other names on the right: both sides stem from the same pairs
-        right = right.select(F.col("group").alias("of_group"), F.col("block").alias("of_block"), F.col("vec_id").alias("data_id"), F.col("p").alias("data_p"))
-        return left.groupBy("group", "block").cogroup(right.groupBy("of_group", "of_block")).applyInPandas(search, result)
-
-    def merged(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    nearest = Window.partitionBy("group").orderBy(F.desc("reach"), "block")
-    first = pairs.withColumn("nth", F.row_number().over(nearest)).where("nth = 1").select("group", "block")
-    nothing = F.lit(float(np.finfo(np.float64).min))
-    found = meet(first, queries.withColumn("floor", nothing)).checkpoint()
-    kth = merged(found).groupBy(F.col("query_id").alias("vec_id"), "h").agg(F.when(F.max("rank") == k, F.min("score").cast("double")).alias("floor"))
-    floored = queries.join(kth, ["vec_id", "h"], "left").select("group", "vec_id", "h", "p", F.coalesce("floor", nothing).alias("floor")).checkpoint()
-    worst = floored.groupBy("group").agg(F.min("floor").alias("worst"))
-    rest = pairs.join(worst, "group").where("reach >= worst").select("group", "block").join(first, ["group", "block"], "left_anti")
-    every = found.unionByName(meet(rest, floored))
-    return merged(every).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    others = asked.groupBy("to_cell", "to_part", "chunk").cogroup(met.groupBy("of_cell", "of_part", "of_chunk")).applyInArrow(search, result)
+    every = groups.select(F.inline("found")).unionByName(others)
+    order = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
+    merged = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def sql(k: int = K, scale: int = SCALE, every: int = 20) -> str:
