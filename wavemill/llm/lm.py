@@ -1,22 +1,25 @@
 """Scores texts with a causal self-attention model over subword ids, trained in numpy on Spark's partitions.
 
-A word's class is the word itself for the most frequent ones, else its leading subword id, the rarer of
-which share classes. One causal attention layer over a window of words predicts the class of the next
-word; within its class, a word has its share of the corpus, and words never seen have the mass of those
-seen once (Good and Turing), spread by the transitions between the ids of a small subword vocabulary (the
-first SPELL ids). So P(word | before) is P(class | before) times (1 - new) * share for known words and
-new * spelling for others.
-
-What is learned comes from all training documents, by grouped aggregation: word counts, leading ids,
-spelling transitions between ids of distinct words, and which classes stand in one window. All but the
-word counts have a row per id, pair of ids or pair of classes, so the driver can hold them. The log
-association of classes, in DIM dimensions, starts the weights; rounds of local Adam steps on every
-partition's training documents, averaged by weight in Spark, train them.
-
-Scoring cuts texts into windows that overlap by CONTEXT words; each word is scored once, in the window
-where it has CONTEXT words or all of its text before it. Documents are spread over blocks of BLOCK_CHARS
-characters by hash; the counts of a block's words are joined by word and meet the block's texts in one
-task, so no table that grows with the corpus is broadcast.
+A text is the ids of its words, each spelled with a space before it, and an end. One causal attention layer
+over a window of WINDOW ids, by content and by distance, sums up what stands before a place. That sum and the last id
+set the weights of MIX distributions over all ids and the end, whose mixture is the next id's probability: a
+normalised one over single ids, for which no sum over the vocabulary has to be taken at each place. A word's
+probability by its ids is that of its first id among those that begin words, times those of its other ids, times
+that of the word ending there. Mixed with it, at SHARE, is the word's smoothed share of all training words, which
+knows every word of the corpus; as in the base score, it takes all words that the corpus lacks for one more, so it
+gives each of them that one's mass, and the score is a probability of texts in which unknown words are that one. A
+text's score is the sum over its words of this and of the text going on, and of its ending.
+
+Every training document is counted and trained on. A table of bounded size, gathered from all of them (which
+frequent ids follow and accompany each other), starts the weights: ids in MIX groups by what goes with them.
+Then each partition trains on its documents, AdaGrad for attention and weights and expectation maximisation for
+the distributions, and Spark sums up the partitions' results in a tree, each row weighted by its use.
+
+Texts are read once, in blocks of about BLOCK_CHARS characters of one partition: a block is a row of word
+numbers, spellings, and counts, written as a table to the shared folder. Only blocks' words with their counts, and
+the numbers for scoring, are shuffled, no text is. Scoring cuts ids into windows that overlap by CONTEXT; each id
+is scored once, in the window where it has CONTEXT ids or all of its text before it. No table that grows with
+the corpus is broadcast or collected: the model has a row for each id of the vocabulary.
 
 Cases: a null text is the empty text (one token, the end). A null id counts as the empty string for
 the fold. Repeated rows and null ids get a row each and count each. An empty table gives an empty
@@ -26,31 +29,35 @@ any length are read whole. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from .common import shared_dir, slices
+from .common import release, shared_dir, slices, small_batches
 
-#: Classes of frequent words, of frequent leading ids, and of bins of the others.
-HEAD, LEAD, BINS, DIM = 100, 100, 8, 16
+#: Ids that the starting tables tell apart: the most frequent ones, and bins of the others.
+HEAD, BINS = 256, 32
+DIM, MIX = 16, 16
 WINDOW, CONTEXT = 64, 24
 STEP = WINDOW - CONTEXT
-END = HEAD + LEAD + BINS
-CLASSES, START = END + 1, END + 1
-#: Ids of the spelling vocabulary: all bytes and the first merges.
-SPELL = 1024
-REMEMBERED = 300_000
 BLOCK_CHARS = 8 << 20
-#: A document in this many takes part in a round of training (1: all); rounds; windows a step; learning rate.
-TRAIN_SHARE, ROUNDS, BATCH, RATE = 1, 2, 64, 3e-3
+#: Passes over the training documents; windows a step; AdaGrad's rates of rows and of matrices.
+ROUNDS, BATCH, RATE, SLOW = 1, 64, 0.3, 0.1
+#: What the corpus' own word counts have in a word's probability, and how many ids the starting distributions count for.
+SHARE, PRIOR = 0.6, 20_000.0
 SMOOTH = 0.1
+#: Results of so many partitions are summed up by one task.
+FAN_IN = 32
+FAR = -1e4
 
 
 def words(text: bytes) -> list[bytes]:
@@ -58,17 +65,37 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-_encoders: dict[int, tiktoken.Encoding] = {}
+_encoders: dict[tuple, tuple[tiktoken.Encoding, np.ndarray]] = {}
 
 
-def encoder(ranks: dict[bytes, int], pattern: str) -> tiktoken.Encoding:
-    """One per Python worker."""
-    key = hash((len(ranks), pattern))
+def encoder(ranks: dict[bytes, int], pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """The encoding and the bytes of each id; one per Python worker and vocabulary."""
+    key = (len(ranks), hash(frozenset(ranks.items())), pattern)
     if key not in _encoders:
-        _encoders[key] = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        sizes[list(ranks.values())] = [len(token) for token in ranks]
+        _encoders.clear()
+        _encoders[key] = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes
     return _encoders[key]
 
 
+def spelled(distinct: list[bytes], enc: tiktoken.Encoding, token_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of each word after a space, one word after the other, and how many each has."""
+    ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(distinct), 20_000):
+        some = distinct[a : a + 20_000]
+        flat = np.asarray(enc.encode_to_numpy((b" " + b" ".join(some)).decode(), disallowed_special=()), np.int64)
+        past = np.cumsum(token_bytes[flat])
+        ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+        at = np.searchsorted(past, ends)
+        if (past[np.minimum(at, len(past) - 1)] != ends).any():  # white space beyond ASCII has joined two words
+            each = [enc.encode_ordinary(" " + w.decode()) for w in some]
+            flat, at = np.fromiter(chain.from_iterable(each), np.int64), np.cumsum([len(x) for x in each]) - 1
+        ids.append(flat)
+        sizes.append(np.diff(at, prepend=-1))
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
 CELLS = "cell long, n double"
 
 
@@ -80,331 +107,455 @@ def cells(counts: np.ndarray) -> pa.RecordBatch:
 def gathered(counted: DataFrame, size: int) -> np.ndarray:
     """Sums by cell, of which there are size, whatever the data."""
     out = np.zeros(size)
-    got = counted.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out[got["cell"]] = got["n"]
+    got = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-class Classes:
-    """The class of each word: its place among the frequent words, or its leading id's class."""
-
-    def __init__(self, head: list[bytes], lead_counts: np.ndarray):
-        self.head = {word: i for i, word in enumerate(head)}
-        order = np.argsort(-lead_counts, kind="stable")
-        self.of = np.zeros(len(lead_counts), np.uint8)
-        self.of[order[:LEAD]] = HEAD + np.arange(LEAD)
-        mass = np.cumsum(lead_counts[order[LEAD:]] + SMOOTH)  # bins of about equal weight
-        if len(mass):
-            self.of[order[LEAD:]] = HEAD + LEAD + np.minimum((mass / mass[-1] * BINS).astype(int), BINS - 1)
-
-    def __call__(self, some: list[bytes], enc: tiktoken.Encoding) -> list[int]:
-        of, head, ids = self.of, self.head, enc.encode_ordinary
-        return [head[w] if w in head else int(of[ids(" " + w.decode())[0]]) for w in some]
-
-
-class Known(dict):
-    """word -> class, as far as a worker remembers."""
-
-    def __init__(self, classes: Classes, enc: tiktoken.Encoding):
-        super().__init__()
-        self.classes, self.enc = classes, enc
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = got = self.classes([word], self.enc)[0]
-        return got
+def grouped(rows: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """The group of each row, of at most k: nearest centres, found from far-apart rows on."""
+    centres = [rows[int(weight.argmax())]]
+    while len(centres) < k:
+        away = np.min([((rows - c) ** 2).sum(axis=1) for c in centres], axis=0) * np.sqrt(weight)
+        if away.max() <= 0:
+            break
+        centres.append(rows[int(away.argmax())])
+    c = np.array(centres)
+    for _ in range(30):
+        who = ((rows[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for i in range(len(c)):
+            if weight[who == i].sum() > 0:
+                c[i] = np.average(rows[who == i], axis=0, weights=weight[who == i])
+    return who
 
-    def sequence(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of the texts' words, each text with its end, and the texts' token counts."""
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        out: list[int] = []
-        for text in texts:
-            out.extend(map(self.__getitem__, text))
-            out.append(END)
-        return np.array(out, np.uint8), sizes
 
+def associations(table: np.ndarray, size: int) -> np.ndarray:
+    """Of each column's log association with the rows, the first dimensions, at unit length."""
+    m = table + 0.5
+    pmi = np.maximum(0, np.log(m / m.sum()) - np.log(np.outer(m.sum(axis=1), m.sum(axis=0)) / m.sum() ** 2))
+    _, s, v = np.linalg.svd(pmi)
+    got = np.zeros((table.shape[1], size))
+    got[:, : len(s[:size])] = (np.sqrt(s[:size])[:, None] * v[:size]).T
+    return got / np.maximum(1e-9, np.linalg.norm(got, axis=1, keepdims=True))
 
-def spelled(some: list[bytes], kinds: np.ndarray, enc: tiktoken.Encoding) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of the spelling table that the words pass, one word after the other, and where each begins.
-    Rows: the id before, or SPELL + class at the beginning; columns: the id, or SPELL at the word's end."""
-    ids = [enc.encode_ordinary(" " + w.decode()) for w in some]
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
-    begins = np.cumsum(sizes) - sizes
-    column = np.full(int(sizes.sum()), SPELL, np.int64)
-    inside = np.ones(len(column), bool)
-    inside[begins + sizes - 1] = False
-    column[inside] = np.fromiter((x for w in ids for x in w), np.int64, int(inside.sum()))
-    row = np.r_[0, column[:-1]]
-    row[begins] = SPELL + kinds
-    return row * (SPELL + 1) + column, begins
 
-
-NAMES = ("E", "Q", "K", "V", "O", "bias", "near")
+ROWS, DENSE = ("E", "A"), ("W", "Q", "K", "near")
 
 
 class Attention:
-    """logits(next) = (E[x] + attention) O + bias; attention over the window's earlier positions by content and distance."""
+    """P(next) = sum over z of g[z] * C[next, z] / sum(C[:, z]); g is the softmax of A[last] + c W, where c is the
+    attention's average of E over the ids before."""
 
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
 
+    @property
+    def ids(self) -> int:
+        """Ids and the end; the id before a text is one more."""
+        return len(self.p["C"])
+
     @classmethod
-    def start(cls, together: np.ndarray) -> Attention:
-        """together: how often two classes stand in one window."""
-        m = together + 0.5
-        share = m.sum(axis=0) / m.sum()
-        u, s, v = np.linalg.svd(np.log(m / m.sum()) - np.log(np.outer(share, share)))
-        rng = np.random.default_rng(0)
-        root = np.sqrt(s[:DIM])
-        small = lambda: 0.1 * rng.normal(size=(DIM, DIM)) / np.sqrt(DIM)
-        e = np.r_[u[:, :DIM] * root, np.zeros((1, DIM))]
-        p = {"E": e, "O": root[:, None] * v[:DIM], "bias": np.log(share), "Q": small(), "K": small(), "V": 2 * np.eye(DIM), "near": np.zeros(WINDOW)}
-        return cls({k: p[k].astype(np.float32) for k in NAMES})
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in NAMES])
-
-    def put(self, flat: np.ndarray) -> Attention:
-        out, at = {}, 0
-        for k in NAMES:
-            out[k] = flat[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
-            at += self.p[k].size
-        return Attention(out)
-
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple:
-        """x: (windows, WINDOW) classes before each position; mask: real positions. Only the last STEP positions ask."""
+    def start(cls, uses: np.ndarray, bucket: np.ndarray, follow: np.ndarray, together: np.ndarray) -> Attention:
+        """uses of each id and the end; the bucket of each of those, and of the id before a text; how often a bucket
+        follows another, and how often two stand in one stretch."""
+        weight = np.bincount(bucket[: len(uses)], uses, len(follow))
+        topic = associations(together, DIM)
+        group = grouped(np.c_[topic, associations(follow, DIM)], weight + 1e-6, MIX)
+        mine = np.eye(MIX)[group]
+        share = (uses + 0.01) / (uses + 0.01).sum()
+        c = PRIOR * share[:, None] * (0.9 * mine[bucket[: len(uses)]] + 0.1 / MIX)
+        after = follow @ mine + 5 * (weight @ mine + 1) / (weight.sum() + MIX)
+        a = np.log(after / after.sum(axis=1, keepdims=True))
+        mean = (mine * (weight + 1e-6)[:, None]).T @ topic / ((mine * (weight + 1e-6)[:, None]).sum(axis=0)[:, None] + 1e-9)
+        p = {"E": np.c_[topic[bucket], np.ones(len(bucket))], "A": a[bucket], "C": c, "W": mean.T, "Q": np.eye(DIM) * 0.5, "K": np.eye(DIM) * 0.5, "near": np.zeros(WINDOW)}
+        return cls({k: np.ascontiguousarray(v, dtype=np.float32) for k, v in p.items()})
+
+    def forward(self, x: np.ndarray, real: np.ndarray, context: int = CONTEXT) -> tuple:
+        """x: (windows, WINDOW) ids before each place; real: which of the places there are. Only those after the
+        first context places ask."""
         p = self.p
-        e = p["E"][x]
-        asks = e[:, CONTEXT:]
-        q, k, v = asks @ p["Q"], e @ p["K"], e @ p["V"]
-        i, j = np.arange(CONTEXT, WINDOW)[:, None], np.arange(WINDOW)[None, :]
-        back = np.where(j <= i, p["near"][np.clip(i - j, 0, WINDOW - 1)], np.float32(-1e9))
+        kind = p["E"].dtype
+        e = p["E"][x]  # with a last dimension of ones
+        to_q, to_k = np.zeros((2, DIM + 1, DIM + 1), kind)
+        to_q[:DIM, :DIM], to_q[DIM, DIM], to_k[:DIM, :DIM] = p["Q"] * kind.type(DIM**-0.5), 1, p["K"]
+        q, k = e[:, context:] @ to_q, e @ to_k
+        if not real.all():
+            k[~real, DIM] = FAR  # out of reach of all that ask
+        i, j = np.arange(context, WINDOW)[:, None], np.arange(WINDOW)[None, :]
         s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(DIM**-0.5)
-        s += back
-        s += np.where(mask, np.float32(0), np.float32(-1e9))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
+        s += np.where(j <= i, p["near"][np.clip(i - j, 0, WINDOW - 1)], kind.type(FAR))
+        np.minimum(s, kind.type(30), out=s)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        h = asks + s @ v
-        logits = h.reshape(-1, DIM) @ p["O"] + p["bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        return e, q, k, v, s, h, logits
-
-    def log_p(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """log10 of each target's probability: y (windows, STEP)."""
-        logits = self.forward(x, mask)[-1]
-        at = np.take_along_axis(logits, y.reshape(-1, 1).astype(np.int64), 1)[:, 0]
-        np.exp(logits, out=logits)
-        return ((at - np.log(logits.sum(axis=1))) / np.float32(np.log(10))).reshape(y.shape)
-
-    def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, real = self.p, mask[:, CONTEXT:].reshape(-1)
-        e, q, k, v, s, h, logits = self.forward(x, mask)
-        d = np.exp(logits)
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(d)), y.ravel()] -= 1
-        d *= (real / max(1, real.sum()))[:, None].astype(np.float32)
-        flat_h = h.reshape(-1, DIM)
-        g = {"O": flat_h.T @ d, "bias": d.sum(axis=0)}
-        dh = (d @ p["O"].T).reshape(h.shape)
-        dv, ds = s.transpose(0, 2, 1) @ dh, dh @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-        i, j = np.arange(CONTEXT, WINDOW)[:, None], np.arange(WINDOW)[None, :]
-        g["near"] = np.bincount(np.clip(i - j, 0, WINDOW - 1).ravel(), ds.sum(axis=0).ravel(), WINDOW)
-        ds *= np.float32(DIM**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        de = dk @ p["K"].T + dv @ p["V"].T
-        de[:, CONTEXT:] += dh + dq @ p["Q"].T
+        sums = s @ e
+        total = sums[:, :, DIM:] + kind.type(1e-30)
+        c = (sums[:, :, :DIM] / total).reshape(-1, DIM)
+        g = p["A"][x[:, context:].ravel()]
+        g += c @ p["W"]
+        np.clip(g, -40, 40, out=g)
+        np.exp(g, out=g)
+        g /= g @ np.ones((MIX, 1), kind)
+        return e, q, k, s, total, c, g
+
+    def shares(self, y: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+        return self.p["C"][y] * (1 / (self.p["C"].sum(axis=0) if sums is None else sums))
+
+    def probabilities(self, x: np.ndarray, real: np.ndarray, y: np.ndarray, among: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each target y its probability, and those of sets of ids, whose shares are the columns of among."""
+        g = self.forward(x, real, WINDOW - y.shape[1])[-1]
+        return ((g * self.shares(y.ravel(), sums)) @ np.ones(MIX, g.dtype)).reshape(y.shape), (g @ among).reshape(*y.shape, -1)
+
+    def gradient(self, x: np.ndarray, real: np.ndarray, y: np.ndarray, sums: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the targets' summed log likelihood: for E a row per place of the windows, for A one per place that
+        asks, and the targets' posteriors over the distributions."""
+        p, context = self.p, WINDOW - y.shape[1]
+        e, q, k, s, total, c, g = self.forward(x, real, context)
+        post = g * self.shares(y.ravel(), sums)
+        post /= post @ np.ones((MIX, 1), g.dtype) + g.dtype.type(1e-30)
+        if not real.all():
+            some = real[:, context:].reshape(-1, 1)
+            post *= some
+            g = g * some
+        d = post - g
+        out = {"A": d, "W": c.T @ d}
+        dc = (d @ p["W"].T) / total.reshape(-1, 1)
+        # what the average takes from each of its parts
+        dc = np.concatenate([dc, -(dc * c) @ np.ones((DIM, 1), g.dtype)], axis=1).reshape(len(x), -1, DIM + 1)
+        t = dc @ e.transpose(0, 2, 1)
+        t *= s
+        i, j = np.arange(context, WINDOW)[:, None], np.arange(WINDOW)[None, :]
+        out["near"] = np.bincount(np.clip(i - j, 0, WINDOW - 1).ravel(), t.sum(axis=0).ravel(), WINDOW)
+        dq, dk = (t @ k)[:, :, :DIM] * g.dtype.type(DIM**-0.5), (t.transpose(0, 2, 1) @ q)[:, :, :DIM]
+        de = (s.transpose(0, 2, 1) @ dc)[:, :, :DIM] + dk @ p["K"].T
+        de[:, context:] += dq @ p["Q"].T
         flat = lambda a: a.reshape(-1, DIM)
-        g["Q"], g["K"], g["V"] = flat(e[:, CONTEXT:]).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], x.ravel(), flat(de))
-        return g
-
-    def train(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, rate: float = RATE) -> Attention:
-        """One pass of Adam over the windows."""
-        p = {k: v.copy() for k, v in self.p.items()}
-        model, m, v = Attention(p), {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
-        order = np.random.default_rng(0).permutation(len(x))
-        for step, a in enumerate(range(0, len(x), BATCH), 1):
+        e = e[:, :, :DIM]
+        out["Q"], out["K"], out["E"] = flat(e[:, context:]).T @ flat(dq), flat(e).T @ flat(dk), flat(de)
+        return out, post
+
+
+def by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and their sums of values."""
+    order = np.argsort(rows.astype(np.uint16) if rows.max(initial=0) < 1 << 16 else rows, kind="stable")
+    rows = rows[order]
+    firsts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    return rows[firsts], np.add.reduceat(values[order], firsts)
+
+
+class Training:
+    """A partition's own copy of the model, and what it adds up to."""
+
+    def __init__(self, model: Attention):
+        p = {k: v.copy() for k, v in model.p.items()}
+        self.model, self.begin = Attention(p), model.p["C"]
+        self.squares = {k: np.full(p[k][..., :DIM].shape if k == "E" else p[k].shape, 1e-6, np.float32) for k in (*ROWS, *DENSE)}
+        self.used = {k: np.zeros(len(p[k])) for k in ROWS}
+        self.seen, self.sums = 0, p["C"].sum(axis=0)
+
+    def step(self, x: np.ndarray, real: np.ndarray, y: np.ndarray) -> None:
+        p, n = self.model.p, max(1, int(real[:, WINDOW - y.shape[1] :].sum()))
+        g, post = self.model.gradient(x, real, y, self.sums)
+        for k, rows in (("E", x.ravel()), ("A", x[:, WINDOW - y.shape[1] :].ravel())):
+            some, total = by_row(rows, g[k])
+            self.climb(k, some, total * np.float32(1 / n), RATE)
+            self.used[k][some] += 1
+        for k in DENSE:
+            self.climb(k, ..., (g[k] / n).astype(np.float32), SLOW)
+        some, total = by_row(y.ravel(), post)
+        p["C"][some] += total
+        self.sums = self.sums + total.sum(axis=0)
+        self.seen += n
+
+    def climb(self, k: str, rows, g: np.ndarray, rate: float) -> None:
+        columns = (rows, slice(DIM)) if k == "E" else rows  # the ones stay
+        now = self.squares[k][rows] + g * g
+        self.squares[k][rows] = now
+        self.model.p[k][columns] += np.float32(rate) * g / np.sqrt(now)
+
+    def run(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Windows side by side, in which every place asks."""
+        text, start = starts(sizes, WINDOW)
+        order, firsts = np.random.default_rng(len(text)).permutation(len(text)), np.cumsum(sizes) - sizes
+        for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]
-            for k, g in model.gradient(x[some], mask[some], y[some]).items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.99 * v[k] + 0.01 * g * g
-                p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        return model
-
-
-def windows(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts' classes one after the other: what stands before each position of each window, which
-    positions are real, the targets of the last STEP positions, and those targets' places in flat (-1: none)."""
-    firsts = np.cumsum(sizes) - sizes
-    n = -(-sizes // STEP)
-    text = np.repeat(np.arange(len(sizes)), n)
-    start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STEP
-    t = start[:, None] - CONTEXT + np.arange(WINDOW)[None, :]
+            self.step(*window(flat, sizes, text[some], start[some], self.model.ids, firsts, 0)[:3])
+
+
+class Sums:
+    """Partitions' models as sums: rows times their use, matrices times the ids seen, added counts."""
+
+    def __init__(self, model: Attention):
+        shapes = {k: v.shape for k, v in model.p.items()}
+        self.total = {k: np.zeros(shapes[k]) for k in shapes}
+        self.used = {k: np.zeros(shapes[k][0]) for k in ROWS}
+        self.seen = 0
+
+    def of(self, t: Training) -> Sums:
+        p = t.model.p
+        for k in ROWS:
+            self.total[k], self.used[k] = p[k] * t.used[k][:, None], t.used[k]
+        for k in DENSE:
+            self.total[k] = p[k].astype(np.float64) * t.seen
+        self.total["C"], self.seen = p["C"] - t.begin, t.seen
+        return self
+
+    def rows(self) -> pa.RecordBatch:
+        """Rows that nothing has used stay out."""
+        out = [(k, -1, 0.0, self.total[k].tobytes()) for k in DENSE] + [("seen", -1, float(self.seen), b"")]
+        for k in (*ROWS, "C"):
+            used = self.used[k] if k in ROWS else np.abs(self.total[k]).sum(axis=1)
+            some = np.flatnonzero(used)
+            out += [(k, len(some), 0.0, some.astype("<i8").tobytes() + used[some].astype("<f8").tobytes() + self.total[k][some].astype("<f4").tobytes())]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.float64(), pa.binary()))], names=["name", "n", "x", "data"])
+
+    def add(self, batch: pa.RecordBatch | pa.Table) -> None:
+        for k, n, x, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if k == "seen":
+                self.seen += x
+            elif not n:
+                continue
+            elif n < 0:
+                self.total[k] += np.frombuffer(data).reshape(self.total[k].shape)
+            else:
+                some = np.frombuffer(data, "<i8", n)
+                if k in ROWS:
+                    self.used[k][some] += np.frombuffer(data, "<f8", n, 8 * n)
+                self.total[k][some] += np.frombuffer(data, "<f4", offset=16 * n).reshape(n, -1)
+
+    def model(self, before: Attention) -> Attention:
+        p = {k: before.p[k].copy() for k in before.p}
+        for k in ROWS:
+            some = np.flatnonzero(self.used[k])
+            p[k][some] = self.total[k][some] / self.used[k][some, None]
+        for k in DENSE if self.seen else ():
+            p[k] = (self.total[k] / self.seen).astype(np.float32)
+        p["C"] = (p["C"] + self.total["C"]).astype(np.float32)
+        return Attention(p)
+
+
+SUMS = "name string, n long, x double, data binary"
+
+
+def starts(sizes: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window its text and the place in it where it begins to ask."""
+    n = -(-sizes // step)
+    return np.repeat(np.arange(len(sizes)), n), (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
+
+
+def window(
+    flat: np.ndarray, sizes: np.ndarray, text: np.ndarray, start: np.ndarray, before: int, firsts: np.ndarray, context: int = CONTEXT
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of some windows over texts' ids, one text after the other: the id before each place, which places there
+    are, the targets of the places that ask, and those targets' places in flat (-1: none)."""
+    t = start[:, None] + np.arange(-context, WINDOW - context)[None, :]
     real = (t >= 0) & (t < sizes[text][:, None])
-    at = np.where(real, firsts[text][:, None] + t, 0)
-    before = np.where(t > 0, flat[np.maximum(at - 1, 0)], START)
-    before[~real] = START
-    places = np.where(real, at, -1)[:, CONTEXT:]
-    return before, real, flat[np.maximum(places, 0)], places
+    at = np.where(real, t + firsts[text][:, None], 0)
+    x = flat[np.maximum(at - 1, 0)].astype(np.int64)
+    x[~real | (t == 0)] = before
+    places = np.where(real, at, -1)[:, context:]
+    return x, real, flat[at[:, context:]].astype(np.int64), places
+
+
+def windows(flat: np.ndarray, sizes: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return window(flat, sizes, *starts(sizes), before, np.cumsum(sizes) - sizes)
 
 
-def in_round(mixed: Column, turn: int, train_share: int = TRAIN_SHARE) -> Column:
-    """Whether the document of this hash takes part in a round."""
-    return F.pmod(mixed, F.lit(train_share)) == turn % train_share
+class Block:
+    """Texts as word numbers, words as ids, from a row of the table of blocks."""
+
+    def __init__(self, row: dict, end: int):
+        self.end = end
+        self.sizes, self.numbers = np.frombuffer(row["sizes"], "<u4").astype(np.int64), np.frombuffer(row["numbers"], "<u4").astype(np.int64)
+        self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
+        self.word_sizes = np.append(np.frombuffer(row["word_sizes"], "<u4").astype(np.int64), 1)  # the end is one more word
+        self.word_ids = np.append(np.frombuffer(row["word_ids"], "<u4").astype(np.int64), end)
+
+    def sequence(self, training: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts or those for training: ids, ids of each text, words (with the ends) and where each begins."""
+        numbers, sizes = self.numbers, self.sizes
+        if training:
+            numbers, sizes = numbers[np.repeat(~self.held, sizes)], sizes[~self.held]
+        numbers = np.insert(numbers, np.cumsum(sizes), len(self.word_sizes) - 1)
+        n = self.word_sizes[numbers]
+        begins = np.cumsum(n) - n
+        first = np.cumsum(self.word_sizes) - self.word_sizes
+        flat = self.word_ids[np.repeat(first[numbers] - begins, n) + np.arange(int(n.sum()))].astype(np.int32)
+        of_text = np.add.reduceat(n, np.cumsum(sizes + 1) - sizes - 1) if len(sizes) else sizes
+        return flat, of_text, numbers, begins
 
 
 def score(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    held_out: Column | None = None, block_chars: int = BLOCK_CHARS, train_share: int = TRAIN_SHARE, rounds: int = ROUNDS,
+    held_out: Column | None = None, block_chars: int = BLOCK_CHARS, rounds: int = ROUNDS,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    shared_dir(spark)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    folder = f"{shared_dir(spark)}/lm-{uuid.uuid4()}"
+    id_type = docs.schema[id_col].dataType
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0 if held_out is None else held_out
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), fold.alias("held_out"))
-    chars, n_train = rows.agg(F.sum(F.length("text")), F.count_if(~F.col("held_out"))).first()
-    blocks = max(1, ceil((chars or 0) / block_chars))
-    mixed = F.xxhash64("doc_id", "text")
-    rows = rows.withColumn("block", F.pmod(mixed, F.lit(blocks)))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(fold, F.lit(False)).alias("held_out"))
     shared = spark.sparkContext.broadcast(ranks)  # the vocabulary file
-
-    def count(table: pa.Table) -> pa.Table:
-        seen: Counter = Counter()
-        for text, out in zip(table["text"].cast(pa.binary()).to_pylist(), table["held_out"].to_pylist(), strict=True):
-            if out:
-                seen.update(dict.fromkeys(words(text), 0))
-            else:
-                seen.update(words(text))
-        block = table["block"][0].as_py()
-        return pa.table({"block": pa.array([block] * len(seen), pa.int64()), "word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    counts = rows.groupBy("block").applyInArrow(count, "block long, word binary, n long").checkpoint()
-    totals = counts.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0").checkpoint()
+    end = max(ranks.values(), default=0) + 1
+
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, token_bytes = encoder(shared.value, pattern)
+        texts: list[list[bytes]] = []
+        ids: list[pa.Array] = []
+        held: list[bool] = []
+        chars = nth = 0
+
+        def block() -> pa.RecordBatch:
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            number = dict.fromkeys(chain.from_iterable(texts))
+            distinct = list(number)
+            number.update(zip(distinct, range(len(distinct)), strict=True))
+            numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+            # frequent words have small numbers, which take less room
+            order = np.argsort(-np.bincount(numbers, minlength=len(distinct)), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            numbers, distinct = place[numbers], [distinct[i] for i in order]
+            n = np.bincount(numbers[np.repeat(~np.array(held, bool), sizes)], minlength=len(distinct))
+            word_ids, word_sizes = spelled(distinct, enc, token_bytes)
+            key = (TaskContext.get().partitionId() << 32) + nth
+            small = lambda a: pa.array([a.astype("<u4").tobytes()], pa.binary())
+            columns = [
+                pa.array([key]), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.concat_arrays(ids)), pa.array([np.array(held, np.uint8).tobytes()], pa.binary()),
+                small(sizes), small(numbers), pa.array([distinct], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64())), small(word_ids), small(word_sizes),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "held", "sizes", "numbers", "words", "counts", "word_ids", "word_sizes"])
+
+        for part in slices(batches):
+            texts += [words(text) for text in part.column(1).cast(pa.binary()).to_pylist()]
+            ids.append(part.column(0))
+            held += part.column(2).to_pylist()
+            chars += part.column(1).nbytes
+            if chars >= block_chars:
+                yield block()
+                texts, ids, held, chars, nth = [], [], [], 0, nth + 1
+        if texts:
+            yield block()
+        release()
+
+    schema = f"block long, doc_ids {ArrayType(id_type).simpleString()}, held binary, sizes binary, numbers binary, words array<binary>, counts array<long>, word_ids binary, word_sizes binary"
+    rows.mapInArrow(to_blocks, schema).write.option("compression", "zstd").parquet(folder)
+    blocks = small_batches(spark.read.schema(schema).parquet(folder))
+
+    each = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    totals = each.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")).checkpoint()
     in_words, distinct_words = totals.agg(F.sum("c"), F.count("*")).first()
-    n, v = (in_words or 0) + n_train, distinct_words + (n_train > 0)  # with the ends
+    ids_of = blocks.select("held", "sizes", "numbers", "word_ids", "word_sizes")
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        release()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                flat, of_text, *_ = Block(batch.slice(i, 1).to_pylist()[0], end).sequence(training=True)
+                if len(flat):
+                    yield flat, of_text
+
+    def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(end + 1)
+        for flat, _ in sequences(batches):
+            total += np.bincount(flat, minlength=end + 1)
+        yield cells(total)
 
-    head = [bytes(r.word) for r in totals.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    uses = gathered(ids_of.mapInArrow(count_ids, CELLS), end + 1)  # a row an id
+    n_train = int(uses[end])
+    n, v = (in_words or 0) + n_train, distinct_words + (n_train > 0)  # with the ends
+    order = np.argsort(-uses, kind="stable")
+    bucket = np.empty(end + 2, np.int64)
+    bucket[order[:HEAD]] = np.arange(min(HEAD, len(order)))
+    mass = np.cumsum(uses[order[HEAD:]] + SMOOTH)  # bins of about equal weight
+    bucket[order[HEAD:]] = HEAD + np.minimum((mass / max(mass[-1:].sum(), SMOOTH) * BINS).astype(int), BINS - 1)
+    bucket[end + 1] = size = HEAD + BINS  # what stands before a text
+    size += 1
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        follow, together = np.zeros(size * size), np.zeros((size, size))
+        for flat, of_text in sequences(batches):
+            mine, firsts = bucket[flat], np.cumsum(of_text) - of_text
+            last = np.r_[size - 1, mine[:-1]]
+            last[firsts] = size - 1
+            follow += np.bincount(last * size + mine, minlength=size * size)
+            n_of = -(-of_text // STEP)
+            stretch = np.repeat(np.cumsum(n_of) - n_of, of_text) + (np.arange(len(flat)) - np.repeat(firsts, of_text)) // STEP
+            for a in range(0, int(n_of.sum()), 4096):  # stretches of one text, their histograms multiplied
+                i = np.searchsorted(stretch, [a, a + 4096])
+                h = np.bincount((stretch[i[0] : i[1]] - a) * size + mine[i[0] : i[1]], minlength=4096 * size).reshape(4096, size).astype(np.float32)
+                together += h.T @ h - np.diag(h.sum(axis=0))
+        yield cells(np.r_[follow, together.ravel()])
+
+    pairs = gathered(ids_of.mapInArrow(count_pairs, CELLS), 2 * size * size).reshape(2, size, size)  # a row a pair of buckets
+    model = Attention.start(uses, bucket, *pairs)
+
+    def train(given: Attention):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = Training(given)
+            for flat, of_text in sequences(batches):
+                mine.run(flat, of_text)
+            yield Sums(given).of(mine).rows()
 
-    def count_leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, ids, frequent = np.zeros(len(shared.value)), encoder(shared.value, pattern).encode_ordinary, set(head)
-        for part in batches:
-            for word, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if word not in frequent:
-                    total[ids(" " + word.decode())[0]] += c
-        yield cells(total)
+        return run
 
-    leads = gathered(totals.mapInArrow(count_leads, CELLS), len(ranks))  # a row an id
-    classes = spark.sparkContext.broadcast(Classes(head, leads))
-    small = {token: i for token, i in ranks.items() if i < SPELL}
-    spelling_cells = (SPELL + CLASSES) * (SPELL + 1)
-
-    def count_spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, mass, single = np.zeros(spelling_cells), np.zeros(CLASSES), np.zeros(CLASSES)
-        for part in batches:
-            some, c = part.column(0).to_pylist(), part.column(1).to_numpy()
-            if len(some):
-                kinds = np.array(classes.value(some, encoder(shared.value, pattern)))
-                mass += np.bincount(kinds, c, CLASSES)
-                single += np.bincount(kinds, c == 1, CLASSES)
-                # each distinct word once: a new word is like another word, not like another "the"
-                total += np.bincount(spelled(some, kinds, encoder(small, pattern))[0], minlength=spelling_cells)
-        yield cells(np.r_[total, mass, single])
-
-    stats = gathered(totals.mapInArrow(count_spelling, CELLS), spelling_cells + 2 * CLASSES)  # a row a pair of ids
-    spelling, mass, single = np.split(stats, [spelling_cells, spelling_cells + CLASSES])
-    spelling = spelling.reshape(-1, SPELL + 1) + 0.02
-    spelling = spark.sparkContext.broadcast(np.log10(spelling / spelling.sum(axis=1, keepdims=True)).ravel())
-    mass[END], new = n_train, (single + 0.5) / (mass + 1)
-    new[END], new[:HEAD] = 0.0, 1e-6
-
-    def count_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = Known(classes.value, encoder(shared.value, pattern)), np.zeros((CLASSES, CLASSES))
-        for part in slices(batches, max_bytes=1 << 20):
-            flat, sizes = known.sequence([words(text) for text in part.column(0).cast(pa.binary()).to_pylist()])
-            # stretches of STEP words of one text, their histograms multiplied
-            n_of = -(-sizes // STEP)
-            inner = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            stretch = np.repeat(np.cumsum(n_of) - n_of, sizes) + inner // STEP
-            for a in range(0, int(n_of.sum()), 4096):
-                mine = flat[(i := np.searchsorted(stretch, [a, a + 4096]))[0] : i[1]]
-                h = np.bincount((stretch[i[0] : i[1]] - a) * CLASSES + mine, minlength=4096 * CLASSES).reshape(4096, CLASSES).astype(np.float32)
-                total += h.T @ h - np.diag(h.sum(axis=0))
-        yield cells(total.ravel())
-
-    train_texts = rows.where(~F.col("held_out")).select("text")
-    model = Attention.start(gathered(train_texts.mapInArrow(count_together, CELLS), CLASSES * CLASSES).reshape(CLASSES, CLASSES))  # a row a pair of classes
-
-    def steps(given: Attention):
+    def summed(given: Attention):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, now, weight = Known(classes.value, encoder(shared.value, pattern)), given, 0
-            for part in slices(batches, max_bytes=1 << 20):
-                flat, sizes = known.sequence([words(text) for text in part.column(0).cast(pa.binary()).to_pylist()])
-                x, mask, y, _ = windows(flat, sizes)
-                now, weight = now.train(x, mask, y), weight + len(flat)
-            if weight:
-                yield pa.RecordBatch.from_arrays([pa.array([float(weight)]), pa.array([now.flat().astype(np.float64)], pa.list_(pa.float64()))], names=["weight", "p"])
+            total = Sums(given)
+            for batch in batches:
+                total.add(batch)
+            yield total.rows()
 
         return run
 
-    for turn in range(rounds):
-        mine = rows.where(~F.col("held_out") & in_round(mixed, turn, train_share)).select("text")
-        local = mine.mapInArrow(steps(model), "weight double, p array<double>").select("weight", F.posexplode("p").alias("i", "x"))
-        mean = local.groupBy("i").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x")).toPandas()  # a row a weight
-        if len(mean):
-            model = model.put(mean.sort_values("i")["x"].to_numpy())
-
-    trained = spark.sparkContext.broadcast(model)
-    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def score_block(table: pa.Table, known_counts: pa.Table) -> pa.Table:
-        texts = [words(text) for text in table["text"].cast(pa.binary()).to_pylist()]
-        distinct = sorted(set().union(*texts))
-        number = {word: i for i, word in enumerate(distinct)}
-        # the end of a text is one more word, the last
-        kinds = np.array([*classes.value(distinct, encoder(shared.value, pattern)), END])
-        c = np.zeros(len(distinct) + 1)
-        c[[number[word] for word in known_counts["of_word"].to_pylist()]] = known_counts["c"].to_numpy()
-        c[-1] = n_train
-        base = np.log10((c + SMOOTH) / (n + SMOOTH * (v + 1)))
-        within = np.log10(np.maximum(1e-300, (1 - new[kinds]) * c / np.maximum(1, mass[kinds])))
-        unseen = np.flatnonzero(c == 0)
-        if len(unseen) and unseen[-1] == len(distinct):
-            unseen = unseen[:-1]
-        if len(unseen):
-            cell, begins = spelled([distinct[i] for i in unseen], kinds[unseen], encoder(small, pattern))
-            within[unseen] = np.log10(new[kinds[unseen]]) + np.add.reduceat(spelling.value[cell], begins)
-        within[-1] = 0.0  # the end's class holds nothing else
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        tokens = np.cumsum(sizes) - sizes
-        of_words: list[int] = []
-        for text in texts:
-            of_words.extend(map(number.__getitem__, text))
-            of_words.append(len(distinct))
-        numbers = np.array(of_words, np.int64)
-        del of_words
-        flat = kinds[numbers].astype(np.uint8)
-        log_p = within[numbers]
-        a = 0
-        while a < len(texts):  # some texts at a time: about 2^18 tokens, one text at least
-            b = max(a + 1, int(np.searchsorted(tokens, tokens[a] + (1 << 18))))
-            first, past = tokens[a], tokens[b] if b < len(texts) else len(flat)
-            x, mask, y, places = windows(flat[first:past], sizes[a:b])
-            for i in range(0, len(x), 256):
-                got, real = trained.value.log_p(x[i : i + 256], mask[i : i + 256], y[i : i + 256]), mask[i : i + 256, CONTEXT:]
-                log_p[first + places[i : i + 256][real]] += got[real]
-            a = b
-        out = np.add.reduceat(log_p, tokens)
-        return pa.table(
-            [table["doc_id"], table["held_out"], pa.array(sizes), pa.array(np.add.reduceat((c > 0)[numbers].astype(np.int64), tokens)), pa.array([n] * len(texts), pa.int64()),
-             pa.array(np.add.reduceat(base[numbers], tokens)), pa.array(out)],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
-
-    found = counts.join(totals, "word").select(F.col("block").alias("of_block"), F.col("word").alias("of_word"), "c")
-    return rows.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(score_block, schema)
+    for _ in range(rounds):
+        local = ids_of.mapInArrow(train(model), SUMS).checkpoint()
+        while (parts := local.rdd.getNumPartitions()) > 1:
+            local = local.coalesce(ceil(parts / FAN_IN)).mapInArrow(summed(model), SUMS).checkpoint()
+        total = Sums(model)
+        total.add(local.toArrow())  # one model
+        model = total.model(model)
+
+    sums = model.p["C"].sum(axis=0)
+    begins = np.zeros(end + 1)  # ids that begin a word
+    begins[[i for token, i in ranks.items() if token[:1] == b" "]] = 1
+    among = np.stack([begins @ (model.p["C"] / sums), model.p["C"][end] / sums], axis=1).astype(np.float32)
+    trained = spark.sparkContext.broadcast((model, sums, among))  # a row an id
+    out_schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    names = [c.split()[0] for c in out_schema.split(", ")]
+
+    def score_block(table: pa.Table, known: pa.Table) -> pa.Table:
+        model, sums, among = trained.value
+        parts = []
+        for row in range(table.num_rows):
+            block = Block(table.select(["held", "sizes", "numbers", "word_ids", "word_sizes"]).slice(row, 1).to_pylist()[0], end)
+            c = np.zeros(len(block.word_sizes))
+            c[known["place"].to_numpy()] = known["c"].to_numpy()
+            c[-1] = n_train
+            base = np.log10((c + SMOOTH) / (n + SMOOTH * (v + 1)))
+            flat, of_text, numbers, at = block.sequence()
+            p, masses = np.zeros(len(flat), np.float32), np.zeros((len(flat), 2), np.float32)
+            text, start = starts(of_text)
+            firsts = np.cumsum(of_text) - of_text
+            for a in range(0, len(text), BATCH):
+                x, real, y, places = window(flat, of_text, text[a : a + BATCH], start[a : a + BATCH], end + 1, firsts)
+                got, sets = model.probabilities(x, real, y, among, sums)
+                asked = real[:, CONTEXT:]
+                p[places[asked]], masses[places[asked]] = got[asked], sets[asked]
+            log_p = np.log10(np.maximum(p.astype(np.float64), 1e-30))
+            goes_on, stops = np.log10(np.maximum(masses[at].astype(np.float64), 1e-30)).T
+            either = np.log10(np.maximum(masses[at].astype(np.float64).sum(axis=1), 1e-30))
+            is_end = numbers == len(block.word_sizes) - 1
+            # by its ids: the first among those that begin words, the others, and that the word ends where the next begins
+            by_ids = np.add.reduceat(log_p, at) - goes_on + np.append(either[1:], 0)
+            mixed = np.log10(SHARE * 10 ** base[numbers] + (1 - SHARE) * 10 ** np.maximum(by_ids, -300))
+            each = np.where(is_end, stops, goes_on + mixed) - either
+            tokens = np.cumsum(block.sizes + 1) - block.sizes - 1
+            parts.append(pa.table(
+                [table["doc_ids"].slice(row, 1).combine_chunks().flatten(), pa.array(block.held), pa.array(block.sizes + 1), pa.array(np.add.reduceat((c > 0)[numbers].astype(np.int64), tokens)),
+                 pa.array([n] * len(tokens), pa.int64()), pa.array(np.add.reduceat(base[numbers], tokens)), pa.array(np.add.reduceat(each, tokens))],
+                names=names,
+            ))
+        release()
+        return pa.concat_tables(parts)
+
+    found = each.select("block", "place", "word").join(totals, "word").select(F.col("block").alias("of_block"), "place", "c")
+    return blocks.drop("words", "counts").groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(score_block, out_schema)
