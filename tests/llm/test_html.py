@@ -59,6 +59,17 @@ def test_simple_tree_matching_is_the_best_match():
         return 1 + best(a.children, b.children)
 
     rng = random.Random(7)
+
+    def deep(depth):
+        return [rng.choice("ab"), *[deep(depth - 1) for _ in range(rng.randint(0, 4) if depth else 0)]]
+
+    for _ in range(150):
+        a, b = (tree(["r", *[deep(2) for _ in range(rng.randint(0, 4))]]) for _ in range(2))
+        size, pairs = html.tree_match(a, b)
+        assert size == brute(a, b) == 1 + sum(brute(x, y) for x, y in pairs)
+        place = lambda some, one: next(i for i, z in enumerate(some) if z is one)
+        at = sorted((place(a.children, x), place(b.children, y)) for x, y in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(at, at[1:]))
     for _ in range(200):  # leaves below the root, where equal ends are never worse
         a, b = (tree(["r", *[[rng.choice("abc")] for _ in range(rng.randint(0, 6))]]) for _ in range(2))
         assert html.tree_match(a, b)[0] == brute(a, b)
@@ -90,6 +101,35 @@ def test_long_middles_have_the_best_match_too(monkeypatch):
         assert got == size == 1 + len(pairs) and all(x.label == y.label for x, y in pairs)
 
 
+def test_optional_blocks_page_ids_and_the_first_page():
+    """A constant notice that the first page lacks, and elements named by the page."""
+    for outer in ("<div id='page-{i}' class='post-{i} entry'>", "<section>"):
+        pages = [f"<body>{outer.format(i=i)}{'<section class=zork>Mind the gap.</section>' * (i > 0)}<p>one {i}<p>two {i}<div class=end>All rights kept</div>" for i in range(20)]
+        assert html.extract(pages) == [f"one {i}\ntwo {i}" for i in range(20)]
+
+
+def test_marks_are_whole_names_and_inline_elements_have_them_too():
+    text = "<article><h1>t</h1><div class='social-history'>kept</div><div class='site-footer'>gone</div><p>a<span class='ad'> buy <b>now</b></span> b</p><p id='comment-form'>gone</p><div class='Ad-Box'>gone"
+    assert html.extract([text]) == ["t\nkept\na b"]
+
+
+def test_pages_of_any_length_are_evidence_alike(spark):
+    """One long page does not take induction from the others."""
+    rows = [(i, "https://h.example.org/x", f"<body><div>Read the rules.</div><p>page {i} {'x ' * (700_000 if i == 3 else 5)}") for i in range(12)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text.startswith(f"page {r.page_id}") for r in got) and len(got) == 12
+
+
+def test_unclosed_tags_and_quotes_take_linear_time():
+    import time
+
+    for piece in ("<a ", "<a \"'>", "<b>", "<!", "<x-a>", "</q", "<a href='", "<p class=\"x'>", "< ", "<script", "<i class=ad>"):
+        begin = time.time()
+        html.extract([piece * (1_000_000 // len(piece))])
+        assert time.time() - begin < 20, piece
+    assert html.extract(["<article><p>one<a title='x>two</a><p>three"]) == ["onetwo\nthree"]
+
+
 def test_odd_pages(spark):
     odd = [None, "", "no tags at all", "<p>a<p>b", "<" * 50, "<div>" * 3000 + "deep", "<p title='>'>q</p", "<article><h1>t</h1><script>x", "a &nbsp; b&lt;c", "<p>" + "x " * 50000]
     rows = [(None if i == 3 else i, None if i % 2 else f"u{i}", x) for i, x in enumerate(odd)] + [(2, "u2", odd[2])]
