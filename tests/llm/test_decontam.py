@@ -62,3 +62,31 @@ def test_empty(spark):
     _, _, d, b = cases(spark)
     assert decontam.scan(d.limit(0), b).count() == 0
     assert decontam.scan(d, b.limit(0)).where("n_hit > 0 or contaminated").count() == 0
+
+
+def test_long_items_go_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PIECE", 5)
+    items = [(1, " ".join(FILLER[:200])), (2, " ".join(FILLER[300:313])), (3, "tiny one")]
+    docs = [(i, " ".join(FILLER[i * 13 : i * 13 + 20])) for i in range(25)] + [(99, "a Tiny one")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.scan(spark.createDataFrame(docs, "doc_id long, text string"), b, broadcast_bytes=1000).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got) == sorted((i, *brute(t, items)) for i, t in docs)
+
+
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontam.Windows, "hash", lambda self, ids, at, size: (ids[at] % 2).astype("u8"))
+    items = [(str(i), " ".join(FILLER[i : i + 15]).encode()) for i in range(0, 60, 3)]
+    windows = decontam.Windows(items)
+    for a in range(0, 50, 7):
+        text = " ".join([*FILLER[a : a + 16], "x", *FILLER[a + 20 : a + 33]])
+        hit, named = windows.match(decontam.words(text.encode()))
+        want = brute(text, [(i, t.decode()) for i, t in items])
+        assert (int(hit.sum()), sorted(named)) == (want[1], want[2])
+
+
+def test_windows_take_little_room():
+    import pickle
+
+    rng = __import__("random").Random(1)
+    items = [(str(i), " ".join(rng.choices(FILLER, k=200)).encode()) for i in range(1000)]
+    assert len(pickle.dumps(decontam.Windows(items))) < 8 * sum(len(t) for _, t in items)

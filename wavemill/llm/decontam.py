@@ -5,9 +5,10 @@ A window is 13 consecutive words of an item, or all words of a shorter one. Word
 letters (in lower case), digits and non-ASCII characters. A document word inside any occurrence of a
 window is hit; a document is contaminated if at least one word and 1 in 20 words is hit.
 
-The benchmark's texts are sized first. Up to BROADCAST_BYTES they are sent to all tasks at once;
-a larger benchmark goes in parts of that size, each a further pass over the documents whose hits are
-joined to those of the passes before, so nothing larger than the bound is ever broadcast.
+The benchmark's texts are cut into pieces of at most PIECE windows and sized first. Up to BROADCAST_BYTES they
+are sent to all tasks at once; a larger benchmark goes in parts of that size, by hash of the pieces. Each part is a
+pass of its own over the documents, which carry the hits of the passes before; a pass is written to the checkpoint
+folder and its broadcast dropped before the next begins, so that no worker or driver ever holds more than one part.
 
 Cases: null texts and texts without words have no words, no hits and are not contaminated. Items
 without words have no windows. An item without an id hits words, but is not counted or named; rows
@@ -27,12 +28,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import shared_dir, slices, small_batches
 
 WINDOW = 13
 #: Contaminated from one hit word in so many.
 ONE_IN = 20
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES, PIECE = 8 << 20, 4096
 #: Every byte that is not in a word becomes a space; letters become lower case.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD_BYTES = np.array([b != 32 for b in FOLD])
@@ -43,19 +44,40 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some items: hashes to scan with, word ids to verify with."""
+    """The windows of some items, in arrays: their hashes in order to scan with, word ids to verify with, and the
+    items of each."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[bytes, set[str]] = {}
+        self.names = sorted({item for item, _ in items if item is not None})
+        number, at, texts, of_item = {item: i for i, item in enumerate(self.names)}, 0, [], {}
         for item, text in items:
-            ids = np.array([self.vocabulary.setdefault(word, len(self.vocabulary) + 1) for word in words(text or b"")], np.int32)
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                self.items.setdefault(ids[i : i + size].tobytes(), set()).update([item] if item is not None else [])
-        self.sizes = sorted({len(key) // 4 for key in self.items})
+            ids = [self.vocabulary.setdefault(word, len(self.vocabulary) + 1) for word in words(text or b"")]
+            if ids:
+                size = min(window, len(ids))
+                starts = np.arange(at, at + len(ids) - size + 1, dtype=np.int64)
+                of_item.setdefault(size, []).append((starts, np.full(len(starts), number.get(item, -1))))
+                texts.append(np.array(ids, np.int32))
+                at += len(ids)
+        self.text = np.concatenate([np.zeros(0, np.int32), *texts])
         self.factors = np.random.default_rng(0).integers(1, 2**63, window, dtype=np.uint64) | np.uint64(1)
-        self.hashes = {size: np.unique([self.hash(np.frombuffer(key, np.int32), np.zeros(1, np.int64), size)[0] for key in self.items if len(key) == 4 * size]) for size in self.sizes}
+        self.sizes = sorted(of_item)
+        #: By size: hashes in order, a place where the window's words stand, and its items (from .. to in a list).
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        for size in self.sizes:
+            start, item = (np.concatenate(x) for x in zip(*of_item[size], strict=True))
+            rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.text, size)[start]).view(np.dtype((np.void, 4 * size)))[:, 0]
+            _, first, of = np.unique(rows, return_index=True, return_inverse=True)
+            places = start[first]
+            hashes = self.hash(self.text, places, size)
+            order = np.argsort(hashes, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            pairs = np.unique(rank[of] * (len(self.names) + 1) + item + 1)
+            window_of, item_of = np.divmod(pairs, len(self.names) + 1)
+            named = item_of > 0
+            ends = np.searchsorted(window_of[named], np.arange(len(order) + 1)).astype(np.int32)
+            self.tables[size] = hashes[order], places[order].astype(np.int32), ends, (item_of[named] - 1).astype(np.int32)
 
     def hash(self, ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
         total = np.zeros(len(at), np.uint64)
@@ -73,12 +95,19 @@ class Windows:
             at = np.flatnonzero(unknown[size:] == unknown[:-size])
             if not len(at):
                 continue
-            known, found_hash = self.hashes[size], self.hash(ids, at, size)  # sorted, so that a document costs its own windows only
-            at = at[known[np.minimum(np.searchsorted(known, found_hash), len(known) - 1)] == found_hash]
-            for i in at.tolist():
-                if (items := self.items.get(ids[i : i + size].tobytes())) is not None:
-                    hit[i : i + size] = True
-                    named |= items
+            hashes, places, ends, items = self.tables[size]
+            mine = self.hash(ids, at, size)  # looked up by halving, so that a document costs its own windows only
+            row = np.searchsorted(hashes, mine)
+            each = np.arange(size)
+            while len(at):  # another turn only for windows that share a hash
+                some = hashes[np.minimum(row, len(hashes) - 1)] == mine
+                some &= row < len(hashes)
+                at, row, mine = at[some], row[some], mine[some]
+                same = (self.text[places[row][:, None] + each] == ids[at[:, None] + each]).all(axis=1)
+                hit[(at[same][:, None] + each).ravel()] = True
+                for r in np.unique(row[same]).tolist():
+                    named.update(self.names[i] for i in items[ends[r] : ends[r + 1]].tolist())
+                at, row, mine = at[~same], row[~same] + 1, mine[~same]
         return hit, named
 
 
@@ -86,15 +115,33 @@ def unpacked(bits: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
 
 
-def parts(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int = BROADCAST_BYTES) -> Iterator[Broadcast]:
-    """The benchmark's windows as broadcasts of bounded size; one without windows if it is empty."""
+def pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """item, text: the items' texts in pieces that have their windows, and no others; each piece of an item once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            for item, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                found = words(text)
+                cut = [found[i : i + PIECE + window - 1] for i in range(0, max(1, len(found) - window + 1), PIECE)] if found else []
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(cut), pa.string()), pa.array([b" ".join(x) for x in cut], pa.binary())], names=["item", "text"])
+
     thin = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
+    return small_batches(thin).mapInArrow(run, "item string, text binary").distinct()
+
+
+def parts(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int = BROADCAST_BYTES) -> Iterator[tuple[Broadcast, bool]]:
+    """The benchmark's windows as broadcasts of bounded size, one at a time, and whether it is the last; one without
+    windows if it is empty."""
+    shared_dir(benchmark.sparkSession)
+    thin = pieces(benchmark, id_col, text_col, window)
     size = thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-size // most) or 1
-    # a part's expected size is below the bound; an item belongs to one part whatever the order of rows
+    if count > 1:
+        thin = thin.checkpoint()
+    # a part's expected size is below the bound, and a piece's is bounded by its words
     for part in range(count):
         rows = thin.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == part).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Windows([(row.item, bytes(row.text)) for row in rows], window))
+        yield benchmark.sparkSession.sparkContext.broadcast(Windows([(row.item, bytes(row.text)) for row in rows], window)), part == count - 1
 
 
 def scan(
@@ -105,7 +152,6 @@ def scan(
     strings, comma-joined), contaminated, items (array of their ids)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     thin = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    windows = list(parts(benchmark, item_id_col, item_text_col, window, broadcast_bytes))
 
     def one_pass(shared: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +185,11 @@ def scan(
 
         return run
 
-    for shared in windows[:-1]:
-        thin = thin.mapInArrow(one_pass(shared), thin.schema)
-    return thin.mapInArrow(last_pass(windows[-1]), f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>")
+    for shared, last in parts(benchmark, item_id_col, item_text_col, window, broadcast_bytes):
+        if not last:
+            thin = thin.mapInArrow(one_pass(shared), thin.schema).checkpoint()
+            shared.unpersist()
+    return thin.mapInArrow(last_pass(shared), f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>")
 
 
 def without_spans(text: bytes, hit: np.ndarray) -> bytes:
@@ -201,8 +249,11 @@ def decontaminate(
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     docs = docs.withColumn(hits, F.lit(None).cast("binary"))
-    for shared in parts(benchmark, item_id_col, item_text_col, window, broadcast_bytes):
+    for shared, last in parts(benchmark, item_id_col, item_text_col, window, broadcast_bytes):
         docs = docs.mapInArrow(mark(shared), docs.schema)
+        if not last:
+            docs = docs.checkpoint()
+            shared.unpersist()
     return docs.mapInArrow(cut if remove == "spans" else keep, docs.schema).drop(hits)
 
 
