@@ -143,6 +143,24 @@ def test_expressions_are_the_kernel(spark):
     assert nexts == {(k[0], k[1]): (e.e, e.high) for k, e in edges.items() if k[2] and k[3] == 1}
 
 
+def test_down_swings_and_turns_are_the_walk(spark):
+    rng = random.Random(6)
+    series = {f"s{i}": random_series(rng, 20) for i in range(6)}
+    bars = make_bars(spark, series)
+    edges = M.monowaves(bars, 1).collect()
+    nexts = {(r.symbol, r.s): r for r in M.next_swing(bars, "down").collect()}
+    for name, prices in series.items():
+        low, high = map(list, zip(*prices, strict=True))
+        for s in range(len(low)):
+            got = nexts.get((name, s))
+            mirrored = walk([-x for x in high], [-x for x in low], s, True, 1)
+            assert ((got.e, -got.value) if got else None) == mirrored, (name, s)
+    for e in edges:
+        prices = series[e.symbol]
+        beyond = [i for i in range(e.e, len(prices)) if (prices[i][1] > e.high if e.up else prices[i][0] < e.low)]
+        assert e.turn == (beyond[0] if beyond else len(prices))
+
+
 def test_starts(spark):
     rng = random.Random(8)
     series = {"a": random_series(rng, 80, 30), "b": random_series(rng, 3), "c": [(5.0, 5.0)] * 40}
@@ -184,6 +202,95 @@ def test_skip_ahead_agrees_with_the_grid(spark):
     found.unpersist()
 
 
+def window_chains(low, high, family, skips):
+    """A family's waves from the walk over a window's own bars, or None."""
+    plan, at, out = C.FAMILIES[family], skips[0], []
+    for (label, up), skip in zip(plan, skips[1:], strict=True):
+        got = walk(low, high, at, up, skip)
+        if got is None:
+            return None
+        e, value = got
+        lo, hi = (low[at], value) if up else (value, high[at])
+        out.append((label, at, e, float(lo), float(hi), at if up else e, e if up else at, abs(hi - lo), e - at))
+        at = e
+    if len(plan) == 5:
+        sign, level = (1, 3) if family == "impulse" else (-1, 4)
+        prices = low if family == "impulse" else [-x for x in high]
+        for a, b, empty in ((out[1], out[3], False), (out[3], out[4], True)):
+            part = prices[a[2] : b[2]]
+            if not (sign * a[level] <= min(part) if part else empty):
+                return None
+    return out
+
+
+def test_grid_is_each_window_by_itself(spark):
+    """Starts, extrema, chains cut by the window's end, equal prices and cuts, all from the window's own bars."""
+    rng = random.Random(21)
+    series = {}
+    shapes = [(10, -5, 16, -3, 8), (-10, 5, -16, 3, -8), (-10, 5, -8), (6, -3, 9, -4, 7), (-6, 3, -5)]
+    for name in ("x", "y"):
+        p, prices = 200.0, []
+        while len(prices) < 90:
+            for leg in rng.choice(shapes):
+                bars_of = rng.randint(2, 4)
+                for _ in range(bars_of):
+                    p += leg / bars_of
+                    prices.append((p - rng.choice([0.25, 0.25, 0.5]), p + rng.choice([0.25, 0.25, 0.5])))
+        series[name] = prices[:90]
+    bars, up_to, n = make_bars(spark, series), 2, 3
+    spans = [(name, "1wk", i, size) for name in series for i in range(0, 60, 3) for size in (20, 29)]
+    windows = spark.createDataFrame(spans, "symbol string, interval string, start_row int, window_len int")
+    options = {f: [list(r.skips) for r in C.top_options(C.skip_options(spark, up_to, len(C.FAMILIES[f])), 32).orderBy("rank").collect()] for f in P.FAMILIES}
+    rows, extrema = [], {}
+    for name, _, i, size in spans:
+        low, high = ([x[c] for x in series[name][i : i + size]] for c in (0, 1))
+        taken = []
+        for j in range(5, size - 5):
+            if low[j] == min(low[j - 5 : j + 6]) and (not taken or j - taken[-1] >= 10):
+                taken.append(j)
+        for start in sorted({*taken, low.index(min(low))}):
+            d = np.sign(np.diff(low[start:]))
+            extrema[name, i, size, start] = int((d[1:] * d[:-1] == -1).sum())
+            for f, some in options.items():
+                rows += [(name, "1wk", i, size, start, f, rank, config, w) for rank, config in enumerate(some, 1) if (w := window_chains(low, high, f, [start, *config]))]
+    made = spark.createDataFrame(rows, f"symbol string, interval string, start_row int, window_len int, start int, family string, rank int, wave_config array<int>, waves array<{WAVE}>")
+    every = []
+    for f in P.FAMILIES:
+        every += C.scored(made.where(F.col("family") == f), f).collect()
+    want, cut_ends = {}, 0
+    groups = {}
+    for r in every:
+        key = (r.symbol, r.start_row, r.window_len)
+        if r.family != "impulse" or extrema[(*key, r.start)] >= 4:
+            groups.setdefault(key, {}).setdefault(r.start, {}).setdefault(r.family, []).append(r)
+    best = lambda r: (-r.ensemble_score, -r.waves[-1].idx_end)
+    for key, starts in groups.items():
+        seen, unique = set(), []
+        for start in sorted(starts):
+            mine = []
+            for f in P.FAMILIES:
+                once = {}
+                for r in sorted(starts[start].get(f, ()), key=lambda r: r.rank):
+                    once.setdefault(tuple((w.low, w.high) for w in r.waves), r)
+                mine += sorted(once.values(), key=best)[: 2 * n]
+            for r in sorted(mine, key=best)[:n]:
+                if (twin := (r.family, *((w.low, w.high) for w in r.waves))) not in seen:
+                    seen.add(twin)
+                    unique.append(r)
+        want[key] = [(r.start + key[1], r.rule_name, tuple(r.wave_config), r.waves[-1].idx_end + key[1], round(r.ensemble_score, 9)) for r in sorted(unique, key=best)[:n]]
+        cut_ends += sum(w[3] == key[1] + key[2] - 1 and w[2][-1] == 0 for w in want[key])
+    found, cut = P.candidates(spark, bars, up_to, 32), P.open_chains(spark, bars, up_to, 32)
+    got = {}
+    for r in P.scan_grid(bars, windows, found, n=n, cut=cut).orderBy("nth").collect():
+        got.setdefault((r.symbol, r.start_row, r.window_len), []).append((r.start, r.rule_name, tuple(r.wave_config), r.waves[-1].idx_end, round(r.ensemble_score, 9)))
+    assert got == want and cut_ends > 3 and len(want) > 10
+    walked = P.skip_ahead_scan(bars, found, {"1wk": (20, 29, 3)}, cut=cut).collect()
+    assert walked and all(r.error is None for r in walked)
+    for r in walked:
+        if r.window_len == 29 and (r.symbol, r.start_row, 29) in want:
+            assert (r.start, r.rule_name, tuple(r.wave_config), r.end) == want[r.symbol, r.start_row, 29][0][:4]
+
+
 def test_skip_ahead_reads_the_whole_series_and_keeps_hits_before_an_error(spark, tmp_path):
     bars = make_bars(spark, {name: [(1000.0 - i if i <= 580 else 420.0 + i - 580, 2000.0) for i in range(620)] for name in ("long", "bad")})
     rows = [("long", 580, 590), ("bad", 10, 20), ("bad", 580, None)]

@@ -1,7 +1,7 @@
 """Chains of monowaves: enumeration by joins of the edge table, ranking, deduplication, cycles.
 
-Chains join edges on (series, start bar). Options that lead to the same edge ends are told apart by
-their skips only, so edges are joined with the options' skips, the most complex options first.
+Chains join edges on (series, start bar). Options that begin alike share the joins of what they have in common:
+after each wave only the beginnings of options go on.
 """
 
 from __future__ import annotations
@@ -38,45 +38,50 @@ def top_options(options: DataFrame, k: int, max_comb: int = 10**9) -> DataFrame:
 
 
 def chains(edges: DataFrame, family: str, starts: DataFrame | None = None, options: DataFrame | None = None) -> DataFrame:
-    """waves (array of wave structs) of each start and option, with option rank and need_idx. Without options,
-    the edges' skip 0 only. Motive families drop chains that undercut their second or fourth wave."""
+    """waves (array of wave structs) of each start and option, with option rank, need_idx, prefix_need (of all waves but
+    the last) and turns (of each wave's end). Without options, the edges' skip 0 only."""
     plan = FAMILIES[family]
-    edges = edges.where("e is not null")
+    n = len(plan)
     if options is None:
         edges = edges.where("skip = 0")
     out = None
-    for i, (label, up) in enumerate(plan):
-        side = edges.where(F.col("up") == up).select(*SERIES, F.col("s").alias(f"s{i}"), F.col("skip").alias(f"k{i}"), F.col("e").alias(f"s{i + 1}"), F.col("need_idx").alias(f"n{i}"), wave_struct(label, up, F.col("s"), F.col("e"), F.col("low"), F.col("high")).alias(f"w{i}"))
+    for i, (_, up) in enumerate(plan):
+        names = {"s": f"s{i}", "skip": f"k{i}", "e": f"s{i + 1}", "need_idx": f"n{i}", "turn": f"t{i}", "low": f"lo{i}", "high": f"hi{i}"}
+        side = edges.where(F.col("up") == up).select(*SERIES, *[F.col(c).alias(name) for c, name in names.items()])
         if out is None:
             out = side if starts is None else side.join(starts.select(*SERIES, F.col("start").alias("s0")), [*SERIES, "s0"], "left_semi")
-            if options is not None:
-                out = out.join(F.broadcast(options.select("rank", *[F.col("skips")[j].alias(f"k{j}") for j in range(len(plan))])), "k0")  # top options: k rows
         else:
-            out = out.join(side, [*SERIES, f"s{i}"] + ([f"k{i}"] if options is not None else []))
-    n = len(plan)
+            out = out.join(side, [*SERIES, f"s{i}"])
+        if options is not None:  # at most as many rows as options
+            begun = F.broadcast(options.select(*[F.col("skips")[j].alias(f"k{j}") for j in range(i + 1)], *["rank"] * (i + 1 == n)).distinct())
+            out = out.join(begun, [f"k{j}" for j in range(i + 1)])
     rank = F.lit(1).alias("rank") if options is None else F.col("rank")
-    config = F.array(*[F.col(f"k{i}") for i in range(n)])
-    return out.select(*SERIES, F.col("s0").alias("start"), rank, config.alias("wave_config"), F.array(*[F.col(f"w{i}") for i in range(n)]).alias("waves"), F.greatest(*[F.col(f"n{i}") for i in range(n)]).alias("need_idx"))
+    each = lambda c: F.array(*[F.col(f"{c}{i}") for i in range(n)])
+    waves = F.array(*[wave_struct(label, up, F.col(f"s{i}"), F.col(f"s{i + 1}"), F.col(f"lo{i}"), F.col(f"hi{i}")) for i, (label, up) in enumerate(plan)])
+    needs = [F.col(f"n{i}") for i in range(n)]
+    return out.select(*SERIES, F.col("s0").alias("start"), rank, each("k").alias("wave_config"), waves.alias("waves"), F.greatest(*needs).alias("need_idx"), F.greatest(*needs[:-1], F.lit(0)).alias("prefix_need"), each("t").alias("turns"))
 
 
-def guard(found: DataFrame, bars: DataFrame, family: str) -> DataFrame:
+def guard(found: DataFrame, family: str) -> DataFrame:
     """Motive chains without those in which a bar from the second wave's end to the fourth's, or from the fourth's
-    to the fifth's, undercuts (for bearish ones: exceeds) that wave."""
+    to the fifth's, undercuts (for bearish ones: exceeds) that wave: the bar at which its end is passed comes later."""
     if family not in ("impulse", "bearish_impulse"):
         return found
-    bearish = family == "bearish_impulse"
-    # prices by bar, one array per series, so that a chain reads a slice of it; a series is one task's unit elsewhere, too
-    value = "high" if bearish else "low"
-    arrays = bars.groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("bar_idx", value))), lambda x: x[value]).alias("_v"))
-    joined = found.join(arrays, list(SERIES))
-    extreme = F.array_max if bearish else F.array_min
+    w, t = F.col("waves"), F.col("turns")
+    end = [w[i]["idx_end"] for i in range(5)]
+    return found.where((end[3] > end[1]) & (t[1] >= end[3]) & ((end[4] == end[3]) | (t[3] >= end[4])))
 
-    def holds(a: Column, b: Column) -> Column:
-        part = extreme(F.slice("_v", a["idx_end"] + 1, F.greatest(F.lit(0), b["idx_end"] - a["idx_end"])))
-        return a[value] >= part if bearish else a[value] <= part
 
-    w = F.col("waves")
-    return joined.where(F.coalesce(holds(w[1], w[3]), F.lit(False)) & F.coalesce(holds(w[3], w[4]), F.lit(True))).drop("_v")
+def cut_short(found: DataFrame, family: str, at: Column, low: Column, high: Column) -> DataFrame:
+    """The chains whose last wave, a first swing, is still on its way at a bar, with that wave ending there."""
+    label, up = FAMILIES[family][-1]
+    last = F.element_at("waves", -1)
+    found = found.where((F.element_at("wave_config", -1) == 0) & (F.col("prefix_need") <= at) & (last["idx_start"] < at) & (last["idx_end"] > at))
+    part = wave_struct(label, up, last["idx_start"], at, last["low"] if up else low, high if up else last["high"])
+    n = len(FAMILIES[family])
+    # exploding a list of one keeps Catalyst from working the waves out again wherever a rule names one
+    waves = F.explode(F.array(F.concat(F.slice("waves", 1, n - 1), F.array(part))))
+    return found.withColumn("_waves", waves).withColumns({"waves": F.col("_waves"), "need_idx": at.cast("int")}).drop("_waves")
 
 
 def scored(found: DataFrame, family: str) -> DataFrame:
@@ -95,12 +100,37 @@ def vertices(waves: Column) -> Column:
     return F.transform(waves, lambda x: F.struct(x["low"], x["high"]))
 
 
-def dedup_candidates(found: DataFrame) -> DataFrame:
-    """Of candidates of one series and family with equal wave prices, the first by start and option."""
-    order = Window.partitionBy(*SERIES, "rule_name", vertices(F.col("waves"))).orderBy("start", "rank")
+def family_order(rule: Column) -> Column:
+    """Families are scanned in this order; the first wins ties."""
+    return F.when(rule.isin("impulse", "leading_diagonal"), 0).when(rule == "bearish_impulse", 1).when(rule == "Corrective", 2).otherwise(3)
+
+
+def dedup_candidates(found: DataFrame, by: tuple[str, ...] = (*SERIES, "start")) -> DataFrame:
+    """Of candidates of one group (a start; or a window) and family with equal wave prices, the first by start and option."""
+    order = Window.partitionBy(*by, family_order(F.col("rule_name")), vertices(F.col("waves"))).orderBy("start", "rank")
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def best_of_window(found: DataFrame, n: int, window: tuple[str, ...], families: int = 3) -> DataFrame:
+    """The n best candidates of each window, with nth: within a start, equal prices count once per family, each family
+    has its 2n best (n, if only one is scanned) and all together their n best; then equal prices of later starts go."""
+    end = F.element_at("waves", -1)["idx_end"]
+    family = family_order(F.col("rule_name"))
+    best = [F.desc("ensemble_score"), end.desc()]
+
+    def first(df: DataFrame, by: list, order: list, most: int) -> DataFrame:
+        return df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("nth") <= most)
+
+    if n > 1:
+        found = first(found, [*window, "start", family, vertices(F.col("waves"))], ["rank"], 1)
+        found = first(found, [*window, "start", family], [*best, "rank"], 2 * n if families > 1 else n)
+        found = first(found, [*window, "start"], [*best, family, "rank"], n)
+        found = first(found, [*window, family, vertices(F.col("waves"))], ["start", *best, "rank"], 1)
+    # for the best alone, none of that matters: what goes is no better than what stays
+    tie = "rank" if "rank" in found.columns else "wave_config"
+    return first(found, list(window), [*best, "start", family, tie], n)
+
+
 def rank_patterns(found: DataFrame, n: int, by: tuple[str, ...] = (*SERIES, "start")) -> DataFrame:
     """The n best of each group by ensemble score, then later end, then rule name and option."""
     end = F.element_at("waves", -1)["idx_end"]

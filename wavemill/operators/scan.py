@@ -1,84 +1,105 @@
 """Scans: candidates once per series, then windows choose among them.
 
 A candidate is a chain of absolute bars with the last bar that must be known for it (need_idx), so it
-belongs to every window that holds its start and that bar; a pattern still open at a window's end is none
-of that window's. The grid scan is joins only and spreads one long series over many tasks; the
-skip-ahead scan, whose next window depends on the last hit, walks each series in a grouped map.
+belongs to every window that holds its start and that bar. A window sees its own bars only, so a chain whose last
+wave is a first swing that runs beyond the window's end is cut there: those chains are kept apart, unscored
+(open_chains), and finished per window. The scans are joins and spread one long series over many tasks; the
+skip-ahead scan, whose next window depends on the last hit, looks up the best candidate of the window at each bar and
+walks each series over these in a grouped map.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chains as C
 from .swings import monowaves
-from .windows import local_lows, select_starts
+from .windows import window_starts
 
 SERIES = ("symbol", "interval")
 WINDOW = (*SERIES, "start_row", "window_len")
+FAMILIES = ("impulse", "bearish_impulse", "corrective")
+#: Impulses are looked for from starts with at least so many extrema up to the window's end.
+LEAST_EXTREMA = 4
 
 
-def candidates(spark: SparkSession, bars: DataFrame, up_to: int = 3, top_k: int = 300, families: tuple[str, ...] = ("impulse", "bearish_impulse", "corrective"), distinct: bool = True) -> DataFrame:
-    """All patterns of the families from every bar, over the top_k options of each: start, rule_name, wave_config,
-    waves, need_idx, fib_score, ensemble_score, rank."""
-    edges = monowaves(bars, up_to - 1)
-    found = []
-    for family in families:
-        options = C.top_options(C.skip_options(spark, up_to, len(C.FAMILIES[family])), top_k)
-        found.append(C.scored(C.guard(C.chains(edges, family, options=options), bars, family), family))
-    every = reduce(DataFrame.unionByName, found)
-    return C.dedup_candidates(every) if distinct else every
-
-
-def scan_grid(bars: DataFrame, windows: DataFrame, found: DataFrame, k: int = 5, distance: int = 10, max_starts: int = 10, n: int = 1) -> DataFrame:
-    """The n best candidates of each window, from its local lows."""
-    last = F.col("start_row") + F.col("window_len") - 1
-    held = windows.join(bars.select(*SERIES, F.col("bar_idx").alias("_i"), "low"), list(SERIES)).where((F.col("_i") >= F.col("start_row")) & (F.col("_i") <= last))
-    lows = local_lows(held.select(*WINDOW, (F.col("_i") - F.col("start_row")).alias("bar_idx"), "low"), k, distance, WINDOW)
-    starts = select_starts(lows, max_starts).select(*WINDOW, F.explode("starts").alias("start")).withColumn("start", F.col("start") + F.col("start_row"))
-    return C.rank_patterns(starts.join(found, [*SERIES, "start"]).where(F.col("need_idx") <= last), n, WINDOW)
+def all_chains(spark: SparkSession, bars: DataFrame, up_to: int, top_k: int, families: tuple[str, ...] = FAMILIES, edges: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The chains of each family over the top_k options."""
+    edges = monowaves(bars, up_to - 1) if edges is None else edges
+    return {family: C.chains(edges, family, options=C.top_options(C.skip_options(spark, up_to, len(C.FAMILIES[family])), top_k)) for family in families}
 
 
-def skip_ahead_scan(bars: DataFrame, found: DataFrame, geometry: dict[str, tuple[int, int, int]], k: int = 5, distance: int = 10, max_starts: int = 10, max_windows: int | None = None) -> DataFrame:
+def candidates(
+    spark: SparkSession, bars: DataFrame, up_to: int = 3, top_k: int = 300, families: tuple[str, ...] = FAMILIES, distinct: bool = True, edges: DataFrame | None = None
+) -> DataFrame:
+    """All patterns of the families from every bar, over the top_k options of each: start, rule_name, wave_config,
+    waves, need_idx, fib_score, ensemble_score, rank. Distinct: of a start's patterns with the same waves, the first."""
+    found = [C.scored(C.guard(c, family), family).drop("turns", "prefix_need") for family, c in all_chains(spark, bars, up_to, top_k, families, edges).items()]
+    every = reduce(DataFrame.unionByName, found)
+    return every.transform(lambda df: C.dedup_candidates(df, (*SERIES, "start", "need_idx"))) if distinct else every
+
+
+def open_chains(spark: SparkSession, bars: DataFrame, up_to: int = 3, top_k: int = 300, families: tuple[str, ...] = FAMILIES, edges: DataFrame | None = None) -> DataFrame:
+    """The chains that a window's end can cut: their last wave is a first swing of more than one bar."""
+    last = F.element_at("waves", -1)
+    cut = (F.element_at("wave_config", -1) == 0) & (last["idx_end"] > F.greatest(last["idx_start"] + 1, "prefix_need"))
+    return reduce(DataFrame.unionByName, [c.where(cut).withColumn("family", F.lit(family)) for family, c in all_chains(spark, bars, up_to, top_k, families, edges).items()])
+
+
+def scan_grid(
+    bars: DataFrame, windows: DataFrame, found: DataFrame, k: int = 5, distance: int = 10, max_starts: int = 10, n: int = 1,
+    cut: DataFrame | None = None, families: tuple[str, ...] = FAMILIES,
+) -> DataFrame:
+    """The n best candidates of each window, from its local lows; with cut (open_chains), also those that the window's end
+    cuts short."""
+    starts = window_starts(bars, windows, k, distance, max_starts)
+    hits = [starts.join(found, [*SERIES, "start"]).where(F.col("need_idx") <= F.col("last"))]
+    if cut is not None:
+        met = starts.join(cut, [*SERIES, "start"])
+        for family in families:
+            short = C.cut_short(met.where(F.col("family") == family), family, F.col("last"), F.col("low_last"), F.col("high_last"))
+            hits.append(C.scored(C.guard(short, family), family).select(*hits[0].columns))
+    every = reduce(DataFrame.unionByName, hits)
+    every = every.where(~F.col("rule_name").isin("impulse", "leading_diagonal") | (F.col("extrema") >= LEAST_EXTREMA))
+    return C.best_of_window(every.drop("last", "low_last", "high_last", "extrema"), n, WINDOW, len(families))
+
+
+def skip_ahead_scan(
+    bars: DataFrame, found: DataFrame, geometry: dict[str, tuple[int, int, int]], k: int = 5, distance: int = 10, max_starts: int = 10,
+    max_windows: int | None = None, cut: DataFrame | None = None, families: tuple[str, ...] = FAMILIES,
+) -> DataFrame:
     """Per series: the best candidate of the window at i; after a hit, i moves past its end, else by the slide.
     Columns: symbol, interval, start_row, window_len, start, rule_name, wave_config, ensemble_score, end, error.
     What fails in a series is that series' error, not the job's: a row of its own, after the hits before it.
     The walk ends with the series, or after max_windows windows if given."""
-    thin = found.select(*SERIES, "start", "rule_name", "wave_config", "need_idx", "ensemble_score", F.element_at("waves", -1)["idx_end"].alias("end"))
+    spark = bars.sparkSession
+    sizes = spark.createDataFrame([(i, g[0], g[1]) for i, g in geometry.items()], "interval string, shortest int, longest int")
+    n = bars.groupBy(*SERIES).agg(F.count("*").cast("int").alias("n"))
+    windows = n.join(F.broadcast(sizes), "interval").where("n >= shortest").withColumn("start_row", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("shortest"))))
+    windows = windows.select(*SERIES, "start_row", F.least("longest", F.col("n") - F.col("start_row")).alias("window_len"))
+    best = scan_grid(bars, windows, found, k, distance, max_starts, 1, cut, families)
+    best = best.select(*WINDOW, "start", "rule_name", "wave_config", "ensemble_score", F.element_at("waves", -1)["idx_end"].alias("end"))
     schema = "symbol string, interval string, start_row int, window_len int, start int, rule_name string, wave_config array<int>, ensemble_score double, end int, error string"
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def lows_of(low: np.ndarray) -> list[int]:
-        lowest = int(low.argmin())
-        taken: list[int] = []
-        for i in range(k, len(low) - k):
-            if low[i] == low[i - k : i + k + 1].min() and (not taken or i - taken[-1] >= distance):
-                taken.append(i)
-        taken = sorted({*taken, lowest})
-        return taken if len(taken) <= max_starts else sorted({*taken[: max(1, max_starts - 1)], lowest})[:max_starts]
-
-    def walk(key: tuple, b: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, series: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         try:
-            low = b.sort_values("bar_idx")["low"].to_numpy(float)
+            bars_in, hits = int(series["n"].iloc[0]), b.set_index("start_row")
             shortest, longest, slide = geometry[key[1]]
-            c = c.assign(config=c["wave_config"].map(tuple)).sort_values(["ensemble_score", "end", "rule_name", "config", "start"], ascending=[False, False, True, True, True])
             if slide < 1:
                 raise ValueError("the slide is one bar at least")
             i = seen = 0
-            while len(low) - i >= shortest and (max_windows is None or seen < max_windows):
+            while bars_in - i >= shortest and (max_windows is None or seen < max_windows):
                 seen += 1
-                size = min(longest, len(low) - i)
-                fits = c[c["start"].isin([i + x for x in lows_of(low[i : i + size])]) & (c["need_idx"] <= i + size - 1)]
-                if len(fits):
-                    hit = fits.iloc[0]
+                if i in hits.index:
+                    hit = hits.loc[i]
                     past = int(hit["end"]) + slide
-                    out.append((*key, i, size, hit["start"], hit["rule_name"], list(hit["wave_config"]), hit["ensemble_score"], hit["end"], None))
+                    out.append((*key, i, min(longest, bars_in - i), hit["start"], hit["rule_name"], list(hit["wave_config"]), hit["ensemble_score"], hit["end"], None))
                     i = past
                 else:
                     i += slide
@@ -87,7 +108,8 @@ def skip_ahead_scan(bars: DataFrame, found: DataFrame, geometry: dict[str, tuple
         frame = pd.DataFrame(out, columns=names)
         return frame.astype({n: "Int32" for n in ("start_row", "window_len", "start", "end")})
 
-    return bars.select(*SERIES, "bar_idx", "low").groupBy(*SERIES).cogroup(thin.groupBy(*SERIES)).applyInPandas(walk, schema)
+    best = best.withColumnsRenamed({"symbol": "of_symbol", "interval": "of_interval"})  # both sides stem from the bars
+    return n.groupBy(*SERIES).cogroup(best.groupBy("of_symbol", "of_interval")).applyInPandas(walk, schema)
 
 
 def pending(series: DataFrame, done: DataFrame) -> DataFrame:

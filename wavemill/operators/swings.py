@@ -3,11 +3,14 @@
 first_swing and next_swing are window expressions and range joins; monowaves, which chase pointers over
 a whole series, is a grouped-map kernel over numpy arrays. An edge says that from bar s, in a direction
 and with a number of skips, a monowave ends at bar e; need_idx is the last bar that must be known for
-the edge to hold, so that one edge table serves every window of the series.
+the edge to hold, so that one edge table serves every window of the series. turn is the first bar from e on that
+goes beyond the edge's end value (the series' length if none does).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SERIES = ("symbol", "interval")
-EDGE = "symbol string, interval string, s int, up boolean, skip int, e int, low double, high double, need_idx int"
+EDGE = "symbol string, interval string, s int, up boolean, skip int, e int, low double, high double, need_idx int, turn int"
 
 
 def with_runs(bars: DataFrame) -> DataFrame:
@@ -67,13 +70,22 @@ def kernel(low: np.ndarray, high: np.ndarray, up: bool, max_skip: int, strict: b
             below[stack.pop()] = i
         stack.append(i)
 
+    reach = np.full(n, n)  # first later bar whose high is no lower than this bar's low
+    records: list[int] = []  # later bars higher than all before them, the nearest last
+    heights: list[float] = []
+    for i in range(n - 1, -1, -1):
+        if at := bisect_right(heights, -low[i]):
+            reach[i] = records[at - 1]
+        while records and high[records[-1]] <= high[i]:
+            records.pop(), heights.pop()
+        records.append(i), heights.append(-high[i])
+
     def following(e: int, value: float, at_start: bool) -> tuple[int, bool, int] | None:
         """After a swing that ended at e: (end, progress, deciding bar), or None if it needs bars that do not exist."""
         if at_start:  # the value is low[e], a high may lie anywhere
-            later = np.flatnonzero(high[e + 1 :] >= value)
-            if not len(later):
+            j = int(reach[e])
+            if j >= n:
                 return None
-            j = e + 1 + int(later[0])
             if high[j] == value:
                 return (e, False, j)
         elif value == low[e] and not_less[e] < n and high[not_less[e]] == value:  # a flat bar: the first equal bar decides
@@ -112,6 +124,17 @@ def kernel(low: np.ndarray, high: np.ndarray, up: bool, max_skip: int, strict: b
     return [(s, k, e, v if up else -v, need) for s, k, e, v, need in out]
 
 
+def turns(low: np.ndarray, high: np.ndarray, up: bool, e: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The first bar from e on beyond the value, which is bar e's own high (low) or, for waves of zero length, within it."""
+    beyond, value = (high, value) if up else (-low, -value)
+    later, stack = np.full(len(beyond), len(beyond)), []
+    for i in range(len(beyond)):
+        while stack and beyond[i] > beyond[stack[-1]]:
+            later[stack.pop()] = i
+        stack.append(i)
+    return np.where(beyond[e] > value, e, later[e])
+
+
 def monowaves(bars: DataFrame, max_skip: int, strict: bool = False) -> DataFrame:
     """Edges of both directions with 0 to max_skip skips; missing where a step finds no end. Down waves end where
     a bar before their end exceeds their start; up waves only if strict."""
@@ -119,29 +142,66 @@ def monowaves(bars: DataFrame, max_skip: int, strict: bool = False) -> DataFrame
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bar_idx")
         low, high = part["low"].to_numpy(float), part["high"].to_numpy(float)
-        rows = []
+        out = []
         for up in (True, False):
-            for s, skip, e, value, need in kernel(low, high, up, max_skip, strict):
-                rows.append((part["symbol"].iloc[0], part["interval"].iloc[0], s, up, skip, e, low[s] if up else value, value if up else high[s], need))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in EDGE.split(", ")])
+            found = pd.DataFrame(kernel(low, high, up, max_skip, strict), columns=["s", "skip", "e", "value", "need_idx"])
+            start, value = (low if up else high)[found["s"]], found["value"].to_numpy(float)
+            found["up"], found["low"], found["high"] = up, *((start, value) if up else (value, start))
+            found["turn"] = turns(low, high, up, found["e"].to_numpy(int), value)
+            out.append(found)
+        every = pd.concat(out)
+        every["symbol"], every["interval"] = part["symbol"].iloc[0], part["interval"].iloc[0]
+        return every[[c.split()[0] for c in EDGE.split(", ")]]
 
     return bars.select(*SERIES, "bar_idx", "low", "high").groupBy(*SERIES).applyInPandas(run, EDGE)
 
 
-def next_swing(bars: DataFrame) -> DataFrame:
-    """The next higher swing after each bar's first swing high (skip 1 of an up wave): e and value, with
-    progress false for a stall; no row where the series ends first. A check of the kernel by joins."""
+def next_swing(bars: DataFrame, direction: str = "up") -> DataFrame:
+    """The next swing beyond each bar's first swing (skip 1 of an up or a down wave, whatever lies between): e and
+    value, with progress false for a stall; no row where the series ends first. A check of the kernel by joins:
+    what comes next is looked up by bar, from the next bars that reach its high and its low."""
+    up = direction == "up"
+    if not up:  # the mirror
+        bars = bars.withColumns({"low": -F.col("high"), "high": -F.col("low")})
     first = first_swing(bars).withColumnsRenamed({"e": "e0", "value": "v0"})
-    first = first.join(bars.select(*SERIES, F.col("bar_idx").alias("e0"), F.col("low").alias("l0")), [*SERIES, "e0"])
-    later = bars.select(*SERIES, F.col("bar_idx").alias("j"), "high")
-    pairs = first.join(later, [*SERIES]).where("j > e0 and high >= v0")
-    found = pairs.groupBy(*SERIES, "s", "e0", "v0", "l0").agg(F.slice(F.array_sort(F.collect_list(F.struct("j", "high"))), 1, 2).alias("c"))
-    one, two = F.col("c")[0], F.try_element_at("c", F.lit(2))
-    at_once = F.col("v0") == F.col("l0")  # a zero-length swing or a flat bar
-    stall = (one["high"] == F.col("v0")) & (at_once | (two["high"] == F.col("v0")))
-    j = F.when(~at_once & (one["high"] == F.col("v0")), two["j"]).otherwise(one["j"])
-    found = found.withColumns({"stall": F.coalesce(stall, F.lit(False)), "j": j}).where("j is not null")
-    ends = with_runs(bars).select(*SERIES, F.col("bar_idx").alias("j"), F.col("rise_end").alias("end"), (F.max("bar_idx").over(Window.partitionBy(*SERIES))).alias("last"))
-    tops = bars.select(*SERIES, F.col("bar_idx").alias("end"), F.col("high").alias("top"))
-    got = found.join(ends, [*SERIES, "j"]).join(tops, [*SERIES, "end"]).where("stall or end < last")
-    return got.select(*SERIES, "s", F.when(F.col("stall"), F.col("e0")).otherwise(F.col("end")).alias("e"), F.when(F.col("stall"), F.col("v0")).otherwise(F.col("top")).alias("value"), (~F.col("stall")).alias("progress"))
+    at = bars.select(*SERIES, "bar_idx", "low", "high")
+    by_series = Window.partitionBy(*SERIES)
+    marked = at.join(reached(at), [*SERIES, "bar_idx"])
+    runs = with_runs(bars).select(*SERIES, "bar_idx", F.col("rise_end").alias("end"), F.max("bar_idx").over(by_series).alias("last"))
+    look = lambda name, cols: marked.join(runs, [*SERIES, "bar_idx"]).select(*SERIES, F.col("bar_idx").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
+    got = first.join(look("e0", ["low", "of_high", "of_low"]), [*SERIES, "e0"])
+    at_start = F.col("e0") == F.col("s")
+    got = got.withColumn("j", F.when(at_start, F.col("e0_of_low")).otherwise(F.col("e0_of_high"))).where("j is not null")
+    got = got.join(look("j", ["high", "end", "last", "of_high"]), [*SERIES, "j"])
+    equal, at_once = F.col("j_high") == F.col("v0"), at_start | (F.col("v0") == F.col("e0_low"))
+    got = got.withColumn("k", F.when(equal & ~at_once, F.col("j_of_high"))).where(F.col("k").isNotNull() | ~equal | at_once)
+    got = got.join(look("k", ["high", "end"]), [*SERIES, "k"], "left")
+    stall = equal & (at_once | (F.col("k_high") == F.col("v0")))
+    end = F.when(F.col("k").isNotNull(), F.col("k_end")).otherwise(F.col("j_end"))
+    got = got.withColumns({"stall": F.coalesce(stall, F.lit(False)), "end": end}).where("stall or end < j_last")
+    tops = at.select(*SERIES, F.col("bar_idx").alias("end"), F.col("high").alias("top"))
+    got = got.join(tops, [*SERIES, "end"])
+    value = F.when(F.col("stall"), F.col("v0")).otherwise(F.col("top"))
+    return got.select(*SERIES, "s", F.when(F.col("stall"), F.col("e0")).otherwise(F.col("end")).alias("e"), (value if up else -value).alias("value"), (~F.col("stall")).alias("progress"))
+
+
+def reached(bars: DataFrame) -> DataFrame:
+    """of_high and of_low of each bar: the first later bar whose high is no lower than its high, and than its low (null if
+    none). One pass of a series, by a stack of later records."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("bar_idx")
+        low, high = part["low"].to_numpy(float), part["high"].to_numpy(float)
+        records, heights, out = [], [], np.full((2, len(low)), -1)
+        for i in range(len(low) - 1, -1, -1):
+            for row, value in enumerate((high[i], low[i])):
+                if at := bisect_right(heights, -value):
+                    out[row, i] = records[at - 1]
+            while records and high[records[-1]] <= high[i]:
+                records.pop(), heights.pop()
+            records.append(i), heights.append(-high[i])
+        idx = part["bar_idx"].to_numpy()
+        named = [pd.array([int(idx[j]) if j >= 0 else None for j in row], "Int32") for row in out]
+        return pd.DataFrame({"symbol": part["symbol"], "interval": part["interval"], "bar_idx": idx, "of_high": named[0], "of_low": named[1]})
+
+    return bars.select(*SERIES, "bar_idx", "low", "high").groupBy(*SERIES).applyInPandas(run, "symbol string, interval string, bar_idx int, of_high int, of_low int")

@@ -14,6 +14,8 @@ GEOMETRY = {
     "hybrid": {"1h": (40, 200, 20), "1d": (40, 200, 10), "1wk": (20, 104, 4)},
 }
 BARS_PER_WEEK = {"1d": 7, "1wk": 1}
+#: Bars of a stretch by which windows meet local lows.
+SPAN = 64
 
 
 def window_config(spark: SparkSession, profile: str = "default") -> DataFrame:
@@ -59,6 +61,47 @@ def local_lows(bars: DataFrame, k: int = 5, distance: int = 3, keys: tuple[str,
     return found.select(*keys, F.array_sort(F.array_union(spaced(F.col("i"), distance), F.array("at"))).alias("starts"), F.col("at").alias("lowest"))
 
 
+def lowest_in(bars: DataFrame, spans: DataFrame) -> DataFrame:
+    """Adds lowest, the first bar of the least low, to spans of bars (SERIES, first, last): the lower one of two
+    spans of a power of two bars that cover it, whose lowest bars are found by doubling."""
+    levels = max(0, (spans.agg(F.max(F.col("last") - F.col("first") + 1)).first()[0] or 1).bit_length())
+    w = Window.partitionBy(*SERIES).orderBy("bar_idx")
+    b = bars.select(*SERIES, "bar_idx", F.struct("low", "bar_idx").alias("_m0"))
+    for p in range(1, levels):
+        b = b.withColumn(f"_m{p}", F.least(f"_m{p - 1}", F.lead(f"_m{p - 1}", 1 << (p - 1)).over(w)))
+    tops = F.array(*[f"_m{p}" for p in range(max(1, levels))])
+    level = F.length(F.bin((F.col("last") - F.col("first") + 1).cast("long"))) - 1
+    spans = spans.withColumn("_level", level).withColumn("_second", F.expr("cast(last - shiftleft(1, _level) + 1 as int)"))
+    one = b.select(*SERIES, F.col("bar_idx").alias("first"), tops.alias("_a"))
+    two = b.select(*SERIES, F.col("bar_idx").alias("_second"), tops.alias("_b"))
+    found = spans.join(one, [*SERIES, "first"]).join(two, [*SERIES, "_second"])
+    return found.withColumn("lowest", F.least(F.col("_a")[F.col("_level")], F.col("_b")[F.col("_level")])["bar_idx"]).drop("_a", "_b", "_level", "_second")
+
+
+def window_starts(bars: DataFrame, windows: DataFrame, k: int = 5, distance: int = 10, most: int = 10) -> DataFrame:
+    """start, last and extrema (of the lows from the start to the window's end), low_last and high_last for each start of
+    each window (symbol, interval, start_row, window_len): local_lows and select_starts of the windows' own bars. Local
+    lows are found once per series; a window meets those of its stretches of SPAN bars only."""
+    series = Window.partitionBy(*SERIES).orderBy("bar_idx")
+    step = F.signum(F.col("low") - F.lag("low").over(series))
+    marked = bars.select(*SERIES, "bar_idx", "low", "high", step.alias("_d"), F.min("low").over(series.rowsBetween(-k, k)).alias("_least"))
+    marked = marked.withColumn("_x", F.sum(F.when(F.col("_d") * F.lag("_d").over(series) == -1, 1).otherwise(0)).over(series))
+    lows = marked.where("low = _least").select(*SERIES, F.col("bar_idx").alias("_i"), F.floor(F.col("bar_idx") / SPAN).alias("_span"))
+    spans = windows.select(*SERIES, "start_row", "window_len", F.col("start_row").alias("first"), (F.col("start_row") + F.col("window_len") - 1).alias("last"))
+    spans = lowest_in(bars, spans)
+    inside = (F.col("_i") >= F.col("first") + k) & (F.col("_i") <= F.col("last") - k)
+    key = [*SERIES, "start_row", "window_len"]
+    near = spans.withColumn("_span", F.explode(F.sequence(F.floor(F.col("first") / SPAN), F.floor(F.col("last") / SPAN)))).join(lows, [*SERIES, "_span"]).where(inside)
+    near = near.groupBy(*key).agg(F.array_sort(F.collect_list("_i")).alias("_lows"))  # bounded by the window's length
+    both = spans.join(near, key, "left").withColumn("_lows", spaced(F.coalesce("_lows", F.array().cast("array<int>")), distance))
+    both = select_starts(both.withColumn("starts", F.array_sort(F.array_union("_lows", F.array("lowest")))), most)
+    each = both.select(*key, "last", F.explode("starts").alias("start"))
+    at_last = marked.select(*SERIES, F.col("bar_idx").alias("last"), F.col("low").alias("low_last"), F.col("high").alias("high_last"), F.col("_x").alias("_x_last"))
+    at_start = marked.select(*SERIES, F.col("bar_idx").alias("start"), F.lead("_x").over(series).alias("_x_start"))
+    each = each.join(at_last, [*SERIES, "last"]).join(at_start, [*SERIES, "start"])
+    return each.withColumn("extrema", F.greatest(F.lit(0), F.coalesce(F.col("_x_last") - F.col("_x_start"), F.lit(0)))).drop("_x_last", "_x_start")
+
+
 def select_starts(starts: DataFrame, m: int) -> DataFrame:
     """At most m starts: the first m - 1 and the lowest."""
     some = F.when(F.size("starts") > m, F.slice(F.array_sort(F.array_union(F.slice("starts", 1, max(1, m - 1)), F.array("lowest"))), 1, m)).otherwise(F.col("starts"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import rules as R
 from ..functions.scoring import ensemble_score
 from ..operators import chains as C
 from ..operators.resample import index_bars, ticks_to_bars
-from ..operators.swings import first_swing
+from ..operators.swings import monowaves
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,22 +57,25 @@ def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def simple_edges(bars: DataFrame) -> DataFrame:
-    """First swings of both directions as edges of skip 0."""
-    start = bars.select("symbol", "interval", F.col("bar_idx").alias("s"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder (spark.checkpoint.dir), for what is read more than once: later plans know
+    its size, and lost executors read it again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kept"
+    path = f"{folder}/kept-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    def one(up: bool) -> DataFrame:
-        found = first_swing(bars, "up" if up else "down").join(start, ["symbol", "interval", "s"])
-        low, high = (F.col("_low"), F.col("value")) if up else (F.col("value"), F.col("_high"))
-        return found.select("symbol", "interval", "s", F.lit(up).alias("up"), F.lit(0).alias("skip"), "e", low.alias("low"), high.alias("high"), F.col("e").alias("need_idx"))
 
-    return one(True).unionByName(one(False))
+def simple_edges(bars: DataFrame) -> DataFrame:
+    """First swings of both directions as edges of skip 0."""
+    return kept(monowaves(bars, 0))
 
 
 def simple_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every complete chain of first swings over weekly bars, as a pattern table: impulses, bearish impulses and
     corrections with a positive first wave, whether their rules hold (passes) or not, with scores and dates."""
-    bars = weekly_bars(spark, sf_dir)
+    bars = kept(weekly_bars(spark, sf_dir))
     edges = simple_edges(bars)
     w = F.col("waves")
     out = None
@@ -80,4 +85,4 @@ def simple_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = ensemble_score(w, F.col("rule_score"))
     out = out.withColumns({"ensemble_score": parts["score"], "fib_score": parts["fib"], "time_score": parts["time"], "end": F.element_at("waves", -1)["idx_end"]})
     at = lambda n, c: bars.select("symbol", "interval", F.col("bar_idx").alias(c), F.col("bar_ts").alias(n))
-    return out.join(at("date_start", "start"), ["symbol", "interval", "start"]).join(at("date_end", "end"), ["symbol", "interval", "end"])
+    return kept(out.drop("turns", "prefix_need").join(at("date_start", "start"), ["symbol", "interval", "start"]).join(at("date_end", "end"), ["symbol", "interval", "end"]))

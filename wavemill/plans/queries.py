@@ -236,6 +236,11 @@ def m3_next_swing(spark, d):
     return M.next_swing(X.weekly_bars(spark, d)).drop("interval")
 
 
+@query
+def m4_next_swing_down(spark, d):
+    return M.next_swing(X.weekly_bars(spark, d), "down").drop("interval")
+
+
 @query
 def m5_monowaves_one_skip(spark, d):
     edges = M.monowaves(X.weekly_bars(spark, d), 1).where("up and skip = 1")
@@ -266,9 +271,8 @@ def p2_top_options(spark, d):
 
 
 def plain(family: str, guarded: bool, spark: SparkSession, d: str) -> DataFrame:
-    bars = X.weekly_bars(spark, d)
-    found = C.chains(X.simple_edges(bars), family)
-    return flat_waves(C.guard(found, bars, family) if guarded else found)
+    found = C.chains(X.simple_edges(X.weekly_bars(spark, d)), family)
+    return flat_waves(C.guard(found, family) if guarded else found)
 
 
 QUERIES["p3_impulse_chains"] = partial(plain, "impulse", True)
@@ -296,34 +300,70 @@ def p9_rank_patterns(spark, d):
     return rounded(C.rank_patterns(X.simple_patterns(spark, d), 3, ("symbol",)).select(*PATTERN, "nth", "ensemble_score"))
 
 
+def config() -> Column:
+    return F.array_join(F.col("wave_config").cast("array<string>"), ",").alias("config")
+
+
+def scanned(spark: SparkSession, d: str, up_to: int, by: str = "nation", top_k: int = 300) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bars, candidates and open chains over one table of edges."""
+    bars = X.kept(X.weekly_bars(spark, d, by))
+    edges = X.kept(M.monowaves(bars, up_to - 1))
+    return bars, P.candidates(spark, bars, up_to, top_k, edges=edges), P.open_chains(spark, bars, up_to, top_k, edges=edges)
+
+
 @query
 def p10_scan_candidates(spark, d):
-    return P.candidates(spark, X.weekly_bars(spark, d), 3).drop("interval")
+    _, found, _ = scanned(spark, d, 3)
+    end = F.element_at("waves", -1)["idx_end"].alias("fin")
+    return rounded(found.select("symbol", "start", "rule_name", "rank", config(), end, "need_idx", "fib_score", "ensemble_score"))
+
+
+@query
+def p10_scan_all_options(spark, d):
+    """All options of skips below 8 (weekly bars are too few for those 300 of greatest total)."""
+    _, found, _ = scanned(spark, d, 8, top_k=8**5)
+    return rounded(found.select("symbol", "start", "rule_name", "rank", config(), "need_idx", "fib_score", "ensemble_score"))
 
 
 @query
 def p11_best_per_window(spark, d):
-    bars = X.weekly_bars(spark, d)
-    found = P.scan_grid(bars, W.sliding_windows(bars, geometry(spark)), P.candidates(spark, bars, 3))
-    return C.best_per_window(found).select("symbol", "start_row", "window_len", "best.rule_name", "best.idx_start", "best.idx_end", "ensemble_score", "fib_score")
+    bars, found, cut = scanned(spark, d, 3)
+    best = C.best_per_window(P.scan_grid(bars, W.sliding_windows(bars, geometry(spark)), found, cut=cut))
+    return rounded(best.select("symbol", "start_row", "window_len", "best.rule_name", "best.idx_start", "best.idx_end", "ensemble_score", "fib_score"))
 
 
 @query
 def p12_skip_ahead_scan(spark, d):
-    bars = X.weekly_bars(spark, d)
-    return P.skip_ahead_scan(bars, P.candidates(spark, bars, 3), {"1wk": GEOMETRY[0][1:]}).drop("interval")
+    bars, found, cut = scanned(spark, d, 3)
+    hits = P.skip_ahead_scan(bars, found, {"1wk": GEOMETRY[0][1:]}, cut=cut)
+    return rounded(hits.select("symbol", "start_row", "window_len", "start", "rule_name", config(), "ensemble_score", F.col("end").alias("fin"), "error"))
+
+
+@query
+def p12_skip_ahead_all_options(spark, d):
+    bars, found, cut = scanned(spark, d, 8, top_k=8**5)
+    hits = P.skip_ahead_scan(bars, found, {"1wk": GEOMETRY[0][1:]}, cut=cut)
+    return rounded(hits.select("symbol", "start_row", "window_len", "start", "rule_name", config(), "ensemble_score", F.col("end").alias("fin"), "error"))
 
 
 @query
 def p13_supplier_scan(spark, d):
-    bars = X.weekly_bars(spark, d, "supplier")
-    return P.skip_ahead_scan(bars, P.candidates(spark, bars, 2), {"1wk": GEOMETRY[0][1:]}).where("error is null").groupBy("rule_name").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"))
+    bars, found, cut = scanned(spark, d, 2, "supplier")
+    return P.skip_ahead_scan(bars, found, {"1wk": GEOMETRY[0][1:]}, cut=cut).where("error is null").select("symbol", "start_row", "rule_name", config(), F.col("end").alias("fin"))
 
 
 @query
 def p14_scan_grid(spark, d):
-    bars = X.weekly_bars(spark, d)
-    return P.scan_grid(bars, W.sliding_windows(bars, geometry(spark)), P.candidates(spark, bars, 2), n=3).select("symbol", "start_row", "window_len", "start", "rule_name", "wave_config", "ensemble_score", "nth")
+    bars, found, cut = scanned(spark, d, 2)
+    grid = P.scan_grid(bars, W.sliding_windows(bars, geometry(spark)), found, n=3, cut=cut)
+    return rounded(grid.select("symbol", "start_row", "window_len", "start", "rule_name", config(), "ensemble_score", "nth"))
+
+
+@query
+def p14_scan_grid_all_options(spark, d):
+    bars, found, cut = scanned(spark, d, 8, top_k=8**5)
+    grid = P.scan_grid(bars, W.sliding_windows(bars, geometry(spark)), found, n=3, cut=cut)
+    return rounded(grid.select("symbol", "start_row", "window_len", "start", "rule_name", config(), "ensemble_score", "nth"))
 
 
 @query

@@ -178,6 +178,126 @@ entries AS (SELECT p.symbol, p.start, rule_name, fin AS entry_idx, date_end AS e
 held AS (SELECT e.*, b.bar_idx, b.bar_ts, b.close, CASE WHEN b.high >= entry_price * (1 + 0.1) THEN entry_price * (1 + 0.1) WHEN b.low <= entry_price * (1 - 0.05) THEN entry_price * (1 - 0.05) END AS hit FROM entries e JOIN bars b ON b.symbol = e.symbol AND b.bar_idx > entry_idx AND b.bar_idx <= entry_idx + 20),
 exits AS (SELECT symbol, rule_name, start, entry_ts, entry_price, coalesce(arg_min({{'t': bar_ts, 'p': hit}}, bar_idx) FILTER (hit IS NOT NULL), arg_max({{'t': bar_ts, 'p': close}}, bar_idx)) AS x FROM held GROUP BY ALL),
 trades AS (SELECT symbol, rule_name, start, entry_ts AS entry_date, x.t AS exit_date, entry_price, x.p AS exit_price, 1000.0::DOUBLE AS position_size, 100 * (x.p / entry_price - 1) AS return_pct, 1000.0::DOUBLE * (x.p / entry_price - 1) AS profit_loss FROM exits)"""
+def edges(max_skip: int, symbol: str = "n_name") -> str:
+    """Monowaves of both directions with 0 to max_skip skips: the down side is the up side of mirrored prices."""
+    return f"""{bars(symbol)},
+px AS (SELECT symbol, true AS up, bar_idx AS i, low AS lo, high AS hi FROM bars UNION ALL SELECT symbol, false, bar_idx, -high, -low FROM bars),
+runs0 AS (SELECT *, count(*) OVER (PARTITION BY symbol, up) AS n, sum(CASE WHEN hi > ph THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, up ORDER BY i) AS run FROM (SELECT *, lag(hi) OVER (PARTITION BY symbol, up ORDER BY i) AS ph FROM px)),
+ahead AS (SELECT p.symbol, p.up, p.i, min(q.i) FILTER (q.hi >= p.hi) AS not_less, min(q.i) FILTER (q.hi > p.hi) AS greater, min(q.i) FILTER (q.hi >= p.lo) AS reach, min(q.i) FILTER (q.lo < p.lo) AS below
+    FROM px p LEFT JOIN px q ON q.symbol = p.symbol AND q.up = p.up AND q.i > p.i GROUP BY ALL),
+nx AS (SELECT r.*, max(r.i) OVER (PARTITION BY r.symbol, r.up, run) AS run_end, not_less, greater, reach, below FROM runs0 r JOIN ahead a ON a.symbol = r.symbol AND a.up = r.up AND a.i = r.i),
+walked AS (
+    SELECT a.symbol, a.up, a.i AS s, 0 AS skip, CASE WHEN b.hi > a.lo THEN b.run_end ELSE a.i END AS e, CASE WHEN b.hi > a.lo THEN t.hi ELSE a.lo END AS v, CASE WHEN b.hi > a.lo THEN b.run_end ELSE a.i END AS need
+    FROM nx a LEFT JOIN nx b ON b.symbol = a.symbol AND b.up = a.up AND b.i = a.i + 1 LEFT JOIN nx t ON t.symbol = b.symbol AND t.up = b.up AND t.i = b.run_end
+    UNION ALL
+    SELECT symbol, up, s, skip + 1, CASE WHEN stall THEN e ELSE fin END, CASE WHEN stall THEN v ELSE top END, greatest(need, CASE WHEN stall THEN decided ELSE fin + 1 END)
+    FROM (
+        SELECT w.*, o.below, o.n, j.hi = w.v AND (w.e = w.s OR w.v = a.lo OR coalesce(k.hi = w.v, false)) AS stall, CASE WHEN w.e = w.s OR w.v = a.lo THEN j.i ELSE k.i END AS decided,
+            CASE WHEN j.hi = w.v THEN k.run_end ELSE j.run_end END AS fin, t.hi AS top
+        FROM walked w JOIN nx a ON a.symbol = w.symbol AND a.up = w.up AND a.i = w.e JOIN nx o ON o.symbol = w.symbol AND o.up = w.up AND o.i = w.s
+        JOIN nx j ON j.symbol = w.symbol AND j.up = w.up AND j.i = CASE WHEN w.e = w.s THEN a.reach ELSE a.not_less END
+        LEFT JOIN nx k ON k.symbol = w.symbol AND k.up = w.up AND k.i = CASE WHEN j.hi = w.v THEN j.not_less END
+        LEFT JOIN nx t ON t.symbol = w.symbol AND t.up = w.up AND t.i = CASE WHEN j.hi = w.v THEN k.run_end ELSE j.run_end END
+        WHERE w.skip < {max_skip}
+    ) WHERE stall OR (fin + 1 < n AND (up OR below IS NULL OR below >= fin))
+),
+edges AS (SELECT w.symbol, w.up, w.s, w.skip, w.e, CASE WHEN w.up THEN o.lo ELSE -w.v END AS low, CASE WHEN w.up THEN w.v ELSE -o.lo END AS high, w.need AS need_idx, CASE WHEN a.hi > w.v THEN w.e ELSE coalesce(a.greater, a.n) END AS turn
+    FROM walked w JOIN nx o ON o.symbol = w.symbol AND o.up = w.up AND o.i = w.s JOIN nx a ON a.symbol = w.symbol AND a.up = w.up AND a.i = w.e),
+waves AS (SELECT symbol, up, s, skip, e, low, high, abs(high - low) AS length, e - s AS duration, CASE WHEN up THEN s ELSE e END AS low_idx, CASE WHEN up THEN e ELSE s END AS high_idx, need_idx, turn FROM edges)"""
+
+
+def options(up_to: int, n: int, k: int = 300) -> str:
+    names = "abcde"[:n]
+    total = " + ".join(names)
+    return f"(SELECT row_number() OVER (ORDER BY {total} DESC, {', '.join(names)}) AS rank, {', '.join(names)} FROM {', '.join(f'range({up_to}) AS x{c}({c})' for c in names)} QUALIFY rank <= {k})"
+
+
+def skipping(dirs: list[bool], up_to: int) -> str:
+    """Chains over the top options, with nulls for the waves that a family of three lacks."""
+    n = len(dirs)
+    joins = " ".join(f"JOIN waves w{i} ON w{i}.symbol = w1.symbol AND w{i}.s = w{i - 1}.e AND w{i}.up = {str(up).lower()}" for i, up in enumerate(dirs[1:], 2))
+    on = " AND ".join(f"o.{c} = w{i}.skip" for i, c in enumerate("abcde"[:n], 1))
+    cols = ", ".join(f"w{i}" if i <= n else "NULL" for i in range(1, 6))
+    config, needs = "[" + ", ".join(f"w{i}.skip" for i in range(1, n + 1)) + "]", [f"w{i}.need_idx" for i in range(1, n + 1)]
+    return f"SELECT w1.symbol AS symbol, w1.s AS start, rank, {config} AS config, {cols}, greatest({', '.join(needs)}) AS need, greatest({', '.join(needs[:-1])}) AS before FROM waves w1 {joins} JOIN {options(up_to, n)} o ON {on} WHERE w1.up = {str(dirs[0]).lower()}"
+
+
+GUARD = "(w5 IS NULL OR (w4.e > w2.e AND w2.turn >= w4.e AND (w5.e = w4.e OR w4.turn >= w5.e)))"
+
+
+def ruled(source: str, extra: str = "") -> str:
+    """Candidates from a table of chains with their family (fam 0 to 2): rule, scores, end."""
+    holds = lambda name: " AND ".join(f"({x})" for x in RULES[name])
+    rule = f"CASE WHEN fam = 0 AND {holds('impulse')} THEN 'impulse' WHEN fam = 0 AND {holds('leading_diagonal')} THEN 'leading_diagonal' WHEN fam = 1 AND {holds('bearish_impulse')} THEN 'bearish_impulse' WHEN fam = 2 AND {holds('Corrective')} THEN 'Corrective' END"
+    prices = ", ".join(f"w{i}.{c}" for i in range(1, 6) for c in ("low", "high"))
+    return f"""SELECT *, greatest(0.0, least(1.0, fib_score * 0.5 + 1.0 * 0.3 + time_score * 0.1 + 0.95 * 0.1)) AS ensemble_score
+    FROM (SELECT *, coalesce(w5.e, w3.e) AS fin, [{prices}] AS prices, CAST({FIB} AS DOUBLE) AS fib_score, CAST({TIME} AS DOUBLE) AS time_score FROM (SELECT *, {rule} AS rule_name FROM {source} WHERE {GUARD}{extra}) WHERE rule_name IS NOT NULL)"""
+
+
+def found(up_to: int, symbol: str = "n_name") -> str:
+    """Chains of all families and the candidates among them."""
+    cols = "symbol, start, rank, config, w1, w2, w3, w4, w5, need, before"
+    return f"""{edges(up_to - 1, symbol)},
+all_chains({cols}, fam) AS MATERIALIZED (SELECT *, 0 FROM ({skipping(IMPULSE, up_to)}) UNION ALL SELECT *, 1 FROM ({skipping(BEARISH, up_to)}) UNION ALL SELECT *, 2 FROM ({skipping(CORRECTIVE, up_to)})),
+cand AS ({ruled("all_chains")} QUALIFY row_number() OVER (PARTITION BY symbol, start, need, fam, prices ORDER BY rank) = 1)"""
+
+
+SLIDING = "SELECT symbol, i AS start_row, least(104, n - i) AS window_len, i + least(104, n - i) - 1 AS last FROM (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol), unnest(range(0, n - 20 + 1, 8)) AS t(i)"
+EVERY = SLIDING.replace(", 8))", ", 1))")
+
+
+def scanned(up_to: int, windows: str, symbol: str = "n_name") -> str:
+    """hits: the candidates of each window, those that its end cuts short among them."""
+    cut_last = "{{'symbol': w.symbol, 'up': w.up, 's': w.s, 'skip': w.skip, 'e': last, 'low': CASE WHEN w.up THEN w.low ELSE low_last END, 'high': CASE WHEN w.up THEN high_last ELSE w.high END, 'length': abs(CASE WHEN w.up THEN high_last - w.low ELSE w.high - low_last END), 'duration': last - w.s, 'low_idx': CASE WHEN w.up THEN w.s ELSE last END, 'high_idx': CASE WHEN w.up THEN last ELSE w.s END, 'need_idx': last, 'turn': w.turn}}".replace("{{", "{").replace("}}", "}")
+    short = lambda i: cut_last.replace("w.", f"w{i}.")
+    pick = "symbol, start_row, window_len, last, start, extrema"
+    return f"""{found(up_to, symbol)},
+windows AS ({windows}),
+moves AS (SELECT *, sum(CASE WHEN d * ld = -1 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY bar_idx) AS x, min(low) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS least_near
+    FROM (SELECT *, lag(d) OVER (PARTITION BY symbol ORDER BY bar_idx) AS ld FROM (SELECT symbol, bar_idx, low, high, sign(low - lag(low) OVER (PARTITION BY symbol ORDER BY bar_idx)) AS d FROM bars))),
+lows AS (SELECT symbol, bar_idx AS i FROM moves WHERE low = least_near),
+nexts AS (SELECT a.symbol, a.i, min(b.i) AS then_i FROM lows a JOIN lows b ON b.symbol = a.symbol AND b.i >= a.i + 10 GROUP BY ALL),
+taken AS (
+    SELECT w.symbol, start_row, last, min(i) AS i FROM windows w JOIN lows l ON l.symbol = w.symbol AND i >= start_row + 5 AND i <= last - 5 GROUP BY ALL
+    UNION ALL SELECT t.symbol, start_row, last, then_i FROM taken t JOIN nexts n ON n.symbol = t.symbol AND n.i = t.i WHERE then_i <= last - 5
+),
+lowest_of AS (SELECT w.symbol, start_row, arg_min(bar_idx, {{'a': low, 'b': bar_idx}}) AS i FROM windows w JOIN bars b ON b.symbol = w.symbol AND bar_idx BETWEEN start_row AND last GROUP BY ALL),
+picked AS (SELECT symbol, start_row, i FROM taken UNION SELECT symbol, start_row, i FROM lowest_of),
+numbered AS (SELECT b.*, l.i AS least_i, count(*) OVER w AS c, row_number() OVER (w ORDER BY b.i) AS nth FROM picked b JOIN lowest_of l ON l.symbol = b.symbol AND l.start_row = b.start_row WINDOW w AS (PARTITION BY b.symbol, b.start_row)),
+starts AS (SELECT w.*, s.i AS start, e.low AS low_last, e.high AS high_last, greatest(0, coalesce(e.x - f.x, 0)) AS extrema FROM numbered s JOIN windows w ON w.symbol = s.symbol AND w.start_row = s.start_row
+    JOIN moves e ON e.symbol = w.symbol AND e.bar_idx = last LEFT JOIN moves f ON f.symbol = w.symbol AND f.bar_idx = s.i + 1 WHERE c <= 10 OR nth <= 9 OR i = least_i),
+met AS (SELECT c.* EXCLUDE (w3, w5), CASE WHEN fam = 2 THEN {short(3)} ELSE w3 END AS w3, CASE WHEN fam <> 2 THEN {short(5)} END AS w5, {pick.replace("symbol", "s.symbol AS of_symbol").replace(" start,", " s.start AS of_start,")}
+    FROM starts s JOIN all_chains c ON c.symbol = s.symbol AND c.start = s.start WHERE before <= last AND config[-1] = 0 AND coalesce(c.w5.s, c.w3.s) < last AND coalesce(c.w5.e, c.w3.e) > last),
+hits AS (SELECT s.symbol, start_row, window_len, s.start, extrema, rule_name, rank, config, fam, prices, fin, fib_score, ensemble_score, w1 FROM starts s JOIN cand c ON c.symbol = s.symbol AND c.start = s.start WHERE need <= last AND (fam > 0 OR extrema >= 4)
+    UNION ALL SELECT symbol, start_row, window_len, start, extrema, rule_name, rank, config, fam, prices, fin, fib_score, ensemble_score, w1 FROM ({ruled("met")}) WHERE fam > 0 OR extrema >= 4)"""
+
+
+BEST = "ensemble_score DESC, fin DESC"
+ONE = f"SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY symbol, start_row ORDER BY {BEST}, start, fam, rank) = 1"
+THREE = f"""SELECT *, CAST(row_number() OVER (PARTITION BY symbol, start_row ORDER BY {BEST}, start, fam, rank) AS INTEGER) AS nth FROM (
+    SELECT * FROM (SELECT * FROM (SELECT * FROM (SELECT * FROM hits
+        QUALIFY row_number() OVER (PARTITION BY symbol, start_row, start, fam, prices ORDER BY rank) = 1)
+        QUALIFY row_number() OVER (PARTITION BY symbol, start_row, start, fam ORDER BY {BEST}, rank) <= 6)
+        QUALIFY row_number() OVER (PARTITION BY symbol, start_row, start ORDER BY {BEST}, fam, rank) <= 3)
+    QUALIFY row_number() OVER (PARTITION BY symbol, start_row, fam, prices ORDER BY start, {BEST}, rank) = 1
+) QUALIFY nth <= 3"""
+
+
+def ahead(up_to: int, symbol: str = "n_name", slide: int = 8) -> str:
+    return f"""{scanned(up_to, EVERY, symbol)},
+best AS MATERIALIZED ({ONE}),
+sizes AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol),
+steps AS (
+    SELECT symbol, 0::BIGINT AS i FROM sizes WHERE n >= 20
+    UNION ALL SELECT t.symbol, coalesce(b.fin, t.i) + {slide} FROM steps t JOIN sizes z ON z.symbol = t.symbol LEFT JOIN best b ON b.symbol = t.symbol AND b.start_row = t.i WHERE z.n - (coalesce(b.fin, t.i) + {slide}) >= 20
+),
+ahead_hits AS (SELECT b.* FROM steps t JOIN best b ON b.symbol = t.symbol AND b.start_row = t.i)"""
+
+
+def recursive(ctes: str, select: str) -> str:
+    return f"WITH RECURSIVE {ctes}\n{select}"
+
+
 GEO = "(SELECT symbol, '1wk' AS \"interval\", CAST(count(*) AS INTEGER) AS n FROM bars GROUP BY symbol)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -216,7 +336,9 @@ ORACLE_SQL: dict[str, str] = {
     "m1_first_swing_up": of(SWINGS, "SELECT symbol, s, e, high AS value FROM edges WHERE up"),
     "m2_first_swing_down": of(SWINGS, "SELECT symbol, s, e, low AS value FROM edges WHERE NOT up"),
     "m3_next_swing": of(NEXT, "SELECT symbol, s, e, value, progress FROM next"),
+    "m4_next_swing_down": of(bars().replace("bars AS", "true_bars AS") + ",\nbars AS (SELECT * REPLACE (-high AS low, -low AS high) FROM true_bars)" + NEXT[len(BARS):], "SELECT symbol, s, e, -value AS value, progress FROM next"),
     "m5_monowaves_one_skip": of(NEXT, "SELECT symbol, s, e, value FROM next"),
+    "m6_monowaves": recursive(edges(4), "SELECT symbol, s, up, skip, e, low, high, need_idx, turn FROM edges"),
     "m8_roll_up": of(PATTERNS, f"SELECT {KEY}, start AS idx_start, fin AS idx_end, low, high, abs(high - low) AS length, fin - start AS duration, 2 AS degree FROM (SELECT *, CASE WHEN w5 IS NULL THEN w3.low ELSE w1.low END AS low, CASE WHEN w5 IS NULL THEN w1.high ELSE w5.high END AS high FROM patterns)"),
     "p1_skip_options": "WITH k AS (SELECT count(*) AS n FROM region) SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c FROM k, range(n) AS x(a), range(n) AS y(b), range(n) AS z(c)",
     "p2_top_options": "WITH k AS (SELECT count(*) AS n FROM region) SELECT CAST(row_number() OVER (ORDER BY a + b + c + d + e DESC, a, b, c, d, e) AS INTEGER) AS rank, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, CAST(d AS INTEGER) AS d, CAST(e AS INTEGER) AS e FROM k, range(n) AS x(a), range(n) AS y(b), range(n) AS z(c), range(n) AS u(d), range(n) AS v(e) QUALIFY rank <= 300",
@@ -227,8 +349,16 @@ ORACLE_SQL: dict[str, str] = {
     "p7_cycles": of(SWINGS, f"SELECT i.symbol, i.start, {', '.join(f'i.w{n}.length AS l{n}' for n in range(1, 6))}, {', '.join(f'c.w{n}.length AS l{n + 5}' for n in range(1, 4))} FROM ({chain(IMPULSE, 'i')}) i JOIN ({chain(CORRECTIVE, 'c')}) c ON c.symbol = i.symbol AND c.start = i.fin"),
     "p8_dedup_candidates": of(PATTERNS, "SELECT rule_name, count(*) AS n FROM (SELECT DISTINCT rule_name, w1.low, w1.high, w2.low, w2.high, w3.low, w3.high, w4.low, w4.high, w5.low, w5.high FROM patterns) GROUP BY rule_name"),
     "p9_rank_patterns": of(PATTERNS, f"SELECT {KEY}, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ensemble_score DESC, fin DESC, rule_name, CASE WHEN w5 IS NULL THEN 3 ELSE 5 END, start) AS INTEGER) AS nth, {r('ensemble_score')} FROM patterns QUALIFY nth <= 3"),
+    "p10_scan_candidates": recursive(found(3), "SELECT symbol, start, rule_name, rank, array_to_string(config, ',') AS config, fin, need AS need_idx, round(fib_score, 6) AS fib_score, round(ensemble_score, 6) AS ensemble_score FROM cand"),
+    "p11_best_per_window": recursive(scanned(3, SLIDING), f"SELECT symbol, start_row, window_len, rule_name, w1.s AS idx_start, fin AS idx_end, round(ensemble_score, 6) AS ensemble_score, round(fib_score, 6) AS fib_score FROM ({ONE})"),
+    "p12_skip_ahead_scan": recursive(ahead(3), "SELECT symbol, start_row, window_len, start, rule_name, array_to_string(config, ',') AS config, round(ensemble_score, 6) AS ensemble_score, fin, NULL::VARCHAR AS error FROM ahead_hits"),
+    "p13_supplier_scan": recursive(ahead(2, "CAST(l_suppkey AS VARCHAR)"), "SELECT symbol, start_row, rule_name, array_to_string(config, ',') AS config, fin FROM ahead_hits"),
+    "p14_scan_grid": recursive(scanned(2, SLIDING), f"SELECT symbol, start_row, window_len, start, rule_name, array_to_string(config, ',') AS config, round(ensemble_score, 6) AS ensemble_score, nth FROM ({THREE})"),
     "p15_dedup_patterns": of(PATTERNS, f"SELECT {KEY}, {r('ensemble_score')} FROM (SELECT *, row_number() OVER (PARTITION BY rule_name, round(w1.low, 2), round(w3.high, 2), coalesce(round(w5.high, 2), 0) ORDER BY ensemble_score DESC, symbol, start) AS n FROM patterns) WHERE n = 1"),
     "p16_hybrid_summary": of(PATTERNS, "SELECT \"interval\", rule_name, count(*) AS n FROM (SELECT '1wk' AS \"interval\", rule_name FROM patterns) GROUP BY ROLLUP (\"interval\", rule_name)"),
+    "p18_polyline": of(PATTERNS, f"""SELECT {KEY}, nth, v.idx, v.value, v.label, v.ratio FROM (
+        SELECT {KEY}, [{{'idx': w1.s, 'value': CASE WHEN w1.low_idx = w1.s THEN w1.low ELSE w1.high END, 'label': '', 'ratio': NULL::DOUBLE}}, {", ".join(f"CASE WHEN w{i} IS NOT NULL THEN {{'idx': w{i}.e, 'value': CASE WHEN w{i}.high_idx > w{i}.low_idx THEN w{i}.high ELSE w{i}.low END, 'label': CASE WHEN w5 IS NULL THEN '{'ABC'[i - 1] if i < 4 else ''}' ELSE '{i}' END, 'ratio': {f"CASE WHEN {'w5 IS NULL' if i == 2 else 'w5 IS NOT NULL'} OR {'true' if i == 2 else 'false'} THEN CASE WHEN w1.length > 0 THEN round(w{i}.length / w1.length, 3) END END" if i in (2, 3) else 'NULL::DOUBLE'}}} END" for i in range(1, 6))}] AS all_v FROM patterns
+    ), unnest(range(0, 6)) AS t(nth), (SELECT all_v[nth + 1] AS v) WHERE v IS NOT NULL"""),
     "p17_reconstruct": of(PATTERNS, f"SELECT {KEY}, true AS found, passes OR (rule_name = 'impulse' AND false) AS passes FROM patterns"),
     "r1_impulse": of(PATTERNS, f"SELECT symbol, start, {holding('impulse')} = {len(RULES['impulse'])} AS passes, {holding('impulse')} AS holding FROM patterns WHERE rule_name = 'impulse'"),
     "r2_bearish_impulse": of(PATTERNS, f"SELECT symbol, start, {holding('bearish_impulse')} = {len(RULES['bearish_impulse'])} AS passes, {holding('bearish_impulse')} AS holding FROM patterns WHERE rule_name = 'bearish_impulse'"),
