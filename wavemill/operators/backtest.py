@@ -28,7 +28,8 @@ def simulate_trades(patterns: DataFrame, bars: DataFrame, hold: int = 20, stop:
     if entry_index == "first":
         e = e.withColumn("entry_idx", F.when(F.to_date("entry_ts") == F.to_date("date_end"), F.col("entry_idx")).otherwise(0))
     b = bars.select("symbol", "bar_idx", F.col("bar_ts").alias("_ts"), "high", "low", "close")
-    held = e.join(b, "symbol").where((F.col("bar_idx") > F.col("entry_idx")) & (F.col("bar_idx") <= F.col("entry_idx") + hold))
+    # a trade meets the bars that it holds, not all of its symbol's
+    held = e.withColumn("bar_idx", F.explode(F.sequence(F.col("entry_idx") + 1, F.col("entry_idx") + hold))).join(b, ["symbol", "bar_idx"])
     goal, floor = F.col("entry_price") * (1 + take), F.col("entry_price") * (1 - stop)
     price = F.when(F.col("high") >= goal, goal).when(F.col("low") <= floor, floor)
     keys = ["symbol", "rule_name", "start", "date_start", "date_end", "ensemble_score", "entry_idx", "entry_ts", "entry_price"]

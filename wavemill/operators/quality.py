@@ -66,14 +66,14 @@ def validation_grade(validated: DataFrame) -> DataFrame:
 def segment_waves(patterns: DataFrame, bars: DataFrame) -> DataFrame:
     """Cuts a pattern's bars (start to end) in five (corrections: three) equal parts that share their border bars,
     and takes each part's low and high: symbol, start, rule_name, part, low, high. Patterns of fewer than 20 (10)
-    bars give none. A bounded range join on the symbol."""
+    bars give none. A part meets its own bars only."""
     five = F.lower("rule_name") != "corrective"
     p = patterns.select("symbol", "interval", "start", "end", "rule_name", F.when(five, 5).otherwise(3).alias("parts"), (F.col("end") - F.col("start") + 1).alias("n"))
     p = p.where(F.col("n") >= F.when(F.col("parts") == 5, 20).otherwise(10)).withColumn("size", F.floor(F.col("n") / F.col("parts")))
     part = F.explode(F.sequence(F.lit(1), "parts")).alias("part")
     p = p.select("symbol", "interval", "start", "end", "rule_name", "size", part)
     p = p.withColumns({"a": F.col("start") + (F.col("part") - 1) * F.col("size"), "b": F.least(F.col("end"), F.col("start") + F.col("part") * F.col("size"))})
-    held = p.join(bars.select("symbol", "interval", "bar_idx", "low", "high"), ["symbol", "interval"]).where("bar_idx between a and b")
+    held = p.withColumn("bar_idx", F.explode(F.sequence(F.col("a").cast("int"), F.col("b").cast("int")))).join(bars.select("symbol", "interval", "bar_idx", "low", "high"), ["symbol", "interval", "bar_idx"])
     return held.groupBy("symbol", "start", "rule_name", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
@@ -119,6 +119,14 @@ def validity_report(df: DataFrame, valid: Column) -> DataFrame:
     )
 
 
+def report_counts(validated: DataFrame) -> DataFrame:
+    """What the validity report counts beside its rules: each violation, and each quality of each ratio (fib_quality):
+    kind, name, n."""
+    violations = validated.select(F.lit("violation").alias("kind"), F.explode("violations").alias("name"))
+    rated = fib_quality(validated).select(F.explode(F.array(*[F.struct(F.lit(f"{k}_quality").alias("kind"), F.col(f"{k}_quality").alias("name")) for k in FIB_RANGES])).alias("r")).select("r.*")
+    return violations.unionByName(rated).groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
 def split_validity(df: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(valid), df.where(~F.coalesce(valid, F.lit(False)))
 
@@ -130,6 +138,33 @@ def completeness(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return counts.select("n", rows).select("r.field", "r.nulls", F.coalesce(F.try_divide(100.0 * F.col("r.nulls"), F.col("n").cast("double")), F.lit(0.0)).alias("pct"))
 
 
+def unstructured(df: DataFrame, best: str) -> DataFrame:
+    """How many rows have a best pattern (JSON text) that is no object, or none."""
+    return df.agg(F.count_if(~F.coalesce(F.ltrim(F.col(best)).startswith("{"), F.lit(False))).alias("not_struct"))
+
+
+def dataset_issues(df: DataFrame, fields: tuple[str, ...], key: tuple[str, ...], as_of: str, order_cols: tuple[str, ...]) -> DataFrame:
+    """The issues of all checks, a row each (category, issue): what quality_verdict counts."""
+    complete = completeness(df, fields).where("nulls > 0").select(F.lit("completeness").alias("category"), F.concat(F.lit("Missing "), "field").alias("issue"))
+
+    def flags(category: str, one: DataFrame, tests: dict[str, Column]) -> DataFrame:
+        rows = F.explode(F.array(*[F.struct(test.alias("holds"), F.lit(text).alias("issue")) for text, test in tests.items()])).alias("r")
+        return one.select(rows).where("r.holds").select(F.lit(category).alias("category"), "r.issue")
+
+    scores = flags("scores", score_anomalies(df, order_cols), {
+        "Low score variance": F.col("low_spread"), "Most scores are the same": F.col("mostly_one_score"), "Too many excellent scores": F.col("mostly_excellent"), "Too many poor scores": F.col("mostly_poor"),
+    })
+    temporal = flags("temporal", temporal_coverage(df, as_of), {
+        "Future dates (data leakage)": F.col("future") > 0, "Patterns under a week": F.col("under_week") > 0, "Patterns over two years": F.col("over_two_years") > 0,
+    })
+    diverse = flags("diversity", diversity(df), {"One rule dominates": F.col("dominated"), "Symbols over-represented": F.col("over_represented") > 0})
+    n = F.col("n")
+    sane = flags("statistical", sanity(df, key), {
+        "Duplicate patterns": F.col("repeated") > 0, "Scores are redundant": F.col("scores_redundant"), "Sample too small": n < 100, "Sample marginal": (n >= 100) & (n < 1000),
+    })
+    return complete.unionByName(scores).unionByName(temporal).unionByName(diverse).unionByName(sane)
+
+
 def score_anomalies(df: DataFrame, order_cols: tuple[str, ...], col: str = "ensemble_score") -> DataFrame:
     """Flags: hardly any spread; more than half equal to the first; over nine tenths excellent; over half poor."""
     first = F.min_by(col, F.struct(*order_cols))
@@ -172,4 +207,4 @@ def quality_verdict(issues: DataFrame) -> DataFrame:
     """From rows of text: their number, the verdict, and how many are critical by keyword."""
     n = F.count("issue")
     verdict = F.when(n == 0, "EXCELLENT").when(n <= 3, "GOOD").when(n <= 10, "FAIR").otherwise("POOR")
-    return issues.agg(n.alias("issues"), verdict.alias("verdict"), F.count_if(F.lower("issue").rlike("missing|null|duplicate|future|invalid")).alias("critical"))
+    return issues.agg(n.alias("issues"), verdict.alias("verdict"), F.count_if(F.lower("issue").rlike("leakage|duplicate|too small")).alias("critical"))

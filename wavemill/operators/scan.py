@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import chains as C
 from .swings import monowaves
+from .tables import kept
 from .windows import window_starts
 
 SERIES = ("symbol", "interval")
@@ -28,26 +29,27 @@ LEAST_EXTREMA = 4
 
 
 def all_chains(spark: SparkSession, bars: DataFrame, up_to: int, top_k: int, families: tuple[str, ...] = FAMILIES, edges: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The chains of each family over the top_k options."""
-    edges = monowaves(bars, up_to - 1) if edges is None else edges
-    return {family: C.chains(edges, family, options=C.top_options(C.skip_options(spark, up_to, len(C.FAMILIES[family])), top_k)) for family in families}
+    """The chains of each family over the top_k options, as tables."""
+    edges = kept(monowaves(bars, up_to - 1)) if edges is None else edges
+    return {family: kept(C.chains(edges, family, options=C.top_options(C.skip_options(spark, up_to, len(C.FAMILIES[family])), top_k))) for family in families}
 
 
 def candidates(
-    spark: SparkSession, bars: DataFrame, up_to: int = 3, top_k: int = 300, families: tuple[str, ...] = FAMILIES, distinct: bool = True, edges: DataFrame | None = None
+    spark: SparkSession, bars: DataFrame, up_to: int = 3, top_k: int = 300, families: tuple[str, ...] = FAMILIES, distinct: bool = True,
+    chains: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """All patterns of the families from every bar, over the top_k options of each: start, rule_name, wave_config,
     waves, need_idx, fib_score, ensemble_score, rank. Distinct: of a start's patterns with the same waves, the first."""
-    found = [C.scored(C.guard(c, family), family).drop("turns", "prefix_need") for family, c in all_chains(spark, bars, up_to, top_k, families, edges).items()]
+    found = [C.scored(C.guard(c, family), family).drop("turns", "prefix_need") for family, c in (chains or all_chains(spark, bars, up_to, top_k, families)).items()]
     every = reduce(DataFrame.unionByName, found)
     return every.transform(lambda df: C.dedup_candidates(df, (*SERIES, "start", "need_idx"))) if distinct else every
 
 
-def open_chains(spark: SparkSession, bars: DataFrame, up_to: int = 3, top_k: int = 300, families: tuple[str, ...] = FAMILIES, edges: DataFrame | None = None) -> DataFrame:
+def open_chains(spark: SparkSession, bars: DataFrame, up_to: int = 3, top_k: int = 300, families: tuple[str, ...] = FAMILIES, chains: dict[str, DataFrame] | None = None) -> DataFrame:
     """The chains that a window's end can cut: their last wave is a first swing of more than one bar."""
     last = F.element_at("waves", -1)
     cut = (F.element_at("wave_config", -1) == 0) & (last["idx_end"] > F.greatest(last["idx_start"] + 1, "prefix_need"))
-    return reduce(DataFrame.unionByName, [c.where(cut).withColumn("family", F.lit(family)) for family, c in all_chains(spark, bars, up_to, top_k, families, edges).items()])
+    return reduce(DataFrame.unionByName, [c.where(cut).withColumn("family", F.lit(family)) for family, c in (chains or all_chains(spark, bars, up_to, top_k, families)).items()])
 
 
 def scan_grid(
@@ -56,10 +58,11 @@ def scan_grid(
 ) -> DataFrame:
     """The n best candidates of each window, from its local lows; with cut (open_chains), also those that the window's end
     cuts short."""
-    starts = window_starts(bars, windows, k, distance, max_starts)
+    starts = kept(window_starts(bars, windows, k, distance, max_starts))
     hits = [starts.join(found, [*SERIES, "start"]).where(F.col("need_idx") <= F.col("last"))]
     if cut is not None:
-        met = starts.join(cut, [*SERIES, "start"])
+        end = F.element_at("waves", -1)
+        met = kept(starts.join(cut, [*SERIES, "start"]).where((F.col("prefix_need") <= F.col("last")) & (end["idx_start"] < F.col("last")) & (end["idx_end"] > F.col("last"))))
         for family in families:
             short = C.cut_short(met.where(F.col("family") == family), family, F.col("last"), F.col("low_last"), F.col("high_last"))
             hits.append(C.scored(C.guard(short, family), family).select(*hits[0].columns))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..functions.scoring import ensemble_score
 from ..operators import chains as C
 from ..operators.resample import index_bars, ticks_to_bars
 from ..operators.swings import monowaves
+from ..operators.tables import kept
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,16 +56,6 @@ def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder (spark.checkpoint.dir), for what is read more than once: later plans know
-    its size, and lost executors read it again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kept"
-    path = f"{folder}/kept-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def simple_edges(bars: DataFrame) -> DataFrame:
     """First swings of both directions as edges of skip 0."""
     return kept(monowaves(bars, 0))

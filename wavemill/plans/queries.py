@@ -20,6 +20,7 @@ from ..operators import scan as P
 from ..operators import stats as A
 from ..operators import swings as M
 from ..operators import windows as W
+from ..operators.tables import kept, new_folder
 from ..sources import bars as I
 from ..sources import sinks
 from . import fixtures as X
@@ -59,6 +60,82 @@ def s1_weekly_bars(spark, d):
     return X.weekly_bars(spark, d)
 
 
+def market_file(spark: SparkSession, d: str, folder: str, by: str = "nation") -> str:
+    """A folder of market data with the weekly bars, written anew."""
+    raw = X.weekly_bars(spark, d, by).select(F.col("bar_ts").alias("DateTime"), F.col("symbol").alias("Ticker"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))
+    raw.write.parquet(f"{folder}/market_data_1wk.parquet")
+    return folder
+
+
+@query
+def s1_read_bars(spark, d):
+    return I.read_bars(spark, market_file(spark, d, new_folder(spark)), "1wk")
+
+
+@query
+def s2_combine_bars(spark, d):
+    top = new_folder(spark)
+    market_file(spark, d, f"{top}/a/nations"), market_file(spark, d, f"{top}/b/suppliers", "supplier")
+    return I.combine_bars(spark, [f"{top}/a", f"{top}/b"])
+
+
+@query
+def s3_read_symbols(spark, d):
+    folder = new_folder(spark)
+    X.read(spark, d, "supplier").select(F.concat(F.lit("  "), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_name")).otherwise(""), F.lit(" ")).alias("value")).write.text(folder)
+    return I.read_symbols(spark, folder)
+
+
+@query
+def s4_read_manifest(spark, d):
+    """Per region and nation the line items and their days; every fourth nation has failed."""
+    folder, days = new_folder(spark), F.date_format("ts", "yyyy-MM-dd")
+    per = X.ticks(spark, d, "nation")[0].groupBy("symbol").agg(F.count("*").alias("rows"), F.min(days).alias("min_date"), F.max(days).alias("max_date"))
+    names = X.read(spark, d, "nation").join(X.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("symbol"), F.col("r_name").alias("market"), "n_nationkey")
+    both = names.join(per, "symbol", "left").withColumn("bad", (F.col("n_nationkey") % 4 == 0) | F.col("rows").isNull())
+
+    def nested(rows: DataFrame, value: Column) -> Column:
+        return rows.groupBy("market").agg(F.map_from_entries(F.collect_list(F.struct("symbol", value.alias("v")))).alias("m")).agg(F.map_from_entries(F.collect_list(F.struct("market", "m"))).alias("t"))
+
+    good = nested(both.where("not bad"), F.struct("rows", "min_date", "max_date")).withColumnRenamed("t", "markets")
+    failed = nested(both.where("bad"), F.lit("no data")).withColumnRenamed("t", "failures")
+    good.join(failed).coalesce(1).write.json(folder)  # one document
+    markets, failures = I.read_manifest(spark, folder)
+    return markets.unionByName(failures, allowMissingColumns=True)
+
+
+@query
+def s8_read_patterns(spark, d):
+    """A document of patterns a symbol."""
+    folder = new_folder(spark)
+    one = X.simple_patterns(spark, d).groupBy("symbol").agg(F.collect_list(F.struct("symbol", "start", "rule_name", "wave_config", "ensemble_score")).alias("patterns"))
+    one.select(F.struct(F.col("symbol").alias("source")).alias("metadata"), "patterns").write.option("maxRecordsPerFile", 1).json(folder)
+    return rounded(I.read_patterns(spark, folder).select(*PATTERN, F.size("wave_config").alias("n_waves"), "ensemble_score"))
+
+
+@query
+def s9_write_bars(spark, d):
+    folder = new_folder(spark)
+    sinks.write_bars(X.weekly_bars(spark, d), folder)
+    return spark.read.parquet(folder)
+
+
+@query
+def s10_write_patterns(spark, d):
+    folder = new_folder(spark)
+    sinks.write_patterns(X.simple_patterns(spark, d).select(*PATTERN, "interval"), folder)
+    back = spark.read.json(f"{folder}/patterns").groupBy("interval", "rule_name").agg(F.count("*").alias("n"), F.countDistinct("symbol", "start").alias("starts"))
+    return back.join(spark.read.json(f"{folder}/metadata"), "interval")
+
+
+@query
+def s12_export_filtered(spark, d):
+    folder = new_folder(spark)
+    sinks.export_filtered(X.simple_patterns(spark, d).select(*PATTERN, "ensemble_score"), 0.6, folder)
+    back = spark.read.json(f"{folder}/patterns").groupBy("symbol").agg(F.count("*").alias("n"), F.min("ensemble_score").alias("least"))
+    return rounded(back.join(spark.read.json(f"{folder}/metadata")))
+
+
 @query
 def s5_normalize(spark, d):
     raw = X.read(spark, d, "events").select(F.col("ts").alias("Date"), F.col("user_id").alias("Ticker"), F.col("value").alias("Open"), F.col("value").alias("HIGH"), F.col("value").alias("low"), F.col("value").alias("Close"))
@@ -159,6 +236,11 @@ def c10_quality_report(spark, d):
     return rounded(K.quality_report(X.dirty_bars(spark, d)), 4)
 
 
+@query
+def c10_category_report(spark, d):
+    return K.dataset_stats(X.dirty_bars(spark, d))
+
+
 @query
 def c12_cap_history(spark, d):
     return faulty(I.cap_history(X.dirty_bars(spark, d), AS_OF))
@@ -243,8 +325,8 @@ def m4_next_swing_down(spark, d):
 
 @query
 def m5_monowaves_one_skip(spark, d):
-    edges = M.monowaves(X.weekly_bars(spark, d), 1).where("up and skip = 1")
-    return edges.select("symbol", "s", "e", F.col("high").alias("value"))
+    edges = M.monowaves(X.weekly_bars(spark, d), 1)
+    return edges.select("symbol", "s", "up", "skip", "e", "low", "high", "need_idx")
 
 
 @query
@@ -305,10 +387,10 @@ def config() -> Column:
 
 
 def scanned(spark: SparkSession, d: str, up_to: int, by: str = "nation", top_k: int = 300) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Bars, candidates and open chains over one table of edges."""
-    bars = X.kept(X.weekly_bars(spark, d, by))
-    edges = X.kept(M.monowaves(bars, up_to - 1))
-    return bars, P.candidates(spark, bars, up_to, top_k, edges=edges), P.open_chains(spark, bars, up_to, top_k, edges=edges)
+    """Bars, candidates and open chains over the same chains."""
+    bars = kept(X.weekly_bars(spark, d, by))
+    found = P.all_chains(spark, bars, up_to, top_k)
+    return bars, P.candidates(spark, bars, chains=found), P.open_chains(spark, bars, chains=found)
 
 
 @query
@@ -532,11 +614,11 @@ def v2_grade(spark, d):
 
 
 def long_patterns(spark: SparkSession, d: str) -> DataFrame:
-    """Stretches of 24 bars from every twelfth bar, as patterns."""
+    """Stretches of 24 bars from every bar, as patterns."""
     bars = X.weekly_bars(spark, d)
     last = bars.groupBy("symbol", "interval").agg(F.max("bar_idx").alias("last"))
-    p = bars.join(last, ["symbol", "interval"]).where("bar_idx % 12 = 0 and bar_idx + 23 <= last")
-    rule = F.when(F.col("bar_idx") % 24 == 0, "impulse").otherwise("Corrective")
+    p = bars.join(last, ["symbol", "interval"]).where("bar_idx + 23 <= last")
+    rule = F.when(F.col("bar_idx") % 2 == 0, "impulse").otherwise("Corrective")
     return p.select("symbol", "interval", F.col("bar_idx").alias("start"), (F.col("bar_idx") + 23).alias("end"), rule.alias("rule_name"))
 
 
@@ -561,6 +643,11 @@ def v6_validity_report(spark, d):
     return rounded(Q.validity_report(X.simple_patterns(spark, d), F.col("passes")))
 
 
+@query
+def v6_report_counts(spark, d):
+    return Q.report_counts(validated(spark, d))
+
+
 @query
 def v7_split_validity(spark, d):
     good, bad = Q.split_validity(X.simple_patterns(spark, d), F.col("passes"))
@@ -574,6 +661,12 @@ def v8_completeness(spark, d):
     return rounded(Q.completeness(found, ("symbol", "start", "fifth", "late", "ensemble_score")), 4)
 
 
+@query
+def v8_unstructured(spark, d):
+    best = F.when(F.col("start") % 7 == 0, "[]").when(F.col("start") % 11 != 0, F.to_json(F.struct("rule_name")))
+    return Q.unstructured(X.simple_patterns(spark, d).withColumn("best", best), "best")
+
+
 @query
 def v9_score_anomalies(spark, d):
     return Q.score_anomalies(X.simple_patterns(spark, d), ("symbol", "start", "rule_name"))
@@ -601,7 +694,8 @@ def v12_sanity(spark, d):
 
 @query
 def v13_quality_verdict(spark, d):
-    issues = Q.violation_counts(validated(spark, d)).select(F.concat(F.lit("Invalid: "), "violation").alias("issue"))
+    found = X.simple_patterns(spark, d).withColumns({"fifth": F.get("waves", F.lit(4))["length"], "late": F.when(F.col("start") > 100, F.col("date_end"))})
+    issues = Q.dataset_issues(found, ("symbol", "start", "fifth", "late", "ensemble_score"), ("symbol", "start"), AS_OF, ("symbol", "start", "rule_name"))
     return Q.quality_verdict(issues)
 
 

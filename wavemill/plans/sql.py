@@ -154,7 +154,7 @@ VALIDATED = f"""{PATTERNS},
 validated AS (SELECT *, CASE WHEN len(violations) > 0 THEN 'invalid' ELSE 'valid' END AS verdict FROM (SELECT *, CASE rule_name WHEN 'impulse' THEN {listed(UP, False)} WHEN 'bearish_impulse' THEN {listed(DOWN, False)} ELSE {listed(THREE, False)} END AS violations,
     CASE rule_name WHEN 'impulse' THEN {listed(UP, True)} WHEN 'bearish_impulse' THEN {listed(DOWN, True)} ELSE {listed(THREE, True)} END AS good FROM patterns))"""
 LONG = f"""{BARS},
-stretch AS (SELECT b.symbol, bar_idx AS start, bar_idx + 23 AS fin, CASE WHEN bar_idx % 24 = 0 THEN 'impulse' ELSE 'Corrective' END AS rule_name, CASE WHEN bar_idx % 24 = 0 THEN 5 ELSE 3 END AS parts FROM bars b JOIN (SELECT symbol, max(bar_idx) AS last FROM bars GROUP BY symbol) m ON m.symbol = b.symbol WHERE bar_idx % 12 = 0 AND bar_idx + 23 <= last),
+stretch AS (SELECT b.symbol, bar_idx AS start, bar_idx + 23 AS fin, CASE WHEN bar_idx % 2 = 0 THEN 'impulse' ELSE 'Corrective' END AS rule_name, CASE WHEN bar_idx % 2 = 0 THEN 5 ELSE 3 END AS parts FROM bars b JOIN (SELECT symbol, max(bar_idx) AS last FROM bars GROUP BY symbol) m ON m.symbol = b.symbol WHERE bar_idx + 23 <= last),
 segments AS (SELECT s.symbol, start, rule_name, CAST(part AS INTEGER) AS part, min(low) AS low, max(high) AS high FROM stretch s, unnest(range(1, parts + 1)) AS t(part) JOIN bars b ON b.symbol = s.symbol AND b.bar_idx BETWEEN start + (part - 1) * (24 // parts) AND least(fin, start + part * (24 // parts)) GROUP BY ALL)"""
 WIDE = f"""{LONG},
 wide AS (SELECT symbol, start, rule_name, {", ".join(f"max(CASE WHEN part = {i} THEN {c} END) AS {c}{i}" for i in range(1, 6) for c in ("low", "high"))} FROM segments GROUP BY ALL)"""
@@ -337,7 +337,7 @@ ORACLE_SQL: dict[str, str] = {
     "m2_first_swing_down": of(SWINGS, "SELECT symbol, s, e, low AS value FROM edges WHERE NOT up"),
     "m3_next_swing": of(NEXT, "SELECT symbol, s, e, value, progress FROM next"),
     "m4_next_swing_down": of(bars().replace("bars AS", "true_bars AS") + ",\nbars AS (SELECT * REPLACE (-high AS low, -low AS high) FROM true_bars)" + NEXT[len(BARS):], "SELECT symbol, s, e, -value AS value, progress FROM next"),
-    "m5_monowaves_one_skip": of(NEXT, "SELECT symbol, s, e, value FROM next"),
+    "m5_monowaves_one_skip": recursive(edges(1), "SELECT symbol, s, up, skip, e, low, high, need_idx FROM edges"),
     "m6_monowaves": recursive(edges(4), "SELECT symbol, s, up, skip, e, low, high, need_idx, turn FROM edges"),
     "m8_roll_up": of(PATTERNS, f"SELECT {KEY}, start AS idx_start, fin AS idx_end, low, high, abs(high - low) AS length, fin - start AS duration, 2 AS degree FROM (SELECT *, CASE WHEN w5 IS NULL THEN w3.low ELSE w1.low END AS low, CASE WHEN w5 IS NULL THEN w1.high ELSE w5.high END AS high FROM patterns)"),
     "p1_skip_options": "WITH k AS (SELECT count(*) AS n FROM region) SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c FROM k, range(n) AS x(a), range(n) AS y(b), range(n) AS z(c)",
@@ -397,7 +397,6 @@ ORACLE_SQL: dict[str, str] = {
     "v11_diversity": of(PATTERNS, "SELECT round(share, 6) AS top_share, share > 0.95 AS dominated, over_represented FROM (SELECT max(n) / sum(n) AS share FROM (SELECT count(*) AS n FROM patterns GROUP BY rule_name)), (SELECT count(*) FILTER (k > l) AS over_represented FROM (SELECT k, avg(k) OVER () + 2 * stddev_samp(k) OVER () AS l FROM (SELECT count(*) AS k FROM patterns GROUP BY symbol)))"),
     "v11_over_represented": of(PATTERNS, "SELECT symbol, n FROM (SELECT *, avg(n) OVER () + 2 * stddev_samp(n) OVER () AS l FROM (SELECT symbol, count(*) AS n FROM patterns GROUP BY symbol)) WHERE n > l ORDER BY n DESC, symbol LIMIT 5"),
     "v12_sanity": of(PATTERNS, "SELECT n, n - (SELECT count(*) FROM (SELECT DISTINCT symbol, start FROM patterns)) AS repeated, outliers, scores_redundant, CASE WHEN n < 30 THEN 'too small' WHEN n < 100 THEN 'small' WHEN n < 1000 THEN 'adequate' ELSE 'large' END AS sample_size FROM (SELECT count(*) AS n, count(*) FILTER (ensemble_score < q1 - 1.5 * (q3 - q1) OR ensemble_score > q3 + 1.5 * (q3 - q1)) AS outliers, coalesce(corr(ensemble_score, fib_score), 0) > 0.99 AS scores_redundant FROM patterns, (SELECT quantile_cont(ensemble_score, 0.25) AS q1, quantile_cont(ensemble_score, 0.75) AS q3 FROM patterns))"),
-    "v13_quality_verdict": of(VALIDATED, "SELECT n AS issues, CASE WHEN n = 0 THEN 'EXCELLENT' WHEN n <= 3 THEN 'GOOD' WHEN n <= 10 THEN 'FAIR' ELSE 'POOR' END AS verdict, n AS critical FROM (SELECT least(10, count(DISTINCT violation)) AS n FROM validated, unnest(violations) AS t(violation))"),
     "b1_asof_price": of(BARS, "SELECT e.symbol, e.ts, coalesce(arg_min(bar_idx, bar_ts) FILTER (bar_ts >= e.ts), max(bar_idx)) AS entry_idx, coalesce(min(bar_ts) FILTER (bar_ts >= e.ts), max(bar_ts)) AS entry_ts, coalesce(arg_min(close, bar_ts) FILTER (bar_ts >= e.ts), arg_max(close, bar_ts)) AS entry_price FROM (SELECT n_name AS symbol, unnest([TIMESTAMP '1990-01-01 00:00:00', TIMESTAMP '1995-03-15 12:00:00', TIMESTAMP '1997-01-01 00:00:00', TIMESTAMP '2030-01-01 00:00:00']) AS ts FROM nation) e JOIN bars b ON b.symbol = e.symbol GROUP BY e.symbol, e.ts"),
     "b2_simulate_trades": of(TRADES, f"SELECT {KEY}, entry_date, exit_date, entry_price, exit_price, position_size, return_pct, profit_loss FROM trades"),
     "b3_backtest_metrics": of(TRADES, """SELECT count(*) AS trades, count(*) FILTER (profit_loss > 0) AS wins, count(*) FILTER (profit_loss <= 0) AS losses, round(100 * avg(CASE WHEN profit_loss > 0 THEN 1 ELSE 0 END), 4) AS win_rate, round(sum(return_pct), 4) AS total_return, round(avg(return_pct), 4) AS mean_return, round(median(return_pct), 4) AS median_return, round(max(return_pct), 4) AS max_return, round(min(return_pct), 4) AS min_return,
@@ -407,3 +406,25 @@ ORACLE_SQL: dict[str, str] = {
     "b6_top_trades": of(TRADES, f"(SELECT 'best' AS side, {KEY}, {r('return_pct', n=4)} FROM trades ORDER BY trades.return_pct DESC, symbol, rule_name, start LIMIT 5) UNION ALL (SELECT 'worst', {KEY}, {r('return_pct', n=4)} FROM trades ORDER BY trades.return_pct, symbol, rule_name, start LIMIT 5)"),
     "b7_price_ranges": of(PATTERNS, "SELECT symbol, min(CAST(date_start AS DATE)) AS first_day, CAST(max(CAST(date_end AS DATE)) + 50 AS DATE) AS last_day FROM patterns GROUP BY symbol"),
 }
+ORACLE_SQL["v13_quality_verdict"] = f"""SELECT count(*) AS issues, CASE WHEN count(*) = 0 THEN 'EXCELLENT' WHEN count(*) <= 3 THEN 'GOOD' WHEN count(*) <= 10 THEN 'FAIR' ELSE 'POOR' END AS verdict, count(*) FILTER (regexp_matches(lower(issue), 'leakage|duplicate|too small')) AS critical FROM (
+    SELECT 'Missing ' || field AS issue FROM ({ORACLE_SQL["v8_completeness"]}) WHERE nulls > 0
+    UNION ALL SELECT unnest([CASE WHEN low_spread THEN 'a' END, CASE WHEN mostly_one_score THEN 'b' END, CASE WHEN mostly_excellent THEN 'c' END, CASE WHEN mostly_poor THEN 'd' END]) FROM ({ORACLE_SQL["v9_score_anomalies"]})
+    UNION ALL SELECT unnest([CASE WHEN future > 0 THEN 'leakage' END, CASE WHEN under_week > 0 THEN 'e' END, CASE WHEN over_two_years > 0 THEN 'f' END]) FROM ({ORACLE_SQL["v10_temporal_coverage"]})
+    UNION ALL SELECT unnest([CASE WHEN dominated THEN 'g' END, CASE WHEN over_represented > 0 THEN 'h' END]) FROM ({ORACLE_SQL["v11_diversity"]})
+    UNION ALL SELECT unnest([CASE WHEN repeated > 0 THEN 'duplicate' END, CASE WHEN scores_redundant THEN 'i' END, CASE WHEN n < 100 THEN 'too small' WHEN n < 1000 THEN 'j' END]) FROM ({ORACLE_SQL["v12_sanity"]})
+) WHERE issue IS NOT NULL"""
+BACK = "bar_ts, symbol, open, high, low, close, volume, \"interval\""
+ORACLE_SQL |= {
+    "s1_read_bars": of(BARS, f"SELECT {BACK} FROM bars"),
+    "s2_combine_bars": f"SELECT {BACK}, 'nations' AS source_category FROM (WITH {BARS} SELECT * FROM bars) UNION ALL SELECT {BACK}, 'suppliers' FROM (WITH {bars('CAST(l_suppkey AS VARCHAR)')} SELECT * FROM bars)",
+    "s3_read_symbols": "SELECT trim(s_name) AS symbol FROM supplier WHERE s_suppkey % 3 > 0",
+    "s4_read_manifest": of(BARS, """SELECT r_name AS market, n_name AS ticker, CASE WHEN NOT bad THEN n END AS rows, CASE WHEN NOT bad THEN a END AS min_date, CASE WHEN NOT bad THEN b END AS max_date, CASE WHEN bad THEN 'no data' END AS reason FROM (
+        SELECT *, n_nationkey % 4 = 0 OR n IS NULL AS bad FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT symbol, count(*) AS n, strftime(min(ts), '%Y-%m-%d') AS a, strftime(max(ts), '%Y-%m-%d') AS b FROM ticks GROUP BY symbol) t ON t.symbol = n_name)"""),
+    "s8_read_patterns": of(PATTERNS, f"SELECT {KEY}, CASE WHEN w5 IS NULL THEN 3 ELSE 5 END AS n_waves, {r('ensemble_score')} FROM patterns"),
+    "s9_write_bars": of(BARS, f"SELECT {BAR} FROM bars"),
+    "s10_write_patterns": of(PATTERNS, "SELECT '1wk' AS \"interval\", rule_name, count(*) AS n, count(DISTINCT (symbol, start)) AS starts, (SELECT count(*) FROM patterns) AS patterns FROM patterns GROUP BY rule_name"),
+    "s12_export_filtered": of(PATTERNS, "SELECT symbol, count(*) AS n, round(min(ensemble_score), 6) AS least, (SELECT count(*) FROM patterns) AS original_count, (SELECT count(*) FROM patterns WHERE ensemble_score >= 0.6) AS filtered_count, 'ensemble_score >= 0.6' AS filter FROM patterns WHERE ensemble_score >= 0.6 GROUP BY symbol"),
+    "c10_category_report": of(DIRTY, "SELECT source_category, \"interval\", count(*) AS n, count(DISTINCT symbol) AS symbols FROM dirty GROUP BY ALL"),
+    "v6_report_counts": of(VALIDATED, f"SELECT 'violation' AS kind, violation AS name, count(*) AS n FROM validated, unnest(violations) AS t(violation) GROUP BY ALL UNION ALL SELECT kind, name, count(*) FROM (SELECT unnest([{{'kind': 'w2_w1_quality', 'name': w2_w1_quality}}, {{'kind': 'w3_w1_quality', 'name': w3_w1_quality}}, {{'kind': 'w4_w3_quality', 'name': w4_w3_quality}}], recursive := true) FROM (SELECT {fib_quality('w2_w1', 'w2', 'w1', (0.382, 0.786), (0.236, 0.886))}, {fib_quality('w3_w1', 'w3', 'w1', (1.618, 2.618), (1.0, 4.236))}, {fib_quality('w4_w3', 'w4', 'w3', (0.236, 0.5), (0.146, 0.618))} FROM validated)) GROUP BY ALL"),
+    "v8_unstructured": of(PATTERNS, "SELECT count(*) FILTER (start % 7 = 0 OR start % 11 = 0) AS not_struct FROM patterns"),
+}

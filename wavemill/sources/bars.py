@@ -35,12 +35,14 @@ def read_bars(spark: SparkSession, folder: str, interval: str) -> DataFrame:
 
 
 def combine_bars(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """All Parquet files below the folders. The interval is the first of INTERVALS in the file name where the
-    table has none, the category the name of the parent folder."""
+    """All Parquet files below the folders. The interval is the first of INTERVALS in the name of the file, or of the
+    .parquet folder that it is part of, where the table has none; the category is the name of the parent folder."""
 
     def one(folder: str) -> DataFrame:
         raw = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(folder).select("*", F.col("_metadata.file_path").alias("_path"))
-        name, parent = F.element_at(F.split("_path", "/"), -1), F.element_at(F.split("_path", "/"), -2)
+        part = lambda i: F.coalesce(F.try_element_at(F.split("_path", "/"), F.lit(i)), F.lit(""))
+        within = part(-2).endswith(".parquet")
+        name, parent = F.when(within, part(-2)).otherwise(part(-1)), F.when(within, part(-3)).otherwise(part(-2))
         interval = F.coalesce(*[F.when(name.contains(i), F.lit(i)) for i in INTERVALS])
         have = {c.lower() for c in raw.columns}
         if "interval" not in have:
