@@ -41,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
+from pyspark.sql.window import Window
 
 from .common import release, shared_dir, slices, small_batches
 
@@ -441,8 +442,11 @@ def score(
     blocks = small_batches(spark.read.schema(schema).parquet(folder))
 
     each = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    totals = each.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")).checkpoint()
-    in_words, distinct_words = totals.agg(F.sum("c"), F.count("*")).first()
+    # a row a block and word, dealt by word once; a word has a row a block at most
+    of_word = Window.partitionBy("word")
+    nth = F.row_number().over(of_word.orderBy("block"))
+    known = each.select(F.col("block").alias("of_block"), "place", "n", F.sum("n").over(of_word).alias("c"), nth.alias("nth")).where("c > 0").checkpoint()
+    in_words, distinct_words = known.agg(F.sum("n"), F.count_if(F.col("nth") == 1)).first()
     ids_of = blocks.select("held", "sizes", "numbers", "word_ids", "word_sizes")
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -557,5 +561,5 @@ def score(
         release()
         return pa.concat_tables(parts)
 
-    found = each.select("block", "place", "word").join(totals, "word").select(F.col("block").alias("of_block"), "place", "c")
+    found = known.select("of_block", "place", "c")
     return blocks.drop("words", "counts").groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(score_block, out_schema)
