@@ -13,8 +13,8 @@ the shuffle. The driver holds the sample's features and a few global sums.
 
 Cases: a null text is the empty text, scored by the intercept. Null hosts or paths form a site of their
 own. Null labels take no part; without labels of both kinds, a head knows no evidence and its odds are
-even for quality, and nothing is toxic. Repeated rows and null ids get a row each, repeated labels count
-each. Texts are read whole. An empty table gives an empty result.
+even for quality, and nothing is toxic. Repeated rows and null ids get a row each, repeated labelled rows count
+once. Texts are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from .common import shared_dir, slices, small_batches
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 12_000
+#: Features of a sampled document that go to the driver, at most (a fifth of that in distinct words); scoring reads whole texts.
+MOST_FEATURES = 60_000
 FEATURES, EPOCHS, BATCH, RATE, RIDGE = 1 << 17, 12, 128, 1.0, 1e-6
 #: A document's log odds are sums over its distinct words, divided by this.
 SCALE = 8.0
@@ -122,11 +124,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     """Fits on at most sample labelled documents, those whose id has the least hash."""
     known = labels.where("quality is not null or toxic is not null").select(F.col(id_col).alias("id"), *HEADS)
     known = F.broadcast(known.orderBy(F.xxhash64("id"), "id", *HEADS).limit(sample))  # bounded by sample
-    thin = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(known, "id").select("text", *HEADS)
+    thin = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(known, "id")
+    # documents that share an id do not raise the bound: the rows of least hash stay, before anything goes to the driver
+    row = F.xxhash64("id", "text", *HEADS)
+    least = thin.select(row.alias("row")).distinct().orderBy("row").limit(sample)
+    thin = thin.withColumn("row", row).join(F.broadcast(least), "row", "left_semi").dropDuplicates(["row"]).select("text", *HEADS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [of_text(text) for text in part.column(0).cast(pa.binary()).to_pylist()]
+            found = [of_text(text)[:MOST_FEATURES] for text in part.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *(part.column(i).cast(pa.float64()) for i in (1, 2))], names=["features", *HEADS])
 
     got = thin.mapInArrow(run, "features array<int>, quality double, toxic double").toArrow()
