@@ -50,5 +50,34 @@ def test_forgetting_words_changes_nothing():
         assert np.frombuffer(ids, "<u4").tolist() == TOKTOK.encode_ordinary(text)
 
 
+def test_a_vocabulary_with_falling_ranks_is_encoded_step_by_step():
+    """Tokens of a lower rank than their parts: the query for long words would contract too much at once."""
+    odd = {bytes([b]): b + 10 for b in range(256)} | {b"ab": 5, b"abab": 2, b"ba": 7, b"aba": 3, b"bc": 4, b"cd": 500, b"abcd": 1}
+    coder = bpe.Bpe(odd)
+
+    def plain(word):
+        parts = [bytes([b]) for b in word]
+        while (best := min(((odd[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in odd), default=None)):
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        return [odd[x] for x in parts]
+
+    for word in (b"abababa" * 30, b"ba" * 100 + b"x", b"a" * 200, b"abcd" * 50, b"cdab" * 40):
+        ((ids, piece),) = coder.encode([word])
+        assert np.frombuffer(ids, "<u4").tolist() == plain(word) and piece == word
+    assert coder.sound is False
+    sound = bpe.Bpe(RANKS)
+    sound.encode([b"abc" * 100])
+    assert sound.sound is True
+
+
+def test_bytes_of_ids_are_those_of_the_vocabulary():
+    coder = bpe.Bpe(RANKS)
+    ids = np.random.default_rng(0).integers(0, len(RANKS), 300_000).astype("<u4")
+    of = {i: token for token, i in RANKS.items()}
+    decoded, past = coder.bytes_of(ids.tobytes())
+    assert decoded == b"".join(of[i] for i in ids.tolist()) and past[-1] == len(decoded)
+    assert coder.bytes_of(b"")[0] == b""
+
+
 def test_empty_table(spark):
     assert bpe.encode(rows(spark).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0

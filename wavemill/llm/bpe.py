@@ -3,13 +3,14 @@
 Spark partitions the documents; in a task, the distinct pattern matches ("words") that the task has
 not met lately go to DuckDB as token-position rows. A recursive query joins neighbouring positions
 with the merge table and contracts each word's leftmost pair of least rank until no pair is left; an
-ordered aggregation over the positions decodes. A text's ids are its words' ids in order, and its
-decoded bytes the words' decoded bytes in order, so each distinct word is worked out once.
+ordered aggregation over the positions decodes. A text's ids are its words' ids in order, so each distinct word is
+worked out once. A text's decoded bytes are those of its ids, in order, and have to be its words' decoded bytes.
 
 Cases: a null text is the empty text (no ids, the hash of no bytes); null or repeated ids and
 repeated rows are kept, one output row per input row; an empty table gives an empty result; other
 columns of the input are ignored, so their names cannot clash. Texts of any length and words of any
-length are encoded whole. Every Unicode string round-trips, as all 256 bytes are tokens.
+length are encoded whole; a word costs a turn for each rank that it is contracted at, so one of 20,000 letters takes
+seconds. Every Unicode string round-trips, as all 256 bytes are tokens.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ AT_ONCE, BYTES_AT_ONCE = 20_000, 1 << 19
 #: that made more than so many rows.
 LONG, TURNS, ROWS = 128, 16, 2 << 20
 
-#: A position's key is word * 2^24 + place, so that a place's right neighbour is one join away.
+#: A position's key is word * 2^40 + place, so that a place's right neighbour is one join away.
 ENCODE = """
 CREATE OR REPLACE TABLE tokens AS
 WITH RECURSIVE step AS (
@@ -46,22 +47,22 @@ WITH RECURSIVE step AS (
     UNION ALL
     SELECT CASE WHEN key > spot THEN key - 1 ELSE key END, turn + 1, CASE WHEN key = spot THEN merged ELSE id END
     FROM step JOIN (
-        SELECT word, min((m.id << 24) + place) AS best, best >> 24 AS merged, (word << 24) + (best & 16777215) AS spot
+        SELECT word, min((m.id << 40) + place) AS best, best >> 40 AS merged, (word << 40) + (best & 1099511627775) AS spot
         FROM (
-            SELECT a.key >> 24 AS word, a.key & 16777215 AS place, (a.id << 17) + b.id AS neighbours
+            SELECT a.key >> 40 AS word, a.key & 1099511627775 AS place, (a.id << 17) + b.id AS neighbours
             FROM step a JOIN step b ON b.key = a.key + 1
         ) JOIN merges m ON m.pair = neighbours
         GROUP BY word
-    ) ON word = key >> 24
+    ) ON word = key >> 40
     WHERE key <> spot + 1
 )
-SELECT key >> 24 AS row, key & 16777215 AS pos, id
-FROM step JOIN (SELECT key >> 24 AS word, max(turn) AS turn FROM step WHERE key & 16777215 = 0 GROUP BY key) ends
-    ON ends.word = key >> 24 AND ends.turn = step.turn
+SELECT key >> 40 AS row, key & 1099511627775 AS pos, id
+FROM step JOIN (SELECT key >> 40 AS word, max(turn) AS turn FROM step WHERE key & 1099511627775 = 0 GROUP BY key) ends
+    ON ends.word = key >> 40 AND ends.turn = step.turn
 """
 #: For long words: in each turn, the leftmost place of the word's least rank and the others of that rank that do not
-#: overlap it, which are the next to be contracted: a vocabulary whose tokens encode to themselves has no pair of
-#: lower rank that one of these contractions could make.
+#: overlap it, which are the next to be contracted: a vocabulary whose tokens encode to themselves (which is checked
+#: before the first long word) has no pair of lower rank that one of these contractions could make.
 ENCODE_LONG = """
 CREATE OR REPLACE TABLE reached AS
 WITH RECURSIVE step AS (
@@ -69,19 +70,19 @@ WITH RECURSIVE step AS (
     UNION ALL
     SELECT key - coalesce(sum(spot) OVER (PARTITION BY word ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), turn + 1, CASE spot WHEN 1 THEN least ELSE id END
     FROM (
-        SELECT s.key, s.key >> 24 AS word, turn, s.id, w.least, CASE WHEN spots.key IS NULL THEN 0 ELSE 1 END AS spot
+        SELECT s.key, s.key >> 40 AS word, turn, s.id, w.least, CASE WHEN spots.key IS NULL THEN 0 ELSE 1 END AS spot
         FROM step s
         JOIN (
-            SELECT a.key >> 24 AS word, min(m.id) AS least
+            SELECT a.key >> 40 AS word, min(m.id) AS least
             FROM step a JOIN step b ON b.key = a.key + 1 JOIN merges m ON m.pair = (a.id << 17) + b.id GROUP BY word
-        ) w ON w.word = s.key >> 24
+        ) w ON w.word = s.key >> 40
         LEFT JOIN (
             SELECT key FROM (
                 SELECT key, row_number() OVER (PARTITION BY run ORDER BY key) AS nth
                 FROM (
                     SELECT key, key - row_number() OVER (ORDER BY key) AS run
                     FROM (
-                        SELECT a.key, m.id, min(m.id) OVER (PARTITION BY a.key >> 24) AS least
+                        SELECT a.key, m.id, min(m.id) OVER (PARTITION BY a.key >> 40) AS least
                         FROM step a JOIN step b ON b.key = a.key + 1 JOIN merges m ON m.pair = (a.id << 17) + b.id
                     ) WHERE id = least
                 )
@@ -91,8 +92,8 @@ WITH RECURSIVE step AS (
     )
     QUALIFY coalesce(lag(spot) OVER (PARTITION BY word ORDER BY key), 0) = 0
 )
-SELECT key, id, step.turn FROM step JOIN (SELECT key >> 24 AS word, max(turn) AS turn FROM step WHERE key & 16777215 = 0 GROUP BY key) ends
-    ON ends.word = key >> 24 AND ends.turn = step.turn
+SELECT key, id, step.turn FROM step JOIN (SELECT key >> 40 AS word, max(turn) AS turn FROM step WHERE key & 1099511627775 = 0 GROUP BY key) ends
+    ON ends.word = key >> 40 AND ends.turn = step.turn
 """
 IDS = "SELECT row, id FROM tokens ORDER BY row, pos"
 #: Blobs have no ordered concatenation, their hexadecimal digits have.
@@ -120,10 +121,17 @@ class Bpe:
             if token[:i] in ranks and token[i:] in ranks
         ]
         l, r, m = np.array(merges, dtype=np.int64).reshape(-1, 3).T
+        if len(ranks) and max(ranks.values()) >= 1 << 17:
+            raise ValueError("ids of 17 bits at most")
+        self.tokens, self.sound = ranks, None
         self.put("merges", pa.table({"pair": (l << 17) + r, "id": m}))
         self.put("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int64()), "digits": [token.hex() for token in ranks]}))
         self.ids = np.fromiter(ranks.values(), np.int64, len(ranks))
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
+        sizes = np.zeros(int(self.ids.max(initial=0)) + 2, np.int64)
+        sizes[self.ids] = np.fromiter(map(len, ranks), np.int64, len(ranks))
+        self.starts, self.sizes = np.cumsum(sizes) - sizes, sizes
+        self.all_bytes = np.frombuffer(b"".join(token for token, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
 
     def put(self, name: str, table: pa.Table) -> None:
         self.db.register("given", table)
@@ -131,9 +139,16 @@ class Bpe:
         self.db.unregister("given")
 
     def encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Ids, as little-endian unsigned 32-bit integers, and decoded bytes of each word (of 1 to 2^24 - 1 bytes)."""
+        """Ids, as little-endian unsigned 32-bit integers, and decoded bytes of each word (of one byte or more)."""
         out: list = [None] * len(words)
-        short, long = [i for i, w in enumerate(words) if len(w) <= LONG], [i for i, w in enumerate(words) if len(w) > LONG]
+        longest = max(map(len, words), default=0)
+        if longest > LONG and self.sound is None:
+            self.sound = True  # for the tokens themselves, which take the query for short words
+            some = [token for token in self.tokens if len(token) <= LONG]
+            found = self.encode(some)
+            self.sound = all(ids == self.tokens[token].to_bytes(4, "little") for token, (ids, _) in zip(some, found, strict=True))
+        most = LONG if self.sound else longest
+        short, long = [i for i, w in enumerate(words) if len(w) <= most], [i for i, w in enumerate(words) if len(w) > most]
         for numbers, is_long in ((short, False), (long, True)):
             for some in bounded(numbers, words):
                 for i, found in zip(some, self.encode_some([words[i] for i in some], is_long), strict=True):
@@ -143,7 +158,7 @@ class Bpe:
     def encode_some(self, words: list[bytes], is_long: bool) -> Iterator[tuple[bytes, bytes]]:
         row, pos = places(words)
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        self.put("letters", pa.table({"key": (row << 24) + pos, "id": ids}))
+        self.put("letters", pa.table({"key": (row << 40) + pos, "id": ids}))
         if is_long:
             while True:
                 turns = max(1, min(TURNS, ROWS // len(ids)))
@@ -151,7 +166,7 @@ class Bpe:
                 if self.db.execute("SELECT max(turn) FROM reached").fetchall()[0][0] < turns:
                     break
                 self.db.execute("CREATE OR REPLACE TABLE letters AS SELECT key, id FROM reached")
-            self.db.execute("CREATE OR REPLACE TABLE tokens AS SELECT key >> 24 AS row, key & 16777215 AS pos, id FROM reached")
+            self.db.execute("CREATE OR REPLACE TABLE tokens AS SELECT key >> 40 AS row, key & 1099511627775 AS pos, id FROM reached")
         else:
             self.db.execute(ENCODE)
         got = self.db.execute(IDS).fetchnumpy()
@@ -167,6 +182,16 @@ class Bpe:
         found = dict(got)
         return [bytes.fromhex(found.get(i, "")) for i in range(n)]
 
+    def bytes_of(self, ids: bytes) -> tuple[bytes, np.ndarray]:
+        """The bytes of ids (little-endian, 32 bits) in order, and where each id's end."""
+        flat, out = np.frombuffer(ids, "<u4"), []
+        for a in range(0, len(flat), 1 << 17):  # some at a time, for the places of their bytes take room
+            some = flat[a : a + (1 << 17)]
+            n = self.sizes[some]
+            begin = np.cumsum(n) - n
+            out.append(self.all_bytes[np.repeat(self.starts[some] - begin, n) + np.arange(n.sum())].tobytes())
+        return b"".join(out), np.cumsum(self.sizes[flat])
+
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids; ids outside the vocabulary are an error."""
         row, pos = places(rows)
@@ -248,10 +273,16 @@ class Memory:
             if piece != was:
                 self.changed[word] = piece
         ids_of = self.new.__getitem__
-        for words in found:
-            decoded = "".join(words).encode() if not self.changed else b"".join(self.changed.get(x) or x.encode() for x in words)
-            yield b"".join(map(ids_of, words)), decoded
-
+        all_ids = [b"".join(map(ids_of, words)) for words in found]
+        decoded, past = self.bpe.bytes_of(b"".join(all_ids))
+        if decoded != ("".join(map("".join, found)).encode() if not self.changed else b"".join(self.changed.get(x) or x.encode() for words in found for x in words)):
+            raise RuntimeError("texts and words decode apart")
+        place = begin = 0
+        for ids in all_ids:
+            place += len(ids) // 4
+            end = int(past[place - 1]) if place else 0
+            yield ids, decoded[begin:end]
+            begin = end
 
     def forget(self) -> None:
         """A worker outlives its tasks, and other work shares its memory."""
@@ -263,18 +294,18 @@ class Memory:
 _memory: dict[tuple, Memory] = {}
 
 
-def memory(ranks: dict[bytes, int], pattern: str) -> Memory:
+def memory(ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> Memory:
     """One merge table per Python worker and vocabulary; Spark uses workers again for later tasks."""
-    key = (len(ranks), hash(frozenset(ranks.items())), pattern)
+    key = (len(ranks), hash(frozenset(ranks.items())), pattern, remembered)
     if key not in _memory:
         _memory.clear()
-        _memory[key] = Memory(ranks, pattern)
+        _memory[key] = Memory(ranks, pattern, remembered)
     return _memory[key]
 
 
 def encode(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    with_ids: bool = True, with_digests: bool = False,
+    with_ids: bool = True, with_digests: bool = False, remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per document: doc_id, n_tokens, and as wanted ids (array of int) and decoded (binary), or
     their digests ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256."""
@@ -283,7 +314,7 @@ def encode(
     schema = f"doc_id {id_type}, n_tokens bigint" + ", ids array<int>, decoded binary" * with_ids + ", ids_sha256 string, decoded_sha256 string" * with_digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = memory(shared.value, pattern)
+        known = memory(shared.value, pattern, remembered)
         for part in slices(batches):
             rows = []
             for ids, decoded in known.look_up(part.column(1).to_pylist()):

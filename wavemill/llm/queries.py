@@ -13,7 +13,7 @@ from .common import read_table
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = read_table(spark, sf_dir, "documents")
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_ids=False, with_digests=True)
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_ids=False, with_digests=True, remembered=200_000)  # words a generation: some 100 MB a worker
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
