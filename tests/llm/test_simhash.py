@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from wavemill.llm import simhash
@@ -72,3 +73,22 @@ def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
     want = sorted(map(str, [(5, a), (5, b), (8, "words that nobody repeats"), (None, c), (None, "left alone too")]))
     for n in (1, 7):
         assert sorted(str(tuple(r)) for r in simhash.drop_near_duplicates(d.repartition(n)).collect()) == want
+
+
+@pytest.mark.parametrize("hot", [2080, 3, 0])
+def test_links_are_those_of_all_pairs_with_hot_halves(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(hot)
+    fps = set()
+    for _ in range(6):
+        base = rng.getrandbits(64)
+        for _ in range(25):
+            x = base
+            for _ in range(rng.randint(0, 3)):
+                x ^= 1 << rng.randrange(64)
+            fps.add(x)
+        fps |= {base & 0xFFFFFFFF | rng.getrandbits(32) << 32 for _ in range(6)} | {base ^ 1 << 63, base ^ 3 << 62, base ^ 1}
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+    got = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()
+    assert len(got) == len(set(map(tuple, got))) and {tuple(r) for r in got} == want and len(want) > 100

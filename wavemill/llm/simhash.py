@@ -5,7 +5,9 @@ fingerprints are one node. Of two nodes that differ in two bits at most, either
 in one bit at most or the low halves are equal. So each node enumerates the Hamming ball of radius 1
 around its high half (33 values) and of radius 0 around its low half, fetches the nodes that have such
 a half from the table of halves, and keeps those at a complete distance of two or less. A node has
-2,080 such neighbours at most, whatever the size of a group of copies, as exact copies are one node.
+2,080 such neighbours at most, whatever the size of a group of copies, as exact copies are one node. A half that more
+than HOT nodes share is not fetched from: nodes that would ask for it look all of their 2,080 neighbours up by whole
+fingerprint, so that no half makes pairs by the square of its nodes.
 Components come from alternating large-star and small-star rounds over the links.
 
 Cases: a null text is the empty text; texts without words have fingerprint zero, which links like any
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, slices, small_batches
 
 SEED, WORDS = 42, 3
+#: More nodes than that share a hot half.
+HOT = 2080
 BYTES = np.arange(256, dtype=np.int64)[:, None] >> np.arange(8) & 1
 
 
@@ -71,10 +75,21 @@ def links(nodes: DataFrame) -> DataFrame:
     around = F.transform(ball, lambda x: F.struct(F.lit(0).alias("half"), high.bitwiseXOR(x).alias("value")))
     probes = nodes.select(F.col("fp").alias("u"), F.explode(F.concat(around, F.array(F.struct(F.lit(1).alias("half"), low.alias("value"))))).alias("at"))
     key = ["half", "value"]
-    found = probes.select("u", "at.*").join(table.select("v", "at.*"), key)
+    probes = probes.select("u", "at.*")
+    table = table.select("v", "at.*")
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
-    # a pair whose high halves differ in one bit is found from both of its ends, so asking for u < v loses none
-    return found.where(near).select("u", "v").distinct()
+    # each node finds all of its links, so a pair is found from both of its ends, and asking for u < v loses none
+    hot = table.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(*key)
+    if not hot.limit(1).count():
+        return probes.join(table, key).where(near).select("u", "v").distinct()
+    asks = probes.join(hot, key, "left_semi").select("u").distinct().checkpoint()
+    found = probes.join(asks, "u", "left_anti").join(table, key).where(near).select("u", "v")
+    bit = lambda i: F.when(i < 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, i)" if i is first else "shiftleft(1L, j)"))
+    first, second = F.col("i"), F.col("j")
+    ball = asks.withColumn("i", F.explode(F.sequence(F.lit(-1), F.lit(62)))).withColumn("j", F.explode(F.sequence(F.when(first < 0, F.lit(0)).otherwise(first + 1), F.lit(63))))
+    ball = ball.select("u", F.col("u").bitwiseXOR(bit(first).bitwiseXOR(bit(second))).alias("v"))
+    looked_up = ball.where("u < v").join(nodes.select(F.col("fp").alias("v")), "v").select("u", "v")
+    return found.union(looked_up).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
