@@ -39,3 +39,13 @@ def test_nulls_ties_and_empty(spark):
     (row,) = chat.read_back(chat.examples(d)).collect()
     assert row.n_turns == 5 and row.turns_sha256 == sha("\nfirst\nuser\n\nassistant\na\nassistant\na\nassistant\nb\n") and row.loss_sha256 == sha("aab")
     assert chat.read_back(chat.examples(d.limit(0))).count() == 0
+
+
+def test_every_context_is_read_back(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "so"), (1, 3, "assistant", "well")]
+    made = chat.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert chat.read_back(made).first().turns_sha256 is not None
+    from pyspark.sql import functions as F
+
+    spoilt = made.withColumn("text", F.when(F.col("example") == 1, F.replace("text", F.lit("hi"), F.lit("ho"))).otherwise(F.col("text")))
+    assert chat.read_back(spoilt).first().turns_sha256 is None

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 START, END, TARGET = "<|im_start|>", "<|im_end|>", "assistant"
 
@@ -71,17 +72,20 @@ def parsed(text: Column) -> Column:
 
 def read_back(found: DataFrame) -> DataFrame:
     """What examples say about each conversation, from their texts and loss spans alone: n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    turns_sha256, loss_chars, loss_sha256, formatted_chars. Every example is parsed; where its turns do not begin with
+    all of the example's before, turns_sha256 is null."""
     loss = unescape(F.coalesce(F.substring("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")), F.lit("")))
-    one = found.select("conv_id", "example", "text", F.length("text").cast("long").alias("n"), loss.alias("loss"))
+    one = found.select("conv_id", "example", F.length("text").cast("long").alias("n"), loss.alias("loss"), parsed(F.col("text")).alias("turns"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    one = one.select("conv_id", "example", "n", "loss", F.size("turns").cast("long").alias("n_turns"), said.alias("said"))
+    before = F.lag("said").over(Window.partitionBy("conv_id").orderBy("example"))
+    one = one.withColumn("goes_on", F.startswith("said", F.coalesce(before, F.lit(""))))
     per = one.groupBy("conv_id").agg(
-        F.max_by("text", "example").alias("text"), F.sum("n").alias("formatted_chars"),
+        F.max_by("said", "example").alias("said"), F.max("n_turns").alias("n_turns"), F.bool_and("goes_on").alias("goes_on"), F.sum("n").alias("formatted_chars"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "").alias("loss"),
     )
-    turns = per.withColumn("turns", parsed(F.col("text")))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return turns.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+    return per.select(
+        "conv_id", "n_turns", F.when(F.col("goes_on"), F.sha2("said", 256)).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
     )
 
