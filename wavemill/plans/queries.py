@@ -52,6 +52,10 @@ def flat_waves(df: DataFrame) -> DataFrame:
     return df.select("symbol", "start", *cols)
 
 
+def config() -> Column:
+    return F.array_join(F.col("wave_config").cast("array<string>"), ",").alias("config")
+
+
 # --- sources -----------------------------------------------------------------------------------------
 
 
@@ -339,17 +343,22 @@ def m8_roll_up(spark, d):
     return X.simple_patterns(spark, d).select(*PATTERN, V.roll_up(F.col("waves")).alias("r")).select(*PATTERN, "r.idx_start", "r.idx_end", "r.low", "r.high", "r.length", "r.duration", "r.degree")
 
 
+def taken(options: DataFrame, family: str, spark: SparkSession, d: str, names: str) -> DataFrame:
+    """The options with how many chains of the bars take each."""
+    edges = kept(M.monowaves(X.weekly_bars(spark, d), 2))
+    found = C.chains(edges, family, options=options).groupBy(F.col("wave_config").alias("skips")).agg(F.count("*").alias("n"))
+    return options.join(found, "skips", "left").select("rank", *[F.col("skips")[i].alias(x) for i, x in enumerate(names)], F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query
 def p1_skip_options(spark, d):
-    # as many options as there are nations' regions to the fifth power
-    n = X.read(spark, d, "region").count()
-    return C.skip_options(spark, n, 3).select(F.col("skips")[0].alias("a"), F.col("skips")[1].alias("b"), F.col("skips")[2].alias("c"))
+    options = C.skip_options(spark, 3, 3)
+    return taken(C.top_options(options, 27), "corrective", spark, d, "abc").drop("rank")
 
 
 @query
 def p2_top_options(spark, d):
-    n = X.read(spark, d, "region").count()
-    return C.top_options(C.skip_options(spark, n, 5), 300).select("rank", *[F.col("skips")[i].alias(x) for i, x in enumerate("abcde")])
+    return taken(C.top_options(C.skip_options(spark, 3, 5), 60), "impulse", spark, d, "abcde")
 
 
 def plain(family: str, guarded: bool, spark: SparkSession, d: str) -> DataFrame:
@@ -372,9 +381,10 @@ def p7_cycles(spark, d):
 
 @query
 def p8_dedup_candidates(spark, d):
-    p = X.simple_patterns(spark, d).withColumn("symbol", F.lit("all"))
-    order = p.withColumn("start", F.col("start"))
-    return C.dedup_candidates(order).groupBy("rule_name").agg(F.count("*").alias("n"))
+    """Of the chains of one start, many skips lead to the same waves."""
+    edges = kept(M.monowaves(X.weekly_bars(spark, d), 2))
+    found = C.chains(edges, "corrective", options=C.top_options(C.skip_options(spark, 3, 3), 27))
+    return C.dedup_candidates(found.withColumn("rule_name", F.lit("Corrective"))).select("symbol", "start", "rank", config())
 
 
 @query
@@ -382,10 +392,6 @@ def p9_rank_patterns(spark, d):
     return rounded(C.rank_patterns(X.simple_patterns(spark, d), 3, ("symbol",)).select(*PATTERN, "nth", "ensemble_score"))
 
 
-def config() -> Column:
-    return F.array_join(F.col("wave_config").cast("array<string>"), ",").alias("config")
-
-
 def scanned(spark: SparkSession, d: str, up_to: int, by: str = "nation", top_k: int = 300) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bars, candidates and open chains over the same chains."""
     bars = kept(X.weekly_bars(spark, d, by))
@@ -464,6 +470,14 @@ def p17_reconstruct(spark, d):
     return C.reconstruct(p, X.simple_edges(X.weekly_bars(spark, d))).select(*PATTERN, F.col("rebuilt").isNotNull().alias("found"), "passes")
 
 
+@query
+def p17_reconstruct_skips(spark, d):
+    """The scan's candidates, rebuilt from their starts and skips."""
+    bars, found, _ = scanned(spark, d, 3)
+    back = C.reconstruct(found.select("symbol", "interval", "start", "rule_name", "wave_config"), kept(M.monowaves(bars, 2)))
+    return back.select(*PATTERN, config(), F.element_at("rebuilt", -1)["idx_end"].alias("fin"), "passes")
+
+
 @query
 def p18_polyline(spark, d):
     return X.simple_patterns(spark, d).select(*PATTERN, F.posexplode(V.polyline(F.col("waves"))).alias("nth", "v")).select(*PATTERN, "nth", "v.idx", "v.value", "v.label", "v.ratio")
@@ -547,12 +561,13 @@ def a6_extreme_symbols(spark, d):
 
 @query
 def a7_config_counts(spark, d):
-    return A.config_counts(X.simple_patterns(spark, d))
+    return A.config_counts(scanned(spark, d, 3)[1])
 
 
 @query
 def a7_config_stats(spark, d):
-    return rounded(A.config_stats(X.simple_patterns(spark, d)))
+    found = scanned(spark, d, 3)[1]
+    return rounded(A.config_stats(found.withColumn("end", F.element_at("waves", -1)["idx_end"])))
 
 
 @query
@@ -684,7 +699,7 @@ def v11_diversity(spark, d):
 
 @query
 def v11_over_represented(spark, d):
-    return Q.over_represented(X.simple_patterns(spark, d))
+    return Q.over_represented(X.simple_patterns(spark, d, "supplier"))
 
 
 @query

@@ -340,14 +340,11 @@ ORACLE_SQL: dict[str, str] = {
     "m5_monowaves_one_skip": recursive(edges(1), "SELECT symbol, s, up, skip, e, low, high, need_idx FROM edges"),
     "m6_monowaves": recursive(edges(4), "SELECT symbol, s, up, skip, e, low, high, need_idx, turn FROM edges"),
     "m8_roll_up": of(PATTERNS, f"SELECT {KEY}, start AS idx_start, fin AS idx_end, low, high, abs(high - low) AS length, fin - start AS duration, 2 AS degree FROM (SELECT *, CASE WHEN w5 IS NULL THEN w3.low ELSE w1.low END AS low, CASE WHEN w5 IS NULL THEN w1.high ELSE w5.high END AS high FROM patterns)"),
-    "p1_skip_options": "WITH k AS (SELECT count(*) AS n FROM region) SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c FROM k, range(n) AS x(a), range(n) AS y(b), range(n) AS z(c)",
-    "p2_top_options": "WITH k AS (SELECT count(*) AS n FROM region) SELECT CAST(row_number() OVER (ORDER BY a + b + c + d + e DESC, a, b, c, d, e) AS INTEGER) AS rank, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, CAST(d AS INTEGER) AS d, CAST(e AS INTEGER) AS e FROM k, range(n) AS x(a), range(n) AS y(b), range(n) AS z(c), range(n) AS u(d), range(n) AS v(e) QUALIFY rank <= 300",
     "p3_impulse_chains": of(SWINGS, f"SELECT symbol, start, {waves(5)} FROM ({chain(IMPULSE, 'i')}) c WHERE w2.low <= (SELECT min(low) FROM bars b WHERE b.symbol = c.symbol AND bar_idx >= w2.e AND bar_idx < w4.e) AND coalesce(w4.low <= (SELECT min(low) FROM bars b WHERE b.symbol = c.symbol AND bar_idx >= w4.e AND bar_idx < w5.e), true)"),
     "p4_bearish_chains": of(SWINGS, f"SELECT symbol, start, {waves(5)} FROM ({chain(BEARISH, 'i')}) c WHERE w2.high >= (SELECT max(high) FROM bars b WHERE b.symbol = c.symbol AND bar_idx >= w2.e AND bar_idx < w4.e) AND coalesce(w4.high >= (SELECT max(high) FROM bars b WHERE b.symbol = c.symbol AND bar_idx >= w4.e AND bar_idx < w5.e), true)"),
     "p5_corrective_chains": of(SWINGS, f"SELECT symbol, start, {waves(3)} FROM ({chain(CORRECTIVE, 'c')})"),
     "p6_td_chains": of(SWINGS, f"SELECT symbol, start, {waves(2)} FROM ({chain(TD, 't')})"),
     "p7_cycles": of(SWINGS, f"SELECT i.symbol, i.start, {', '.join(f'i.w{n}.length AS l{n}' for n in range(1, 6))}, {', '.join(f'c.w{n}.length AS l{n + 5}' for n in range(1, 4))} FROM ({chain(IMPULSE, 'i')}) i JOIN ({chain(CORRECTIVE, 'c')}) c ON c.symbol = i.symbol AND c.start = i.fin"),
-    "p8_dedup_candidates": of(PATTERNS, "SELECT rule_name, count(*) AS n FROM (SELECT DISTINCT rule_name, w1.low, w1.high, w2.low, w2.high, w3.low, w3.high, w4.low, w4.high, w5.low, w5.high FROM patterns) GROUP BY rule_name"),
     "p9_rank_patterns": of(PATTERNS, f"SELECT {KEY}, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ensemble_score DESC, fin DESC, rule_name, CASE WHEN w5 IS NULL THEN 3 ELSE 5 END, start) AS INTEGER) AS nth, {r('ensemble_score')} FROM patterns QUALIFY nth <= 3"),
     "p10_scan_candidates": recursive(found(3), "SELECT symbol, start, rule_name, rank, array_to_string(config, ',') AS config, fin, need AS need_idx, round(fib_score, 6) AS fib_score, round(ensemble_score, 6) AS ensemble_score FROM cand"),
     "p11_best_per_window": recursive(scanned(3, SLIDING), f"SELECT symbol, start_row, window_len, rule_name, w1.s AS idx_start, fin AS idx_end, round(ensemble_score, 6) AS ensemble_score, round(fib_score, 6) AS fib_score FROM ({ONE})"),
@@ -375,8 +372,6 @@ ORACLE_SQL: dict[str, str] = {
     "a5_by_symbol": of(PATTERNS, f"SELECT symbol, count(*) AS n, {distribution('ensemble_score')}, {distribution('fib_score', 'fib_')}, count(*) FILTER (rule_name = 'impulse') AS impulses FROM patterns GROUP BY symbol"),
     "a6_symbol_coverage": of(PATTERNS, "SELECT round(avg(n), 6) AS mean, round(median(n), 6) AS median, round(stddev_pop(n), 6) AS std, min(n) AS min, max(n) AS max FROM (SELECT symbol, count(*) AS n FROM patterns GROUP BY symbol)"),
     "a6_extreme_symbols": of(f"{PATTERNS}, per AS (SELECT symbol, count(*) AS n FROM patterns GROUP BY symbol)", "(SELECT symbol, n, 'top' AS side FROM per ORDER BY n DESC, symbol LIMIT 10) UNION ALL (SELECT symbol, n, 'bottom' FROM per ORDER BY n, symbol LIMIT 10)"),
-    "a7_config_counts": of(PATTERNS, "SELECT CASE WHEN w5 IS NULL THEN '0,0,0' ELSE '0,0,0,0,0' END AS config, count(*) AS n FROM patterns GROUP BY 1"),
-    "a7_config_stats": of(PATTERNS, "SELECT count(*) AS valid, 2::BIGINT AS distinct_configs, round(avg(fin - start), 6) AS mean_length, round(median(fin - start), 6) AS median_length, min(fin - start) AS min_length, max(fin - start) AS max_length FROM patterns"),
     "a8_temporal_stats": of(PATTERNS, f"SELECT CAST(year(date_start) AS INTEGER) AS year, count(*) AS n, round(avg({DAYS}), 6) AS mean_days, round(median({DAYS}), 6) AS median_days, CAST(min({DAYS}) AS INTEGER) AS min_days, CAST(max({DAYS}) AS INTEGER) AS max_days FROM patterns GROUP BY 1"),
     "a9_scores_by_type": of(PATTERNS, "SELECT CASE WHEN rule_name = 'Corrective' THEN 'corrective' ELSE 'impulse' END AS family, count(*) AS n, round(avg(ensemble_score), 6) AS mean, round(median(ensemble_score), 6) AS median FROM patterns GROUP BY 1"),
     "a10_basic_stats": of(PATTERNS, "SELECT count(*) AS patterns, count(DISTINCT symbol) AS symbols FROM patterns"),
@@ -395,7 +390,6 @@ ORACLE_SQL: dict[str, str] = {
     "v9_score_anomalies": of(PATTERNS, f"SELECT stddev_samp(ensemble_score) < 0.01 AS low_spread, avg(CASE WHEN ensemble_score = first THEN 1 ELSE 0 END) > 0.5 AS mostly_one_score, avg(CASE WHEN ensemble_score >= 0.85 THEN 1 ELSE 0 END) > 0.9 AS mostly_excellent, avg(CASE WHEN ensemble_score < 0.5 THEN 1 ELSE 0 END) > 0.5 AS mostly_poor FROM patterns, (SELECT ensemble_score AS first FROM patterns ORDER BY {KEY} LIMIT 1)"),
     "v10_temporal_coverage": of(PATTERNS, f"SELECT min(date_start) AS first, max(date_end) AS last, count(*) FILTER (date_end > {AS_OF}) AS future, count(*) FILTER ({DAYS} < 7) AS under_week, count(*) FILTER ({DAYS} > 730) AS over_two_years FROM patterns"),
     "v11_diversity": of(PATTERNS, "SELECT round(share, 6) AS top_share, share > 0.95 AS dominated, over_represented FROM (SELECT max(n) / sum(n) AS share FROM (SELECT count(*) AS n FROM patterns GROUP BY rule_name)), (SELECT count(*) FILTER (k > l) AS over_represented FROM (SELECT k, avg(k) OVER () + 2 * stddev_samp(k) OVER () AS l FROM (SELECT count(*) AS k FROM patterns GROUP BY symbol)))"),
-    "v11_over_represented": of(PATTERNS, "SELECT symbol, n FROM (SELECT *, avg(n) OVER () + 2 * stddev_samp(n) OVER () AS l FROM (SELECT symbol, count(*) AS n FROM patterns GROUP BY symbol)) WHERE n > l ORDER BY n DESC, symbol LIMIT 5"),
     "v12_sanity": of(PATTERNS, "SELECT n, n - (SELECT count(*) FROM (SELECT DISTINCT symbol, start FROM patterns)) AS repeated, outliers, scores_redundant, CASE WHEN n < 30 THEN 'too small' WHEN n < 100 THEN 'small' WHEN n < 1000 THEN 'adequate' ELSE 'large' END AS sample_size FROM (SELECT count(*) AS n, count(*) FILTER (ensemble_score < q1 - 1.5 * (q3 - q1) OR ensemble_score > q3 + 1.5 * (q3 - q1)) AS outliers, coalesce(corr(ensemble_score, fib_score), 0) > 0.99 AS scores_redundant FROM patterns, (SELECT quantile_cont(ensemble_score, 0.25) AS q1, quantile_cont(ensemble_score, 0.75) AS q3 FROM patterns))"),
     "b1_asof_price": of(BARS, "SELECT e.symbol, e.ts, coalesce(arg_min(bar_idx, bar_ts) FILTER (bar_ts >= e.ts), max(bar_idx)) AS entry_idx, coalesce(min(bar_ts) FILTER (bar_ts >= e.ts), max(bar_ts)) AS entry_ts, coalesce(arg_min(close, bar_ts) FILTER (bar_ts >= e.ts), arg_max(close, bar_ts)) AS entry_price FROM (SELECT n_name AS symbol, unnest([TIMESTAMP '1990-01-01 00:00:00', TIMESTAMP '1995-03-15 12:00:00', TIMESTAMP '1997-01-01 00:00:00', TIMESTAMP '2030-01-01 00:00:00']) AS ts FROM nation) e JOIN bars b ON b.symbol = e.symbol GROUP BY e.symbol, e.ts"),
     "b2_simulate_trades": of(TRADES, f"SELECT {KEY}, entry_date, exit_date, entry_price, exit_price, position_size, return_pct, profit_loss FROM trades"),
@@ -428,3 +422,12 @@ ORACLE_SQL |= {
     "v6_report_counts": of(VALIDATED, f"SELECT 'violation' AS kind, violation AS name, count(*) AS n FROM validated, unnest(violations) AS t(violation) GROUP BY ALL UNION ALL SELECT kind, name, count(*) FROM (SELECT unnest([{{'kind': 'w2_w1_quality', 'name': w2_w1_quality}}, {{'kind': 'w3_w1_quality', 'name': w3_w1_quality}}, {{'kind': 'w4_w3_quality', 'name': w4_w3_quality}}], recursive := true) FROM (SELECT {fib_quality('w2_w1', 'w2', 'w1', (0.382, 0.786), (0.236, 0.886))}, {fib_quality('w3_w1', 'w3', 'w1', (1.618, 2.618), (1.0, 4.236))}, {fib_quality('w4_w3', 'w4', 'w3', (0.236, 0.5), (0.146, 0.618))} FROM validated)) GROUP BY ALL"),
     "v8_unstructured": of(PATTERNS, "SELECT count(*) FILTER (start % 7 = 0 OR start % 11 = 0) AS not_struct FROM patterns"),
 }
+ORACLE_SQL |= {
+    "p1_skip_options": recursive(edges(2), f"SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, count(x.config) AS n FROM {options(3, 3, 27)} o LEFT JOIN (SELECT config FROM ({skipping(CORRECTIVE, 3)}) AS t(symbol, start, rank, config, w1, w2, w3, w4, w5, need, before)) x ON x.config = [o.a, o.b, o.c] GROUP BY ALL"),
+    "p2_top_options": recursive(edges(2), f"SELECT CAST(o.rank AS INTEGER) AS rank, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, CAST(d AS INTEGER) AS d, CAST(e AS INTEGER) AS e, count(x.config) AS n FROM {options(3, 5, 60)} o LEFT JOIN (SELECT config FROM ({skipping(IMPULSE, 3)}) AS t(symbol, start, rank, config, w1, w2, w3, w4, w5, need, before)) x ON x.config = [o.a, o.b, o.c, o.d, o.e] GROUP BY ALL"),
+    "p8_dedup_candidates": recursive(edges(2), f"SELECT symbol, start, rank, array_to_string(config, ',') AS config FROM ({skipping(CORRECTIVE, 3)}) AS t(symbol, start, rank, config, w1, w2, w3, w4, w5, need, before) QUALIFY row_number() OVER (PARTITION BY symbol, start, w1.low, w1.high, w2.low, w2.high, w3.low, w3.high ORDER BY rank) = 1"),
+    "p17_reconstruct_skips": recursive(found(3), "SELECT symbol, start, rule_name, array_to_string(config, ',') AS config, fin, true AS passes FROM cand"),
+    "a7_config_counts": recursive(found(3), "SELECT array_to_string(config, ',') AS config, count(*) AS n FROM cand GROUP BY 1 ORDER BY n DESC, config LIMIT 10"),
+    "a7_config_stats": recursive(found(3), "SELECT count(*) AS valid, count(DISTINCT config) AS distinct_configs, round(avg(fin - start), 6) AS mean_length, round(median(fin - start), 6) AS median_length, min(fin - start) AS min_length, max(fin - start) AS max_length FROM cand"),
+    "v11_over_represented": of(PATTERNS.replace(BARS, bars("CAST(l_suppkey AS VARCHAR)")), "SELECT symbol, n FROM (SELECT *, avg(n) OVER () + 2 * stddev_samp(n) OVER () AS l FROM (SELECT symbol, count(*) AS n FROM patterns GROUP BY symbol)) WHERE n > l ORDER BY n DESC, symbol LIMIT 5"),
+}
