@@ -445,8 +445,10 @@ def score(
     # a row a block and word, dealt by word once; a word has a row a block at most
     of_word = Window.partitionBy("word")
     nth = F.row_number().over(of_word.orderBy("block"))
-    known = each.select(F.col("block").alias("of_block"), "place", "n", F.sum("n").over(of_word).alias("c"), nth.alias("nth")).where("c > 0").checkpoint()
-    in_words, distinct_words = known.agg(F.sum("n"), F.count_if(F.col("nth") == 1)).first()
+    known = each.select(F.col("block").alias("of_block"), "place", "n", F.sum("n").over(of_word).alias("c"), (nth == 1).alias("first")).where("c > 0")
+    known.write.option("compression", "zstd").parquet(f"{folder}-known")
+    known = spark.read.schema(known.schema).parquet(f"{folder}-known")
+    in_words, distinct_words = known.agg(F.sum("n"), F.count_if("first")).first()
     ids_of = blocks.select("held", "sizes", "numbers", "word_ids", "word_sizes")
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
