@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from wavemill.plans.queries import QUERIES
 
-HEADLINE = ["s1_weekly_bars", "c9_validate_bars", "w1_resample_4h", "w2_index_bars", "m6_monowaves", "p3_impulse_chains", "p9_rank_patterns", "p10_scan_candidates", "p12_skip_ahead_scan", "p14_scan_grid", "a1_score_distribution", "v1_validate_patterns", "b2_simulate_trades"]
+HEADLINE = ["s1_weekly_bars", "c9_validate_bars", "w1_resample_4h", "w2_index_bars", "m6_monowaves", "p3_impulse_chains", "p9_rank_patterns", "p10_scan_all_options", "p12_skip_ahead_all_options", "p14_scan_grid_all_options", "a1_score_distribution", "v1_validate_patterns", "b2_simulate_trades"]
 
 
 def main() -> None:

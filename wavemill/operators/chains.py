@@ -37,9 +37,10 @@ def top_options(options: DataFrame, k: int, max_comb: int = 10**9) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("total"), "skips"))).drop("total")
 
 
-def chains(edges: DataFrame, family: str, starts: DataFrame | None = None, options: DataFrame | None = None) -> DataFrame:
+def chains(edges: DataFrame, family: str, starts: DataFrame | None = None, options: DataFrame | None = None, complete: bool = False) -> DataFrame:
     """waves (array of wave structs) of each start and option, with option rank, need_idx, prefix_need (of all waves but
-    the last) and turns (of each wave's end). Without options, the edges' skip 0 only."""
+    the last) and turns (of each wave's end). Without options, the edges' skip 0 only; complete options
+    have all combinations of the edges' skips, so none has to be left out on the way."""
     plan = FAMILIES[family]
     n = len(plan)
     if options is None:
@@ -52,7 +53,7 @@ def chains(edges: DataFrame, family: str, starts: DataFrame | None = None, optio
             out = side if starts is None else side.join(starts.select(*SERIES, F.col("start").alias("s0")), [*SERIES, "s0"], "left_semi")
         else:
             out = out.join(side, [*SERIES, f"s{i}"])
-        if options is not None:  # at most as many rows as options
+        if options is not None and (i + 1 == n or not complete):  # at most as many rows as options
             begun = F.broadcast(options.select(*[F.col("skips")[j].alias(f"k{j}") for j in range(i + 1)], *["rank"] * (i + 1 == n)).distinct())
             out = out.join(begun, [f"k{j}" for j in range(i + 1)])
     rank = F.lit(1).alias("rank") if options is None else F.col("rank")
@@ -67,9 +68,16 @@ def guard(found: DataFrame, family: str) -> DataFrame:
     to the fifth's, undercuts (for bearish ones: exceeds) that wave: the bar at which its end is passed comes later."""
     if family not in ("impulse", "bearish_impulse"):
         return found
-    w, t = F.col("waves"), F.col("turns")
-    end = [w[i]["idx_end"] for i in range(5)]
-    return found.where((end[3] > end[1]) & (t[1] >= end[3]) & ((end[4] == end[3]) | (t[3] >= end[4])))
+    end = [F.col("waves")[i]["idx_end"] for i in range(5)]
+    return early_guard(found, family).where((end[4] == end[3]) | (F.col("turns")[3] >= end[4]))
+
+
+def early_guard(found: DataFrame, family: str) -> DataFrame:
+    """What the guard says without the last wave."""
+    if family not in ("impulse", "bearish_impulse"):
+        return found
+    second, fourth = (F.col("waves")[i]["idx_end"] for i in (1, 3))
+    return found.where((fourth > second) & (F.col("turns")[1] >= fourth))
 
 
 def cut_short(found: DataFrame, family: str, at: Column, low: Column, high: Column) -> DataFrame:

@@ -29,9 +29,14 @@ LEAST_EXTREMA = 4
 
 
 def all_chains(spark: SparkSession, bars: DataFrame, up_to: int, top_k: int, families: tuple[str, ...] = FAMILIES, edges: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The chains of each family over the top_k options, as tables."""
+    """The chains of each family over the top_k options, as tables; what no last wave can save is left out."""
     edges = kept(monowaves(bars, up_to - 1)) if edges is None else edges
-    return {family: kept(C.chains(edges, family, options=C.top_options(C.skip_options(spark, up_to, len(C.FAMILIES[family])), top_k))) for family in families}
+    found = {}
+    for family in families:
+        n = len(C.FAMILIES[family])
+        options = kept(C.top_options(C.skip_options(spark, up_to, n), top_k))
+        found[family] = kept(C.early_guard(C.chains(edges, family, options=options, complete=top_k >= up_to**n), family))
+    return found
 
 
 def candidates(
