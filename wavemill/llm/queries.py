@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, html, lm, quality, secrets, sharding, simhash, topk
+from . import bpe, chat, decontam, html, lm, minhash, quality, secrets, sharding, simhash, topk
 from .common import read_table
 
 
@@ -56,6 +56,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_lm": op2_lm,
@@ -67,5 +71,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
+    "op11_minhash": op11_minhash,
 }
 ORACLE_SQL = {"op4_decontaminate": decontam.SQL, "op5_chat": chat.SQL, "op7_top_k": topk.sql(), "op10_sharding": sharding.sql()}
