@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, html, lm, minhash, quality, secrets, sharding, simhash, topk
+from . import bond, bpe, chat, decontam, html, lexical, lm, minhash, quality, secrets, sharding, simhash, topk
 from .common import read_table
 
 
@@ -60,6 +60,16 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    mistaken = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return bond.mine(mistaken, F.pmod("vec_id", F.lit(50)) == 0)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_lm": op2_lm,
@@ -72,5 +82,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
     "op11_minhash": op11_minhash,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_lexical": op13_lexical,
 }
-ORACLE_SQL = {"op4_decontaminate": decontam.SQL, "op5_chat": chat.SQL, "op7_top_k": topk.sql(), "op10_sharding": sharding.sql()}
+ORACLE_SQL = {"op4_decontaminate": decontam.SQL, "op5_chat": chat.SQL, "op7_top_k": topk.sql(), "op10_sharding": sharding.sql(), "op12_hard_negatives": bond.sql(50, "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"), "op13_lexical": lexical.SQL}

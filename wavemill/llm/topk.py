@@ -190,12 +190,12 @@ def dual_tree(queries: np.ndarray, qid: np.ndarray, data: np.ndarray | CoverTree
     return qt.order[at], ids[at, place], scores[at, place]
 
 
-def points(rows: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
-    """vec_id and p, the integer components floor(scale * x), of the rows that take part."""
+def points(rows: DataFrame, id_col: str, vector_col: str, scale: int = SCALE, *more: Column) -> DataFrame:
+    """vec_id, p, the integer components floor(scale * x), and more columns of the rows that take part."""
     x = F.transform(vector_col, lambda v: v.cast("double"))
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0))
-    return rows.where(~bad).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("p"))
+    return rows.where(~bad).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("p"), *more)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
