@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .waves import WAVE
+
 Rules = dict[str, Column]
 
 
-def numbered(waves: Column, n: int) -> list[Column]:
+def numbered(waves: Column | list[Column], n: int) -> list[Column]:
     return [waves[i] for i in range(n)]
 
 
@@ -74,6 +76,19 @@ def check_rule(rules: Rules) -> Column:
     return out
 
 
+def may_hold(names: list[str], begun: list[Column], n: int) -> Column:
+    """Whether a chain of n waves that begins like this can still satisfy one of the rule sets. The waves to come are null:
+    a condition that needs them is null, that is open, and only what the known waves decide is tested."""
+    waves = [*begun, *[F.lit(None).cast(WAVE)] * (n - len(begun))]
+    out = F.lit(False)
+    for name in names:
+        some = F.lit(True)
+        for condition in RULE_SETS[name](waves).values():
+            some = some & F.coalesce(condition, F.lit(True))
+        out = out | some
+    return out
+
+
 def first_violation(rules: Rules) -> Column:
     """The name of the first condition that fails; null if all hold."""
     return F.coalesce(*[F.when(~F.coalesce(condition, F.lit(False)), F.lit(name)) for name, condition in rules.items()])

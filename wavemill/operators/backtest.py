@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranges import nearest, running
 
 
 def asof_price(events: DataFrame, bars: DataFrame, ts_col: str = "ts") -> DataFrame:
-    """Adds entry_idx, entry_ts and entry_price of the first bar at or after the event, or the last bar. Union and a
-    window per symbol, so that no event meets more than one bar; the window's rows are one symbol's."""
+    """Adds entry_idx, entry_ts and entry_price of the first bar at or after the event, or the last bar. Events and bars
+    are scanned together in range partitions, so that no event meets more than one bar and a symbol's bars are spread
+    over tasks. Events of symbols without bars are left out."""
     e = events.withColumn("_row", F.struct(*events.columns)).select("symbol", F.col(ts_col).alias("_t"), F.lit(0).alias("_bar"), "_row", F.lit(None).cast("struct<bar_idx:int,bar_ts:timestamp_ntz,close:double>").alias("_b"))
     b = bars.select("symbol", F.col("bar_ts").alias("_t"), F.lit(1).alias("_bar"), F.lit(None).cast(e.schema["_row"].dataType).alias("_row"), F.struct("bar_idx", "bar_ts", "close").alias("_b"))
-    w = Window.partitionBy("symbol").orderBy("_t", "_bar")
-    ahead, behind = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(b).withColumn("_hit", F.coalesce(F.first("_b", ignorenulls=True).over(ahead), F.last("_b", ignorenulls=True).over(behind)))
+    both = nearest(e.unionByName(b), ["symbol"], ["_t", "_bar"], "_b").withColumn("_hit", F.coalesce("_ahead", "_behind"))
     got = both.where("_bar = 0 and _hit is not null")
     return got.select("_row.*", F.col("_hit.bar_idx").alias("entry_idx"), F.col("_hit.bar_ts").alias("entry_ts"), F.col("_hit.close").alias("entry_price"))
 
@@ -61,18 +61,13 @@ def sharpe(trades: DataFrame, risk_free: float = 0.02) -> DataFrame:
 
 
 def max_drawdown(trades: DataFrame, group: str = "symbol", order_cols: tuple[str, ...] = ("start", "rule_name")) -> DataFrame:
-    """Of the equity that starts at the position size and adds profits in trade order: groups in order, trades in
-    order within a group. Running sums and peaks are taken per group, and over the groups' totals alone, so only a
-    row per group meets in one task."""
-    w = Window.partitionBy(group).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = trades.withColumn("_sum", F.sum("profit_loss").over(w))
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    per = t.groupBy(group).agg(F.sum("profit_loss").alias("_total"), F.max("_sum").alias("_top"), F.max("position_size").alias("_size"))
-    per = per.withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0.0)) + F.first("_size").over(Window.orderBy(group)))
-    per = per.withColumn("_peak0", F.greatest(F.first("_size").over(Window.orderBy(group)), F.max(F.col("_offset") + F.col("_top")).over(before)))
-    t = t.join(per.select(group, "_offset", "_peak0"), group).withColumn("_equity", F.col("_offset") + F.col("_sum"))
-    t = t.withColumn("_peak", F.greatest("_peak0", F.max("_equity").over(w)))
-    return t.agg(F.coalesce(F.max((F.col("_peak") - F.col("_equity")) / F.col("_peak")), F.lit(0.0)).alias("max_drawdown"))
+    """Of the equity that starts at the first position's size and adds profits in trade order: groups in order, trades in
+    order within a group. A scan over range partitions: no task takes a group's, let alone all, trades."""
+    order = [group, *order_cols]
+    start = trades.agg(F.min_by("position_size", F.struct(*order)).alias("_start"))
+    t = running(trades.select(*order, "profit_loss"), order, F.col("profit_loss")).crossJoin(F.broadcast(start))  # one row
+    peak, equity = F.col("_start") + F.col("_top"), F.col("_start") + F.col("_sum")
+    return t.agg(F.coalesce(F.max((peak - equity) / peak), F.lit(0.0)).alias("max_drawdown"))
 
 
 def top_trades(trades: DataFrame, n: int = 5) -> DataFrame:

@@ -22,6 +22,8 @@ FAMILIES = {
     "corrective": [("A", False), ("B", True), ("C", False)],
     "td": [("1", True), ("2", False)],
 }
+#: The rule sets that a family's chains may satisfy.
+RULES = {"impulse": ["impulse", "leading_diagonal"], "bearish_impulse": ["bearish_impulse"], "corrective": ["Corrective"], "td": ["td"]}
 
 
 def skip_options(spark: SparkSession, up_to: int, n: int) -> DataFrame:
@@ -37,12 +39,15 @@ def top_options(options: DataFrame, k: int, max_comb: int = 10**9) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("total"), "skips"))).drop("total")
 
 
-def chains(edges: DataFrame, family: str, starts: DataFrame | None = None, options: DataFrame | None = None, complete: bool = False) -> DataFrame:
+def chains(edges: DataFrame, family: str, starts: DataFrame | None = None, options: DataFrame | None = None, complete: bool = False, prune: bool = False, longest: int | None = None) -> DataFrame:
     """waves (array of wave structs) of each start and option, with option rank, need_idx, prefix_need (of all waves but
     the last) and turns (of each wave's end). Without options, the edges' skip 0 only; complete options
-    have all combinations of the edges' skips, so none has to be left out on the way."""
+    have all combinations of the edges' skips, so none has to be left out on the way. With prune, beginnings go as soon
+    as their waves break all of the family's rule sets or its guard, whatever the last wave may be; with longest, so do
+    those that no window of so many bars holds."""
     plan = FAMILIES[family]
     n = len(plan)
+    wave = lambda i: wave_struct(*plan[i], F.col(f"s{i}"), F.col(f"s{i + 1}"), F.col(f"lo{i}"), F.col(f"hi{i}"))
     if options is None:
         edges = edges.where("skip = 0")
     out = None
@@ -56,9 +61,15 @@ def chains(edges: DataFrame, family: str, starts: DataFrame | None = None, optio
         if options is not None and (i + 1 == n or not complete):  # at most as many rows as options
             begun = F.broadcast(options.select(*[F.col("skips")[j].alias(f"k{j}") for j in range(i + 1)], *["rank"] * (i + 1 == n)).distinct())
             out = out.join(begun, [f"k{j}" for j in range(i + 1)])
+        if prune and 0 < i < n - 1:
+            out = out.where(R.may_hold(RULES[family], [wave(j) for j in range(i + 1)], n))
+            if i == 3:
+                out = out.where("s4 > s2 and t1 >= s4")
+        if longest is not None and i < n - 1:
+            out = out.where(F.col(f"n{i}") - F.col("s0") < longest)
     rank = F.lit(1).alias("rank") if options is None else F.col("rank")
     each = lambda c: F.array(*[F.col(f"{c}{i}") for i in range(n)])
-    waves = F.array(*[wave_struct(label, up, F.col(f"s{i}"), F.col(f"s{i + 1}"), F.col(f"lo{i}"), F.col(f"hi{i}")) for i, (label, up) in enumerate(plan)])
+    waves = F.array(*[wave(i) for i in range(n)])
     needs = [F.col(f"n{i}") for i in range(n)]
     return out.select(*SERIES, F.col("s0").alias("start"), rank, each("k").alias("wave_config"), waves.alias("waves"), F.greatest(*needs).alias("need_idx"), F.greatest(*needs[:-1], F.lit(0)).alias("prefix_need"), each("t").alias("turns"))
 
@@ -95,9 +106,8 @@ def cut_short(found: DataFrame, family: str, at: Column, low: Column, high: Colu
 def scored(found: DataFrame, family: str) -> DataFrame:
     """The chains that satisfy a rule set of their family: rule_name, score, fib_score, ensemble_score."""
     w = F.col("waves")
-    names = {"impulse": ["impulse", "leading_diagonal"], "bearish_impulse": ["bearish_impulse"], "corrective": ["Corrective"], "td": ["td"]}[family]
     rule = F.lit(None).cast("string")
-    for name in names[::-1]:
+    for name in RULES[family][::-1]:
         rule = F.when(R.check_rule(R.RULE_SETS[name](w)), F.lit(name)).otherwise(rule)
     found = found.withColumn("rule_name", rule).where("rule_name is not null")
     parts = ensemble_score(w, F.lit(1.0))

@@ -28,14 +28,15 @@ FAMILIES = ("impulse", "bearish_impulse", "corrective")
 LEAST_EXTREMA = 4
 
 
-def all_chains(spark: SparkSession, bars: DataFrame, up_to: int, top_k: int, families: tuple[str, ...] = FAMILIES, edges: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The chains of each family over the top_k options, as tables; what no last wave can save is left out."""
+def all_chains(spark: SparkSession, bars: DataFrame, up_to: int, top_k: int, families: tuple[str, ...] = FAMILIES, edges: DataFrame | None = None, longest: int | None = None) -> dict[str, DataFrame]:
+    """The chains of each family over the top_k options, as tables; what no last wave can save, and what no window of
+    longest bars can hold, is left out wave by wave."""
     edges = kept(monowaves(bars, up_to - 1)) if edges is None else edges
     found = {}
     for family in families:
         n = len(C.FAMILIES[family])
         options = kept(C.top_options(C.skip_options(spark, up_to, n), top_k))
-        found[family] = kept(C.early_guard(C.chains(edges, family, options=options, complete=top_k >= up_to**n), family))
+        found[family] = kept(C.early_guard(C.chains(edges, family, options=options, complete=top_k >= up_to**n, prune=True, longest=longest), family))
     return found
 
 

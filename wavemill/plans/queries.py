@@ -29,6 +29,7 @@ AS_OF = "1997-06-30 00:00:00"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 GEOMETRY = [("1wk", 20, 104, 8)]
+LONGEST = 104
 PATTERN = ["symbol", "start", "rule_name"]
 
 
@@ -392,10 +393,10 @@ def p9_rank_patterns(spark, d):
     return rounded(C.rank_patterns(X.simple_patterns(spark, d), 3, ("symbol",)).select(*PATTERN, "nth", "ensemble_score"))
 
 
-def scanned(spark: SparkSession, d: str, up_to: int, by: str = "nation", top_k: int = 300) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Bars, candidates and open chains over the same chains."""
+def scanned(spark: SparkSession, d: str, up_to: int, by: str = "nation", top_k: int = 300, longest: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bars, candidates and open chains over the same chains; with longest, only those that windows of so many bars can hold."""
     bars = kept(X.weekly_bars(spark, d, by))
-    found = P.all_chains(spark, bars, up_to, top_k)
+    found = P.all_chains(spark, bars, up_to, top_k, longest=longest)
     return bars, P.candidates(spark, bars, chains=found), P.open_chains(spark, bars, chains=found)
 
 
@@ -415,41 +416,41 @@ def p10_scan_all_options(spark, d):
 
 @query
 def p11_best_per_window(spark, d):
-    bars, found, cut = scanned(spark, d, 3)
+    bars, found, cut = scanned(spark, d, 3, longest=LONGEST)
     best = C.best_per_window(P.scan_grid(bars, W.sliding_windows(bars, geometry(spark)), found, cut=cut))
     return rounded(best.select("symbol", "start_row", "window_len", "best.rule_name", "best.idx_start", "best.idx_end", "ensemble_score", "fib_score"))
 
 
 @query
 def p12_skip_ahead_scan(spark, d):
-    bars, found, cut = scanned(spark, d, 3)
+    bars, found, cut = scanned(spark, d, 3, longest=LONGEST)
     hits = P.skip_ahead_scan(bars, found, {"1wk": GEOMETRY[0][1:]}, cut=cut)
     return rounded(hits.select("symbol", "start_row", "window_len", "start", "rule_name", config(), "ensemble_score", F.col("end").alias("fin"), "error"))
 
 
 @query
 def p12_skip_ahead_all_options(spark, d):
-    bars, found, cut = scanned(spark, d, 8, top_k=8**5)
+    bars, found, cut = scanned(spark, d, 8, top_k=8**5, longest=LONGEST)
     hits = P.skip_ahead_scan(bars, found, {"1wk": GEOMETRY[0][1:]}, cut=cut)
     return rounded(hits.select("symbol", "start_row", "window_len", "start", "rule_name", config(), "ensemble_score", F.col("end").alias("fin"), "error"))
 
 
 @query
 def p13_supplier_scan(spark, d):
-    bars, found, cut = scanned(spark, d, 2, "supplier")
+    bars, found, cut = scanned(spark, d, 2, "supplier", longest=LONGEST)
     return P.skip_ahead_scan(bars, found, {"1wk": GEOMETRY[0][1:]}, cut=cut).where("error is null").select("symbol", "start_row", "rule_name", config(), F.col("end").alias("fin"))
 
 
 @query
 def p14_scan_grid(spark, d):
-    bars, found, cut = scanned(spark, d, 2)
+    bars, found, cut = scanned(spark, d, 2, longest=LONGEST)
     grid = P.scan_grid(bars, W.sliding_windows(bars, geometry(spark)), found, n=3, cut=cut)
     return rounded(grid.select("symbol", "start_row", "window_len", "start", "rule_name", config(), "ensemble_score", "nth"))
 
 
 @query
 def p14_scan_grid_all_options(spark, d):
-    bars, found, cut = scanned(spark, d, 8, top_k=8**5)
+    bars, found, cut = scanned(spark, d, 8, top_k=8**5, longest=LONGEST)
     grid = P.scan_grid(bars, W.sliding_windows(bars, geometry(spark)), found, n=3, cut=cut)
     return rounded(grid.select("symbol", "start_row", "window_len", "start", "rule_name", config(), "ensemble_score", "nth"))
 
