@@ -48,6 +48,8 @@ BUCKETS = BANDS * ROWS
 VALUE, MANTISSA = 40, 10
 #: Deviations of an estimate below the threshold at which a pair is left out.
 MARGIN = 5.0
+#: Bits of the bitmap of wanted texts.
+BITS = 1 << 27
 #: Nodes and shingles of one side of a comparison.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -125,27 +127,26 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def in_bands(nodes: DataFrame) -> DataFrame:
-    """band, value and key of each node and band that has a shingle."""
+    """value (of the band and its registers) and node of each node and band that has a shingle, with the band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, BANDS, ROWS)
-            node, band = np.nonzero(regs.any(axis=2))
-            value = [xxhash.xxh64_intdigest(regs[i, j].tobytes()) for i, j in zip(node.tolist(), band.tolist(), strict=True)]
-            keys = batch.column(0).take(pa.array(node))
-            yield pa.RecordBatch.from_arrays([pa.array(band.astype(np.int32)), pa.array(np.array(value, np.uint64).view(np.int64)), keys], names=["band", "value", "key"])
+            at, band = np.nonzero(regs.any(axis=2))
+            value = [xxhash.xxh64_intdigest(regs[i, j].tobytes(), j) for i, j in zip(at.tolist(), band.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(value, np.uint64).view(np.int64)), batch.column(0).take(pa.array(at)), pa.array(band.astype(np.int8))], names=["value", "node", "band"])
 
-    return small_batches(nodes).select("key", "regs").mapInArrow(run, "band int, value long, key binary")
+    return small_batches(nodes).select("node", "regs").mapInArrow(run, "value long, node long, band tinyint")
 
 
-def in_parts(rows: DataFrame, keys: list[str], others: DataFrame, spread: Column) -> DataFrame:
+def in_parts(rows: DataFrame, keys: list[str], others: DataFrame, spread: Column, counts: DataFrame | None = None) -> DataFrame:
     """The inner join of rows with others (one row a key). Keys that more than 1 in 10,000 of the rows have go in parts: the
-    rows by spread, the others once for each part. There are at most 10,000 such keys, whatever the size."""
-    per = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = rows.count()
-    each = max(1024, ceil(total / 10_000))
+    rows by spread, the others once for each part. There are at most 10,000 such keys, whatever the size. counts: how
+    many rows each key has (_n), if known; keys may be missing that have none in others."""
+    per = counts if counts is not None else rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    each = max(1024, ceil(rows.count() / 10_000))
     hot = F.broadcast(per.where(F.col("_n") > each).select(*keys, F.ceil(F.col("_n") / each).cast("int").alias("_parts")))
     left = rows.join(hot, keys, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_parts"))).cast("int"))
     right = others.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
@@ -156,14 +157,14 @@ class Forest:
     """Components of a block, by their names."""
 
     def __init__(self):
-        self.above: dict[bytes, bytes] = {}
+        self.above: dict[int, int] = {}
 
-    def root(self, x: bytes) -> bytes:
+    def root(self, x: int) -> int:
         while (up := self.above.get(x, x)) != x:
             self.above[x] = x = self.above.get(up, up)
         return x
 
-    def link(self, x: bytes, y: bytes) -> None:
+    def link(self, x: int, y: int) -> None:
         self.above[self.root(x)] = self.root(y)
 
 
@@ -172,7 +173,7 @@ def near_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     link and whose registers say that they may be linked, likeliest first; pairs that met in an earlier band are left out."""
     regs = np.frombuffer(b"".join(table["regs"].to_pylist()), "<u2").reshape(-1, BUCKETS)
     n, side = table["n"].to_numpy(), table["side"].to_numpy()
-    comp, band = codes(table["comp"]), table["band"][0].as_py()
+    comp, band = table["comp"].to_numpy(), table["band"][0].as_py()
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     alone = not len(right)
     if alone:
@@ -197,28 +198,25 @@ def near_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return pairs[0].astype(np.int64), pairs[1].astype(np.int64)
 
 
-def codes(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().dictionary_encode().indices.to_numpy()
-
-
-def compare(groups: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v: links of groups (g, band, side, key, comp) whose members' registers and sizes are in nodes and whose sets are
-    in sets. Sets travel only for the members of pairs that the registers leave over."""
-    kind = "g string, band int, side int, key binary, comp binary"
+def compare(groups: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """u, v: links of groups (g, band, side, node, comp). Registers travel first; whole sets are made, and travel, only for the
+    members of pairs that the registers leave over."""
+    kind = "g string, band tinyint, side tinyint, node long, comp long"
     names = [c.split()[0] for c in kind.split(", ")]
 
     def likely(table: pa.Table) -> pa.Table:
         a, b = near_pairs(table)
         return table.select(names).take(pa.array(np.unique(np.concatenate([a, b]))))
 
-    met = groups.join(nodes.select("key", "n", "regs"), "key").select(*names, "n", "regs")
+    met = groups.join(nodes.select("node", "n", "regs"), "node").select(*names, "n", "regs")
     left = written(met.groupBy("g").applyInArrow(likely, kind))
+    sets = whole_sets(docs, nodes.join(left.select("node").distinct(), "node", "left_semi"), text_col)
 
     def confirmed(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         held = [np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()]
         table = table.append_column("n", pa.array([len(x) for x in held], pa.int64())).append_column("regs", pa.array([registers(x).tobytes() for x in held], pa.binary()))
-        keys, comps, forest, out = table["key"].to_pylist(), table["comp"].to_pylist(), Forest(), []
+        nodes, comps, forest, out = table["node"].to_pylist(), table["comp"].to_pylist(), Forest(), []
         for i, j in zip(*(x.tolist() for x in near_pairs(table)), strict=True):
             if forest.root(comps[i]) == forest.root(comps[j]):
                 continue
@@ -227,59 +225,75 @@ def compare(groups: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
             both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
             if 100 * both >= PERCENT * (len(x) + len(y) - both):
                 forest.link(comps[i], comps[j])
-                out.append(sorted((keys[i], keys[j])))
-        return pa.table([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["u", "v"])
+                out.append(sorted((nodes[i], nodes[j])))
+        return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    return left.join(sets, "key").select(*names, "hashes").groupBy("g").applyInArrow(confirmed, "u binary, v binary").distinct()
+    return left.join(sets, "node").select(*names, "hashes").groupBy("g").applyInArrow(confirmed, "u long, v long").distinct()
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
-    """key and hashes (of the whole set) of the wanted texts (text_hash, key)."""
+    """node and hashes (of the whole set) of the wanted nodes (node, text_hash). A bitmap of fixed size over the wanted texts' hashes
+    keeps most other texts from the shuffle; it decides nothing."""
+    at = lambda text_hash: F.pmod(F.xxhash64(text_hash), F.lit(BITS))
+    bits = wanted.select(at(F.col("text_hash")).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
     texts = small_batches(docs).select(F.md5(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).where("text is not null")
+    texts = texts.withColumn("at", at(F.col("text_hash"))).withColumn("bucket", F.expr("bitmap_bucket_number(at)")).withColumn("spot", F.expr("cast(bitmap_bit_position(at) as int)"))
+    byte = F.conv(F.hex(F.substring("bits", F.expr("spot div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    texts = texts.join(F.broadcast(bits), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, spot % 8)")) > 0).select("text_hash", "text")  # 4,096 rows of 4 KB
     # copies go in the partial aggregation, before the shuffle, which the join shares
-    texts = texts.dropDuplicates(["text_hash"]).join(wanted.select("text_hash"), "text_hash", "left_semi").select("text")
+    texts = texts.dropDuplicates(["text_hash"]).join(wanted.select("text_hash", "node"), "text_hash").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for part in slices(batches):
-            found = [shingles(text, words).tobytes() for text in part.column(0).cast(pa.binary()).to_pylist()]
-            keys = [hashlib.blake2b(x, digest_size=16).digest() for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["key", "hashes"])
+            found = [shingles(text, words).tobytes() for text in part.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
+
+    return texts.mapInArrow(run, "node long, hashes binary")
+
 
-    return texts.mapInArrow(run, "key binary, hashes binary")
+def similar_size(n: str, m: str) -> Column:
+    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
-    """u, v: enough of the nodes' links (keys of sets) to connect what is connected. nodes: key, text_hash, n, regs."""
+    """u, v: enough of the nodes' links to connect what is connected. nodes: node, text_hash, n, regs."""
     bands = in_bands(nodes)
-    buckets = bands.groupBy("band", "value").agg(F.count("*").alias("m")).where("m > 1")
-    members = written(in_parts(bands, ["band", "value"], buckets, F.col("key")))
-    central = members.groupBy("key").agg(F.sum("m").alias("meetings"))
-    sets = written(whole_sets(docs, nodes.join(central, "key", "left_semi"), text_col))
+    buckets = written(bands.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"))
+    counts = buckets.withColumnRenamed("m", "_n")
+    members = written(in_parts(bands, ["value"], buckets, F.col("node"), counts))
 
     # first turn: the most central node of each bucket
-    centres = members.join(central, "key").groupBy("band", "value").agg(F.max(F.struct("meetings", "key"))["key"].alias("centre"))
-    pairs = in_parts(members, ["band", "value"], centres, F.col("key")).where("key <> centre").select("centre", "key").distinct()
-    pairs = written(pairs.join(nodes.select("key", "n"), "key"))
+    central = members.groupBy("node").agg(F.sum("m").alias("meetings")).join(nodes.select("node", "n"), "node")
+    members = written(members.drop("m").join(central, "node"))
+    centres = members.groupBy("value").agg(F.max(F.struct("meetings", "node", "n")).alias("c")).select("value", F.col("c.node").alias("centre"), F.col("c.n").alias("of_n"))
+    pairs = in_parts(members, ["value"], centres, F.col("node"), counts).where((F.col("node") != F.col("centre")) & similar_size("n", "of_n"))
+    pairs = written(pairs.select("centre", "node", "n").distinct())
     size = pairs.groupBy("centre").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    g = F.concat_ws(":", F.hex("centre"), F.col("part").cast("string")).alias("g")
-    dealt = in_parts(pairs, ["centre"], size, F.col("key")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    g = F.concat_ws(":", *[F.col(c).cast("string") for c in ("centre", "part")]).alias("g")
+    dealt = in_parts(pairs, ["centre"], size, F.col("node")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     hubs = size.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    groups = dealt.select(g, F.lit(0).alias("band"), F.lit(1).alias("side"), "key", F.col("key").alias("comp")).unionByName(
-        hubs.select(g, F.lit(0).alias("band"), F.lit(0).alias("side"), F.col("centre").alias("key"), F.col("centre").alias("comp")))
-    first = written(compare(groups, nodes, sets))
-
-    # second turn: across the components of each bucket
-    roots = components(first)
-    now = written(members.join(roots.withColumnRenamed("u", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root", "m"))
-    open_ = now.join(nodes.select("key", "n"), "key").groupBy("band", "value").agg(
-        F.min("comp").alias("one"), F.max("comp").alias("other"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    rest = in_parts(now, ["band", "value"], open_.where("one <> other").select("band", "value", "parts"), F.col("key"))
-    rest = rest.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    first = F.lit(0).cast("tinyint").alias("band")
+    side = lambda i: F.lit(i).cast("tinyint").alias("side")
+    groups = dealt.select(g, first, side(1), "node", F.col("node").alias("comp")).unionByName(hubs.select(g, first, side(0), F.col("centre").alias("node"), F.col("centre").alias("comp")))
+    linked = written(compare(groups, nodes, docs, text_col))
+
+    # second turn: across the components of each bucket, among nodes of sizes that allow a link. A size class is a
+    # factor of 0.85 wide; a cell holds two classes that follow each other, so such nodes share a cell
+    roots = components(linked)
+    size_class = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
+    cells = F.explode(F.array(size_class, size_class + 1)).alias("cell")
+    now = members.join(roots.withColumnRenamed("u", "node"), "node", "left").select("value", "band", "node", "n", F.coalesce("root", "node").alias("comp"), cells)
+    now = written(now)
+    open_ = now.groupBy("value", "cell").agg(
+        F.min("comp").alias("one"), F.max("comp").alias("other"), F.count("*").alias("_n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    open_ = written(open_.where("one <> other").select("value", "cell", "_n", "parts"))
+    rest = in_parts(now, ["value", "cell"], open_.drop("_n"), F.col("node"), open_.drop("parts"))
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("mine", "met"), F.greatest("mine", "met")
-    g = F.concat_ws(":", *[c.cast("string") for c in (F.col("band"), F.col("value"), low, high)]).alias("g")
-    groups = rest.select(g, "band", F.when(F.col("mine") > F.col("met"), 1).otherwise(0).alias("side"), "key", "comp")
-    return first.unionByName(compare(groups, nodes, sets))
+    g = F.concat_ws(":", *[c.cast("string") for c in (F.col("value"), F.col("cell"), low, high)]).alias("g")
+    groups = rest.select(g, "band", F.when(F.col("mine") > F.col("met"), 1).otherwise(0).cast("tinyint").alias("side"), "node", "comp")
+    return linked.unionByName(compare(groups, nodes, docs, text_col))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,9 +301,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, itself included), kept (whether that is its own)."""
     shared_dir(docs.sparkSession)
     every = written(sketches(docs, id_col, text_col))
-    nodes = written(every.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("regs").alias("regs")))
+    nodes = every.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))  # a number each, as written
     roots = components(links(docs, nodes, text_col))
-    of = nodes.select("key", "least").join(roots.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    of = nodes.select("key", "node", "least").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     thin = every.select("doc_id", "n", "key")
     linked = in_parts(thin.where("key is not null"), ["key"], named, F.monotonically_increasing_id())
