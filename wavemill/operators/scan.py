@@ -3,22 +3,21 @@
 A candidate is a chain of absolute bars with the last bar that must be known for it (need_idx), so it
 belongs to every window that holds its start and that bar. A window sees its own bars only, so a chain whose last
 wave is a first swing that runs beyond the window's end is cut there: those chains are kept apart, unscored
-(open_chains), and finished per window. The scans are joins and spread one long series over many tasks; the
-skip-ahead scan, whose next window depends on the last hit, looks up the best candidate of the window at each bar and
-walks each series over these in a grouped map.
+(open_chains), and finished per window. The scans are joins and spread one long series over many tasks, the skip-ahead
+scan, whose next window depends on the last hit, among them (see walks).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chains as C
 from .swings import monowaves
 from .tables import kept
+from .walks import next_stops, visited
 from .windows import window_starts
 
 SERIES = ("symbol", "interval")
@@ -77,48 +76,59 @@ def scan_grid(
     return C.best_of_window(every.drop("last", "low_last", "high_last", "extrema"), n, WINDOW, len(families))
 
 
+def reachable_windows(bars: DataFrame, sizes: DataFrame, found: DataFrame, cut: DataFrame | None) -> DataFrame:
+    """The windows that a skip-ahead walk may come to: those on the slide's grid from bar 0, and on the grids that begin
+    a slide after a candidate's end. Where chains can be cut, a window's own end may begin a grid, too."""
+    n = bars.groupBy(*SERIES).agg(F.count("*").cast("int").alias("n")).join(F.broadcast(sizes), "interval").where("n >= shortest")
+    after = found.select(*SERIES, F.element_at("waves", -1)["idx_end"].alias("end")).where("end is not null").distinct()
+    grids = n.withColumn("first", F.lit(0)).unionByName(after.join(n, list(SERIES)).withColumn("first", F.col("end") + F.col("slide")).drop("end"))
+    if cut is not None:
+        ends = cut.select(*SERIES).distinct().withColumn("times", F.lit(True))
+        grids = grids.join(ends, list(SERIES), "left").withColumn("times", F.explode(F.sequence(F.lit(0), F.when(F.col("times"), F.col("slide") - 1).otherwise(0))))
+        grids = grids.withColumn("first", F.col("first") + F.col("times") * (F.col("longest") - 1 + F.col("slide")))
+    # of grids that meet, the one that begins first
+    grids = grids.groupBy(*SERIES, "n", "shortest", "longest", "slide", (F.col("first") % F.col("slide")).alias("_rest")).agg(F.min("first").alias("first"))
+    grids = grids.where(F.col("first") <= F.col("n") - F.col("shortest"))
+    windows = grids.withColumn("start_row", F.explode(F.sequence(F.col("first"), F.col("n") - F.col("shortest"), F.col("slide"))))
+    return windows.select(*SERIES, "start_row", F.least("longest", F.col("n") - F.col("start_row")).cast("int").alias("window_len"))
+
+
 def skip_ahead_scan(
     bars: DataFrame, found: DataFrame, geometry: dict[str, tuple[int, int, int]], k: int = 5, distance: int = 10, max_starts: int = 10,
     max_windows: int | None = None, cut: DataFrame | None = None, families: tuple[str, ...] = FAMILIES,
 ) -> DataFrame:
     """Per series: the best candidate of the window at i; after a hit, i moves past its end, else by the slide.
     Columns: symbol, interval, start_row, window_len, start, rule_name, wave_config, ensemble_score, end, error.
-    What fails in a series is that series' error, not the job's: a row of its own, after the hits before it.
+    Where the walk goes from a hit is known for every window that it may come to, so the hits that it comes by are
+    found by pointer doubling, and one long series is spread over many tasks. A series that cannot be walked (an interval
+    without geometry or slide, a hit without an end) has a row of its own with the error, after the hits before it.
     The walk ends with the series, or after max_windows windows if given."""
     spark = bars.sparkSession
-    sizes = spark.createDataFrame([(i, g[0], g[1]) for i, g in geometry.items()], "interval string, shortest int, longest int")
-    n = bars.groupBy(*SERIES).agg(F.count("*").cast("int").alias("n"))
-    windows = n.join(F.broadcast(sizes), "interval").where("n >= shortest").withColumn("start_row", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("shortest"))))
-    windows = windows.select(*SERIES, "start_row", F.least("longest", F.col("n") - F.col("start_row")).alias("window_len"))
-    best = scan_grid(bars, windows, found, k, distance, max_starts, 1, cut, families)
-    best = best.select(*WINDOW, "start", "rule_name", "wave_config", "ensemble_score", F.element_at("waves", -1)["idx_end"].alias("end"))
-    schema = "symbol string, interval string, start_row int, window_len int, start int, rule_name string, wave_config array<int>, ensemble_score double, end int, error string"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def walk(key: tuple, series: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        try:
-            bars_in, hits = int(series["n"].iloc[0]), b.set_index("start_row")
-            shortest, longest, slide = geometry[key[1]]
-            if slide < 1:
-                raise ValueError("the slide is one bar at least")
-            i = seen = 0
-            while bars_in - i >= shortest and (max_windows is None or seen < max_windows):
-                seen += 1
-                if i in hits.index:
-                    hit = hits.loc[i]
-                    past = int(hit["end"]) + slide
-                    out.append((*key, i, min(longest, bars_in - i), hit["start"], hit["rule_name"], list(hit["wave_config"]), hit["ensemble_score"], hit["end"], None))
-                    i = past
-                else:
-                    i += slide
-        except Exception as e:  # the series is retried by a later run
-            out.append((*key, None, None, None, None, None, None, None, repr(e)[:500]))
-        frame = pd.DataFrame(out, columns=names)
-        return frame.astype({n: "Int32" for n in ("start_row", "window_len", "start", "end")})
-
-    best = best.withColumnsRenamed({"symbol": "of_symbol", "interval": "of_interval"})  # both sides stem from the bars
-    return n.groupBy(*SERIES).cogroup(best.groupBy("of_symbol", "of_interval")).applyInPandas(walk, schema)
+    series = list(SERIES)
+    sizes = spark.createDataFrame([(i, *map(int, g)) for i, g in geometry.items()], "interval string, shortest int, longest int, slide int")
+    walked = sizes.where("slide >= 1")
+    best = scan_grid(bars, reachable_windows(bars, walked, found, cut), found, k, distance, max_starts, 1, cut, families)
+    best = kept(best.select(*WINDOW, "start", "rule_name", "wave_config", "ensemble_score", F.element_at("waves", -1)["idx_end"].alias("end")))
+
+    hits = best.join(F.broadcast(walked.select("interval", "slide")), "interval").withColumn("_rest", F.col("start_row") % F.col("slide"))
+    begin = bars.select(*series).distinct().join(F.broadcast(walked.select("interval", "slide")), "interval").withColumns({"pos": F.lit(0), "of": F.lit(None).cast("int")})
+    onward = hits.where("end is not null").select(*series, "slide", (F.col("end") + F.col("slide")).alias("pos"), F.col("start_row").alias("of"))
+    asks = begin.unionByName(onward).withColumn("_rest", F.col("pos") % F.col("slide"))
+    # misses are passed over: the next hit is the first one on the grid that the walk has come to
+    nexts = kept(next_stops(hits.select(*series, "_rest", F.col("start_row").alias("at")), asks, [*series, "_rest"]).where("then is not null"))
+    windows = ((F.col("then") - F.col("pos")) / F.col("slide") + 1).cast("long")
+    steps = nexts.where("of is not null").select(*series, F.col("of").alias("at"), "then", windows.alias("cost"))
+    stops = visited(steps, nexts.where("of is null").select(*series, F.col("then").alias("at"), windows.alias("seen")), series)
+    if max_windows is not None:
+        stops = stops.where(F.col("seen") <= max_windows)
+    come_by = stops.select(*series, F.col("at").alias("start_row")).join(best, [*series, "start_row"])
+    names = [*WINDOW, "start", "rule_name", "wave_config", "ensemble_score", "end", "error"]
+    gone = come_by.where("end is null").select(*series, F.lit("ValueError('a hit has no end')").alias("error"))
+    unknown = bars.select(*series).distinct().join(F.broadcast(sizes), "interval", "left").where("slide is null or slide < 1")
+    refused = F.when(F.col("slide").isNull(), F.concat(F.lit("KeyError('"), "interval", F.lit("')"))).otherwise(F.lit("ValueError('the slide is one bar at least')"))
+    failed = gone.unionByName(unknown.select(*series, refused.alias("error")))
+    good = come_by.where("end is not null").withColumn("error", F.lit(None).cast("string"))
+    return good.select(*names).unionByName(failed.select(*names[:2], *[F.lit(None).cast(good.schema[c].dataType).alias(c) for c in names[2:-1]], "error"))
 
 
 def pending(series: DataFrame, done: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import kept
+from .walks import next_stops, visited
+
 SERIES = ("symbol", "interval")
 #: Bars of the shortest and longest window and of the slide, by profile and interval.
 GEOMETRY = {
@@ -16,6 +19,8 @@ GEOMETRY = {
 BARS_PER_WEEK = {"1d": 7, "1wk": 1}
 #: Bars of a stretch by which windows meet local lows.
 SPAN = 64
+#: Bars of a block within which local lows are told.
+BLOCK = 4096
 
 
 def window_config(spark: SparkSession, profile: str = "default") -> DataFrame:
@@ -50,15 +55,29 @@ def spaced(indices: Column, distance: int) -> Column:
     return F.aggregate(indices, F.array().cast("array<int>"), step)
 
 
+def low_starts(bars: DataFrame, k: int = 5, distance: int = 3, keys: tuple[str, ...] = SERIES) -> DataFrame:
+    """keys, start and lowest (a flag) of the bars whose low is the least of k bars to either side, spaced by distance, and
+    of the first bar of the least low of all. Fewer than k bars: that one alone. Bars meet in blocks of BLOCK with k bars
+    of their neighbours; the spacing, by which each low taken decides on the next, is a walk by pointer doubling."""
+    series = list(keys)
+    ends = bars.groupBy(*series).agg(F.max("bar_idx").alias("_last"), F.min_by("bar_idx", F.struct("low", "bar_idx")).alias("_at"))
+    block = lambda i: F.floor(i / BLOCK)
+    spread = bars.select(*series, "bar_idx", "low").withColumn("_block", F.explode(F.sequence(block(F.greatest(F.col("bar_idx") - k, F.lit(0))), block(F.col("bar_idx") + k))))
+    around = Window.partitionBy(*series, "_block").orderBy("bar_idx").rowsBetween(-k, k)
+    marked = spread.withColumn("_least", F.min("low").over(around)).where((F.col("_block") == block(F.col("bar_idx"))) & (F.col("low") == F.col("_least")))
+    lows = marked.join(ends, series).where((F.col("bar_idx") >= k) & (F.col("bar_idx") <= F.col("_last") - k)).select(*series, F.col("bar_idx").alias("at"))
+    if distance > 1:
+        lows = kept(lows)
+        steps = next_stops(lows, lows.select(*series, "at", (F.col("at") + distance).alias("pos")), series).withColumn("cost", F.lit(1))
+        lows = visited(steps, lows.groupBy(*series).agg(F.min("at").alias("at")).withColumn("seen", F.lit(1)), series)
+    taken = lows.select(*series, F.col("at").alias("start"), F.lit(False).alias("lowest"))
+    return taken.unionByName(ends.select(*series, F.col("_at").alias("start"), F.lit(True).alias("lowest"))).groupBy(*series, "start").agg(F.max("lowest").alias("lowest"))
+
+
 def local_lows(bars: DataFrame, k: int = 5, distance: int = 3, keys: tuple[str, ...] = SERIES) -> DataFrame:
-    """starts of each series: bars whose low is the least of k bars to either side, spaced by distance, and the
-    first bar of the least low of all, ascending. Fewer than k bars: that one alone."""
-    series = Window.partitionBy(*keys)
-    around = series.orderBy("bar_idx").rowsBetween(-k, k)
-    marked = bars.select(*keys, "bar_idx", "low", F.min("low").over(around).alias("least"), F.count("*").over(series).alias("n"))
-    inside = (F.col("bar_idx") >= k) & (F.col("bar_idx") < F.col("n") - k) & (F.col("low") == F.col("least"))
-    found = marked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(inside, F.col("bar_idx")))).alias("i"), F.min_by("bar_idx", F.struct("low", "bar_idx")).alias("at"))
-    return found.select(*keys, F.array_sort(F.array_union(spaced(F.col("i"), distance), F.array("at"))).alias("starts"), F.col("at").alias("lowest"))
+    """low_starts as an ascending list starts for each series, with lowest, the bar of the least low of all."""
+    every = low_starts(bars, k, distance, keys).groupBy(*keys)
+    return every.agg(F.array_sort(F.collect_list("start")).alias("starts"), F.max(F.when(F.col("lowest"), F.col("start"))).alias("lowest"))
 
 
 def lowest_in(bars: DataFrame, spans: DataFrame) -> DataFrame:
@@ -108,6 +127,17 @@ def select_starts(starts: DataFrame, m: int) -> DataFrame:
     return starts.withColumn("starts", some)
 
 
+def first_starts(starts: DataFrame, m: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
+    """The same of low_starts' rows: of each series at most m, the first m - 1 and the lowest."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("start"))
+    first = starts.withColumn("_nth", nth).where(F.col("_nth") <= m)
+    n = starts.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(F.when(F.col("lowest"), F.col("start"))).alias("_at"))
+    some = first.join(n, list(keys)).where((F.col("_n") <= m) | (F.col("_nth") <= max(1, m - 1)))
+    rest = n.where(F.col("_n") > m).select(*keys, F.col("_at").alias("start"), F.lit(True).alias("lowest"))
+    both = some.select(*keys, "start", "lowest").unionByName(rest).groupBy(*keys, "start").agg(F.max("lowest").alias("lowest"))
+    return both.withColumn("_nth", nth).where(F.col("_nth") <= m).drop("_nth")
+
+
 def count_extrema(bars: DataFrame, column: str = "low") -> DataFrame:
     """Sign changes between successive differences of each series; a zero difference resets the sign."""
     w = Window.partitionBy(*SERIES).orderBy("bar_idx")

@@ -165,7 +165,7 @@ def s7_last_days(spark, d):
 
 @query
 def s11_trade_log(spark, d):
-    return sinks.trade_log(trades(spark, d)).select("symbol", "entry_date", "exit_date", "rule_name", "position_size")
+    return sinks.trade_log(trades(spark, d))
 
 
 @query
@@ -282,12 +282,17 @@ def w5_adaptive_windows(spark, d):
 
 @query
 def w6_local_lows(spark, d):
-    return W.local_lows(X.weekly_bars(spark, d), 5, 1).select("symbol", F.explode("starts").alias("start"))
+    return W.low_starts(X.weekly_bars(spark, d), 5, 1).select("symbol", "start")
 
 
 @query
 def w7_select_starts(spark, d):
-    return W.select_starts(W.local_lows(X.weekly_bars(spark, d), 5, 1), 8).select("symbol", F.explode("starts").alias("start"))
+    return W.first_starts(W.low_starts(X.weekly_bars(spark, d), 5, 1), 8).select("symbol", "start")
+
+
+@query
+def w6_spaced_lows(spark, d):
+    return W.low_starts(kept(X.weekly_bars(spark, d)), 5, 10).select("symbol", "start", "lowest")
 
 
 @query
@@ -437,8 +442,11 @@ def p12_skip_ahead_all_options(spark, d):
 
 @query
 def p13_supplier_scan(spark, d):
+    """Every supplier's weekly bars; every tenth supplier has a series of an interval without geometry, too, which fails."""
     bars, found, cut = scanned(spark, d, 2, "supplier", longest=LONGEST)
-    return P.skip_ahead_scan(bars, found, {"1wk": GEOMETRY[0][1:]}, cut=cut).where("error is null").select("symbol", "start_row", "rule_name", config(), F.col("end").alias("fin"))
+    bad = bars.where(F.col("symbol").cast("int") % 10 == 0).withColumn("interval", F.lit("1mo"))
+    run = P.skip_ahead_scan(bars.unionByName(bad), found, {"1wk": GEOMETRY[0][1:]}, cut=cut)
+    return run.select("symbol", "interval", "start_row", "rule_name", config(), F.col("end").alias("fin"), "error")
 
 
 @query

@@ -178,6 +178,16 @@ entries AS (SELECT p.symbol, p.start, rule_name, fin AS entry_idx, date_end AS e
 held AS (SELECT e.*, b.bar_idx, b.bar_ts, b.close, CASE WHEN b.high >= entry_price * (1 + 0.1) THEN entry_price * (1 + 0.1) WHEN b.low <= entry_price * (1 - 0.05) THEN entry_price * (1 - 0.05) END AS hit FROM entries e JOIN bars b ON b.symbol = e.symbol AND b.bar_idx > entry_idx AND b.bar_idx <= entry_idx + 20),
 exits AS (SELECT symbol, rule_name, start, entry_ts, entry_price, coalesce(arg_min({{'t': bar_ts, 'p': hit}}, bar_idx) FILTER (hit IS NOT NULL), arg_max({{'t': bar_ts, 'p': close}}, bar_idx)) AS x FROM held GROUP BY ALL),
 trades AS (SELECT symbol, rule_name, start, entry_ts AS entry_date, x.t AS exit_date, entry_price, x.p AS exit_price, 1000.0::DOUBLE AS position_size, 100 * (x.p / entry_price - 1) AS return_pct, 1000.0::DOUBLE * (x.p / entry_price - 1) AS profit_loss FROM exits)"""
+SCORED_TRADES = TRADES.replace("entries AS (SELECT p.symbol,", "entries AS (SELECT p.symbol, p.ensemble_score,").replace("exits AS (SELECT symbol,", "exits AS (SELECT symbol, ensemble_score,").replace("trades AS (SELECT symbol,", "trades AS (SELECT symbol, ensemble_score,")
+LOGGED = {"entry_price": 2, "exit_price": 2, "position_size": 2, "ensemble_score": 3, "return_pct": 2, "profit_loss": 2}
+
+
+def fixed(col: str, n: int) -> str:
+    """A number as text with n decimals, half up by its decimal digits; small negative ones keep their sign."""
+    text = f"printf('%.{n}f', CAST(round(CAST(CAST({col} AS VARCHAR) AS DECIMAL(38, 20)), {n}) AS DOUBLE))"
+    return f"CASE WHEN {col} < 0 AND {text} = '{0:.{n}f}' THEN '-{0:.{n}f}' ELSE {text} END"
+
+
 def edges(max_skip: int, symbol: str = "n_name") -> str:
     """Monowaves of both directions with 0 to max_skip skips: the down side is the up side of mirrored prices."""
     return f"""{bars(symbol)},
@@ -306,7 +316,7 @@ ORACLE_SQL: dict[str, str] = {
     "s6_select_symbols": of(BARS, f"SELECT {BAR} FROM bars WHERE symbol IN ('NATION_3', 'NATION_7', 'NATION_12')"),
     "s6_select_symbol_table": of(BARS, f"SELECT {BAR} FROM bars WHERE symbol IN (SELECT n_name FROM nation WHERE n_regionkey = 3)"),
     "s7_last_days": of(BARS, f"SELECT {BAR} FROM bars WHERE bar_ts >= {AS_OF} - INTERVAL 90 DAY AND bar_ts <= {AS_OF}"),
-    "s11_trade_log": of(TRADES, "SELECT symbol, CAST(CAST(entry_date AS DATE) AS VARCHAR) AS entry_date, CAST(CAST(exit_date AS DATE) AS VARCHAR) AS exit_date, rule_name, '1000.00' AS position_size FROM trades"),
+    "s11_trade_log": of(SCORED_TRADES, f"""SELECT symbol, CAST(CAST(entry_date AS DATE) AS VARCHAR) AS entry_date, CAST(CAST(exit_date AS DATE) AS VARCHAR) AS exit_date, {", ".join(f"{fixed(c, n)} AS {c}" for c, n in LOGGED.items())}, rule_name FROM trades"""),
     "s13_pending": of(BARS, "SELECT DISTINCT symbol, \"interval\" FROM bars WHERE symbol NOT IN (SELECT symbol FROM bars WHERE volume >= 20)"),
     "s14_dataset_stats": "SELECT event_type AS source_category, 'tick' AS \"interval\", count(*) AS n, count(DISTINCT user_id) AS symbols FROM events GROUP BY event_type",
     "c1_drop_missing": of(DIRTY, f"SELECT {FAULTY} FROM dirty WHERE NOT {MISSING}"),
@@ -330,6 +340,11 @@ ORACLE_SQL: dict[str, str] = {
     "w5_adaptive_windows": of(BARS, f"SELECT symbol, \"interval\", CAST(i AS INTEGER) AS start_row, CAST(k AS INTEGER) AS window_len FROM {GEO}, unnest(range(0, n - 20 + 1, 8)) AS t(i), unnest(range(20, least(104, n - i) + 1, 7)) AS u(k)"),
     "w6_local_lows": of(LOWS, "SELECT symbol, start FROM starts"),
     "w7_select_starts": of(LOWS, "SELECT symbol, start FROM (SELECT s.*, row_number() OVER (PARTITION BY s.symbol ORDER BY s.start) AS n, l.start AS least, count(*) OVER (PARTITION BY s.symbol) AS all_n FROM starts s JOIN lowest l ON l.symbol = s.symbol) WHERE all_n <= 8 OR n <= 7 OR start = least"),
+    "w6_spaced_lows": recursive(f"""{LOWS},
+        low AS (SELECT symbol, bar_idx AS i FROM marked WHERE low = least AND bar_idx >= 5 AND bar_idx < n - 5),
+        then_low AS (SELECT a.symbol, a.i, min(b.i) AS j FROM low a JOIN low b ON b.symbol = a.symbol AND b.i >= a.i + 10 GROUP BY ALL),
+        taken AS (SELECT symbol, min(i) AS i FROM low GROUP BY symbol UNION ALL SELECT t.symbol, j FROM taken t JOIN then_low n ON n.symbol = t.symbol AND n.i = t.i)""",
+        "SELECT symbol, start, bool_or(lowest) AS lowest FROM (SELECT symbol, i AS start, false AS lowest FROM taken UNION ALL SELECT symbol, start, true FROM lowest) GROUP BY ALL"),
     "w8_count_extrema": of(BARS, "SELECT symbol, CAST(sum(CASE WHEN d * lag_d = -1 THEN 1 ELSE 0 END) AS BIGINT) AS extrema FROM (SELECT *, lag(d) OVER (PARTITION BY symbol ORDER BY bar_idx) AS lag_d FROM (SELECT symbol, bar_idx, sign(low - lag(low) OVER (PARTITION BY symbol ORDER BY bar_idx)) AS d FROM bars)) GROUP BY symbol"),
     "w9_base_score": of(BARS, "SELECT symbol, bar_idx, round(0.4 * stddev_pop(low) OVER w + 0.3 * (max(high) OVER w - min(low) OVER w) / (low + 1e-9), 4) AS base_score FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)"),
     "w10_absolute_low": of(BARS, "SELECT symbol, arg_min(bar_idx, {'a': low, 'b': bar_idx}) AS bar_idx, min(low) AS low FROM bars GROUP BY symbol"),
@@ -349,7 +364,7 @@ ORACLE_SQL: dict[str, str] = {
     "p10_scan_candidates": recursive(found(3), "SELECT symbol, start, rule_name, rank, array_to_string(config, ',') AS config, fin, need AS need_idx, round(fib_score, 6) AS fib_score, round(ensemble_score, 6) AS ensemble_score FROM cand"),
     "p11_best_per_window": recursive(scanned(3, SLIDING), f"SELECT symbol, start_row, window_len, rule_name, w1.s AS idx_start, fin AS idx_end, round(ensemble_score, 6) AS ensemble_score, round(fib_score, 6) AS fib_score FROM ({ONE})"),
     "p12_skip_ahead_scan": recursive(ahead(3), "SELECT symbol, start_row, window_len, start, rule_name, array_to_string(config, ',') AS config, round(ensemble_score, 6) AS ensemble_score, fin, NULL::VARCHAR AS error FROM ahead_hits"),
-    "p13_supplier_scan": recursive(ahead(2, "CAST(l_suppkey AS VARCHAR)"), "SELECT symbol, start_row, rule_name, array_to_string(config, ',') AS config, fin FROM ahead_hits"),
+    "p13_supplier_scan": recursive(ahead(2, "CAST(l_suppkey AS VARCHAR)"), "SELECT symbol, '1wk' AS \"interval\", start_row, rule_name, array_to_string(config, ',') AS config, fin, NULL::VARCHAR AS error FROM ahead_hits UNION ALL SELECT DISTINCT symbol, '1mo', NULL::BIGINT, NULL, NULL, NULL::INTEGER, 'KeyError(''1mo'')' FROM bars WHERE CAST(symbol AS INTEGER) % 10 = 0"),
     "p14_scan_grid": recursive(scanned(2, SLIDING), f"SELECT symbol, start_row, window_len, start, rule_name, array_to_string(config, ',') AS config, round(ensemble_score, 6) AS ensemble_score, nth FROM ({THREE})"),
     "p15_dedup_patterns": of(PATTERNS, f"SELECT {KEY}, {r('ensemble_score')} FROM (SELECT *, row_number() OVER (PARTITION BY rule_name, round(w1.low, 2), round(w3.high, 2), coalesce(round(w5.high, 2), 0) ORDER BY ensemble_score DESC, symbol, start) AS n FROM patterns) WHERE n = 1"),
     "p16_hybrid_summary": of(PATTERNS, "SELECT \"interval\", rule_name, count(*) AS n FROM (SELECT '1wk' AS \"interval\", rule_name FROM patterns) GROUP BY ROLLUP (\"interval\", rule_name)"),
