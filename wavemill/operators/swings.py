@@ -1,7 +1,7 @@
 """Swings and monowaves.
 
-first_swing and next_swing are window expressions and range joins; monowaves, which chase pointers over
-a whole series, is a grouped-map kernel over numpy arrays. An edge says that from bar s, in a direction
+first_swing and next_swing are window expressions and joins; monowaves chase pointers, for short series over numpy
+arrays in a grouped map, for long ones block by block (see skyline). An edge says that from bar s, in a direction
 and with a number of skips, a monowave ends at bar e; need_idx is the last bar that must be known for
 the edge to hold, so that one edge table serves every window of the series. turn is the first bar from e on that
 goes beyond the edge's end value (the series' length if none does).
@@ -9,14 +9,14 @@ goes beyond the edge's end value (the series' length if none does).
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .skyline import BLOCK, edges, first_later, later_bars, run_ends, spans
+
 SERIES = ("symbol", "interval")
 EDGE = "symbol string, interval string, s int, up boolean, skip int, e int, low double, high double, need_idx int, turn int"
 
@@ -44,110 +44,63 @@ def first_swing(bars: DataFrame, direction: str = "up") -> DataFrame:
     return found.join(at, [*SERIES, "e"]).select(*SERIES, "s", "e", F.when(F.col("e") == F.col("s"), F.col("start_value")).otherwise(F.col("_v")).alias("value"))
 
 
+def swings(low: np.ndarray, high: np.ndarray, up: bool, max_skip: int, strict: bool = False) -> dict[str, np.ndarray]:
+    """s, skip, e, value (at the end), need_idx and turn of one series' edges, by skip, all bars at once. Down is up on mirrored
+    prices, with its guard."""
+    lo, hi = (low, high) if up else (-high, -low)
+    n = len(hi)
+    if not n:
+        return {c: np.zeros(0, np.int64) for c in ("s", "skip", "e", "value", "need_idx", "turn")}
+    tops = spans(hi)
+    run_end, greater, not_less, reach = run_ends(hi), first_later(tops, hi, True), first_later(tops, hi, False), first_later(tops, lo, False)
+    below = first_later(spans(-lo), -lo, True)  # the first later bar with a lower low: what the guard asks for
+    at = lambda x, i: x[np.minimum(i, n - 1)]
+    s = np.arange(n)
+    moves = np.r_[hi[1:] > lo[:-1], False]
+    e = np.where(moves, at(run_end, s + 1), s)
+    need, out = e, [(s, np.zeros(n, np.int64), e, e)]
+    for skip in range(1, max_skip + 1):
+        zero = e == s
+        value, j = np.where(zero, lo[e], hi[e]), np.where(zero, reach[e], not_less[e])
+        equal = (j < n) & (at(hi, j) == value)
+        # the first equal bar sets the level, the next one that is no lower decides; at once from a low or a flat bar
+        later = equal & ~zero & (value != lo[e])
+        j = np.where(later, at(not_less, j), j)
+        known = j < n
+        stall = equal & known & (at(hi, j) == value)
+        end = np.where(stall, e, at(run_end, j))
+        progress = known & ~stall & (end + 1 < n)
+        if strict or not up:
+            progress &= below[s] >= end
+        some = stall | progress
+        s, need, e = s[some], np.maximum(need, np.where(stall, j, end + 1))[some], end[some]
+        out.append((s, np.full(len(s), skip), e, need))
+    s, skip, e, need = (np.concatenate(x) for x in zip(*out, strict=True))
+    value = np.where(e > s, hi[e], lo[s])
+    return {"s": s, "skip": skip, "e": e, "value": value if up else -value, "need_idx": need, "turn": np.where(hi[e] > value, e, greater[e])}
+
+
 def kernel(low: np.ndarray, high: np.ndarray, up: bool, max_skip: int, strict: bool = False) -> list[tuple[int, int, int, float, int]]:
-    """(s, skip, e, end value, need_idx) of one series. Down is up on mirrored prices, with its guard."""
-    if not up:
-        low, high = -high, -low
-    n = len(high)
-    run_end = np.arange(n)
-    for i in range(n - 2, -1, -1):
-        if high[i + 1] > high[i]:
-            run_end[i] = run_end[i + 1]
-    greater, stack = np.full(n, n), []  # first later bar with a greater high
-    for i in range(n):
-        while stack and high[i] > high[stack[-1]]:
-            greater[stack.pop()] = i
-        stack.append(i)
-    not_less = np.full(n, n)  # first later bar with an equal or greater high
-    stack = []
-    for i in range(n):
-        while stack and high[i] >= high[stack[-1]]:
-            not_less[stack.pop()] = i
-        stack.append(i)
-    below, stack = np.full(n, n), []  # first later bar with a lower low: what the guard asks for
-    for i in range(n):
-        while stack and low[i] < low[stack[-1]]:
-            below[stack.pop()] = i
-        stack.append(i)
-
-    reach = np.full(n, n)  # first later bar whose high is no lower than this bar's low
-    records: list[int] = []  # later bars higher than all before them, the nearest last
-    heights: list[float] = []
-    for i in range(n - 1, -1, -1):
-        if at := bisect_right(heights, -low[i]):
-            reach[i] = records[at - 1]
-        while records and high[records[-1]] <= high[i]:
-            records.pop(), heights.pop()
-        records.append(i), heights.append(-high[i])
-
-    def following(e: int, value: float, at_start: bool) -> tuple[int, bool, int] | None:
-        """After a swing that ended at e: (end, progress, deciding bar), or None if it needs bars that do not exist."""
-        if at_start:  # the value is low[e], a high may lie anywhere
-            j = int(reach[e])
-            if j >= n:
-                return None
-            if high[j] == value:
-                return (e, False, j)
-        elif value == low[e] and not_less[e] < n and high[not_less[e]] == value:  # a flat bar: the first equal bar decides
-            return (e, False, int(not_less[e]))
-        else:
-            j = int(not_less[e])
-            if j >= n:
-                return None
-            if high[j] == value:  # the first equal bar sets the level, the next one that is no lower decides
-                k = int(not_less[j])
-                if k >= n:
-                    return None
-                if high[k] == value:
-                    return (e, False, k)
-                j = k
-        end = int(run_end[j])
-        return (end, True, end + 1) if end + 1 < n else None
-
-    out = []
-    for s in range(n):
-        e = int(run_end[s + 1]) if s + 1 < n and high[s + 1] > low[s] else s
-        value = high[e] if e > s else low[s]
-        out.append((s, 0, e, float(value), e))
-        need = e
-        for skip in range(1, max_skip + 1):
-            step = following(e, value, e == s)
-            if step is None:
-                break
-            end, progress, deciding = step
-            need = max(need, deciding)
-            if progress:
-                if (strict or not up) and below[s] < end:
-                    break
-                e, value = end, high[end]
-            out.append((s, skip, e, float(value), need))
-    return [(s, k, e, v if up else -v, need) for s, k, e, v, need in out]
-
-
-def turns(low: np.ndarray, high: np.ndarray, up: bool, e: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The first bar from e on beyond the value, which is bar e's own high (low) or, for waves of zero length, within it."""
-    beyond, value = (high, value) if up else (-low, -value)
-    later, stack = np.full(len(beyond), len(beyond)), []
-    for i in range(len(beyond)):
-        while stack and beyond[i] > beyond[stack[-1]]:
-            later[stack.pop()] = i
-        stack.append(i)
-    return np.where(beyond[e] > value, e, later[e])
-
-
-def monowaves(bars: DataFrame, max_skip: int, strict: bool = False) -> DataFrame:
+    """swings as (s, skip, e, value, need_idx)."""
+    found = swings(low, high, up, max_skip, strict)
+    return list(zip(*(found[c].tolist() for c in ("s", "skip", "e", "value", "need_idx")), strict=True))
+
+
+def monowaves(bars: DataFrame, max_skip: int, strict: bool = False, block: int = BLOCK) -> DataFrame:
     """Edges of both directions with 0 to max_skip skips; missing where a step finds no end. Down waves end where
-    a bar before their end exceeds their start; up waves only if strict."""
+    a bar before their end exceeds their start; up waves only if strict. A series of up to block bars is one task's array;
+    if any is longer, all go block by block, with the same edges."""
+    if (bars.groupBy(*SERIES).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > block:
+        return edges(bars, max_skip, strict, block)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bar_idx")
         low, high = part["low"].to_numpy(float), part["high"].to_numpy(float)
         out = []
         for up in (True, False):
-            found = pd.DataFrame(kernel(low, high, up, max_skip, strict), columns=["s", "skip", "e", "value", "need_idx"])
+            found = pd.DataFrame(swings(low, high, up, max_skip, strict))
             start, value = (low if up else high)[found["s"]], found["value"].to_numpy(float)
             found["up"], found["low"], found["high"] = up, *((start, value) if up else (value, start))
-            found["turn"] = turns(low, high, up, found["e"].to_numpy(int), value)
             out.append(found)
         every = pd.concat(out)
         every["symbol"], every["interval"] = part["symbol"].iloc[0], part["interval"].iloc[0]
@@ -156,7 +109,7 @@ def monowaves(bars: DataFrame, max_skip: int, strict: bool = False) -> DataFrame
     return bars.select(*SERIES, "bar_idx", "low", "high").groupBy(*SERIES).applyInPandas(run, EDGE)
 
 
-def next_swing(bars: DataFrame, direction: str = "up") -> DataFrame:
+def next_swing(bars: DataFrame, direction: str = "up", block: int = BLOCK) -> DataFrame:
     """The next swing beyond each bar's first swing (skip 1 of an up or a down wave, whatever lies between): e and
     value, with progress false for a stall; no row where the series ends first. A check of the kernel by joins:
     what comes next is looked up by bar, from the next bars that reach its high and its low."""
@@ -166,7 +119,7 @@ def next_swing(bars: DataFrame, direction: str = "up") -> DataFrame:
     first = first_swing(bars).withColumnsRenamed({"e": "e0", "value": "v0"})
     at = bars.select(*SERIES, "bar_idx", "low", "high")
     by_series = Window.partitionBy(*SERIES)
-    marked = at.join(reached(at), [*SERIES, "bar_idx"])
+    marked = at.join(reached(at, block), [*SERIES, "bar_idx"])
     runs = with_runs(bars).select(*SERIES, "bar_idx", F.col("rise_end").alias("end"), F.max("bar_idx").over(by_series).alias("last"))
     look = lambda name, cols: marked.join(runs, [*SERIES, "bar_idx"]).select(*SERIES, F.col("bar_idx").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
     got = first.join(look("e0", ["low", "of_high", "of_low"]), [*SERIES, "e0"])
@@ -185,23 +138,8 @@ def next_swing(bars: DataFrame, direction: str = "up") -> DataFrame:
     return got.select(*SERIES, "s", F.when(F.col("stall"), F.col("e0")).otherwise(F.col("end")).alias("e"), (value if up else -value).alias("value"), (~F.col("stall")).alias("progress"))
 
 
-def reached(bars: DataFrame) -> DataFrame:
+def reached(bars: DataFrame, block: int = BLOCK) -> DataFrame:
     """of_high and of_low of each bar: the first later bar whose high is no lower than its high, and than its low (null if
-    none). One pass of a series, by a stack of later records."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("bar_idx")
-        low, high = part["low"].to_numpy(float), part["high"].to_numpy(float)
-        records, heights, out = [], [], np.full((2, len(low)), -1)
-        for i in range(len(low) - 1, -1, -1):
-            for row, value in enumerate((high[i], low[i])):
-                if at := bisect_right(heights, -value):
-                    out[row, i] = records[at - 1]
-            while records and high[records[-1]] <= high[i]:
-                records.pop(), heights.pop()
-            records.append(i), heights.append(-high[i])
-        idx = part["bar_idx"].to_numpy()
-        named = [pd.array([int(idx[j]) if j >= 0 else None for j in row], "Int32") for row in out]
-        return pd.DataFrame({"symbol": part["symbol"], "interval": part["interval"], "bar_idx": idx, "of_high": named[0], "of_low": named[1]})
-
-    return bars.select(*SERIES, "bar_idx", "low", "high").groupBy(*SERIES).applyInPandas(run, "symbol string, interval string, bar_idx int, of_high int, of_low int")
+    none), block by block."""
+    found = later_bars(bars, block).where("up")
+    return found.select(*SERIES, F.col("i").alias("bar_idx"), F.col("not_less").alias("of_high"), F.col("reach").alias("of_low"))

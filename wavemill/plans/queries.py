@@ -333,6 +333,17 @@ def m4_next_swing_down(spark, d):
     return M.next_swing(X.weekly_bars(spark, d), "down").drop("interval")
 
 
+@query
+def m4_next_swing_down_blocks(spark, d):
+    return M.next_swing(X.weekly_bars(spark, d), "down", block=64).drop("interval")
+
+
+@query
+def m6_monowaves_blocks(spark, d):
+    """Every series in blocks of 64 bars."""
+    return M.monowaves(kept(X.weekly_bars(spark, d)), 4, block=64).drop("interval")
+
+
 @query
 def m5_monowaves_one_skip(spark, d):
     edges = M.monowaves(X.weekly_bars(spark, d), 1)

@@ -422,6 +422,7 @@ ORACLE_SQL["v13_quality_verdict"] = f"""SELECT count(*) AS issues, CASE WHEN cou
     UNION ALL SELECT unnest([CASE WHEN dominated THEN 'g' END, CASE WHEN over_represented > 0 THEN 'h' END]) FROM ({ORACLE_SQL["v11_diversity"]})
     UNION ALL SELECT unnest([CASE WHEN repeated > 0 THEN 'duplicate' END, CASE WHEN scores_redundant THEN 'i' END, CASE WHEN n < 100 THEN 'too small' WHEN n < 1000 THEN 'j' END]) FROM ({ORACLE_SQL["v12_sanity"]})
 ) WHERE issue IS NOT NULL"""
+ORACLE_SQL["m4_next_swing_down_blocks"], ORACLE_SQL["m6_monowaves_blocks"] = ORACLE_SQL["m4_next_swing_down"], ORACLE_SQL["m6_monowaves"]
 BACK = "bar_ts, symbol, open, high, low, close, volume, \"interval\""
 ORACLE_SQL |= {
     "s1_read_bars": of(BARS, f"SELECT {BACK} FROM bars"),
