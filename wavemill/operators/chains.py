@@ -199,6 +199,14 @@ def reconstruct(patterns: DataFrame, edges: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def hybrid_summary(patterns: DataFrame) -> DataFrame:
-    """Counts per interval and rule, with totals (null rule; null interval)."""
-    return patterns.rollup("interval", "rule_name").agg(F.count("*").alias("n"))
+def hybrid_summary(patterns: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    """Counts per interval and rule, with totals (null rule; null interval). With the bars that were scanned, also each
+    interval's bars and series, and totals of 0 for intervals without patterns."""
+    counts = patterns.rollup("interval", "rule_name").agg(F.count("*").alias("n"))
+    if bars is None:
+        return counts
+    per = bars.rollup("interval").agg(F.count("*").alias("bars"), F.countDistinct("symbol").alias("series"))
+    each = counts.where("rule_name is not null").join(per, "interval")
+    totals = per.withColumnRenamed("interval", "_i").join(counts.where("rule_name is null"), F.col("_i").eqNullSafe(F.col("interval")), "left")
+    totals = totals.select(F.col("_i").alias("interval"), F.lit(None).cast("string").alias("rule_name"), F.coalesce("n", F.lit(0)).alias("n"), "bars", "series")
+    return each.select(totals.columns).unionByName(totals)

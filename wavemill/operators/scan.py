@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chains as C
+from .ledger import commit_run  # noqa: F401 (part of the scans' interface)
 from .swings import monowaves
 from .tables import kept
 from .walks import next_stops, visited
-from .windows import window_starts
+from .windows import SPAN, first_hit, window_starts
 
 SERIES = ("symbol", "interval")
 WINDOW = (*SERIES, "start_row", "window_len")
@@ -93,6 +94,35 @@ def reachable_windows(bars: DataFrame, sizes: DataFrame, found: DataFrame, cut:
     return windows.select(*SERIES, "start_row", F.least("longest", F.col("n") - F.col("start_row")).cast("int").alias("window_len"))
 
 
+def first_hits(
+    bars: DataFrame, geometry: DataFrame, grow: int, found: DataFrame, k: int = 5, distance: int = 10, max_starts: int = 10, cut: DataFrame | None = None,
+    families: tuple[str, ...] = ("impulse",), rules: tuple[str, ...] = ("impulse", "leading_diagonal"),
+) -> DataFrame:
+    """Of windows that grow from each start on the grid, the best candidate of the shortest that has one. No candidate shows
+    before its need_idx (one that the window's end cuts, before its last wave begins), so a start's first length is the one
+    that reaches the least of these bars among its candidates. It alone is scanned; starts that it fails, as the candidate's first
+    bar is no local low there, are scanned at their longer lengths."""
+    found = found.where(F.col("rule_name").isin(*rules))
+    shows = found.select(*SERIES, F.col("start").alias("first"), F.col("need_idx").alias("shows"))
+    if cut is not None:
+        cut = cut.where(F.col("family").isin(*families))
+        shows = shows.unionByName(cut.select(*SERIES, F.col("start").alias("first"), F.greatest("prefix_need", F.element_at("waves", -1)["idx_start"] + 1).alias("shows")))
+    shows = kept(shows.groupBy(*SERIES, "first").agg(F.min("shows").alias("shows")))
+    n = bars.groupBy(*SERIES).agg(F.count("*").cast("int").alias("n")).join(F.broadcast(geometry), "interval").where("n >= min_len")
+    grid = n.withColumn("start_row", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("min_len"), F.col("slide")))).withColumn("longest", F.least("max_len", F.col("n") - F.col("start_row")))
+    span = lambda c: F.floor(c / SPAN)
+    near = grid.withColumn("_span", F.explode(F.sequence(span(F.col("start_row")), span(F.col("start_row") + F.col("longest") - 1)))).join(shows.withColumn("_span", span(F.col("first"))), [*SERIES, "_span"])
+    near = near.where((F.col("first") >= F.col("start_row")) & (F.col("shows") < F.col("start_row") + F.col("longest")))
+    least = near.groupBy(*SERIES, "start_row", "min_len", "longest").agg(F.min("shows").alias("shows"))
+    steps = F.ceil(F.greatest(F.lit(0), F.col("shows") - F.col("start_row") + 1 - F.col("min_len")) / grow)
+    least = kept(least.withColumn("window_len", (F.col("min_len") + grow * steps).cast("int")).where("window_len <= longest"))
+    scan = lambda w: scan_grid(bars, w.select(*WINDOW), found, k, distance, max_starts, 1, cut, families)
+    hit = kept(scan(least))
+    failed = least.join(hit.select(*SERIES, "start_row"), [*SERIES, "start_row"], "left_anti").where(F.col("window_len") + grow <= F.col("longest"))
+    longer = kept(failed.withColumn("window_len", F.explode(F.sequence(F.col("window_len") + grow, F.col("longest"), F.lit(grow)))))
+    return hit.unionByName(first_hit(scan(longer)))
+
+
 def skip_ahead_scan(
     bars: DataFrame, found: DataFrame, geometry: dict[str, tuple[int, int, int]], k: int = 5, distance: int = 10, max_starts: int = 10,
     max_windows: int | None = None, cut: DataFrame | None = None, families: tuple[str, ...] = FAMILIES,
@@ -134,11 +164,3 @@ def skip_ahead_scan(
 def pending(series: DataFrame, done: DataFrame) -> DataFrame:
     """Series that no earlier run has done; failed ones are not in done and come again."""
     return series.join(done.select(*SERIES), list(SERIES), "left_anti")
-
-
-def commit_run(result: DataFrame, path: str, run_id: str) -> None:
-    """Appends a run's hits, and its failures apart, under path. A failed series comes again, so its hits wait for that run."""
-    failures = result.where("error is not null").select(*SERIES, "error")
-    hits = result.where("error is null").join(failures.select(*SERIES), list(SERIES), "left_anti").select(result.columns)
-    hits.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/hits")
-    failures.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/failures")

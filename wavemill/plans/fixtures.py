@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.scoring import ensemble_score
 from ..operators import chains as C
-from ..operators.resample import index_bars, ticks_to_bars
+from ..operators.resample import index_bars, pyramid, ticks_to_bars
 from ..operators.swings import monowaves
 from ..operators.tables import kept
 
@@ -44,6 +44,12 @@ def user_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexed bars of 1h, 4h, 1d and 1wk of the events of each type."""
+    ticks = user_bars(spark, sf_dir).withColumn("symbol", F.col("source_category"))
+    return kept(index_bars(pyramid(ticks, order=F.struct("bar_ts", "event_id"))))
+
+
 def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as daily bars with every kind of fault, by order number; ord is the ingest order."""
     p, o = F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_orderkey")

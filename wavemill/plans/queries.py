@@ -14,6 +14,7 @@ from ..functions import waves as V
 from ..operators import backtest as B
 from ..operators import chains as C
 from ..operators import cleaning as K
+from ..operators import ledger as L
 from ..operators import quality as Q
 from ..operators import resample as S
 from ..operators import scan as P
@@ -174,6 +175,22 @@ def s13_pending(spark, d):
     return P.pending(bars.select("symbol", "interval").distinct(), bars.where("volume >= 20").select("symbol", "interval").distinct())
 
 
+@query
+def s13_committed_run(spark, d):
+    """A run that is staged and lost, tried again and committed, and committed again: its ledger row, with what readers see."""
+    path = new_folder(spark)
+    bars, found, cut = scanned(spark, d, 2, longest=LONGEST)
+    bad = bars.where(F.col("symbol") == "NATION_7").withColumn("interval", F.lit("1mo"))
+    every = kept(bars.unionByName(bad))
+    result = kept(P.skip_ahead_scan(every, found, {"1wk": GEOMETRY[0][1:]}, cut=cut))
+    L.stage(result, path, "r1", every)
+    L.commit_run(result, path, "r1", every)
+    row = L.commit_run(result.limit(1), path, "r1", every).drop("attempt", "hits_schema")
+    seen = L.committed(spark, path).agg(F.count("*").alias("hits_seen"), F.countDistinct("attempt").alias("attempts_seen"))
+    done = P.pending(every.select("symbol", "interval").distinct(), L.done_series(spark, path)).agg(F.count("*").alias("pending"))
+    return rounded(row.join(seen).join(done))
+
+
 @query
 def s14_dataset_stats(spark, d):
     return K.dataset_stats(X.user_bars(spark, d))
@@ -484,6 +501,32 @@ def p16_hybrid_summary(spark, d):
     return C.hybrid_summary(X.simple_patterns(spark, d))
 
 
+#: The hybrid profile, with the default one's 4h.
+FRAMES = W.GEOMETRY["hybrid"] | {"4h": W.GEOMETRY["default"]["4h"]}
+
+
+@query
+def w1_pyramid(spark, d):
+    return X.timeframes(spark, d)
+
+
+@query
+def p16_timeframes(spark, d):
+    """One run over four timeframes of the events, and its summary."""
+    bars = X.timeframes(spark, d)
+    chains = P.all_chains(spark, bars, 2, 300, longest=200)
+    hits = P.skip_ahead_scan(bars, P.candidates(spark, bars, chains=chains), FRAMES, cut=P.open_chains(spark, bars, chains=chains))
+    return C.hybrid_summary(hits.where("error is null"), bars)
+
+
+@query
+def w5_first_hit(spark, d):
+    """The first of the growing windows of each start that has an impulse."""
+    bars, found, cut = scanned(spark, d, 3, longest=LONGEST)
+    hits = P.first_hits(bars, geometry(spark), 7, found, cut=cut)
+    return rounded(hits.select("symbol", "start_row", "window_len", "start", "rule_name", config(), "ensemble_score", F.element_at("waves", -1)["idx_end"].alias("fin")))
+
+
 @query
 def p17_reconstruct(spark, d):
     p = X.simple_patterns(spark, d).select("symbol", "interval", "start", "rule_name", "wave_config")

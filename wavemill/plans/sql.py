@@ -271,11 +271,11 @@ taken AS (
     SELECT w.symbol, start_row, last, min(i) AS i FROM windows w JOIN lows l ON l.symbol = w.symbol AND i >= start_row + 5 AND i <= last - 5 GROUP BY ALL
     UNION ALL SELECT t.symbol, start_row, last, then_i FROM taken t JOIN nexts n ON n.symbol = t.symbol AND n.i = t.i WHERE then_i <= last - 5
 ),
-lowest_of AS (SELECT w.symbol, start_row, arg_min(bar_idx, {{'a': low, 'b': bar_idx}}) AS i FROM windows w JOIN bars b ON b.symbol = w.symbol AND bar_idx BETWEEN start_row AND last GROUP BY ALL),
-picked AS (SELECT symbol, start_row, i FROM taken UNION SELECT symbol, start_row, i FROM lowest_of),
-numbered AS (SELECT b.*, l.i AS least_i, count(*) OVER w AS c, row_number() OVER (w ORDER BY b.i) AS nth FROM picked b JOIN lowest_of l ON l.symbol = b.symbol AND l.start_row = b.start_row WINDOW w AS (PARTITION BY b.symbol, b.start_row)),
-starts AS (SELECT w.*, s.i AS start, e.low AS low_last, e.high AS high_last, greatest(0, coalesce(e.x - f.x, 0)) AS extrema FROM numbered s JOIN windows w ON w.symbol = s.symbol AND w.start_row = s.start_row
-    JOIN moves e ON e.symbol = w.symbol AND e.bar_idx = last LEFT JOIN moves f ON f.symbol = w.symbol AND f.bar_idx = s.i + 1 WHERE c <= 10 OR nth <= 9 OR i = least_i),
+lowest_of AS (SELECT w.symbol, start_row, last, arg_min(bar_idx, {{'a': low, 'b': bar_idx}}) AS i FROM windows w JOIN bars b ON b.symbol = w.symbol AND bar_idx BETWEEN start_row AND last GROUP BY ALL),
+picked AS (SELECT symbol, start_row, last, i FROM taken UNION SELECT symbol, start_row, last, i FROM lowest_of),
+numbered AS (SELECT b.*, l.i AS least_i, count(*) OVER w AS c, row_number() OVER (w ORDER BY b.i) AS nth FROM picked b JOIN lowest_of l ON l.symbol = b.symbol AND l.start_row = b.start_row AND l.last = b.last WINDOW w AS (PARTITION BY b.symbol, b.start_row, b.last)),
+starts AS (SELECT w.*, s.i AS start, e.low AS low_last, e.high AS high_last, greatest(0, coalesce(e.x - f.x, 0)) AS extrema FROM numbered s JOIN windows w ON w.symbol = s.symbol AND w.start_row = s.start_row AND w.last = s.last
+    JOIN moves e ON e.symbol = w.symbol AND e.bar_idx = w.last LEFT JOIN moves f ON f.symbol = w.symbol AND f.bar_idx = s.i + 1 WHERE c <= 10 OR nth <= 9 OR i = least_i),
 met AS (SELECT c.* EXCLUDE (w3, w5), CASE WHEN fam = 2 THEN {short(3)} ELSE w3 END AS w3, CASE WHEN fam <> 2 THEN {short(5)} END AS w5, {pick.replace("symbol", "s.symbol AS of_symbol").replace(" start,", " s.start AS of_start,")}
     FROM starts s JOIN all_chains c ON c.symbol = s.symbol AND c.start = s.start WHERE before <= last AND config[-1] = 0 AND coalesce(c.w5.s, c.w3.s) < last AND coalesce(c.w5.e, c.w3.e) > last),
 hits AS (SELECT s.symbol, start_row, window_len, s.start, extrema, rule_name, rank, config, fam, prices, fin, fib_score, ensemble_score, w1 FROM starts s JOIN cand c ON c.symbol = s.symbol AND c.start = s.start WHERE need <= last AND (fam > 0 OR extrema >= 4)
@@ -293,13 +293,14 @@ THREE = f"""SELECT *, CAST(row_number() OVER (PARTITION BY symbol, start_row ORD
 ) QUALIFY nth <= 3"""
 
 
-def ahead(up_to: int, symbol: str = "n_name", slide: int = 8) -> str:
-    return f"""{scanned(up_to, EVERY, symbol)},
+def ahead(up_to: int, symbol: str = "n_name", geometry: tuple[int, int, int] = (20, 104, 8)) -> str:
+    shortest, longest, slide = geometry
+    return f"""{scanned(up_to, EVERY.replace("104", str(longest)).replace("20 + 1", f"{shortest} + 1"), symbol)},
 best AS MATERIALIZED ({ONE}),
 sizes AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol),
 steps AS (
-    SELECT symbol, 0::BIGINT AS i FROM sizes WHERE n >= 20
-    UNION ALL SELECT t.symbol, coalesce(b.fin, t.i) + {slide} FROM steps t JOIN sizes z ON z.symbol = t.symbol LEFT JOIN best b ON b.symbol = t.symbol AND b.start_row = t.i WHERE z.n - (coalesce(b.fin, t.i) + {slide}) >= 20
+    SELECT symbol, 0::BIGINT AS i FROM sizes WHERE n >= {shortest}
+    UNION ALL SELECT t.symbol, coalesce(b.fin, t.i) + {slide} FROM steps t JOIN sizes z ON z.symbol = t.symbol LEFT JOIN best b ON b.symbol = t.symbol AND b.start_row = t.i WHERE z.n - (coalesce(b.fin, t.i) + {slide}) >= {shortest}
 ),
 ahead_hits AS (SELECT b.* FROM steps t JOIN best b ON b.symbol = t.symbol AND b.start_row = t.i)"""
 
@@ -423,6 +424,30 @@ ORACLE_SQL["v13_quality_verdict"] = f"""SELECT count(*) AS issues, CASE WHEN cou
     UNION ALL SELECT unnest([CASE WHEN repeated > 0 THEN 'duplicate' END, CASE WHEN scores_redundant THEN 'i' END, CASE WHEN n < 100 THEN 'too small' WHEN n < 1000 THEN 'j' END]) FROM ({ORACLE_SQL["v12_sanity"]})
 ) WHERE issue IS NOT NULL"""
 ORACLE_SQL["m4_next_swing_down_blocks"], ORACLE_SQL["m6_monowaves_blocks"] = ORACLE_SQL["m4_next_swing_down"], ORACLE_SQL["m6_monowaves"]
+GROWING = SLIDING.replace("least(104, n - i) AS window_len, i + least(104, n - i) - 1 AS last", "len AS window_len, i + len - 1 AS last") + ", unnest(range(20, least(104, n - i) + 1, 7)) AS u(len)"
+BINS = {"1h": "time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01')", "4h": "time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '1970-01-01')", "1d": "CAST(date_trunc('day', ts) AS TIMESTAMP)", "1wk": "CAST(date_trunc('week', ts) AS TIMESTAMP)"}
+FRAMES = {"1h": (40, 200, 20), "4h": (40, 200, 20), "1d": (40, 200, 10), "1wk": (20, 104, 4)}
+
+
+def frame(interval: str) -> str:
+    """Bars of the events of each type."""
+    return f"""
+plain AS (SELECT event_type AS symbol, '{interval}' AS "interval", {BINS[interval]} AS bar_ts, arg_min(value, {{'a': ts, 'b': event_id}}) AS open, max(value) AS high, min(value) AS low, arg_max(value, {{'a': ts, 'b': event_id}}) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY ALL),
+bars AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS INTEGER) AS bar_idx FROM plain)"""
+
+
+EACH_FRAME = " UNION ALL ".join(f"SELECT * FROM ({of(frame(i), 'SELECT * FROM bars')})" for i in BINS)
+FRAME_HITS = " UNION ALL ".join("SELECT '{i}' AS \"interval\", rule_name FROM ({q})".replace("{i}", i).replace("{q}", recursive(ahead(2, "n_name", g).replace(BARS, frame(i)), "SELECT rule_name FROM ahead_hits")) for i, g in FRAMES.items())
+ORACLE_SQL |= {
+    "w1_pyramid": f"SELECT {BAR} FROM ({EACH_FRAME})",
+    "p16_timeframes": f"""WITH hits AS MATERIALIZED ({FRAME_HITS}), bars AS MATERIALIZED ({EACH_FRAME}),
+        per AS (SELECT "interval", count(*) AS bars, count(DISTINCT symbol) AS series FROM bars GROUP BY ROLLUP ("interval"))
+        SELECT h."interval", rule_name, count(*) AS n, bars, series FROM hits h JOIN per p ON p."interval" = h."interval" GROUP BY ALL
+        UNION ALL SELECT "interval", NULL, (SELECT count(*) FROM hits h WHERE p."interval" IS NULL OR h."interval" = p."interval"), bars, series FROM per p""",
+    "w5_first_hit": recursive(scanned(3, GROWING), f"SELECT symbol, start_row, window_len, start, rule_name, array_to_string(config, ',') AS config, round(ensemble_score, 6) AS ensemble_score, fin FROM hits WHERE fam = 0 QUALIFY row_number() OVER (PARTITION BY symbol, start_row ORDER BY window_len, {BEST}, start, rank) = 1"),
+    "s13_committed_run": recursive(ahead(2), """SELECT 'r1' AS run_id, (SELECT count(*) FROM sizes) + 1 AS series, (SELECT count(*) FROM sizes) AS done, 1 AS failed, count(*) AS patterns, round(count(*) / (SELECT count(*) FROM sizes), 6) AS per_series,
+        round(max(ensemble_score), 6) AS best_score, round(avg(ensemble_score), 6) AS mean_score, count(*) AS hits_seen, 1 AS attempts_seen, 1 AS pending FROM ahead_hits"""),
+}
 BACK = "bar_ts, symbol, open, high, low, close, volume, \"interval\""
 ORACLE_SQL |= {
     "s1_read_bars": of(BARS, f"SELECT {BACK} FROM bars"),
