@@ -27,16 +27,17 @@ empty table gives an empty result. Texts are read whole.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, small_batches, written
+from .common import release, shared_dir, slices, small_batches, written
 from .simhash import components
 
 WORDS = 5
@@ -49,9 +50,11 @@ VALUE, MANTISSA = 40, 10
 #: Deviations of an estimate below the threshold at which a pair is left out.
 MARGIN = 5.0
 #: Bits of the bitmap of wanted texts.
-BITS = 1 << 27
+BITS = 1 << 25
 #: Nodes and shingles of one side of a comparison.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Pairs whose registers are compared at a time.
+PAIRS = 1 << 15
 MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -154,7 +157,7 @@ def in_parts(rows: DataFrame, keys: list[str], others: DataFrame, spread: Column
 
 
 class Forest:
-    """Components of a block, by their names."""
+    """Components, by their names."""
 
     def __init__(self):
         self.above: dict[int, int] = {}
@@ -168,56 +171,85 @@ class Forest:
         self.above[self.root(x)] = self.root(y)
 
 
-def near_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of a group's two sides (or within its only side) whose components differ, whose sizes allow a
-    link and whose registers say that they may be linked, likeliest first; pairs that met in an earlier band are left out."""
+def in_groups(rows: DataFrame, keys: list[str], run: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """run(table, first) for tables of whole groups in order of the keys, with the places where groups begin: many small
+    groups at once."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+            first = begins(table)
+            if first[-1]:
+                yield from run(table.slice(0, int(first[-1])), first[:-1]).to_batches()
+            rest = table.slice(int(first[-1]))
+        if rest is not None:
+            yield from run(rest.combine_chunks(), np.zeros(1, np.int64)).to_batches()
+
+    def begins(table: pa.Table) -> np.ndarray:
+        g = table["g"].combine_chunks()
+        return np.r_[0, np.flatnonzero(pc.not_equal(g[1:], g[:-1]).to_numpy(zero_copy_only=False)) + 1]
+
+    return small_batches(rows).repartition("g").sortWithinPartitions(*keys).mapInArrow(each, schema)
+
+
+def near_pairs(table: pa.Table, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of each group's two sides (or within its only side) whose components differ, whose sizes allow a
+    link and whose registers say that they may be linked, likeliest first; pairs that met in an earlier band are left out,
+    and those that this cell is not for (none of the two is its own). Rows are in order of group and side."""
     regs = np.frombuffer(b"".join(table["regs"].to_pylist()), "<u2").reshape(-1, BUCKETS)
-    n, side = table["n"].to_numpy(), table["side"].to_numpy()
-    comp, band = table["comp"].to_numpy(), table["band"][0].as_py()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    alone = not len(right)
-    if alone:
-        right = left
-    found = []
-    for i in left.tolist():
-        j = right[right > i] if alone else right
-        j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
-        if not len(j):
-            continue
-        equal = (regs[j] == regs[i]) & (regs[j] > 0)
-        likely, margin = estimated(equal.sum(axis=1), ((regs[j] > 0) | (regs[i] > 0)).sum(axis=1), n[j], np.full(len(j), n[i]))
-        keep = likely >= PERCENT / 100 - margin
-        if band > 0 and keep.any():
-            met = (regs[j][:, : band * ROWS] == regs[i][: band * ROWS]).reshape(len(j), band, ROWS).all(axis=2)
-            keep &= ~(met & regs[i][: band * ROWS].reshape(band, ROWS).any(axis=1)).any(axis=1)
-        found.append(np.stack([np.full(keep.sum(), i), j[keep], -likely[keep]]))
-    if not found:
-        return (np.zeros(0, np.int64),) * 2
+    n, side, comp, own, band = (table[c].to_numpy() for c in ("n", "side", "comp", "own", "band"))
+    sizes = np.diff(np.r_[first, len(n)])
+    group = np.repeat(np.arange(len(first)), sizes)
+    left = np.flatnonzero(side == 0)
+    begin1 = first + np.add.reduceat(side == 0, first)  # where a group's second side begins
+    end = (first + sizes)[group[left]]
+    start = np.where(begin1[group[left]] < end, begin1[group[left]], left + 1)
+    counts = end - start
+    found = [np.zeros((3, 0))]
+    ends = np.cumsum(counts)
+    for a in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        at = np.arange(a, min(a + PAIRS, int(ends[-1])))
+        row = np.searchsorted(ends, at, side="right")
+        i = left[row]
+        j = start[row] + at - (ends[row] - counts[row])
+        some = (comp[i] != comp[j]) & (own[i] | own[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        i, j = i[some], j[some]
+        x, y = regs[i], regs[j]
+        filled = (x > 0) | (y > 0)
+        equal = x == y
+        likely, margin = estimated((equal & filled).sum(axis=1), filled.sum(axis=1), n[i], n[j])
+        keep = np.flatnonzero(likely >= PERCENT / 100 - margin)
+        met = (equal[keep].reshape(-1, BANDS, ROWS).all(axis=2) & filled[keep].reshape(-1, BANDS, ROWS).any(axis=2)) & (np.arange(BANDS) < band[i[keep]][:, None])
+        keep = keep[~met.any(axis=1)]
+        found.append(np.stack([i[keep], j[keep], -likely[keep]]))
     pairs = np.concatenate(found, axis=1)
     pairs = pairs[:, np.argsort(pairs[2], kind="stable")]
     return pairs[0].astype(np.int64), pairs[1].astype(np.int64)
 
 
 def compare(groups: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """u, v: links of groups (g, band, side, node, comp). Registers travel first; whole sets are made, and travel, only for the
-    members of pairs that the registers leave over."""
-    kind = "g string, band tinyint, side tinyint, node long, comp long"
+    """u, v: links of groups (g, band, side, own, node, comp). Registers travel first; whole sets are made, and travel, only for
+    the members of pairs that the registers leave over."""
+    kind = "g string, band tinyint, side tinyint, own boolean, node long, comp long"
     names = [c.split()[0] for c in kind.split(", ")]
 
-    def likely(table: pa.Table) -> pa.Table:
-        a, b = near_pairs(table)
+    def likely(table: pa.Table, first: np.ndarray) -> pa.Table:
+        a, b = near_pairs(table, first)
         return table.select(names).take(pa.array(np.unique(np.concatenate([a, b]))))
 
     met = groups.join(nodes.select("node", "n", "regs"), "node").select(*names, "n", "regs")
-    left = written(met.groupBy("g").applyInArrow(likely, kind))
+    left = written(in_groups(met, ["g", "side"], likely, kind))
     sets = whole_sets(docs, nodes.join(left.select("node").distinct(), "node", "left_semi"), text_col)
 
-    def confirmed(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+    def confirmed(table: pa.Table, first: np.ndarray) -> pa.Table:
         held = [np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()]
         table = table.append_column("n", pa.array([len(x) for x in held], pa.int64())).append_column("regs", pa.array([registers(x).tobytes() for x in held], pa.binary()))
         nodes, comps, forest, out = table["node"].to_pylist(), table["comp"].to_pylist(), Forest(), []
-        for i, j in zip(*(x.tolist() for x in near_pairs(table)), strict=True):
+        for i, j in zip(*(x.tolist() for x in near_pairs(table, first)), strict=True):
             if forest.root(comps[i]) == forest.root(comps[j]):
                 continue
             x, y = held[i], held[j]
@@ -228,7 +260,7 @@ def compare(groups: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str)
                 out.append(sorted((nodes[i], nodes[j])))
         return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    return left.join(sets, "node").select(*names, "hashes").groupBy("g").applyInArrow(confirmed, "u long, v long").distinct()
+    return in_groups(left.join(sets, "node").select(*names, "hashes"), ["g", "side"], confirmed, "u long, v long").distinct()
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
@@ -239,7 +271,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> Da
     texts = small_batches(docs).select(F.md5(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).where("text is not null")
     texts = texts.withColumn("at", at(F.col("text_hash"))).withColumn("bucket", F.expr("bitmap_bucket_number(at)")).withColumn("spot", F.expr("cast(bitmap_bit_position(at) as int)"))
     byte = F.conv(F.hex(F.substring("bits", F.expr("spot div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
-    texts = texts.join(F.broadcast(bits), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, spot % 8)")) > 0).select("text_hash", "text")  # 4,096 rows of 4 KB
+    texts = texts.join(F.broadcast(bits), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, spot % 8)")) > 0).select("text_hash", "text")  # 1,024 rows of 4 KB
     # copies go in the partial aggregation, before the shuffle, which the join shares
     texts = texts.dropDuplicates(["text_hash"]).join(wanted.select("text_hash", "node"), "text_hash").select("node", "text")
 
@@ -275,24 +307,25 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFram
     hubs = size.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     first = F.lit(0).cast("tinyint").alias("band")
     side = lambda i: F.lit(i).cast("tinyint").alias("side")
-    groups = dealt.select(g, first, side(1), "node", F.col("node").alias("comp")).unionByName(hubs.select(g, first, side(0), F.col("centre").alias("node"), F.col("centre").alias("comp")))
+    own = F.lit(True).alias("own")
+    groups = dealt.select(g, first, side(1), own, "node", F.col("node").alias("comp")).unionByName(hubs.select(g, first, side(0), own, F.col("centre").alias("node"), F.col("centre").alias("comp")))
     linked = written(compare(groups, nodes, docs, text_col))
 
     # second turn: across the components of each bucket, among nodes of sizes that allow a link. A size class is a
-    # factor of 0.85 wide; a cell holds two classes that follow each other, so such nodes share a cell
+    # factor of 0.85 wide; a cell holds its own class and the one below it, so such nodes share the larger one's cell
     roots = components(linked)
     size_class = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
-    cells = F.explode(F.array(size_class, size_class + 1)).alias("cell")
+    cells = F.inline(F.array(*[F.struct((size_class + i).alias("cell"), F.lit(not i).alias("own")) for i in (0, 1)]))
     now = members.join(roots.withColumnRenamed("u", "node"), "node", "left").select("value", "band", "node", "n", F.coalesce("root", "node").alias("comp"), cells)
     now = written(now)
     open_ = now.groupBy("value", "cell").agg(
-        F.min("comp").alias("one"), F.max("comp").alias("other"), F.count("*").alias("_n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    open_ = written(open_.where("one <> other").select("value", "cell", "_n", "parts"))
+        F.min("comp").alias("one"), F.max("comp").alias("other"), F.count_if("own").alias("own"), F.count("*").alias("_n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    open_ = written(open_.where("one <> other and own > 0").select("value", "cell", "_n", "parts"))
     rest = in_parts(now, ["value", "cell"], open_.drop("_n"), F.col("node"), open_.drop("parts"))
     rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("mine", "met"), F.greatest("mine", "met")
     g = F.concat_ws(":", *[c.cast("string") for c in (F.col("value"), F.col("cell"), low, high)]).alias("g")
-    groups = rest.select(g, "band", F.when(F.col("mine") > F.col("met"), 1).otherwise(0).cast("tinyint").alias("side"), "node", "comp")
+    groups = rest.select(g, "band", F.when(F.col("mine") > F.col("met"), 1).otherwise(0).cast("tinyint").alias("side"), "own", "node", "comp")
     return linked.unionByName(compare(groups, nodes, docs, text_col))
 
 
