@@ -70,6 +70,31 @@ def test_a_vocabulary_with_falling_ranks_is_encoded_step_by_step():
     assert sound.sound is True
 
 
+def test_huge_words_go_in_stretches(monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    words = ["a" * 5003, "ab" * 2500, "é日" * 900, "".join(rng.choices("theinga", k=6000)), "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(2000)), "the" * 1500 + "s", "=" * 4001]
+    want = [TOKTOK._encode_single_piece(w.encode()) for w in words]
+    for size, tail in ((700, 4), (1500, 16)):
+        monkeypatch.setattr(bpe, "HUGE", size), monkeypatch.setattr(bpe, "TAIL", tail)
+        for word, ids, (got, piece) in zip(words, want, bpe.Bpe(RANKS).encode([w.encode() for w in words]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == ids and piece == word.encode()
+
+
+def test_words_of_megabytes_in_bounded_memory():
+    """The database has 300 MB; a word of 4 MB does not fit at once."""
+    word = "a" * 4_000_000
+    ((got, piece),) = bpe.Bpe(RANKS).encode([word.encode()])
+    ids = np.frombuffer(got, "<u4")
+    assert piece == word.encode()
+    few = TOKTOK._encode_single_piece(b"a" * 4000)  # one token over and over, then what is left of the word
+    n = len(TOKTOK.decode(few[:1]))
+    assert set(ids[:-8].tolist()) == {few[0]} and len(ids) - 8 <= 4_000_000 // n
+    assert TOKTOK.decode(ids[-8:].tolist()) == "a" * (4_000_000 - n * (len(ids) - 8))
+    assert ids[-8:].tolist() == TOKTOK._encode_single_piece(TOKTOK.decode(ids[-8:].tolist()).encode())
+
+
 def test_bytes_of_ids_are_those_of_the_vocabulary():
     coder = bpe.Bpe(RANKS)
     ids = np.random.default_rng(0).integers(0, len(RANKS), 300_000).astype("<u4")

@@ -9,8 +9,10 @@ worked out once. A text's decoded bytes are those of its ids, in order, and have
 Cases: a null text is the empty text (no ids, the hash of no bytes); null or repeated ids and
 repeated rows are kept, one output row per input row; an empty table gives an empty result; other
 columns of the input are ignored, so their names cannot clash. Texts of any length and words of any
-length are encoded whole; a word costs a turn for each rank that it is contracted at, so one of 20,000 letters takes
-seconds. Every Unicode string round-trips, as all 256 bytes are tokens.
+length are encoded whole. A word of more than HUGE bytes goes through bounded tables: a stretch at a time is contracted, and
+all but its last tokens stand if the first of them may follow the one before. Tokens in a row are a word's encoding if
+each two neighbours are the encoding of their own bytes, so stretches give the ids of the whole. A stretch costs a turn
+for each rank that it is contracted at: some 10 s a MB. Every Unicode string round-trips, as all 256 bytes are tokens.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import duckdb
@@ -38,6 +41,8 @@ AT_ONCE, BYTES_AT_ONCE = 20_000, 1 << 19
 #: Longer words take the query that contracts several places a turn and runs this many turns at a time, fewer if
 #: that made more than so many rows.
 LONG, TURNS, ROWS = 128, 16, 2 << 20
+#: Bytes of a stretch of a longer word, and its last tokens that wait for the next stretch.
+HUGE, TAIL = 1 << 19, 64
 
 #: A position's key is word * 2^40 + place, so that a place's right neighbour is one join away.
 ENCODE = """
@@ -124,6 +129,7 @@ class Bpe:
         if len(ranks) and max(ranks.values()) >= 1 << 17:
             raise ValueError("ids of 17 bits at most")
         self.tokens, self.sound = ranks, None
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.put("merges", pa.table({"pair": (l << 17) + r, "id": m}))
         self.put("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int64()), "digits": [token.hex() for token in ranks]}))
         self.ids = np.fromiter(ranks.values(), np.int64, len(ranks))
@@ -148,13 +154,49 @@ class Bpe:
             found = self.encode(some)
             self.sound = all(ids == self.tokens[token].to_bytes(4, "little") for token, (ids, _) in zip(some, found, strict=True))
         most = LONG if self.sound else longest
-        short, long = [i for i, w in enumerate(words) if len(w) <= most], [i for i, w in enumerate(words) if len(w) > most]
+        for i, word in enumerate(words):
+            if len(word) > HUGE and self.sound:
+                out[i] = self.encode_huge(word)
+        short, long = [i for i, w in enumerate(words) if len(w) <= most], [i for i, w in enumerate(words) if len(w) > most and out[i] is None]
         for numbers, is_long in ((short, False), (long, True)):
             for some in bounded(numbers, words):
                 for i, found in zip(some, self.encode_some([words[i] for i in some], is_long), strict=True):
                     out[i] = found
         return out
 
+    def encode_huge(self, word: bytes) -> tuple[bytes, bytes]:
+        """Stretch by stretch: what stands so far, and from its end on (place at) what is still to be contracted."""
+        stands, decoded, at, end, back = array("I"), bytearray(), 0, 0, TAIL
+        while at < len(word):
+            end = min(len(word), max(end, at) + HUGE)
+            ids, piece = next(self.encode_some([word[at:end]], True))
+            ids = np.frombuffer(ids, "<u4")
+            while stands and not self.follows(stands[-1], int(ids[0])):
+                again = np.array(stands[-back:])  # more of what stood is contracted again
+                del stands[-back:]
+                at -= int(self.sizes[again].sum())
+                del decoded[at:]
+                back *= 2
+                ids, piece = next(self.encode_some([word[at:end]], True))
+                ids = np.frombuffer(ids, "<u4")
+            if end < len(word):
+                ids = ids[:-TAIL]
+            n, back = int(self.sizes[ids].sum()), TAIL
+            stands.extend(ids.tolist())
+            decoded += piece[:n]
+            at += n
+        return np.array(stands, "<u4").tobytes(), bytes(decoded)
+
+    def follows(self, one: int, other: int) -> bool:
+        """Whether the two tokens are the encoding of their bytes."""
+        key = (one, other)
+        if (known := self.pairs.get(key)) is None:
+            if len(self.pairs) > 100_000:
+                self.pairs.clear()
+            word = b"".join(self.all_bytes[self.starts[i] : self.starts[i] + self.sizes[i]].tobytes() for i in key)
+            known = self.pairs[key] = next(self.encode_some([word], len(word) > LONG))[0] == np.array(key, "<u4").tobytes()
+        return known
+
     def encode_some(self, words: list[bytes], is_long: bool) -> Iterator[tuple[bytes, bytes]]:
         row, pos = places(words)
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
