@@ -14,6 +14,7 @@ from ..functions import waves as V
 from ..operators import backtest as B
 from ..operators import chains as C
 from ..operators import cleaning as K
+from ..operators import degrees as D
 from ..operators import ledger as L
 from ..operators import quality as Q
 from ..operators import resample as S
@@ -377,6 +378,14 @@ def m8_roll_up(spark, d):
     return X.simple_patterns(spark, d).select(*PATTERN, V.roll_up(F.col("waves")).alias("r")).select(*PATTERN, "r.idx_start", "r.idx_end", "r.low", "r.high", "r.length", "r.duration", "r.degree")
 
 
+@query
+def m8_degrees(spark, d):
+    """Patterns over waves of up to three skips, and over the patterns so far, to a fixpoint."""
+    found = D.patterns_of_degrees(kept(M.monowaves(kept(X.weekly_bars(spark, d, "supplier")), 3)))
+    ends = F.transform("waves", lambda w: w["idx_end"])
+    return rounded(found.select("symbol", "start", "rule_name", "degree", F.array_join(ends.cast("array<string>"), ",").alias("ends"), "complexity_score", "ensemble_score"))
+
+
 def taken(options: DataFrame, family: str, spark: SparkSession, d: str, names: str) -> DataFrame:
     """The options with how many chains of the bars take each."""
     edges = kept(M.monowaves(X.weekly_bars(spark, d), 2))

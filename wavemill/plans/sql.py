@@ -429,6 +429,26 @@ BINS = {"1h": "time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01')", "4h":
 FRAMES = {"1h": (40, 200, 20), "4h": (40, 200, 20), "1d": (40, 200, 10), "1wk": (20, 104, 4)}
 
 
+def degree_chains(table: str) -> str:
+    """The patterns over a table of waves of any degree."""
+    parts = []
+    for fam, dirs in enumerate((IMPULSE, BEARISH, CORRECTIVE)):
+        joins = " ".join(f"JOIN {table} w{i} ON w{i}.symbol = w1.symbol AND w{i}.s = w{i - 1}.e AND w{i}.up = {str(up).lower()}" for i, up in enumerate(dirs[1:], 2))
+        cols = ", ".join(f"w{i} AS w{i}" if i <= len(dirs) else f"NULL AS w{i}" for i in range(1, 6))
+        parts.append(f"SELECT w1.symbol AS symbol, w1.s AS start, w1.degree AS degree, {fam} AS fam, {cols} FROM {table} w1 {joins} WHERE w1.up = {str(dirs[0]).lower()} AND w1.length > 0")
+    return ruled(f"({' UNION ALL '.join(parts)})").replace("0.95 * 0.1", "(1 - 0.05 * degree) * 0.1")
+
+
+def degrees(rounds: int, max_skip: int, symbol: str) -> str:
+    """Patterns after so many rounds; every round works all chains out again."""
+    measured = "SELECT DISTINCT symbol, s, e, up, low, high, turn, degree, abs(high - low) AS length, e - s AS duration, CASE WHEN up THEN s ELSE e END AS low_idx, CASE WHEN up THEN e ELSE s END AS high_idx FROM"
+    out = f"{edges(max_skip, symbol)},\nwaves0 AS MATERIALIZED ({measured} (SELECT *, 1 AS degree FROM edges))"
+    for i in range(rounds):
+        rolled = f"SELECT symbol, start AS s, fin AS e, fam = 0 AS up, CASE WHEN fam = 0 THEN w1.low ELSE coalesce(w5.low, w3.low) END AS low, CASE WHEN fam = 0 THEN w5.high ELSE w1.high END AS high, coalesce(w5.turn, w3.turn) AS turn, degree + 1 AS degree FROM patterns{i}"
+        out += f",\npatterns{i} AS MATERIALIZED ({degree_chains(f'waves{i}')}),\nwaves{i + 1} AS MATERIALIZED ({measured} (SELECT symbol, s, e, up, low, high, turn, degree FROM waves{i} UNION ALL {rolled}))"
+    return out
+
+
 def frame(interval: str) -> str:
     """Bars of the events of each type."""
     return f"""
@@ -439,6 +459,7 @@ bars AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY bar_ts)
 EACH_FRAME = " UNION ALL ".join(f"SELECT * FROM ({of(frame(i), 'SELECT * FROM bars')})" for i in BINS)
 FRAME_HITS = " UNION ALL ".join("SELECT '{i}' AS \"interval\", rule_name FROM ({q})".replace("{i}", i).replace("{q}", recursive(ahead(2, "n_name", g).replace(BARS, frame(i)), "SELECT rule_name FROM ahead_hits")) for i, g in FRAMES.items())
 ORACLE_SQL |= {
+    "m8_degrees": recursive(degrees(4, 3, "CAST(l_suppkey AS VARCHAR)"), "SELECT symbol, start, rule_name, degree, array_to_string([x FOR x IN [w1.e, w2.e, w3.e, w4.e, w5.e] IF x IS NOT NULL], ',') AS ends, CAST(round(1 - 0.05 * degree, 6) AS DOUBLE) AS complexity_score, round(ensemble_score, 6) AS ensemble_score FROM patterns3"),
     "w1_pyramid": f"SELECT {BAR} FROM ({EACH_FRAME})",
     "p16_timeframes": f"""WITH hits AS MATERIALIZED ({FRAME_HITS}), bars AS MATERIALIZED ({EACH_FRAME}),
         per AS (SELECT "interval", count(*) AS bars, count(DISTINCT symbol) AS series FROM bars GROUP BY ROLLUP ("interval"))
