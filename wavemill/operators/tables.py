@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A name for a folder of its own in the shared folder: spark.checkpoint.dir, or where that is unset one in the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kept"
+    """A name for a folder of its own in the shared folder: spark.checkpoint.dir, or where that is unset and all work is done on
+    this machine, one in the warehouse. A cluster has to name its folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kept"
     return f"{folder}/kept-{uuid.uuid4()}"
 
 

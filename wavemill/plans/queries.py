@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import rules as R
 from ..functions import scoring as E
@@ -127,6 +129,35 @@ def s9_write_bars(spark, d):
     return spark.read.parquet(folder)
 
 
+def bucketed(spark: SparkSession, d: str) -> DataFrame:
+    name = f"series_{uuid.uuid4().hex}"
+    sinks.write_series(X.weekly_bars(spark, d, "supplier"), name, 8)
+    return spark.table(name)
+
+
+@query
+def s9_bucketed_series(spark, d):
+    """Bars beside their series' lowest one and the bar before, all from a bucketed table: no exchange."""
+    bars = bucketed(spark, d)
+    before = Window.partitionBy("symbol", "interval").orderBy("bar_ts")
+    least = bars.groupBy("symbol", "interval").agg(F.min("low").alias("least"), F.count("*").alias("n"))
+    moved = bars.withColumn("change", F.col("close") / F.lag("close").over(before) - 1)
+    return moved.join(least.hint("merge"), ["symbol", "interval"]).select("symbol", "bar_ts", "low", "least", "n", F.round("change", 6).alias("change"))
+
+
+@query
+def s8_stored_waves(spark, d):
+    """Fields of nested records by path, from documents of two shapes."""
+    folder = new_folder(spark)
+    waves = lambda five: F.struct(*[F.struct(F.col("waves")[i]["low"].alias("low"), F.col("waves")[i]["high"].alias("high")).alias(f"wave{i + 1}") for i in range(5 if five else 3)])
+    for five in (True, False):
+        best = F.struct("rule_name", waves(five).alias("waves"), *([F.lit("five").alias("kind")] if five else []))
+        some = X.simple_patterns(spark, d).where(F.size("waves") == (5 if five else 3)).groupBy("symbol").agg(F.collect_list(F.struct("symbol", "start", best.alias("best"))).alias("patterns"))
+        some.select(F.struct(F.col("symbol").alias("source")).alias("metadata"), "patterns").write.option("maxRecordsPerFile", 1).json(f"{folder}/{five}")
+    fields = {"symbol": "string", "start": "int", "best.rule_name": "string", "best.kind": "string", "best.waves.wave1.low": "double", "best.waves.wave5.high": "double"}
+    return I.read_patterns(spark, f"{folder}/*", fields)
+
+
 @query
 def s10_write_patterns(spark, d):
     folder = new_folder(spark)
@@ -380,8 +411,8 @@ def m8_roll_up(spark, d):
 
 @query
 def m8_degrees(spark, d):
-    """Patterns over waves of up to three skips, and over the patterns so far, to a fixpoint."""
-    found = D.patterns_of_degrees(kept(M.monowaves(kept(X.weekly_bars(spark, d, "supplier")), 3)))
+    """Patterns over waves of up to one skip, and over the patterns so far, to a fixpoint."""
+    found = D.patterns_of_degrees(kept(M.monowaves(kept(X.weekly_bars(spark, d, "supplier")), 1)))
     ends = F.transform("waves", lambda w: w["idx_end"])
     return rounded(found.select("symbol", "start", "rule_name", "degree", F.array_join(ends.cast("array<string>"), ",").alias("ends"), "complexity_score", "ensemble_score"))
 

@@ -459,7 +459,9 @@ bars AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY bar_ts)
 EACH_FRAME = " UNION ALL ".join(f"SELECT * FROM ({of(frame(i), 'SELECT * FROM bars')})" for i in BINS)
 FRAME_HITS = " UNION ALL ".join("SELECT '{i}' AS \"interval\", rule_name FROM ({q})".replace("{i}", i).replace("{q}", recursive(ahead(2, "n_name", g).replace(BARS, frame(i)), "SELECT rule_name FROM ahead_hits")) for i, g in FRAMES.items())
 ORACLE_SQL |= {
-    "m8_degrees": recursive(degrees(4, 3, "CAST(l_suppkey AS VARCHAR)"), "SELECT symbol, start, rule_name, degree, array_to_string([x FOR x IN [w1.e, w2.e, w3.e, w4.e, w5.e] IF x IS NOT NULL], ',') AS ends, CAST(round(1 - 0.05 * degree, 6) AS DOUBLE) AS complexity_score, round(ensemble_score, 6) AS ensemble_score FROM patterns3"),
+    "m8_degrees": recursive(degrees(3, 1, "CAST(l_suppkey AS VARCHAR)"), "SELECT symbol, start, rule_name, degree, array_to_string([x FOR x IN [w1.e, w2.e, w3.e, w4.e, w5.e] IF x IS NOT NULL], ',') AS ends, CAST(round(1 - 0.05 * degree, 6) AS DOUBLE) AS complexity_score, round(ensemble_score, 6) AS ensemble_score FROM patterns2"),
+    "s9_bucketed_series": of(bars("CAST(l_suppkey AS VARCHAR)"), "SELECT symbol, bar_ts, low, min(low) OVER s AS least, count(*) OVER s AS n, round(close / lag(close) OVER (PARTITION BY symbol ORDER BY bar_ts) - 1, 6) AS change FROM bars WINDOW s AS (PARTITION BY symbol)"),
+    "s8_stored_waves": of(PATTERNS, "SELECT symbol, start, rule_name AS best_rule_name, CASE WHEN w5 IS NOT NULL THEN 'five' END AS best_kind, w1.low AS best_waves_wave1_low, w5.high AS best_waves_wave5_high FROM patterns"),
     "w1_pyramid": f"SELECT {BAR} FROM ({EACH_FRAME})",
     "p16_timeframes": f"""WITH hits AS MATERIALIZED ({FRAME_HITS}), bars AS MATERIALIZED ({EACH_FRAME}),
         per AS (SELECT "interval", count(*) AS bars, count(DISTINCT symbol) AS series FROM bars GROUP BY ROLLUP ("interval"))

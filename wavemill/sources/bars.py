@@ -15,6 +15,11 @@ NAMES = {
 INTERVALS = ("1h", "4h", "1d", "1wk")
 #: How many days of history an interval may have; others have no cap.
 HISTORY_DAYS = {"1m": 7, "2m": 60, "5m": 60, "15m": 60, "30m": 60, "90m": 60, "60m": 730, "1h": 730, "4h": 730}
+#: The fields of stored patterns that are read if none are named.
+PATTERN_FIELDS = {
+    "symbol": "string", "interval": "string", "start": "int", "start_row": "int", "window_len": "int", "date_start": "string", "date_end": "string", "rule_name": "string", "score": "double",
+    "wave_config": "array<int>", "waves": "variant", "best": "variant", "ensemble_score": "double", "fib_score": "double",
+}
 MANIFEST = "markets map<string,map<string,struct<rows:bigint,min_date:string,max_date:string>>>, failures map<string,map<string,string>>"
 
 
@@ -67,9 +72,19 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return markets, failures
 
 
-def read_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """The patterns of documents of metadata and patterns."""
-    return spark.read.option("multiLine", "true").json(path).select(F.explode("patterns").alias("p")).select("p.*")
+def pattern_documents(spark: SparkSession, path: str) -> DataFrame:
+    """metadata and pattern of each pattern of the documents under path, both VARIANT: read once, whatever their shape, and the
+    shape may differ from document to document."""
+    docs = spark.read.option("singleVariantColumn", "doc").option("multiLine", "true").json(path)
+    each = docs.lateralJoin(spark.tvf.variant_explode(F.variant_get(F.col("doc").outer(), "$.patterns", "variant")))
+    return each.select(F.try_variant_get("doc", F.lit("$.metadata"), "variant").alias("metadata"), F.col("value").alias("pattern"))
+
+
+def read_patterns(spark: SparkSession, path: str, fields: dict[str, str] | None = None) -> DataFrame:
+    """Fields of the patterns of such documents, by name or path below the pattern ("best.waves.wave1.low") and type; null
+    where a pattern has none, or one of another kind."""
+    found = pattern_documents(spark, path)
+    return found.select(*[F.try_variant_get("pattern", F.lit(f"$.{name}"), kind).alias(name.replace(".", "_")) for name, kind in (fields or PATTERN_FIELDS).items()])
 
 
 def select_symbols(df: DataFrame, symbols: list[str] | DataFrame) -> DataFrame:

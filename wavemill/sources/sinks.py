@@ -10,6 +10,13 @@ def write_bars(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "snappy").partitionBy("interval").parquet(path)
 
 
+def write_series(df: DataFrame, table: str, buckets: int = 64) -> None:
+    """Bars as a table of the catalog, bucketed by series and sorted by time in each bucket: joins and windows by (symbol,
+    interval) over such tables of equally many buckets need no exchange. A bucket is written by one task."""
+    dealt = df.repartition(buckets, "symbol", "interval")  # as the buckets, so that each is one file
+    dealt.write.mode("overwrite").bucketBy(buckets, "symbol", "interval").sortBy("symbol", "interval", "bar_ts").saveAsTable(table)
+
+
 def write_patterns(df: DataFrame, path: str) -> None:
     """Patterns as JSON lines, with their counts per interval beside them."""
     df.write.mode("overwrite").json(f"{path}/patterns")
