@@ -139,3 +139,33 @@ def test_odd_pages(spark):
     assert [texts[i] for i in (0, 1, 2, None, 5, 6, 7, 8)] == ["", "", "no tags at all", "a\nb", "deep", "q</p", "t", "a b<c"]
     assert texts[9] == ("x " * 50000).strip()
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def words(i, n, seed=0):
+    rng = random.Random(1000 * seed + i)
+    return " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+
+
+def test_a_teaser_article_beside_the_body():
+    pages = [f"<nav>Home News</nav><div class='story'><h1>{words(i, 4)}</h1><p>{words(i, 50, 1)}</p></div><article><p>{words(i, 5, 2)}</p></article><footer>all rights</footer>" for i in range(10)]
+    assert html.extract(pages) == [f"{words(i, 4)}\n{words(i, 50, 1)}" for i in range(10)]
+
+
+def test_recurring_headings_between_slots_are_content():
+    pages = [f"<article><h1>{words(i, 4)}</h1><h2>Ingredients</h2><p>{words(i, 20, 1)}</p><h2>Method</h2><p>{words(i, 30, 2)}</p><h3>Read more</h3><p>Sign up for our letters today</p></article>" for i in range(20)]
+    assert html.extract(pages) == [f"{words(i, 4)}\nIngredients\n{words(i, 20, 1)}\nMethod\n{words(i, 30, 2)}" for i in range(20)]
+
+
+def test_names_of_an_articles_own_parts_mark_nothing():
+    for name in ("widget", "legal", "header"):
+        pages = [f"<article><h1>{words(i, 4)}</h1><div class='{name}'>{words(i, 20, 1)}</div><div class='ad'>{words(i, 6, 3)}</div><p>{words(i, 30, 2)}</p></article><div class='{name}'>{words(i, 9, 4)}</div>" for i in range(3)]
+        assert html.extract(pages) == [f"{words(i, 4)}\n{words(i, 20, 1)}\n{words(i, 30, 2)}" for i in range(3)], name
+
+
+def test_induction_decides_where_no_name_does(monkeypatch):
+    """Blocks without any telling name: what recurs goes, what varies stays; without evidence, everything stays."""
+    pages = [f"<div class='x1'>Daily Gazette</div><div class='y'><p>{words(i, 4)}</p><p>{words(i, 40, 1)}</p></div><div class='z'>Printed since long ago</div>" for i in range(12)]
+    want = [f"{words(i, 4)}\n{words(i, 40, 1)}" for i in range(12)]
+    assert html.extract(pages) == want
+    monkeypatch.setattr(html, "SHARE", 2.0)
+    assert html.extract(pages) == [f"Daily Gazette\n{w}\nPrinted since long ago" for w in want]

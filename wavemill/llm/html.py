@@ -4,8 +4,11 @@ Pages are grouped by host. In a group, each page's DOM tree is aligned with the
 simple tree matching (equal labels, children in order); what has no partner is added to the host's tree.
 Blocks that say the same on most pages of different content are constant: the template. The varying
 slots are content, unless their place in the tree (navigation, header, footer, sidebar, notice, advert,
-form, comments; or mostly links outside the article) says otherwise. Within an article or main element,
-if the page has one, only its own slots count.
+form, comments; or mostly links outside the article) says otherwise. If a page has article or main elements, the side
+that holds more text, within them or outside, has the content: a teaser is often an article, too. A heading that
+recurs at its place is content where it stands between kept slots, right before one of its own section. Within an
+article element, names that an article's own parts may have (header, legal, widget) mark nothing; what says the same on
+most pages goes all the same.
 
 A host's pages go to groups of GROUP_PAGES pages on average, whatever their lengths, each of which induces its
 own wrapper, so a host with a third of all pages is spread over many tasks, and so are the copies of one row, by
@@ -60,27 +63,29 @@ MARKS = frozenset(
     "notice notices cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs "
     "pagination pager comment comments disqus reply replies widget popup modal overlay toolbar search copyright legal disclaimer skip alert".split()
 )
-
-
+#: Marks that an article's own parts may have as names.
+WITHIN = frozenset("header masthead topbar widget legal toolbar overlay".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that say nothing about a place beside a mark.
 PLAIN = frozenset("form site page main top bottom left right box block wrapper container inner outer content section area list item items links bar row column col widget global primary secondary sticky fixed mobile desktop".split())
 
 
 class Node:
-    __slots__ = ("label", "tag", "parent", "children", "skip", "links", "partner", "article", "shape", "count")
+    __slots__ = ("label", "tag", "parent", "children", "skip", "links", "partner", "article", "within", "shape", "count")
 
     def __init__(self, tag: str, label: str, parent: Node | None, skip: bool):
         self.tag, self.label, self.parent, self.skip = tag, label, parent, skip
         self.children: list[Node] = []
         self.links, self.partner, self.shape, self.count = 0, None, None, 1
         self.article = tag in ("article", "main") or parent is not None and parent.article
+        self.within = tag == "article" or parent is not None and parent.within
 
 
-def marked(attrs: dict[str, str]) -> bool:
-    """Whether a class name or the id marks a place beside the content, or an attribute hides it."""
+def marked(attrs: dict[str, str], within: bool = False) -> bool:
+    """Whether a class name or the id marks a place beside the content (of an article: within it), or an attribute hides it."""
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
         parts = {x for x in WORD.split(name) if x and not x.isdigit()}
-        if parts & MARKS and parts <= MARKS | PLAIN:
+        if parts & MARKS and parts <= MARKS | PLAIN and not (within and parts & MARKS <= WITHIN):
             return True
     return attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
 
@@ -136,7 +141,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                 piece.append(" " if tag == "br" else "")
             elif not m[1]:
                 inline[tag] += 1
-                if hidden or "=" in m[3] and marked(attributes(m[3])):
+                if hidden or "=" in m[3] and marked(attributes(m[3]), stack[-1].within):
                     hidden.append(tag)
             elif inline[tag]:
                 inline[tag] -= 1
@@ -160,7 +165,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                 elif stack[i].tag in BARRIERS:
                     break
         attrs = attributes(m[3])
-        skip = stack[-1].skip or tag in NOT_TEXT or tag == "header" and not stack[-1].article or bool(attrs) and marked(attrs)
+        skip = stack[-1].skip or tag in NOT_TEXT or tag == "header" and not stack[-1].article or bool(attrs) and marked(attrs, stack[-1].within)
         skip = skip and tag not in ("html", "body")
         names = sorted({x for x in attrs.get("class", "").lower().split() if x.isalpha() or not any(c.isdigit() for c in x)})
         node = Node(tag, f"{tag}.{'.'.join(names)}", stack[-1], skip)
@@ -334,6 +339,20 @@ def align(wrapper: Node, page: Node, matcher: Matcher | None = None) -> None:
             a.children = [*after.get(0, ()), *(z for x in a.children for z in (x, *after.get(id(x), ())))]
 
 
+def with_headings(blocks: list[tuple[Node, str]], kept: list[int]) -> list[int]:
+    """The kept blocks, and the headings between them that stand right before a kept block of their own section."""
+    have = set(kept)
+    for i in range(len(blocks) - 2, min(kept, default=len(blocks)), -1):
+        node = blocks[i][0]
+        if i not in have and i + 1 in have and node.tag in HEADINGS and not node.skip:
+            below = blocks[i + 1][0]
+            while below is not None and below is not node.parent:
+                below = below.parent
+            if below is not None:
+                have.add(i)
+    return sorted(have)
+
+
 def extract(pages: list[str]) -> list[str]:
     """The main texts of some pages of one host."""
     parsed = [parse(html or "") for html in pages]
@@ -350,13 +369,11 @@ def extract(pages: list[str]) -> list[str]:
     constant = {(node, text) for node, texts in said.items() if (pages := texts.total()) >= often for text, n in texts.items() if n >= SHARE * pages}
     out = []
     for _, blocks in parsed:
-        slots = [(node, text) for node, text in blocks if not node.skip and (id(node.partner), text) not in constant]
-        within = [node.article for node, _ in slots]
-        if any(within):
-            slots = [slot for slot, inside in zip(slots, within, strict=True) if inside]
-        else:
-            slots = [(node, text) for node, text in slots if node.links < 0.5 * len(text)]
-        out.append("\n".join(text for _, text in slots))
+        slots = [i for i, (node, text) in enumerate(blocks) if not node.skip and (id(node.partner), text) not in constant]
+        inside = [i for i in slots if blocks[i][0].article]
+        outside = [i for i in slots if not blocks[i][0].article and blocks[i][0].links < 0.5 * len(blocks[i][1])]
+        size = lambda some: sum(len(blocks[i][1]) for i in some)  # noqa: E731, B023
+        out.append("\n".join(blocks[i][1] for i in with_headings(blocks, inside if inside and size(inside) >= size(outside) else outside)))
     return out
 
 
