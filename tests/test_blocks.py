@@ -125,3 +125,33 @@ def test_walk_stops_after_max_windows(spark):
     first = scan.skip_ahead_scan(bars, found, {interval: (20, 30, 4)}).collect()[0].start_row
     for most in (first // 4, first // 4 + 1):
         assert scan.skip_ahead_scan(bars, found, {interval: (20, 30, 4)}, max_windows=most).count() == (most > first // 4)
+
+
+def test_growing_windows_end_in_a_hit(spark):
+    """What is scanned at the first length at which a candidate can show is what a scan of all lengths finds first."""
+    bars = make_bars(spark, {f"walk{i}": series_of(i, 150, "walk") for i in range(5)}).cache()
+    geometry = spark.createDataFrame([("1wk", 20, 90, 3)], "interval string, min_len int, max_len int, slide int")
+    found, cut = scan.candidates(spark, bars, 2).cache(), scan.open_chains(spark, bars, 2).cache()
+    rules = ("impulse", "leading_diagonal", "bearish_impulse", "Corrective")
+    every = windows.first_hit(scan.scan_grid(bars, windows.adaptive_windows(bars, geometry, 4), found, cut=cut))
+    row = lambda r: (r.symbol, r.start_row, r.window_len, r.start, r.rule_name, tuple(r.wave_config), round(r.ensemble_score, 9))
+    got = scan.first_hits(bars, geometry, 4, found, cut=cut, families=scan.FAMILIES, rules=rules).collect()
+    assert sorted(map(row, got)) == sorted(map(row, every.collect())) and len(got) > 20
+
+
+def test_beginnings_that_cannot_hold_go_early(spark):
+    """Pruned chains lose none that satisfy a rule set, nor any that a window's end may cut to one that does."""
+    from wavemill.operators import chains
+
+    bars = make_bars(spark, {f"walk{i}": series_of(i, 130, "walk") for i in range(3)})
+    edges = swings.monowaves(bars, 1).cache()
+    for family in ("impulse", "bearish_impulse", "corrective"):
+        options = chains.top_options(chains.skip_options(spark, 2, len(chains.FAMILIES[family])), 32)
+        whole = chains.chains(edges, family, options=options, complete=True)
+        pruned = chains.chains(edges, family, options=options, complete=True, prune=True)
+        row = lambda r: (r.symbol, r.start, tuple(r.wave_config))
+        held = sorted(map(row, chains.scored(chains.guard(whole, family), family).collect()))
+        assert held == sorted(map(row, chains.scored(chains.guard(pruned, family), family).collect()))
+        assert pruned.count() < whole.count()
+        short = chains.chains(edges, family, options=options, complete=True, prune=True, longest=25)
+        assert sorted(map(row, short.where("need_idx - start < 25").collect())) == sorted(map(row, pruned.where("need_idx - start < 25").collect()))

@@ -561,9 +561,9 @@ def p16_timeframes(spark, d):
 
 @query
 def w5_first_hit(spark, d):
-    """The first of the growing windows of each start that has an impulse."""
+    """The first of the growing windows of each start that has a pattern of any family."""
     bars, found, cut = scanned(spark, d, 3, longest=LONGEST)
-    hits = P.first_hits(bars, geometry(spark), 7, found, cut=cut)
+    hits = P.first_hits(bars, geometry(spark), 7, found, cut=cut, families=P.FAMILIES, rules=("impulse", "leading_diagonal", "bearish_impulse", "Corrective"))
     return rounded(hits.select("symbol", "start_row", "window_len", "start", "rule_name", config(), "ensemble_score", F.element_at("waves", -1)["idx_end"].alias("fin")))
 
 

@@ -467,7 +467,7 @@ ORACLE_SQL |= {
         per AS (SELECT "interval", count(*) AS bars, count(DISTINCT symbol) AS series FROM bars GROUP BY ROLLUP ("interval"))
         SELECT h."interval", rule_name, count(*) AS n, bars, series FROM hits h JOIN per p ON p."interval" = h."interval" GROUP BY ALL
         UNION ALL SELECT "interval", NULL, (SELECT count(*) FROM hits h WHERE p."interval" IS NULL OR h."interval" = p."interval"), bars, series FROM per p""",
-    "w5_first_hit": recursive(scanned(3, GROWING), f"SELECT symbol, start_row, window_len, start, rule_name, array_to_string(config, ',') AS config, round(ensemble_score, 6) AS ensemble_score, fin FROM hits WHERE fam = 0 QUALIFY row_number() OVER (PARTITION BY symbol, start_row ORDER BY window_len, {BEST}, start, rank) = 1"),
+    "w5_first_hit": recursive(scanned(3, GROWING), f"SELECT symbol, start_row, window_len, start, rule_name, array_to_string(config, ',') AS config, round(ensemble_score, 6) AS ensemble_score, fin FROM hits QUALIFY row_number() OVER (PARTITION BY symbol, start_row ORDER BY window_len, {BEST}, start, fam, rank) = 1"),
     "s13_committed_run": recursive(ahead(2), """SELECT 'r1' AS run_id, (SELECT count(*) FROM sizes) + 1 AS series, (SELECT count(*) FROM sizes) AS done, 1 AS failed, count(*) AS patterns, round(count(*) / (SELECT count(*) FROM sizes), 6) AS per_series,
         round(max(ensemble_score), 6) AS best_score, round(avg(ensemble_score), 6) AS mean_score, count(*) AS hits_seen, 1 AS attempts_seen, 1 AS pending FROM ahead_hits"""),
 }
