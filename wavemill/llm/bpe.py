@@ -347,27 +347,30 @@ def memory(ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED)
 
 def encode(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    with_ids: bool = True, with_digests: bool = False, remembered: int = REMEMBERED,
+    with_ids: bool = True, with_digests: bool = False, remembered: int = REMEMBERED, with_decoded: bool | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, n_tokens, and as wanted ids (array of int) and decoded (binary), or
+    """One row per document: doc_id, n_tokens, and as wanted ids (array of int), decoded (binary; with the ids, unless said), or
     their digests ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary file's size, not the data's
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_tokens bigint" + ", ids array<int>, decoded binary" * with_ids + ", ids_sha256 string, decoded_sha256 string" * with_digests
+    with_decoded = with_ids if with_decoded is None else with_decoded
+    schema = f"doc_id {id_type}, n_tokens bigint" + ", ids array<int>" * with_ids + ", decoded binary" * with_decoded + ", ids_sha256 string, decoded_sha256 string" * with_digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = memory(shared.value, pattern, remembered)
-        for part in slices(batches):
+        for part in slices(batches, max_bytes=1 << 20):
             rows = []
             for ids, decoded in known.look_up(part.column(1).to_pylist()):
                 row = [len(ids) // 4]
                 if with_ids:
-                    row += [np.frombuffer(ids, "<u4").astype(np.int32), decoded]
+                    row += [np.frombuffer(ids, "<u4").astype(np.int32)]
+                if with_decoded:
+                    row += [decoded]
                 if with_digests:
                     row += [hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()]
                 rows.append(row)
-            types = [pa.int64(), *[pa.list_(pa.int32()), pa.binary()] * with_ids, *[pa.string(), pa.string()] * with_digests]
-            names = ["doc_id", "n_tokens", *["ids", "decoded"] * with_ids, *["ids_sha256", "decoded_sha256"] * with_digests]
+            types = [pa.int64(), *[pa.list_(pa.int32())] * with_ids, *[pa.binary()] * with_decoded, *[pa.string(), pa.string()] * with_digests]
+            names = ["doc_id", "n_tokens", *["ids"] * with_ids, *["decoded"] * with_decoded, *["ids_sha256", "decoded_sha256"] * with_digests]
             columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
         known.forget()
