@@ -41,7 +41,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the texts: doc_id, n_tokens, ids, and the digests of ids and of the decoded bytes."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_digests=True).drop("decoded")
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_digests=True, with_decoded=False, remembered=50_000)  # words a generation: some 25 MB a worker
 
 
 STAGES = [
