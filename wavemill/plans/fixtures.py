@@ -68,9 +68,13 @@ def simple_edges(bars: DataFrame) -> DataFrame:
 
 
 def simple_patterns(spark: SparkSession, sf_dir: str, by: str = "nation") -> DataFrame:
-    """Every complete chain of first swings over weekly bars, as a pattern table: impulses, bearish impulses and
+    """The patterns over weekly bars."""
+    return patterns_over(kept(weekly_bars(spark, sf_dir, by)))
+
+
+def patterns_over(bars: DataFrame) -> DataFrame:
+    """Every complete chain of first swings over bars, as a pattern table: impulses, bearish impulses and
     corrections with a positive first wave, whether their rules hold (passes) or not, with scores and dates."""
-    bars = kept(weekly_bars(spark, sf_dir, by))
     edges = simple_edges(bars)
     w = F.col("waves")
     out = None

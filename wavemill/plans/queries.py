@@ -731,9 +731,8 @@ def v2_grade(spark, d):
     return rounded(Q.validation_grade(validated(spark, d)))
 
 
-def long_patterns(spark: SparkSession, d: str) -> DataFrame:
+def long_patterns(bars: DataFrame) -> DataFrame:
     """Stretches of 24 bars from every bar, as patterns."""
-    bars = X.weekly_bars(spark, d)
     last = bars.groupBy("symbol", "interval").agg(F.max("bar_idx").alias("last"))
     p = bars.join(last, ["symbol", "interval"]).where("bar_idx + 23 <= last")
     rule = F.when(F.col("bar_idx") % 2 == 0, "impulse").otherwise("Corrective")
@@ -742,12 +741,14 @@ def long_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def v3_segment_waves(spark, d):
-    return Q.segment_waves(long_patterns(spark, d), X.weekly_bars(spark, d))
+    bars = kept(X.weekly_bars(spark, d))
+    return Q.segment_waves(long_patterns(bars), bars)
 
 
 @query
 def v4_rule_margins(spark, d):
-    wide = Q.segments_wide(Q.segment_waves(long_patterns(spark, d), X.weekly_bars(spark, d)))
+    bars = kept(X.weekly_bars(spark, d))
+    wide = Q.segments_wide(Q.segment_waves(long_patterns(bars), bars))
     return rounded(Q.rule_margins(wide), 4)
 
 
@@ -821,7 +822,8 @@ def v13_quality_verdict(spark, d):
 
 
 def trades(spark: SparkSession, d: str) -> DataFrame:
-    return B.simulate_trades(X.simple_patterns(spark, d).where("rule_name = 'impulse'"), X.weekly_bars(spark, d))
+    bars = kept(X.weekly_bars(spark, d))
+    return B.simulate_trades(X.patterns_over(bars).where("rule_name = 'impulse'"), bars)
 
 
 @query
