@@ -155,3 +155,19 @@ def test_beginnings_that_cannot_hold_go_early(spark):
         assert pruned.count() < whole.count()
         short = chains.chains(edges, family, options=options, complete=True, prune=True, longest=25)
         assert sorted(map(row, short.where("need_idx - start < 25").collect())) == sorted(map(row, pruned.where("need_idx - start < 25").collect()))
+
+
+def test_empty_tables(spark):
+    from wavemill.operators import backtest, degrees, resample
+
+    bars = make_bars(spark, {"a": [(1.0, 2.0)]}).limit(0)
+    found, cut = scan.candidates(spark, bars, 2), scan.open_chains(spark, bars, 2)
+    geometry = spark.createDataFrame([("1wk", 20, 90, 3)], "interval string, min_len int, max_len int, slide int")
+    assert scan.skip_ahead_scan(bars, found, {"1wk": (20, 60, 5)}, cut=cut).count() == 0
+    assert scan.first_hits(bars, geometry, 4, found, cut=cut).count() == 0
+    assert degrees.patterns_of_degrees(swings.monowaves(bars, 1)).count() == 0
+    assert swings.monowaves(bars, 1, block=0).count() == 0 and skyline.later_bars(bars).count() == 0
+    dated = bars.withColumns({"bar_ts": F.lit("2024-01-01").cast("timestamp_ntz"), "close": F.lit(1.0), "open": F.lit(1.0), "volume": F.lit(1.0)})
+    assert resample.pyramid(dated).count() == 0
+    events = spark.createDataFrame([("a", "2024-01-01 00:00:00")], "symbol string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert backtest.asof_price(events, dated).count() == 0 and backtest.asof_price(events.limit(0), dated).count() == 0
