@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from wavemill.llm import secrets
 
@@ -29,6 +31,14 @@ def listed(xs):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in xs)
 
 
+def redacted(text):
+    want, kept = "", 0
+    for k, a, b in spans(text)[1]:
+        if k != "endpoint":
+            want, kept = (want + text[kept:a] + "[REDACTED]", b) if a > kept or not kept else (want, max(kept, b))
+    return want + text[kept:]
+
+
 def test_scan_is_brute_force(spark):
     rows = [*enumerate(TEXTS), (None, None), (3, TEXTS[3])]
     got = secrets.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, base string")).collect()
@@ -51,13 +61,32 @@ def test_redaction(spark):
     assert out.columns == d.columns
     got = {r.doc_id: r.text for r in out.collect()}
     for i, text in enumerate(TEXTS):
-        want, kept = "", 0
-        for k, a, b in spans(text)[1]:
-            if k != "endpoint":
-                want, kept = (want + text[kept:a] + "[REDACTED]", b) if a > kept or not kept else (want, max(kept, b))
-        assert got[i] == want + text[kept:]
+        assert got[i] == redacted(text)
     assert got[len(TEXTS)] is None
 
 
 def test_empty(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_parts_in_one_text(spark):
+    """Against brute force over every pair, with parts at all distances around SCOPE; pieces longer than a stretch."""
+    rng = random.Random(5)
+    parts = ["user_id=bob", BLOB, "https://x.example.org/a", KEY, "0a" * 20, "secret=abcdefgh", "10.0.0.1:80", "😀"]
+    texts = [" ".join(rng.choice(parts) + " é" * rng.choice([0, 3, 60, 99, 100, 101, 300]) for _ in range(n)) for n in (1, 63, 64, 65, 66, 130, 700)]
+    texts += [f"{KEY} " + "é😀" * 5000 + f" {KEY}{' x' * 2043} {KEY}", "z" * secrets.STRETCH + f" {KEY}"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in secrets.scan(d).collect()} == {i: listed(spans(x)[1]) for i, x in enumerate(texts)}
+    for r in secrets.redact(d).collect():
+        assert r.text == redacted(texts[r.doc_id])
+
+
+def test_a_hundred_thousand_spans_take_linear_time(spark):
+    unit = f"login=admin {BLOB} https://x.example.org/a token=abcdefgh1\n"
+    n = 25_000
+    d = spark.createDataFrame([(1, unit * n)], "doc_id long, text string")
+    began = time.time()
+    row = secrets.scan(d).first()
+    assert row.n_assign == n and row.spans.count(",") == 4 * n - 1 and row.spans.endswith(listed([("assign", len(unit) * n - 16, len(unit) * n - 1)]))
+    assert secrets.redact(d).first().text == redacted(unit) * n
+    assert time.time() - began < 60  # the square of the spans would take hours
