@@ -90,3 +90,23 @@ def test_windows_take_little_room():
     rng = __import__("random").Random(1)
     items = [(str(i), " ".join(rng.choices(FILLER, k=200)).encode()) for i in range(1000)]
     assert len(pickle.dumps(decontam.Windows(items))) < 8 * sum(len(t) for _, t in items)
+
+
+def test_twenty_parts_write_masks_only(spark, monkeypatch):
+    wrote = []
+    monkeypatch.setattr(decontam, "written", lambda df, write=decontam.written: (wrote.append(df.columns), write(df))[1])
+    items = [(i, " ".join(FILLER[i : i + 15])) for i in range(0, 120, 2)]
+    texts = [" ".join(FILLER[a : a + 40] + ["x"] * a) for a in range(0, 150, 5)]
+    docs = [*enumerate(texts), *[(1000 + i, texts[0]) for i in range(60)], (None, texts[3]), (7, None), (8, "")]
+    size = sum(len(text) for _, text in items)
+    d, b = spark.createDataFrame([(*r, "k") for r in docs], "doc_id long, text string, key string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((str(i), *brute(text, items)) for i, text in docs)
+    for most in (size // 20, size // 2):  # united hits are shuffled, or broadcast
+        wrote.clear()
+        got = decontam.scan(d, b, broadcast_bytes=most).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got) == want
+        assert len(wrote) >= (20 if most == size // 20 else 2) and all("text" not in columns for columns in wrote)
+        kept = decontam.decontaminate(d, b, broadcast_bytes=most).collect()
+        assert sorted(str((r.doc_id, r.text, r.key)) for r in kept) == sorted(str((i, t, "k")) for i, t in docs if not brute(t, items)[3])
+        cut, whole = (decontam.decontaminate(d, b, remove="spans", broadcast_bytes=x) for x in (most, 1 << 20))
+        assert cut.columns == d.columns and sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))

@@ -72,3 +72,20 @@ def written(df: DataFrame) -> DataFrame:
     folder = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+#: Tasks that the rows of one key are spread over where rows and not the table are many.
+SALTS = 16
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], how: str, small: bool) -> DataFrame:
+    """Joins rows (left) with a table that has each key once. A small table is broadcast and no row moves; otherwise both
+    are shuffled, and the rows of a hot key are spread over SALTS tasks by where they are read."""
+    if small:
+        return rows.join(F.broadcast(table), on, how)
+    salt = "salt"
+    while salt in rows.columns or salt in table.columns:
+        salt += "_"
+    rows = rows.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    table = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(table, [*on, salt], how).drop(salt)

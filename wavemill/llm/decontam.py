@@ -7,8 +7,10 @@ window is hit; a document is contaminated if at least one word and 1 in 20 words
 
 The benchmark's texts are cut into pieces of at most PIECE windows and sized first. Up to BROADCAST_BYTES they
 are sent to all tasks at once; a larger benchmark goes in parts of that size, by hash of the pieces. Each part is a
-pass of its own over the documents, which carry the hits of the passes before; a pass is written to the checkpoint
-folder and its broadcast dropped before the next begins, so that no worker or driver ever holds more than one part.
+pass of its own over the documents that writes a row for each text with hits: the text's SHA-256, a mask of its hit
+words and the items. A part's broadcast is dropped before the next begins, so that no worker or driver ever holds more
+than one part. The masks of a text are united at the end and looked up by its SHA-256: they are broadcast if they are
+below the same bound, and meet the documents in one shuffle beyond it. Texts are never rewritten between parts.
 
 Cases: null texts and texts without words have no words, no hits and are not contaminated. Items
 without words have no windows. An item without an id hits words, but is not counted or named; rows
@@ -20,15 +22,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, small_batches
+from .common import looked_up, shared_dir, slices, small_batches, written
 
 WINDOW = 13
 #: Contaminated from one hit word in so many.
@@ -144,6 +147,57 @@ def parts(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: i
         yield benchmark.sparkSession.sparkContext.broadcast(Windows([(row.item, bytes(row.text)) for row in rows], window)), part == count - 1
 
 
+def found(texts: DataFrame, shared: Broadcast) -> DataFrame:
+    """For rows of (key, text): key, n_words, bits, items for those that are hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            rows = []
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                hit, named = shared.value.match(words(text))
+                if hit.any():
+                    rows.append((key, len(hit), np.packbits(hit).tobytes(), sorted(named)))
+            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)], names=["key", "n_words", "bits", "items"])
+
+    return texts.mapInArrow(run, "key binary, n_words bigint, bits binary, items array<string>")
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n_words, all_bits (one for each part): key, n_words, n_hit, bits."""
+    for batch in batches:
+        sizes, all_bits, counts = batch.column(1).to_pylist(), [], []
+        for n, masks in zip(sizes, batch.column(2).to_pylist(), strict=True):
+            bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in masks])
+            all_bits.append(bits.tobytes())
+            counts.append(int(np.unpackbits(bits, count=n).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(all_bits, pa.binary())], names=["key", "n_words", "n_hit", "bits"])
+
+
+def key_of(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
+
+
+def masks(docs: DataFrame, text_col: str, passes: Iterator[tuple[Broadcast, bool]]) -> DataFrame:
+    """The hits of all parts, a row for each text that has any: key, n_words, n_hit, bits, items."""
+    texts = docs.select(key_of(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
+    tables = []
+    for part, (shared, _) in enumerate(passes):
+        tables.append(written(found(texts, shared).withColumn("part", F.lit(part))))
+        shared.unpersist()
+    rows = reduce(DataFrame.union, tables)
+    # copies of a text have equal rows: one for each part, whatever the number of copies, before masks meet
+    rows = rows.groupBy("key", "n_words", "part").agg(F.first("bits").alias("bits"), F.first("items").alias("items"))
+    rows = rows.groupBy("key", "n_words").agg(F.collect_list("bits").alias("all_bits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    bits = small_batches(rows).select("key", "n_words", "all_bits").mapInArrow(united, "key binary, n_words bigint, n_hit bigint, bits binary")
+    return written(bits.join(rows.select("key", "items"), "key"))
+
+
+def below(table: DataFrame, most: int, *columns: str) -> bool:
+    """Whether the table's columns (their bytes, and some for each row) are small enough to be broadcast."""
+    return (table.agg(F.sum(sum((F.octet_length(c) for c in columns), F.lit(32)))).first()[0] or 0) <= most
+
+
 def scan(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
     item_text_col: str = "text", window: int = WINDOW, one_in: int = ONE_IN, broadcast_bytes: int = BROADCAST_BYTES,
@@ -151,33 +205,15 @@ def scan(
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256 (of the items' ids, sorted as
     strings, comma-joined), contaminated, items (array of their ids)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    thin = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-
-    def one_pass(shared: Broadcast):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
-                all_hits, all_items = [], []
-                columns = zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
-                for text, hits, items in columns:
-                    hit, named = shared.value.match(words(text))
-                    if hits is not None:
-                        hit |= unpacked(hits, len(hit))
-                    all_hits.append(np.packbits(hit).tobytes())
-                    all_items.append(sorted(named.union(items or ())))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(all_hits, pa.binary()), pa.array(all_items, pa.list_(pa.string()))], names=part.schema.names)
+    thin = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-        return run
-
-    def last_pass(shared: Broadcast):
+    def only_pass(shared: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
                 rows = []
-                columns = zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
-                for text, hits, items in columns:
+                for text in part.column(1).cast(pa.binary()).to_pylist():
                     hit, named = shared.value.match(words(text))
-                    if hits is not None:
-                        hit |= unpacked(hits, len(hit))
-                    named, n = sorted(named.union(items or ())), int(hit.sum())
+                    named, n = sorted(named), int(hit.sum())
                     rows.append((len(hit), n, len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), n > 0 and one_in * n >= len(hit), named))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string())]
                 names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"]
@@ -185,11 +221,23 @@ def scan(
 
         return run
 
-    for shared, last in parts(benchmark, item_id_col, item_text_col, window, broadcast_bytes):
-        if not last:
-            thin = thin.mapInArrow(one_pass(shared), thin.schema).checkpoint()
-            shared.unpersist()
-    return thin.mapInArrow(last_pass(shared), f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sizes = [len(words(text)) for text in part.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64())], names=["doc_id", "key", "n_words"])
+
+    passes = parts(benchmark, item_id_col, item_text_col, window, broadcast_bytes)
+    shared, last = next(passes)
+    if last:
+        return thin.mapInArrow(only_pass(shared), f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>")
+    hits = masks(thin, "text", chain([(shared, last)], passes)).select("key", "n_hit", "items")
+    rows = thin.withColumn("key", key_of("text")).mapInArrow(counted, f"doc_id {id_type}, key binary, n_words bigint")
+    small = below(hits.withColumn("names", F.array_join("items", ",")), broadcast_bytes, "names")
+    n, items = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
+    return looked_up(rows, hits, ["key"], "left", small).select(
+        "doc_id", "n_words", n.cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        ((n > 0) & (one_in * n >= F.col("n_words"))).alias("contaminated"), items.alias("items"),
+    )
 
 
 def without_spans(text: bytes, hit: np.ndarray) -> bytes:
@@ -223,9 +271,8 @@ def decontaminate(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, text_col):
                 bits = []
-                for text, before in zip(part.column(at).cast(pa.binary()).to_pylist(), part.columns[-1].to_pylist(), strict=True):
-                    hit = shared.value.match(words(text or b""))[0]
-                    bits.append(np.packbits(hit if before is None else hit | unpacked(before, len(hit))).tobytes())
+                for text in part.column(at).cast(pa.binary()).to_pylist():
+                    bits.append(np.packbits(shared.value.match(words(text or b""))[0]).tobytes())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(bits, pa.binary())], names=part.schema.names)
 
         return run
@@ -242,19 +289,27 @@ def decontaminate(
         for part in slices(batches, text_col):
             texts = part.column(at).cast(pa.binary()).to_pylist()
             for i, (text, bits) in enumerate(zip(texts, part.columns[-1].to_pylist(), strict=True)):
-                if text and any(bits):
+                if text and bits and any(bits):
                     texts[i] = without_spans(text, unpacked(bits, len(words(text))))
             columns = list(part.columns)
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    docs = docs.withColumn(hits, F.lit(None).cast("binary"))
-    for shared, last in parts(benchmark, item_id_col, item_text_col, window, broadcast_bytes):
-        docs = docs.mapInArrow(mark(shared), docs.schema)
-        if not last:
-            docs = docs.checkpoint()
-            shared.unpersist()
-    return docs.mapInArrow(cut if remove == "spans" else keep, docs.schema).drop(hits)
+    passes = parts(benchmark, item_id_col, item_text_col, window, broadcast_bytes)
+    shared, last = next(passes)
+    if last:
+        docs = docs.withColumn(hits, F.lit(None).cast("binary"))
+        return docs.mapInArrow(mark(shared), docs.schema).mapInArrow(cut if remove == "spans" else keep, docs.schema).drop(hits)
+    columns, united_hits = docs.columns, masks(docs, text_col, chain([(shared, last)], passes))
+    key = "key"
+    while key in columns:
+        key += "_"
+    docs = docs.withColumn(key, key_of(text_col))
+    if remove == "documents":
+        bad = united_hits.where(F.col("n_hit") * one_in >= F.col("n_words")).select(F.col("key").alias(key))
+        return looked_up(docs, bad, [key], "left_anti", below(bad, broadcast_bytes)).select(columns)
+    docs = looked_up(docs, united_hits.select(F.col("key").alias(key), F.col("bits").alias(hits)), [key], "left", below(united_hits, broadcast_bytes, "bits")).select(*columns, hits)
+    return docs.mapInArrow(cut, docs.schema).drop(hits)
 
 
 SQL = r"""
