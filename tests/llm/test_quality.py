@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 
@@ -67,3 +68,40 @@ def test_nulls_empty_and_no_labels(spark, tables):
     got = quality.classify(odd, lab.limit(0)).collect()
     assert len(got) == 4 and all(r.doc_quality == 0.5 and r.doc_toxic < 1e-6 for r in got)
     assert quality.classify(d.limit(0), lab).count() == 0 and quality.keep_good(d.limit(0), lab).count() == 0
+
+
+def test_many_sites_keep_what_few_do(spark, tables, monkeypatch):
+    d, lab, _ = tables
+    d = d.union(d.limit(40)).union(spark.createDataFrame([(None, None, None, None, "x"), (-1, "", "en", "s1", "x")], d.schema))
+    classifier = quality.fit(d, lab)
+    want, rows = (sorted(map(str, x.collect())) for x in (quality.keep_good(d, lab, classifier=classifier), quality.classify(d, lab, classifier=classifier)))
+    for most in (6, 300, 1):  # rejected keys are shuffled, or broadcast
+        monkeypatch.setattr(quality, "MOST_SITES", most)
+        monkeypatch.setattr(quality, "few", lambda table, n, few=quality.few, most=most: few(table, 6 if "path" in table.columns else most))
+        kept = quality.keep_good(d, lab, classifier=classifier)
+        assert kept.columns == d.columns and sorted(map(str, kept.collect())) == want
+        assert [x.split(", quality=")[0] for x in sorted(map(str, quality.classify(d, lab, classifier=classifier).collect()))] == [x.split(", quality=")[0] for x in rows]
+
+
+def test_a_hundred_thousand_sites(spark, tables):
+    d, lab, _ = tables
+    classifier = quality.fit(d, lab)
+    n = quality.MOST_SITES + 1
+    docs = spark.range(n).selectExpr("id AS doc_id", "if(id % 3 = 0, 'junk1!! junk2!! word1', 'word11 word12 word13') AS text", "'en' AS lang", "concat('s', id) AS source")
+    docs = docs.union(spark.range(20_000).selectExpr("-id", "'word20 word21 word22'", "'en'", "'s0'"))  # a hot site
+    kept = quality.keep_good(docs, lab, classifier=classifier)
+    got, each = {r.doc_id for r in kept.select("doc_id").collect()}, quality.classify(docs, lab, classifier=classifier)
+    assert got == {r.doc_id for r in each.where("keep").select("doc_id").collect()} and 20_000 < len(got) < n + 20_000
+    assert each.count() == n + 20_000
+
+
+def test_long_texts_lose_words_by_hash_only():
+    words = [b"w%06d" % i for i in range(30_000)]
+    short, text = quality.of_text(b" ".join(words[:100] * 2)), b" ".join(words)
+    assert len(short) == 300 + 24 and short[-24:] == [x for x in quality.repetition(200, 100) for _ in range(8)]
+    got = quality.of_text(text)
+    assert len(got) <= quality.MOST_FEATURES and got[-24:] == [x for x in quality.repetition(30_000, 30_000) for _ in range(8)]
+    shared = collections.Counter(quality.features(word)[0] for word in words)
+    lone = {x: i for i, word in enumerate(words) if shared[x := quality.features(word)[0]] == 1}
+    kept = [lone[x] for x in got[:-24:3] if x in lone]
+    assert abs(np.mean(kept) - 15_000) < 600  # from all of the alphabet

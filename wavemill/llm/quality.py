@@ -8,8 +8,10 @@ that the spread between hosts and between paths implies (method of moments), so
 A document's posterior odds are its own odds times its path's odds over the global odds. The same is
 done for toxicity; documents are kept if quality is at least, and toxicity below, one half.
 
-Only per-site sums are shuffled; sites are joined as tables, and hot sites are pre-aggregated before
-the shuffle. The driver holds the sample's features and a few global sums.
+Only per-site sums are shuffled, pre-aggregated before, and up to MOST_SITES sites are broadcast. Beyond that,
+short rows (a document's key and scores) meet the sites' table, rows of a hot site spread over several tasks, and
+the keys of rejected documents are taken out of the documents; texts are not shuffled by site. The driver holds the
+sample's features and a few global sums.
 
 Cases: a null text is the empty text, scored by the intercept. Null hosts or paths form a site of their
 own. Null labels take no part; without labels of both kinds, a head knows no evidence and its odds are
@@ -19,6 +21,7 @@ once. Texts are read whole. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, small_batches
+from .common import looked_up, shared_dir, slices, small_batches
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 12_000
-#: Features of a sampled document that go to the driver, at most (a fifth of that in distinct words); scoring reads whole texts.
+#: Features of a sampled document that go to the driver, at most: of longer ones the words of least hash; scoring reads whole texts.
 MOST_FEATURES = 60_000
 FEATURES, EPOCHS, BATCH, RATE, RIDGE = 1 << 17, 12, 128, 1.0, 1e-6
 #: A document's log odds are sums over its distinct words, divided by this.
@@ -56,10 +59,14 @@ def repetition(n: int, distinct: int) -> tuple[int, ...]:
     return tuple(zlib.crc32(x) % FEATURES for x in (b"r%d" % (10 * distinct // max(n, 1)), b"n%d" % n.bit_length(), b"b%d:%d" % (5 * distinct // max(n, 1), n.bit_length() // 2)))
 
 
-def of_text(text: bytes) -> list[int]:
+def of_text(text: bytes, most: int = MOST_FEATURES) -> list[int]:
+    """The features of the distinct words, by hash those of most features in all, and of how often words repeat."""
     words = text.split()
-    distinct = sorted(set(words))
-    return [x for word in distinct for x in features(word)] + [x for x in repetition(len(words), len(distinct)) for _ in range(int(SCALE))]
+    distinct, room = sorted(set(words)), (most - 3 * int(SCALE)) // 3
+    count = len(distinct)
+    if count > room:
+        distinct = sorted(sorted(distinct, key=lambda word: hashlib.md5(word).digest())[:room])
+    return [x for word in distinct for x in features(word)] + [x for x in repetition(len(words), count) for _ in range(int(SCALE))]
 
 
 class Classifier:
@@ -132,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [of_text(text)[:MOST_FEATURES] for text in part.column(0).cast(pa.binary()).to_pylist()]
+            found = [of_text(text) for text in part.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *(part.column(i).cast(pa.float64()) for i in (1, 2))], names=["features", *HEADS])
 
     got = thin.mapInArrow(run, "features array<int>, quality double, toxic double").toArrow()
@@ -185,9 +192,9 @@ def sites(evidence: DataFrame) -> DataFrame:
     return both.select("host", "path", *[(logit(posterior[h]) - float(np.log(mean[h] / (1 - mean[h])))).alias(f"{h}_shift") for h in HEADS])
 
 
-def joinable(shifts: DataFrame) -> DataFrame:
-    """Up to MOST_SITES sites are broadcast, so that texts stay where they are; more are joined by shuffle."""
-    return F.broadcast(shifts) if shifts.limit(MOST_SITES + 1).count() <= MOST_SITES else shifts
+def few(table: DataFrame, most: int) -> bool:
+    """Whether it may be broadcast, so that texts stay where they are."""
+    return table.limit(most + 1).count() <= most
 
 
 def classify(
@@ -201,7 +208,8 @@ def classify(
     name = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
     thin = docs.select(F.col(id_col).alias("doc_id"), name(host).alias("host"), name(path).alias("path"), F.col(text_col).alias("text"))
     found = scored(thin, classifier, "text", HEADS).drop("text").checkpoint()  # a short row a document
-    each = found.join(joinable(sites(found)), ["host", "path"])
+    shifts = sites(found)
+    each = looked_up(found, shifts, ["host", "path"], "inner", few(shifts, MOST_SITES))
     sure = {h: log_odds(h, f"{h}_shift") for h in HEADS}
     return each.select(
         "doc_id", *[F.col(h).alias(f"doc_{h}") for h in HEADS], *[(1 / (1 + F.exp(-sure[h]))).alias(h) for h in HEADS],
@@ -217,8 +225,9 @@ def keep_good(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text",
     host: str = "source", path: str = "lang", classifier: Classifier | None = None,
 ) -> DataFrame:
-    """The documents, all columns, that classify() keeps. Texts are scored twice (for the sites' sums and for
-    the decision) rather than shuffled."""
+    """The documents, all columns, that classify() keeps. With few sites, texts are scored twice (for the sites' sums
+    and for the decision). With many, each text is scored once beside a key, the SHA-256 of all that the decision rests
+    on; sites are looked up for (key, scores), and rejected keys taken out of the documents."""
     shared_dir(docs.sparkSession)
     classifier = classifier or fit(docs, labels, sample, id_col, text_col)
     prefix = "of_"
@@ -226,8 +235,19 @@ def keep_good(
         prefix += "_"
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     thin = docs.select(name(host).alias("host"), name(path).alias("path"), F.col(text_col).alias("text"))
-    shifts = sites(scored(thin, classifier, "text", HEADS)).select(F.col("host").alias(f"{prefix}host"), F.col("path").alias(f"{prefix}path"), *[F.col(f"{h}_shift").alias(f"{prefix}{h}_shift") for h in HEADS])
+    if not few(thin.select("host", "path").distinct(), MOST_SITES):
+        # what the decision rests on, so rows that share a key share their fate
+        key_of = lambda host, path, text: F.unhex(F.sha2(F.concat_ws("|", F.length(host), F.length(path), host, path, F.coalesce(F.col(text), F.lit(""))), 256))
+        found = scored(thin.withColumn("key", key_of("host", "path", "text")), classifier, "text", HEADS).drop("text").checkpoint()  # a short row a document
+        each = looked_up(found, sites(found), ["host", "path"], "inner", False)
+        sure = {h: log_odds(h, f"{h}_shift") for h in HEADS}
+        bad = each.where(~((sure["quality"] >= 0) & (sure["toxic"] < 0))).select(F.col("key").alias(f"{prefix}key")).distinct().checkpoint()
+        keyed = docs.withColumns({f"{prefix}host": name(host), f"{prefix}path": name(path)})
+        keyed = keyed.withColumn(f"{prefix}key", key_of(f"{prefix}host", f"{prefix}path", text_col))
+        return looked_up(keyed, bad, [f"{prefix}key"], "left_anti", few(bad, MOST_SITES)).select(docs.columns)
+    shifts = sites(scored(thin, classifier, "text", HEADS))
+    shifts = shifts.select(F.col("host").alias(f"{prefix}host"), F.col("path").alias(f"{prefix}path"), *[F.col(f"{h}_shift").alias(f"{prefix}{h}_shift") for h in HEADS])
     each = scored(docs, classifier, text_col, (f"{prefix}doc_quality", f"{prefix}doc_toxic"))
-    each = each.withColumns({f"{prefix}host": name(host), f"{prefix}path": name(path)}).join(joinable(shifts), [f"{prefix}host", f"{prefix}path"])
+    each = each.withColumns({f"{prefix}host": name(host), f"{prefix}path": name(path)}).join(F.broadcast(shifts), [f"{prefix}host", f"{prefix}path"])
     sure = {h: log_odds(f"{prefix}doc_{h}", f"{prefix}{h}_shift") for h in HEADS}
     return each.where((sure["quality"] >= 0) & (sure["toxic"] < 0)).select(docs.columns)
