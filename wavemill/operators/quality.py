@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import kept
+
 FIELDS = ("symbol", "start_row", "window_len", "date_start", "date_end", "best", "ensemble_score", "fib_score")
 
 
@@ -187,8 +189,11 @@ def diversity(df: DataFrame) -> DataFrame:
     return rules.join(over).select("top_share", (F.col("top_share") > 0.95).alias("dominated"), "over_represented")
 
 
-def over_represented(df: DataFrame, k: int = 5) -> DataFrame:
-    per = df.groupBy("symbol").agg(F.count("*").alias("n"))
+def over_represented(df: DataFrame, k: int = 5, buckets: int | None = None) -> DataFrame:
+    """The k symbols of most patterns among those with more than mean + 2 deviations. Only counts by series are kept, so of
+    patterns that are not stored yet, no more than whether they exist is worked out; with buckets, they are dealt to so many."""
+    some = kept(df.groupBy("symbol", "interval").agg(F.count("*").alias("n")), buckets)
+    per = some.groupBy("symbol").agg(F.sum("n").alias("n"))
     limits = per.agg((F.avg("n") + 2 * F.coalesce(F.stddev_samp("n"), F.lit(0.0))).alias("limit"))
     return per.join(F.broadcast(limits)).where("n > limit").orderBy(F.desc("n"), "symbol").limit(k).select("symbol", "n")
 

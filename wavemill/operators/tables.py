@@ -6,6 +6,13 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SERIES = ("symbol", "interval")
+#: Rows of a bucket of series, and bars of a series up to which all of it may be one bucket's.
+ROWS, LONGEST = 500_000, 4096
+#: Set to false, joins on series and more take tables that are dealt by series as they are.
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -19,8 +26,28 @@ def new_folder(spark: SparkSession) -> str:
     return f"{folder}/kept-{uuid.uuid4()}"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, for later plans to know its size and lost executors to read it again."""
-    path = new_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def buckets_for(rows: DataFrame) -> int:
+    """How many buckets a table with about as many rows is dealt to: the more rows, the more, so that none outgrows a task."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS + 1)
+
+
+def short_series(bars: DataFrame) -> bool:
+    """Whether each series is short enough for one task."""
+    return (bars.groupBy(*SERIES).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= LONGEST
+
+
+def kept(df: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The rows as a table in the shared folder, for later plans to know its size and lost executors to read it again. With
+    buckets, it is dealt by series to so many: what is worked out from such tables by series, or by series and more, and
+    kept in as many buckets again, needs no exchange. That is for short series only, as a series is one task's then."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
+    if buckets is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    name, before = f"kept_{uuid.uuid4().hex}", spark.conf.get(CO_PARTITION)
+    spark.conf.set(CO_PARTITION, "false")
+    try:
+        df.repartition(buckets, *SERIES).write.option("path", path).bucketBy(buckets, *SERIES).saveAsTable(name)  # dealt already: no exchange
+    finally:
+        spark.conf.set(CO_PARTITION, before)
+    return spark.table(name)

@@ -10,7 +10,7 @@ from ..functions.scoring import ensemble_score
 from ..operators import chains as C
 from ..operators.resample import index_bars, pyramid, ticks_to_bars
 from ..operators.swings import monowaves
-from ..operators.tables import kept
+from ..operators.tables import buckets_for, kept, short_series
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,13 @@ def weekly_bars(spark: SparkSession, sf_dir: str, by: str = "nation") -> DataFra
     return index_bars(ticks_to_bars(rows, "week", "1wk", order))
 
 
+def kept_bars(spark: SparkSession, sf_dir: str, by: str = "nation") -> tuple[DataFrame, int | None]:
+    """Indexed weekly bars, kept in buckets of series, and how many; none if a series is too long for one."""
+    buckets = buckets_for(read(spark, sf_dir, "lineitem"))
+    bars = kept(weekly_bars(spark, sf_dir, by), buckets)
+    return bars, buckets if short_series(bars) else None
+
+
 def user_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as bars of one tick."""
     value = F.col("value")
@@ -62,26 +69,32 @@ def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def simple_edges(bars: DataFrame) -> DataFrame:
+def simple_edges(bars: DataFrame, buckets: int | None = None) -> DataFrame:
     """First swings of both directions as edges of skip 0."""
-    return kept(monowaves(bars, 0))
+    return kept(monowaves(bars, 0), buckets)
 
 
 def simple_patterns(spark: SparkSession, sf_dir: str, by: str = "nation") -> DataFrame:
     """The patterns over weekly bars."""
-    return patterns_over(kept(weekly_bars(spark, sf_dir, by)))
+    return patterns_over(*kept_bars(spark, sf_dir, by))
 
 
-def patterns_over(bars: DataFrame) -> DataFrame:
-    """Every complete chain of first swings over bars, as a pattern table: impulses, bearish impulses and
-    corrections with a positive first wave, whether their rules hold (passes) or not, with scores and dates."""
-    edges = simple_edges(bars)
+def simple_chains(bars: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Every complete chain of first swings over bars with a positive first wave, whether its rules hold (passes) or not: a
+    row for each of the patterns."""
+    edges = simple_edges(bars, buckets)
     w = F.col("waves")
     out = None
     for family, name, rule in (("impulse", "impulse", R.impulse), ("bearish_impulse", "bearish_impulse", R.bearish_impulse), ("corrective", "Corrective", R.correction)):
         found = C.chains(edges, family).where(w[0]["length"] > 0).withColumns({"rule_name": F.lit(name), "rule_score": R.score_rule(rule(w)), "passes": R.check_rule(rule(w))})
         out = found if out is None else out.unionByName(found)
-    parts = ensemble_score(w, F.col("rule_score"))
+    return out
+
+
+def patterns_over(bars: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The chains as a pattern table: impulses, bearish impulses and corrections, with scores and dates."""
+    out = simple_chains(bars, buckets)
+    parts = ensemble_score(F.col("waves"), F.col("rule_score"))
     out = out.withColumns({"ensemble_score": parts["score"], "fib_score": parts["fib"], "time_score": parts["time"], "end": F.element_at("waves", -1)["idx_end"]})
     at = lambda n, c: bars.select("symbol", "interval", F.col("bar_idx").alias(c), F.col("bar_ts").alias(n))
-    return kept(out.drop("turns", "prefix_need").join(at("date_start", "start"), ["symbol", "interval", "start"]).join(at("date_end", "end"), ["symbol", "interval", "end"]))
+    return kept(out.drop("turns", "prefix_need").join(at("date_start", "start"), ["symbol", "interval", "start"]).join(at("date_end", "end"), ["symbol", "interval", "end"]), buckets)
