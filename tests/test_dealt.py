@@ -24,7 +24,7 @@ def test_chains_of_dealt_edges_move_no_rows(spark):
     plain, dealt = tables.kept(swings.monowaves(bars, 0)), tables.kept(swings.monowaves(bars, 0), 5)
     assert spark.conf.get(tables.CO_PARTITION) == "true" and sorted(dealt.collect()) == sorted(plain.collect())
     found = chains.chains(dealt, "impulse")
-    assert exchanges(spark, found.repartition(5, "symbol", "interval")) == 0 and exchanges(spark, chains.chains(plain, "impulse")) > 0
+    assert exchanges(spark, found.repartition(5, "symbol")) == 0 and exchanges(spark, chains.chains(plain, "impulse")) > 0
     per = Counter(r.symbol for r in chains.chains(plain, "impulse").collect())
     mean, n = sum(per.values()) / len(per), len(per)
     limit = mean + 2 * (sum((x - mean) ** 2 for x in per.values()) / (n - 1)) ** 0.5

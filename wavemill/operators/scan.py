@@ -28,15 +28,15 @@ FAMILIES = ("impulse", "bearish_impulse", "corrective")
 LEAST_EXTREMA = 4
 
 
-def all_chains(spark: SparkSession, bars: DataFrame, up_to: int, top_k: int, families: tuple[str, ...] = FAMILIES, edges: DataFrame | None = None, longest: int | None = None) -> dict[str, DataFrame]:
+def all_chains(spark: SparkSession, bars: DataFrame, up_to: int, top_k: int, families: tuple[str, ...] = FAMILIES, edges: DataFrame | None = None, longest: int | None = None, buckets: int | None = None) -> dict[str, DataFrame]:
     """The chains of each family over the top_k options, as tables; what no last wave can save, and what no window of
-    longest bars can hold, is left out wave by wave."""
-    edges = kept(monowaves(bars, up_to - 1)) if edges is None else edges
+    longest bars can hold, is left out wave by wave. With buckets, all is dealt by series to so many (see tables)."""
+    edges = kept(monowaves(bars, up_to - 1), buckets, dealt=bool(buckets)) if edges is None else edges
     found = {}
     for family in families:
         n = len(C.FAMILIES[family])
         options = kept(C.top_options(C.skip_options(spark, up_to, n), top_k))
-        found[family] = kept(C.early_guard(C.chains(edges, family, options=options, complete=top_k >= up_to**n, prune=True, longest=longest), family))
+        found[family] = kept(C.early_guard(C.chains(edges, family, options=options, complete=top_k >= up_to**n, prune=True, longest=longest), family), buckets)
     return found
 
 
@@ -60,15 +60,17 @@ def open_chains(spark: SparkSession, bars: DataFrame, up_to: int = 3, top_k: int
 
 def scan_grid(
     bars: DataFrame, windows: DataFrame, found: DataFrame, k: int = 5, distance: int = 10, max_starts: int = 10, n: int = 1,
-    cut: DataFrame | None = None, families: tuple[str, ...] = FAMILIES,
+    cut: DataFrame | None = None, families: tuple[str, ...] = FAMILIES, buckets: int | None = None,
 ) -> DataFrame:
     """The n best candidates of each window, from its local lows; with cut (open_chains), also those that the window's end
-    cuts short."""
-    starts = kept(window_starts(bars, windows, k, distance, max_starts))
+    cuts short. buckets: of the tables given, if they are dealt by series."""
+    if buckets:
+        windows = kept(windows, buckets)
+    starts = kept(window_starts(bars, windows, k, distance, max_starts), buckets)
     hits = [starts.join(found, [*SERIES, "start"]).where(F.col("need_idx") <= F.col("last"))]
     if cut is not None:
         end = F.element_at("waves", -1)
-        met = kept(starts.join(cut, [*SERIES, "start"]).where((F.col("prefix_need") <= F.col("last")) & (end["idx_start"] < F.col("last")) & (end["idx_end"] > F.col("last"))))
+        met = kept(starts.join(cut, [*SERIES, "start"]).where((F.col("prefix_need") <= F.col("last")) & (end["idx_start"] < F.col("last")) & (end["idx_end"] > F.col("last"))), buckets)
         for family in families:
             short = C.cut_short(met.where(F.col("family") == family), family, F.col("last"), F.col("low_last"), F.col("high_last"))
             hits.append(C.scored(C.guard(short, family), family).select(*hits[0].columns))
@@ -125,20 +127,20 @@ def first_hits(
 
 def skip_ahead_scan(
     bars: DataFrame, found: DataFrame, geometry: dict[str, tuple[int, int, int]], k: int = 5, distance: int = 10, max_starts: int = 10,
-    max_windows: int | None = None, cut: DataFrame | None = None, families: tuple[str, ...] = FAMILIES,
+    max_windows: int | None = None, cut: DataFrame | None = None, families: tuple[str, ...] = FAMILIES, buckets: int | None = None,
 ) -> DataFrame:
     """Per series: the best candidate of the window at i; after a hit, i moves past its end, else by the slide.
     Columns: symbol, interval, start_row, window_len, start, rule_name, wave_config, ensemble_score, end, error.
     Where the walk goes from a hit is known for every window that it may come to, so the hits that it comes by are
     found by pointer doubling, and one long series is spread over many tasks. A series that cannot be walked (an interval
     without geometry or slide, a hit without an end) has a row of its own with the error, after the hits before it.
-    The walk ends with the series, or after max_windows windows if given."""
+    The walk ends with the series, or after max_windows windows if given. buckets: of the tables given, if they are dealt by series."""
     spark = bars.sparkSession
     series = list(SERIES)
     sizes = spark.createDataFrame([(i, *map(int, g)) for i, g in geometry.items()], "interval string, shortest int, longest int, slide int")
     walked = sizes.where("slide >= 1")
-    best = scan_grid(bars, reachable_windows(bars, walked, found, cut), found, k, distance, max_starts, 1, cut, families)
-    best = kept(best.select(*WINDOW, "start", "rule_name", "wave_config", "ensemble_score", F.element_at("waves", -1)["idx_end"].alias("end")))
+    best = scan_grid(bars, reachable_windows(bars, walked, found, cut), found, k, distance, max_starts, 1, cut, families, buckets)
+    best = kept(best.select(*WINDOW, "start", "rule_name", "wave_config", "ensemble_score", F.element_at("waves", -1)["idx_end"].alias("end")), buckets)
 
     hits = best.join(F.broadcast(walked.select("interval", "slide")), "interval").withColumn("_rest", F.col("start_row") % F.col("slide"))
     begin = bars.select(*series).distinct().join(F.broadcast(walked.select("interval", "slide")), "interval").withColumns({"pos": F.lit(0), "of": F.lit(None).cast("int")})

@@ -36,10 +36,11 @@ def short_series(bars: DataFrame) -> bool:
     return (bars.groupBy(*SERIES).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= LONGEST
 
 
-def kept(df: DataFrame, buckets: int | None = None) -> DataFrame:
+def kept(df: DataFrame, buckets: int | None = None, dealt: bool = False) -> DataFrame:
     """The rows as a table in the shared folder, for later plans to know its size and lost executors to read it again. With
-    buckets, it is dealt by series to so many: what is worked out from such tables by series, or by series and more, and
-    kept in as many buckets again, needs no exchange. That is for short series only, as a series is one task's then."""
+    buckets, it is dealt by symbol to so many: what is worked out from such tables by series, or by series and more, and
+    kept in as many buckets again, needs no exchange. That is for short series only, as a symbol is one task's then. dealt:
+    the rows come from maps over series of such a table, so that each task has one bucket's, though the plan can't tell."""
     spark, path = df.sparkSession, new_folder(df.sparkSession)
     if buckets is None:
         df.write.parquet(path)
@@ -47,7 +48,8 @@ def kept(df: DataFrame, buckets: int | None = None) -> DataFrame:
     name, before = f"kept_{uuid.uuid4().hex}", spark.conf.get(CO_PARTITION)
     spark.conf.set(CO_PARTITION, "false")
     try:
-        df.repartition(buckets, *SERIES).write.option("path", path).bucketBy(buckets, *SERIES).saveAsTable(name)  # dealt already: no exchange
+        rows = df if dealt else df.repartition(buckets, "symbol")  # no exchange if the plan deals them so
+        rows.write.option("path", path).bucketBy(buckets, "symbol").saveAsTable(name)
     finally:
         spark.conf.set(CO_PARTITION, before)
     return spark.table(name)

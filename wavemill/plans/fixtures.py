@@ -29,16 +29,19 @@ def ticks(spark: SparkSession, sf_dir: str, by: str) -> tuple[DataFrame, F.Colum
     return items.select("symbol", F.col("l_shipdate").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), *keep), F.struct(*keep)
 
 
-def weekly_bars(spark: SparkSession, sf_dir: str, by: str = "nation") -> DataFrame:
-    """Indexed weekly bars."""
+def weekly_bars(spark: SparkSession, sf_dir: str, by: str = "nation", buckets: int | None = None) -> DataFrame:
+    """Indexed weekly bars. Suppliers' bars have two or three ticks each, so with buckets, ticks are dealt rather than parts of
+    bars; nations have many."""
     rows, order = ticks(spark, sf_dir, by)
+    if buckets and by == "supplier":
+        rows = rows.repartition(buckets, "symbol")
     return index_bars(ticks_to_bars(rows, "week", "1wk", order))
 
 
 def kept_bars(spark: SparkSession, sf_dir: str, by: str = "nation") -> tuple[DataFrame, int | None]:
     """Indexed weekly bars, kept in buckets of series, and how many; none if a series is too long for one."""
     buckets = buckets_for(read(spark, sf_dir, "lineitem"))
-    bars = kept(weekly_bars(spark, sf_dir, by), buckets)
+    bars = kept(weekly_bars(spark, sf_dir, by, buckets), buckets)
     return bars, buckets if short_series(bars) else None
 
 
@@ -71,7 +74,7 @@ def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simple_edges(bars: DataFrame, buckets: int | None = None) -> DataFrame:
     """First swings of both directions as edges of skip 0."""
-    return kept(monowaves(bars, 0), buckets)
+    return kept(monowaves(bars, 0), buckets, dealt=bool(buckets))
 
 
 def simple_patterns(spark: SparkSession, sf_dir: str, by: str = "nation") -> DataFrame:
