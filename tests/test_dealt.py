@@ -31,3 +31,20 @@ def test_chains_of_dealt_edges_move_no_rows(spark):
     over = [(s, k) for s, k in sorted(per.items(), key=lambda x: (-x[1], x[0])) if k > limit]
     assert [tuple(r) for r in quality.over_represented(found, buckets=5).collect()] == over[:5]
     assert tables.short_series(bars) and tables.buckets_for(bars) == 4
+
+
+def test_grown_chains_are_the_joined_ones(spark):
+    """Later rounds begin with the new waves: the same chains as all joins with the first new wave at each place."""
+    from pyspark.sql import functions as F
+
+    from wavemill.operators import degrees
+
+    bars = make_bars(spark, {f"walk{i}": series_of(i, 90, "walk") for i in range(3)})
+    every = tables.kept(swings.monowaves(bars, 1).select(*tables.SERIES, "s", "e", "up", "low", "high", "turn", F.lit(1).alias("degree")).distinct(), 3)
+    fresh = (F.col("s") * 7 + F.col("e")) % 4 == 0
+    older, new = tables.kept(every.where(~fresh), 3), tables.kept(every.where(fresh), 3)
+    for family, plan in [("corrective", chains.FAMILIES["corrective"])]:
+        joined = [degrees.chained([older] * i + [new] + [every] * (len(plan) - 1 - i), family) for i in range(len(plan))]
+        row = lambda r: repr((r.symbol, r.start, r.degree, r.rule_name, r.turn, r.waves))
+        want = sorted(row(r) for part in joined for r in part.collect())
+        assert sorted(map(row, degrees.grown(older, new, every, family).collect())) == want
