@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,39 @@ def test_attention_is_causal_normalised_over_ids_and_its_gradient_is_right():
             assert g[k][at] == pytest.approx((gain(lm.Attention(up)) - gain(lm.Attention(down))) / 2e-4, rel=1e-2, abs=1e-4), (k, context)
 
 
+@pytest.mark.parametrize("context", [0, lm.CONTEXT])
+def test_attention_is_that_of_each_place_alone_and_holds_no_scores_out_of_reach(context):
+    ids = 90
+    model, rng = model_of(ids, 2)
+    model.p["near"][:] = rng.normal(0, 1, lm.WINDOW)
+    for large in (1, 40):  # beyond 1, some scores are cut at 30
+        p = {k: v.astype(float) for k, v in model.p.items()}
+        p["E"] = p["E"] * large
+        flat, sizes = rng.integers(0, ids, 300), np.array([70, 1, 0, 129, 100])
+        x, real, *_ = lm.window(flat, sizes, *lm.starts(sizes, lm.WINDOW - context), ids, np.cumsum(sizes) - sizes, context)
+        *_, weights, _, c, g = lm.Attention(p).forward(x, real, context)
+        c, g = c.reshape(len(x), -1, lm.DIM), g.reshape(len(x), -1, lm.MIX)
+        for w, i in zip(*np.nonzero(real[:, context:]), strict=True):
+            at = [j for j in range(context + i + 1) if real[w, j]]
+            e = p["E"][x[w]]
+            scores = [e[context + i] @ p["Q"] @ (e[j] @ p["K"]) / lm.DIM**0.5 + p["near"][context + i - j] for j in at]
+            much = np.exp(np.minimum(scores, 30))
+            assert c[w, i] == pytest.approx(much @ e[at] / much.sum(), rel=1e-6, abs=1e-9)
+            mix = np.exp(np.clip(p["A"][x[w, context + i]] + c[w, i] @ p["W"], -40, 40))
+            assert g[w, i] == pytest.approx(mix / mix.sum(), rel=1e-6, abs=1e-12)
+    assert sum(s.size for s in weights) <= (0.75 if not context else 1) * len(x) * (lm.WINDOW - context) * lm.WINDOW
+
+
+def test_words_are_those_of_the_texts_bytes():
+    texts = ["", "  ", "One two ONE\ttwo x ", "\x0b\x0ca\r\n b\x1cc", "É\xa0é\u2003Z ÀB", "x" * 3000, " y"]
+    for some in (texts, texts[:2], []):
+        got, n = lm.words(pa.array(some, pa.string()))
+        assert got.cast(pa.binary()).to_pylist() == [w for t in some for w in t.encode().lower().split()]
+        assert n.tolist() == [len(t.encode().lower().split()) for t in some]
+    got, n = lm.words(pa.array(texts).slice(2, 3))
+    assert n.tolist() == [5, 2, 2] and len(got) == 9
+
+
 def test_training_raises_the_likelihood_and_partitions_add_up():
     ids = 60
     model, rng = model_of(ids, 1)
@@ -147,6 +181,7 @@ def test_blocks_hold_every_text_and_training_takes_all_that_are_not_held_out():
     assert flat.tolist() == [7, 4, 5, 6, 99, 99, 8, 9, 8, 9, 7, 99, 4, 5, 6, 99] and of_text.tolist() == [5, 1, 6, 4]
     assert numbers.tolist() == [0, 1, 3, 3, 2, 2, 0, 3, 1, 3] and begins.tolist() == [0, 1, 4, 5, 6, 8, 10, 11, 12, 15]
     assert block.sequence(training=True)[0].tolist() == [7, 4, 5, 6, 99, 99, 4, 5, 6, 99]
+    assert block.uses().tolist() == np.bincount(block.sequence(training=True)[0], minlength=100).tolist()
 
 
 def test_spelling_is_that_of_each_word_alone():

@@ -36,6 +36,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -61,9 +62,14 @@ FAN_IN = 32
 FAR = -1e4
 
 
-def words(text: bytes) -> list[bytes]:
-    """Between white space, ASCII letters in lower case."""
-    return text.lower().split()
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts' words, one text after the other, between ASCII white space and with A-Z in lower case, and how many each
+    text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, n = parts.flatten(), pc.list_value_length(parts).to_numpy().astype(np.int64)
+    some = pc.greater(pc.binary_length(flat), 0)  # empty ones stand for white space at the ends of a text
+    n = np.bincount(np.repeat(np.arange(len(n)), n)[some.to_numpy(zero_copy_only=False)], minlength=len(n))
+    return flat.filter(some), n
 
 
 _encoders: dict[tuple, tuple[tiktoken.Encoding, np.ndarray]] = {}
@@ -168,78 +174,111 @@ class Attention:
         after = follow @ mine + 5 * (weight @ mine + 1) / (weight.sum() + MIX)
         a = np.log(after / after.sum(axis=1, keepdims=True))
         mean = (mine * (weight + 1e-6)[:, None]).T @ topic / ((mine * (weight + 1e-6)[:, None]).sum(axis=0)[:, None] + 1e-9)
-        p = {"E": np.c_[topic[bucket], np.ones(len(bucket))], "A": a[bucket], "C": c, "W": mean.T, "Q": np.eye(DIM) * 0.5, "K": np.eye(DIM) * 0.5, "near": np.zeros(WINDOW)}
+        p = {"E": topic[bucket], "A": a[bucket], "C": c, "W": mean.T, "Q": np.eye(DIM) * 0.5, "K": np.eye(DIM) * 0.5, "near": np.zeros(WINDOW)}
         return cls({k: np.ascontiguousarray(v, dtype=np.float32) for k, v in p.items()})
 
+    def near(self, context: int) -> np.ndarray:
+        """What distance adds to the scores of a window's places, for those that ask; later places are out of reach."""
+        far = distances(context)
+        return np.where(far >= 0, self.p["near"][np.maximum(far, 0)], self.p["near"].dtype.type(FAR))
+
     def forward(self, x: np.ndarray, real: np.ndarray, context: int = CONTEXT) -> tuple:
         """x: (windows, WINDOW) ids before each place; real: which of the places there are. Only those after the
         first context places ask."""
         p = self.p
         kind = p["E"].dtype
-        e = p["E"][x]  # with a last dimension of ones
-        to_q, to_k = np.zeros((2, DIM + 1, DIM + 1), kind)
-        to_q[:DIM, :DIM], to_q[DIM, DIM], to_k[:DIM, :DIM] = p["Q"] * kind.type(DIM**-0.5), 1, p["K"]
-        q, k = e[:, context:] @ to_q, e @ to_k
-        if not real.all():
-            k[~real, DIM] = FAR  # out of reach of all that ask
-        i, j = np.arange(context, WINDOW)[:, None], np.arange(WINDOW)[None, :]
-        s = q @ k.transpose(0, 2, 1)
-        s += np.where(j <= i, p["near"][np.clip(i - j, 0, WINDOW - 1)], kind.type(FAR))
-        np.minimum(s, kind.type(30), out=s)
-        np.exp(s, out=s)
-        sums = s @ e
-        total = sums[:, :, DIM:] + kind.type(1e-30)
-        c = (sums[:, :, :DIM] / total).reshape(-1, DIM)
-        g = p["A"][x[:, context:].ravel()]
+        e, near = p["E"].take(x, axis=0), self.near(context)
+        q = e[:, context:].reshape(-1, DIM) @ (p["Q"] @ p["K"].T * kind.type(DIM**-0.5))
+        early = np.flatnonzero(~real[:, 0])  # windows with places before their text; places after it are out of reach
+        q = q.reshape(len(x), -1, DIM)
+        c, total, weights = np.empty_like(q), np.empty((*q.shape[:2], 1), kind), []
+        for asks, upto in panels(context):
+            s = q[:, asks] @ e[:, :upto].transpose(0, 2, 1)
+            large = s.max(initial=0) + near.max() > 30
+            s += near[asks, :upto]
+            if large:
+                np.minimum(s, kind.type(30), out=s)
+            np.exp(s, out=s)
+            if len(early):
+                s[early] *= real[early, None, :upto]
+            total[:, asks] = (s.reshape(-1, upto) @ np.ones(upto, kind)).reshape(len(x), -1, 1)
+            np.matmul(s, e[:, :upto], out=c[:, asks])
+            weights.append(s)
+        total, c = total.reshape(-1, 1) + kind.type(1e-30), c.reshape(-1, DIM)
+        c /= total
+        g = p["A"].take(x[:, context:].ravel(), axis=0)
         g += c @ p["W"]
         np.clip(g, -40, 40, out=g)
         np.exp(g, out=g)
         g /= g @ np.ones((MIX, 1), kind)
-        return e, q, k, s, total, c, g
+        return e, q, weights, total, c, g
 
     def shares(self, y: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-        return self.p["C"][y] * (1 / (self.p["C"].sum(axis=0) if sums is None else sums))
+        return self.p["C"].take(y, axis=0) * (1 / (self.p["C"].sum(axis=0) if sums is None else sums))
 
     def probabilities(self, x: np.ndarray, real: np.ndarray, y: np.ndarray, among: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each target y its probability, and those of sets of ids, whose shares are the columns of among."""
         g = self.forward(x, real, WINDOW - y.shape[1])[-1]
-        return ((g * self.shares(y.ravel(), sums)) @ np.ones(MIX, g.dtype)).reshape(y.shape), (g @ among).reshape(*y.shape, -1)
+        sets = (g @ among).reshape(*y.shape, -1)
+        g *= self.shares(y.ravel(), sums)
+        return (g @ np.ones(MIX, g.dtype)).reshape(y.shape), sets
 
     def gradient(self, x: np.ndarray, real: np.ndarray, y: np.ndarray, sums: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the targets' summed log likelihood: for E a row per place of the windows, for A one per place that
         asks, and the targets' posteriors over the distributions."""
         p, context = self.p, WINDOW - y.shape[1]
-        e, q, k, s, total, c, g = self.forward(x, real, context)
-        post = g * self.shares(y.ravel(), sums)
-        post /= post @ np.ones((MIX, 1), g.dtype) + g.dtype.type(1e-30)
+        e, q, weights, total, c, g = self.forward(x, real, context)
+        kind, ones = g.dtype, np.ones((MIX, 1), g.dtype)
+        post = self.shares(y.ravel(), sums)
+        post *= g
+        post /= post @ ones + kind.type(1e-30)
         if not real.all():
             some = real[:, context:].reshape(-1, 1)
             post *= some
-            g = g * some
+            g *= some
         d = post - g
         out = {"A": d, "W": c.T @ d}
-        dc = (d @ p["W"].T) / total.reshape(-1, 1)
-        # what the average takes from each of its parts
-        dc = np.concatenate([dc, -(dc * c) @ np.ones((DIM, 1), g.dtype)], axis=1).reshape(len(x), -1, DIM + 1)
-        t = dc @ e.transpose(0, 2, 1)
-        t *= s
-        i, j = np.arange(context, WINDOW)[:, None], np.arange(WINDOW)[None, :]
-        out["near"] = np.bincount(np.clip(i - j, 0, WINDOW - 1).ravel(), t.sum(axis=0).ravel(), WINDOW)
-        dq, dk = (t @ k)[:, :, :DIM] * g.dtype.type(DIM**-0.5), (t.transpose(0, 2, 1) @ q)[:, :, :DIM]
-        de = (s.transpose(0, 2, 1) @ dc)[:, :, :DIM] + dk @ p["K"].T
-        de[:, context:] += dq @ p["Q"].T
-        flat = lambda a: a.reshape(-1, DIM)
-        e = e[:, :, :DIM]
-        out["Q"], out["K"], out["E"] = flat(e[:, context:]).T @ flat(dq), flat(e).T @ flat(dk), flat(de)
+        dc = d @ p["W"].T
+        dc /= total
+        c *= dc
+        own = (c @ np.ones((DIM, 1), kind)).reshape(len(x), -1, 1)
+        dc = dc.reshape(q.shape)
+        de, u, near = np.zeros_like(e), np.empty_like(q), np.zeros((WINDOW - context, WINDOW))
+        for (asks, upto), s in zip(panels(context), weights, strict=True):
+            t = dc[:, asks] @ e[:, :upto].transpose(0, 2, 1)
+            t -= own[:, asks]  # what the average takes from each of its parts
+            t *= s
+            near[asks, :upto] = t.sum(axis=0)
+            np.matmul(t, e[:, :upto], out=u[:, asks])
+            de[:, :upto] += s.transpose(0, 2, 1) @ dc[:, asks]
+            de[:, :upto] += t.transpose(0, 2, 1) @ q[:, asks]
+        out["near"] = np.bincount(np.maximum(distances(context), 0).ravel(), near.ravel(), WINDOW)
+        scale, u = kind.type(DIM**-0.5), u.reshape(-1, DIM)
+        pairs = e[:, context:].reshape(-1, DIM).T @ u * scale
+        out["Q"], out["K"] = pairs @ p["K"], pairs.T @ p["Q"]
+        de[:, context:] += (u @ (p["K"] @ p["Q"].T * scale)).reshape(q.shape)
+        out["E"] = de.reshape(-1, DIM)
         return out, post
 
 
-def by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows and their sums of values."""
+def distances(context: int) -> np.ndarray:
+    """How far each place of a window is before each of those that ask."""
+    return np.arange(context, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+
+
+def panels(context: int) -> list[tuple[slice, int]]:
+    """The places that ask, each part with the number of places that its last one reaches. Where all places ask, those of
+    the first half have no scores for the second."""
+    n = WINDOW - context
+    return [(slice(a, b), context + b) for a, b in (((0, n),) if context else ((0, n // 2), (n // 2, n)))]
+
+
+def by_row(rows: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct rows and their sums of each of values."""
     order = np.argsort(rows.astype(np.uint16) if rows.max(initial=0) < 1 << 16 else rows, kind="stable")
-    rows = rows[order]
+    rows = rows.take(order)
     firsts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    return rows[firsts], np.add.reduceat(values[order], firsts)
+    return rows.take(firsts), *(np.add.reduceat(v.take(order, axis=0), firsts) for v in values)
 
 
 class Training:
@@ -248,29 +287,32 @@ class Training:
     def __init__(self, model: Attention):
         p = {k: v.copy() for k, v in model.p.items()}
         self.model, self.begin = Attention(p), model.p["C"]
-        self.squares = {k: np.full(p[k][..., :DIM].shape if k == "E" else p[k].shape, 1e-6, np.float32) for k in (*ROWS, *DENSE)}
+        self.squares = {k: np.full(p[k].shape, 1e-6, np.float32) for k in (*ROWS, *DENSE)}
         self.used = {k: np.zeros(len(p[k])) for k in ROWS}
         self.seen, self.sums = 0, p["C"].sum(axis=0)
 
     def step(self, x: np.ndarray, real: np.ndarray, y: np.ndarray) -> None:
         p, n = self.model.p, max(1, int(real[:, WINDOW - y.shape[1] :].sum()))
         g, post = self.model.gradient(x, real, y, self.sums)
-        for k, rows in (("E", x.ravel()), ("A", x[:, WINDOW - y.shape[1] :].ravel())):
-            some, total = by_row(rows, g[k])
+        some, *totals = by_row(x.ravel(), g["E"], g["A"])  # every place asks
+        for k, total in zip(ROWS, totals, strict=True):
             self.climb(k, some, total * np.float32(1 / n), RATE)
             self.used[k][some] += 1
         for k in DENSE:
-            self.climb(k, ..., (g[k] / n).astype(np.float32), SLOW)
+            self.climb(k, slice(None), (g[k] / n).astype(np.float32), SLOW)
         some, total = by_row(y.ravel(), post)
         p["C"][some] += total
         self.sums = self.sums + total.sum(axis=0)
         self.seen += n
 
-    def climb(self, k: str, rows, g: np.ndarray, rate: float) -> None:
-        columns = (rows, slice(DIM)) if k == "E" else rows  # the ones stay
-        now = self.squares[k][rows] + g * g
+    def climb(self, k: str, rows: np.ndarray | slice, g: np.ndarray, rate: float) -> None:
+        of = lambda table: table[rows] if isinstance(rows, slice) else table.take(rows, axis=0)
+        now = of(self.squares[k]) + g * g
         self.squares[k][rows] = now
-        self.model.p[k][columns] += np.float32(rate) * g / np.sqrt(now)
+        g = g * np.float32(rate)
+        g /= np.sqrt(now)
+        g += of(self.model.p[k])
+        self.model.p[k][rows] = g
 
     def run(self, flat: np.ndarray, sizes: np.ndarray) -> None:
         """Windows side by side, in which every place asks."""
@@ -349,11 +391,11 @@ def window(
     are, the targets of the places that ask, and those targets' places in flat (-1: none)."""
     t = start[:, None] + np.arange(-context, WINDOW - context)[None, :]
     real = (t >= 0) & (t < sizes[text][:, None])
-    at = np.where(real, t + firsts[text][:, None], 0)
-    x = flat[np.maximum(at - 1, 0)].astype(np.int64)
-    x[~real | (t == 0)] = before
-    places = np.where(real, at, -1)[:, context:]
-    return x, real, flat[at[:, context:]].astype(np.int64), places
+    at = t + firsts[text][:, None]
+    x = flat.take(at - 1, mode="clip").astype(np.int64)
+    np.copyto(x, before, where=~real | (t == 0))
+    at = at[:, context:]
+    return x, real, flat.take(at, mode="clip").astype(np.int64), np.where(real[:, context:], at, -1)
 
 
 def windows(flat: np.ndarray, sizes: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -368,7 +410,13 @@ class Block:
         self.sizes, self.numbers = np.frombuffer(row["sizes"], "<u4").astype(np.int64), np.frombuffer(row["numbers"], "<u4").astype(np.int64)
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.word_sizes = np.append(np.frombuffer(row["word_sizes"], "<u4").astype(np.int64), 1)  # the end is one more word
-        self.word_ids = np.append(np.frombuffer(row["word_ids"], "<u4").astype(np.int64), end)
+        self.word_ids = np.append(np.frombuffer(row["word_ids"], "<u4").astype(np.int32), np.int32(end))
+
+    def uses(self) -> np.ndarray:
+        """How often the texts for training have each id and the end."""
+        here = self.numbers[np.repeat(~self.held, self.sizes)]
+        n = np.append(np.bincount(here, minlength=len(self.word_sizes) - 1), np.count_nonzero(~self.held))
+        return np.bincount(self.word_ids, np.repeat(n, self.word_sizes), self.end + 1)
 
     def sequence(self, training: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts or those for training: ids, ids of each text, words (with the ends) and where each begins."""
@@ -379,7 +427,9 @@ class Block:
         n = self.word_sizes[numbers]
         begins = np.cumsum(n) - n
         first = np.cumsum(self.word_sizes) - self.word_sizes
-        flat = self.word_ids[np.repeat(first[numbers] - begins, n) + np.arange(int(n.sum()))].astype(np.int32)
+        at = np.repeat(first[numbers] - begins, n)
+        at += np.arange(len(at))
+        flat = self.word_ids.take(at)
         of_text = np.add.reduceat(n, np.cumsum(sizes + 1) - sizes - 1) if len(sizes) else sizes
         return flat, of_text, numbers, begins
 
@@ -399,34 +449,32 @@ def score(
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, token_bytes = encoder(shared.value, pattern)
-        texts: list[list[bytes]] = []
+        texts: list[tuple[pa.Array, np.ndarray]] = []
         ids: list[pa.Array] = []
         held: list[bool] = []
         chars = nth = 0
 
         def block() -> pa.RecordBatch:
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            number = dict.fromkeys(chain.from_iterable(texts))
-            distinct = list(number)
-            number.update(zip(distinct, range(len(distinct)), strict=True))
-            numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+            sizes = np.concatenate([n for _, n in texts])
+            each = pa.concat_arrays([some for some, _ in texts]).dictionary_encode()
+            numbers, distinct = each.indices.to_numpy(), each.dictionary
             # frequent words have small numbers, which take less room
             order = np.argsort(-np.bincount(numbers, minlength=len(distinct)), kind="stable")
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            numbers, distinct = place[numbers], [distinct[i] for i in order]
+            numbers, distinct = place[numbers], distinct.take(pa.array(order)).cast(pa.binary())
             n = np.bincount(numbers[np.repeat(~np.array(held, bool), sizes)], minlength=len(distinct))
-            word_ids, word_sizes = spelled(distinct, enc, token_bytes)
+            word_ids, word_sizes = spelled(distinct.to_numpy(zero_copy_only=False).tolist(), enc, token_bytes)
             key = (TaskContext.get().partitionId() << 32) + nth
             small = lambda a: pa.array([a.astype("<u4").tobytes()], pa.binary())
             columns = [
-                pa.array([key]), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.concat_arrays(ids)), pa.array([np.array(held, np.uint8).tobytes()], pa.binary()),
-                small(sizes), small(numbers), pa.array([distinct], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64())), small(word_ids), small(word_sizes),
+                pa.array([key]), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays(ids)), pa.array([np.array(held, np.uint8).tobytes()], pa.binary()),
+                small(sizes), small(numbers), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.array([n], pa.list_(pa.int64())), small(word_ids), small(word_sizes),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "held", "sizes", "numbers", "words", "counts", "word_ids", "word_sizes"])
 
         for part in slices(batches):
-            texts += [words(text) for text in part.column(1).cast(pa.binary()).to_pylist()]
+            texts.append(words(part.column(1)))
             ids.append(part.column(0))
             held += part.column(2).to_pylist()
             chars += part.column(1).nbytes
@@ -451,18 +499,22 @@ def score(
     in_words, distinct_words = known.agg(F.sum("n"), F.count_if("first")).first()
     ids_of = blocks.select("held", "sizes", "numbers", "word_ids", "word_sizes")
 
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         release()
         for batch in batches:
             for i in range(batch.num_rows):
-                flat, of_text, *_ = Block(batch.slice(i, 1).to_pylist()[0], end).sequence(training=True)
-                if len(flat):
-                    yield flat, of_text
+                yield Block(batch.slice(i, 1).to_pylist()[0], end)
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for block in read(batches):
+            flat, of_text, *_ = block.sequence(training=True)
+            if len(flat):
+                yield flat, of_text
 
     def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(end + 1)
-        for flat, _ in sequences(batches):
-            total += np.bincount(flat, minlength=end + 1)
+        for block in read(batches):
+            total += block.uses()
         yield cells(total)
 
     uses = gathered(ids_of.mapInArrow(count_ids, CELLS), end + 1)  # a row an id
