@@ -128,6 +128,7 @@ def test_attention_is_that_of_each_place_alone_and_holds_no_scores_out_of_reach(
         flat, sizes = rng.integers(0, ids, 300), np.array([70, 1, 0, 129, 100])
         x, real, *_ = lm.window(flat, sizes, *lm.starts(sizes, lm.WINDOW - context), ids, np.cumsum(sizes) - sizes, context)
         *_, weights, _, c, g = lm.Attention(p).forward(x, real, context)
+        assert np.allclose(g, lm.Attention(p).forward(x, real, context, p["E"] @ lm.Attention(p).pairs())[-1])
         c, g = c.reshape(len(x), -1, lm.DIM), g.reshape(len(x), -1, lm.MIX)
         for w, i in zip(*np.nonzero(real[:, context:]), strict=True):
             at = [j for j in range(context + i + 1) if real[w, j]]
@@ -181,7 +182,8 @@ def test_blocks_hold_every_text_and_training_takes_all_that_are_not_held_out():
     assert flat.tolist() == [7, 4, 5, 6, 99, 99, 8, 9, 8, 9, 7, 99, 4, 5, 6, 99] and of_text.tolist() == [5, 1, 6, 4]
     assert numbers.tolist() == [0, 1, 3, 3, 2, 2, 0, 3, 1, 3] and begins.tolist() == [0, 1, 4, 5, 6, 8, 10, 11, 12, 15]
     assert block.sequence(training=True)[0].tolist() == [7, 4, 5, 6, 99, 99, 4, 5, 6, 99]
-    assert block.uses().tolist() == np.bincount(block.sequence(training=True)[0], minlength=100).tolist()
+    uses = lm.uses_of(np.array([1, 2, 0]), block.word_ids[:-1], block.word_sizes[:-1], 99)
+    assert uses[:99].tolist() == np.bincount(block.sequence(training=True)[0], minlength=100)[:99].tolist()
 
 
 def test_spelling_is_that_of_each_word_alone():

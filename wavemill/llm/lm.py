@@ -182,15 +182,18 @@ class Attention:
         far = distances(context)
         return np.where(far >= 0, self.p["near"][np.maximum(far, 0)], self.p["near"].dtype.type(FAR))
 
-    def forward(self, x: np.ndarray, real: np.ndarray, context: int = CONTEXT) -> tuple:
+    def pairs(self) -> np.ndarray:
+        """What a pair of rows of E, the one that asks first, is multiplied by for its score."""
+        return self.p["Q"] @ self.p["K"].T * self.p["E"].dtype.type(DIM**-0.5)
+
+    def forward(self, x: np.ndarray, real: np.ndarray, context: int = CONTEXT, asking: np.ndarray | None = None) -> tuple:
         """x: (windows, WINDOW) ids before each place; real: which of the places there are. Only those after the
-        first context places ask."""
+        first context places ask. asking: E times pairs(), where the model no longer changes."""
         p = self.p
         kind = p["E"].dtype
         e, near = p["E"].take(x, axis=0), self.near(context)
-        q = e[:, context:].reshape(-1, DIM) @ (p["Q"] @ p["K"].T * kind.type(DIM**-0.5))
+        q = (e[:, context:].reshape(-1, DIM) @ self.pairs()).reshape(len(x), -1, DIM) if asking is None else asking.take(x[:, context:], axis=0)
         early = np.flatnonzero(~real[:, 0])  # windows with places before their text; places after it are out of reach
-        q = q.reshape(len(x), -1, DIM)
         c, total, weights = np.empty_like(q), np.empty((*q.shape[:2], 1), kind), []
         for asks, upto in panels(context):
             s = q[:, asks] @ e[:, :upto].transpose(0, 2, 1)
@@ -216,9 +219,9 @@ class Attention:
     def shares(self, y: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
         return self.p["C"].take(y, axis=0) * (1 / (self.p["C"].sum(axis=0) if sums is None else sums))
 
-    def probabilities(self, x: np.ndarray, real: np.ndarray, y: np.ndarray, among: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def probabilities(self, x: np.ndarray, real: np.ndarray, y: np.ndarray, among: np.ndarray, sums: np.ndarray, asking: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of each target y its probability, and those of sets of ids, whose shares are the columns of among."""
-        g = self.forward(x, real, WINDOW - y.shape[1])[-1]
+        g = self.forward(x, real, WINDOW - y.shape[1], asking)[-1]
         sets = (g @ among).reshape(*y.shape, -1)
         g *= self.shares(y.ravel(), sums)
         return (g @ np.ones(MIX, g.dtype)).reshape(y.shape), sets
@@ -256,7 +259,7 @@ class Attention:
         scale, u = kind.type(DIM**-0.5), u.reshape(-1, DIM)
         pairs = e[:, context:].reshape(-1, DIM).T @ u * scale
         out["Q"], out["K"] = pairs @ p["K"], pairs.T @ p["Q"]
-        de[:, context:] += (u @ (p["K"] @ p["Q"].T * scale)).reshape(q.shape)
+        de[:, context:] += (u @ self.pairs().T).reshape(q.shape)
         out["E"] = de.reshape(-1, DIM)
         return out, post
 
@@ -278,7 +281,8 @@ def by_row(rows: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(rows.astype(np.uint16) if rows.max(initial=0) < 1 << 16 else rows, kind="stable")
     rows = rows.take(order)
     firsts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    return rows.take(firsts), *(np.add.reduceat(v.take(order, axis=0), firsts) for v in values)
+    two = lambda v: np.ascontiguousarray(v, np.float32).view(np.complex64).take(order, axis=0)  # noqa: E731  # sums of numbers in twos
+    return rows.take(firsts), *(np.add.reduceat(two(v), firsts).view(np.float32) for v in values)
 
 
 class Training:
@@ -412,12 +416,6 @@ class Block:
         self.word_sizes = np.append(np.frombuffer(row["word_sizes"], "<u4").astype(np.int64), 1)  # the end is one more word
         self.word_ids = np.append(np.frombuffer(row["word_ids"], "<u4").astype(np.int32), np.int32(end))
 
-    def uses(self) -> np.ndarray:
-        """How often the texts for training have each id and the end."""
-        here = self.numbers[np.repeat(~self.held, self.sizes)]
-        n = np.append(np.bincount(here, minlength=len(self.word_sizes) - 1), np.count_nonzero(~self.held))
-        return np.bincount(self.word_ids, np.repeat(n, self.word_sizes), self.end + 1)
-
     def sequence(self, training: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts or those for training: ids, ids of each text, words (with the ends) and where each begins."""
         numbers, sizes = self.numbers, self.sizes
@@ -434,6 +432,11 @@ class Block:
         return flat, of_text, numbers, begins
 
 
+def uses_of(counts: np.ndarray, word_ids: np.ndarray, word_sizes: np.ndarray, end: int) -> np.ndarray:
+    """How often each id comes in words that come so often."""
+    return np.bincount(word_ids, np.repeat(counts, word_sizes), end + 1)
+
+
 def score(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
     held_out: Column | None = None, block_chars: int = BLOCK_CHARS, rounds: int = ROUNDS,
@@ -491,33 +494,33 @@ def score(
 
     each = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     # a row a block and word, dealt by word once; a word has a row a block at most
-    of_word = Window.partitionBy("word")
-    nth = F.row_number().over(of_word.orderBy("block"))
-    known = each.select(F.col("block").alias("of_block"), "place", "n", F.sum("n").over(of_word).alias("c"), (nth == 1).alias("first")).where("c > 0")
+    of_word = Window.partitionBy("word").orderBy("block")
+    whole = of_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # of the same order, so both are found in one go
+    first = F.row_number().over(of_word) == 1
+    known = each.select(F.col("block").alias("of_block"), "place", "n", F.sum("n").over(whole).alias("c"), first.alias("first")).where("c > 0")
     known.write.option("compression", "zstd").parquet(f"{folder}-known")
     known = spark.read.schema(known.schema).parquet(f"{folder}-known")
     in_words, distinct_words = known.agg(F.sum("n"), F.count_if("first")).first()
     ids_of = blocks.select("held", "sizes", "numbers", "word_ids", "word_sizes")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         release()
         for batch in batches:
             for i in range(batch.num_rows):
-                yield Block(batch.slice(i, 1).to_pylist()[0], end)
-
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for block in read(batches):
-            flat, of_text, *_ = block.sequence(training=True)
-            if len(flat):
-                yield flat, of_text
+                flat, of_text, *_ = Block(batch.slice(i, 1).to_pylist()[0], end).sequence(training=True)
+                if len(flat):
+                    yield flat, of_text
 
     def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(end + 1)
-        for block in read(batches):
-            total += block.uses()
+        release()
+        for batch in batches:
+            for held, counts, word_ids, word_sizes in zip(*batch.columns, strict=True):
+                total += uses_of(counts.values.to_numpy(), *(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in (word_ids, word_sizes)), end)
+                total[end] += held.as_py().count(0)
         yield cells(total)
 
-    uses = gathered(ids_of.mapInArrow(count_ids, CELLS), end + 1)  # a row an id
+    uses = gathered(blocks.select("held", "counts", "word_ids", "word_sizes").mapInArrow(count_ids, CELLS), end + 1)  # a row an id
     n_train = int(uses[end])
     n, v = (in_words or 0) + n_train, distinct_words + (n_train > 0)  # with the ends
     order = np.argsort(-uses, kind="stable")
@@ -537,9 +540,9 @@ def score(
             follow += np.bincount(last * size + mine, minlength=size * size)
             n_of = -(-of_text // STEP)
             stretch = np.repeat(np.cumsum(n_of) - n_of, of_text) + (np.arange(len(flat)) - np.repeat(firsts, of_text)) // STEP
-            for a in range(0, int(n_of.sum()), 4096):  # stretches of one text, their histograms multiplied
-                i = np.searchsorted(stretch, [a, a + 4096])
-                h = np.bincount((stretch[i[0] : i[1]] - a) * size + mine[i[0] : i[1]], minlength=4096 * size).reshape(4096, size).astype(np.float32)
+            for a in range(0, int(n_of.sum()), 1024):  # stretches of one text, their histograms multiplied
+                i = np.searchsorted(stretch, [a, a + 1024])
+                h = np.bincount((stretch[i[0] : i[1]] - a) * size + mine[i[0] : i[1]], minlength=1024 * size).reshape(1024, size).astype(np.float32)
                 together += h.T @ h - np.diag(h.sum(axis=0))
         yield cells(np.r_[follow, together.ravel()])
 
@@ -582,30 +585,32 @@ def score(
 
     def score_block(table: pa.Table, known: pa.Table) -> pa.Table:
         model, sums, among = trained.value
-        parts = []
+        parts, asking = [], model.p["E"] @ model.pairs()
         for row in range(table.num_rows):
             block = Block(table.select(["held", "sizes", "numbers", "word_ids", "word_sizes"]).slice(row, 1).to_pylist()[0], end)
             c = np.zeros(len(block.word_sizes))
             c[known["place"].to_numpy()] = known["c"].to_numpy()
             c[-1] = n_train
-            base = np.log10((c + SMOOTH) / (n + SMOOTH * (v + 1)))
+            share = (c + SMOOTH) / (n + SMOOTH * (v + 1))
+            base = np.log10(share)
             flat, of_text, numbers, at = block.sequence()
             p, masses = np.zeros(len(flat), np.float32), np.zeros((len(flat), 2), np.float32)
             text, start = starts(of_text)
             firsts = np.cumsum(of_text) - of_text
             for a in range(0, len(text), BATCH):
                 x, real, y, places = window(flat, of_text, text[a : a + BATCH], start[a : a + BATCH], end + 1, firsts)
-                got, sets = model.probabilities(x, real, y, among, sums)
+                got, sets = model.probabilities(x, real, y, among, sums, asking)
                 asked = real[:, CONTEXT:]
-                p[places[asked]], masses[places[asked]] = got[asked], sets[asked]
-            log_p = np.log10(np.maximum(p.astype(np.float64), 1e-30))
-            goes_on, stops = np.log10(np.maximum(masses[at].astype(np.float64), 1e-30)).T
-            either = np.log10(np.maximum(masses[at].astype(np.float64).sum(axis=1), 1e-30))
+                places = places[asked]
+                p[places], masses[places] = got[asked], sets[asked]
+            log_p, masses = np.log(np.maximum(p, 1e-30, dtype=np.float64)), masses.take(at, axis=0).astype(np.float64)
+            goes_on, stops = (np.log(np.maximum(x, 1e-30)) for x in masses.T)
+            either = np.log(np.maximum(masses.sum(axis=1), 1e-30))
             is_end = numbers == len(block.word_sizes) - 1
             # by its ids: the first among those that begin words, the others, and that the word ends where the next begins
             by_ids = np.add.reduceat(log_p, at) - goes_on + np.append(either[1:], 0)
-            mixed = np.log10(SHARE * 10 ** base[numbers] + (1 - SHARE) * 10 ** np.maximum(by_ids, -300))
-            each = np.where(is_end, stops, goes_on + mixed) - either
+            mixed = np.log((SHARE * share).take(numbers) + (1 - SHARE) * np.exp(np.maximum(by_ids, -690)))
+            each = (np.where(is_end, stops, goes_on + mixed) - either) / np.log(10)
             tokens = np.cumsum(block.sizes + 1) - block.sizes - 1
             parts.append(pa.table(
                 [table["doc_ids"].slice(row, 1).combine_chunks().flatten(), pa.array(block.held), pa.array(block.sizes + 1), pa.array(np.add.reduceat((c > 0)[numbers].astype(np.int64), tokens)),
