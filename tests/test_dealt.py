@@ -48,3 +48,24 @@ def test_grown_chains_are_the_joined_ones(spark):
         row = lambda r: repr((r.symbol, r.start, r.degree, r.rule_name, r.turn, r.waves))
         want = sorted(row(r) for part in joined for r in part.collect())
         assert sorted(map(row, degrees.grown(older, new, every, family).collect())) == want
+
+
+def test_large_kept_tables_are_not_broadcast_for_their_small_files(spark):
+    """Windows of a table of 1,200 short series: files of some KB, by which Spark would send all rows to the driver."""
+    from pyspark.sql import functions as F
+
+    from wavemill.operators import windows
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ids = spark.range(1200 * 40).select((F.col("id") % 1200).cast("string").alias("symbol"), F.lit("1wk").alias("interval"), F.floor(F.col("id") / 1200).cast("int").alias("bar_idx"))
+    price = (F.hash("symbol", "bar_idx") % 50).cast("double")
+    bars = tables.kept(ids.withColumns({"low": price, "high": price + 1}), 4)
+    wide = tables.kept(ids.select(*tables.SERIES, F.col("bar_idx").alias("start_row"), F.least(F.lit(20), 40 - F.col("bar_idx")).alias("window_len")), 4)
+    some = tables.kept(wide.where("symbol = '7'"), 4)
+    both = wide.join(bars, (wide.symbol == bars.symbol) & (wide.start_row == bars.bar_idx))
+    assert "BroadcastHashJoin" not in plan(both) and both.count() == 1200 * 40
+    assert "BroadcastHashJoin" in plan(some.join(some.select(*tables.SERIES, "start_row"), [*tables.SERIES, "start_row"]))
+    spans = lambda w: windows.lowest_in(bars, w.select(*tables.SERIES, "start_row", F.col("start_row").alias("first"), (F.col("start_row") + F.col("window_len") - 1).alias("last")))
+    assert "BroadcastHashJoin" not in plan(spans(wide)) and spans(wide).count() == 1200 * 40
+    few = spans(some).select("start_row", "lowest").collect()
+    assert sorted(few) == sorted(spans(wide).where("symbol = '7'").select("start_row", "lowest").collect()) and len(few) == 40

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import kept
+from .tables import kept, merged
 
 FORWARD = (0, Window.unboundedFollowing)
 BACKWARD = (Window.unboundedPreceding, 0)
@@ -22,7 +22,7 @@ def in_pieces(rows: DataFrame, *order: str) -> DataFrame:
 def nearest(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Adds _ahead, the first value that is not null from each row on, and _behind, the last one up to it, along the order
     of each key. Within pieces by windows; what a piece lacks comes from the nearest piece of its key that has a value."""
-    pieces = in_pieces(rows, *keys, *order)
+    pieces = merged(in_pieces(rows, *keys, *order))
     w = Window.partitionBy("_piece", *keys).orderBy(*order)
     inside = pieces.withColumns({"_ahead": F.first(value, ignorenulls=True).over(w.rowsBetween(*FORWARD)), "_behind": F.last(value, ignorenulls=True).over(w.rowsBetween(*BACKWARD))})
     at = F.when(F.col(value).isNotNull(), F.struct(*order))

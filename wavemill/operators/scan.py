@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import chains as C
 from .ledger import commit_run  # noqa: F401 (part of the scans' interface)
 from .swings import monowaves
-from .tables import kept
+from .tables import kept, merged
 from .walks import next_stops, visited
 from .windows import SPAN, first_hit, window_starts
 
@@ -153,7 +153,7 @@ def skip_ahead_scan(
     stops = visited(steps, nexts.where("of is null").select(*series, F.col("then").alias("at"), windows.alias("seen")), series)
     if max_windows is not None:
         stops = stops.where(F.col("seen") <= max_windows)
-    come_by = stops.select(*series, F.col("at").alias("start_row")).join(best, [*series, "start_row"])
+    come_by = merged(stops).select(*series, F.col("at").alias("start_row")).join(best, [*series, "start_row"])
     names = [*WINDOW, "start", "rule_name", "wave_config", "ensemble_score", "end", "error"]
     gone = come_by.where("end is null").select(*series, F.lit("ValueError('a hit has no end')").alias("error"))
     unknown = bars.select(*series).distinct().join(F.broadcast(sizes), "interval", "left").where("slide is null or slide < 1")

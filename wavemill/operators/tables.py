@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SERIES = ("symbol", "interval")
 #: Rows of a bucket of series, and bars of a series up to which all of it may be one bucket's.
 ROWS, LONGEST = 500_000, 4096
+#: Rows of a kept table up to which Spark may broadcast it.
+BROADCAST_ROWS = 20_000
 #: Set to false, joins on series and more take tables that are dealt by series as they are.
 CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
@@ -36,11 +38,19 @@ def short_series(bars: DataFrame) -> bool:
     return (bars.groupBy(*SERIES).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= LONGEST
 
 
-def kept(df: DataFrame, buckets: int | None = None, dealt: bool = False) -> DataFrame:
+def merged(table: DataFrame) -> DataFrame:
+    """The table, for joins that sort and merge it if it has more than BROADCAST_ROWS rows. Left to itself, Spark broadcasts what
+    has small files, and those of a kept table may be a two-hundredth of what its rows take on the driver. Not for joins by
+    series alone of series that are too long for one task."""
+    return table.hint("merge") if table.count() > BROADCAST_ROWS else table
+
+
+def kept(df: DataFrame, buckets: int | None = None, dealt: bool = False, merge: bool = True) -> DataFrame:
     """The rows as a table in the shared folder, for later plans to know its size and lost executors to read it again. With
     buckets, it is dealt by symbol to so many: what is worked out from such tables by series, or by series and more, and
     kept in as many buckets again, needs no exchange. That is for short series only, as a symbol is one task's then. dealt:
-    the rows come from maps over series of such a table, so that each task has one bucket's, though the plan can't tell."""
+    the rows come from maps over series of such a table, so that each task has one bucket's, though the plan can't tell.
+    Tables in buckets are merged in joins unless merge is false."""
     spark, path = df.sparkSession, new_folder(df.sparkSession)
     if buckets is None:
         df.write.parquet(path)
@@ -52,4 +62,4 @@ def kept(df: DataFrame, buckets: int | None = None, dealt: bool = False) -> Data
         rows.write.option("path", path).bucketBy(buckets, "symbol").saveAsTable(name)
     finally:
         spark.conf.set(CO_PARTITION, before)
-    return spark.table(name)
+    return merged(spark.table(name)) if merge else spark.table(name)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranges import nearest
-from .tables import kept
+from .tables import kept, merged
 
 
 def visited(steps: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,6 +18,7 @@ def visited(steps: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
     jump = kept(steps.where("then is not null").select(*keys, "at", "then", F.col("cost").cast("long").alias("cost")))
     found = kept(starts.select(*keys, "at", F.col("seen").cast("long").alias("seen")))
     while jump.limit(1).count():
+        jump = merged(jump)
         more = found.join(jump, [*keys, "at"]).select(*keys, F.col("then").alias("at"), (F.col("seen") + F.col("cost")).alias("seen"))
         ahead = jump.select(*keys, F.col("at").alias("then"), F.col("then").alias("_then"), F.col("cost").alias("_cost"))
         found = kept(found.union(more))

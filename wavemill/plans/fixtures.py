@@ -10,7 +10,7 @@ from ..functions.scoring import ensemble_score
 from ..operators import chains as C
 from ..operators.resample import index_bars, pyramid, ticks_to_bars
 from ..operators.swings import monowaves
-from ..operators.tables import buckets_for, kept, short_series
+from ..operators.tables import buckets_for, kept, merged, short_series
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,8 @@ def weekly_bars(spark: SparkSession, sf_dir: str, by: str = "nation", buckets: i
 def kept_bars(spark: SparkSession, sf_dir: str, by: str = "nation") -> tuple[DataFrame, int | None]:
     """Indexed weekly bars, kept in buckets of series, and how many; none if a series is too long for one."""
     buckets = buckets_for(read(spark, sf_dir, "lineitem"))
-    bars = kept(weekly_bars(spark, sf_dir, by, buckets), buckets)
-    return bars, buckets if short_series(bars) else None
+    bars = kept(weekly_bars(spark, sf_dir, by, buckets), buckets, merge=False)
+    return (merged(bars), buckets) if short_series(bars) else (bars, None)
 
 
 def user_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
